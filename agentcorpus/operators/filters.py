@@ -91,9 +91,10 @@ def website_search(df: DataFrame, needle: str, maps: Sequence[str], category: st
 
 def image_path_violations(df: DataFrame, column: str = "image") -> DataFrame:
     """Distinct paths that are absolute, leave their folder or lie outside ``images/``."""
-    path = F.regexp_replace(F.col(column), "^/", "")
-    safe = path.startswith("images/") & ~path.rlike("(^|/)\\.\\.(/|$)") & ~path.startswith("/")
-    return df.select(path.alias("image")).where(~F.coalesce(safe, F.lit(False))).distinct()
+    stripped = required_images(df, column)
+    path = F.col("image")
+    safe = path.startswith("images/") & ~path.rlike("(^|/)\\.\\.(/|$)")
+    return stripped.where(~F.coalesce(safe, F.lit(False)))
 
 
 def required_images(df: DataFrame, column: str = "image") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -192,16 +193,6 @@ def _schedule(rows: DataFrame, taken: DataFrame | None) -> DataFrame:
     )
 
 
-def _lowest(rows: DataFrame, count: int) -> DataFrame:
-    high = rows.agg(F.max("key")).first()[0]
-    if high is None or count <= 0:
-        return rows.limit(0).withColumn("pick", F.lit(0).cast("bigint"))
-    return take_lowest(rows, "key", high * 1.000001, "tie", count, "pick")
-
-
-PICKED = ("id", "domain", "category", "tier", "pick_order")
-
-
 def nested_tiers(
     df: DataFrame,
     sizes: Mapping[str, int],
@@ -237,42 +228,51 @@ def nested_tiers(
         missing = [name for name in required if name not in supply]
         if missing:
             raise Infeasible(f"required categories have no candidates: {missing}")
-    chosen: DataFrame | None = None
+    lightest = min([1.0, *(category_weights or {}).values()])
+    picks: list[DataFrame] = []
+    held = dict.fromkeys(required, 0)
     total = 0
+
+    def add(rows: DataFrame, tier: str, count: int, cap: int) -> int:
+        nonlocal total
+        chosen = reduce(DataFrame.unionByName, picks) if picks else None
+        picked = cut(_pick(rows, chosen, tier, total, count, cap, lightest))
+        # One row per category, and categories are a small vocabulary.
+        found = picked.groupBy("category").count().collect()
+        for row in found:
+            if row["category"] in held:
+                held[row["category"]] += row["count"]
+        added = sum(row["count"] for row in found)
+        picks.append(picked)
+        total += added
+        return added
+
     for tier, size in sizes.items():
         cap = domain_cap(size, max_domain_share)
         for category in sorted(required, key=lambda name: (supply[name], name)):
-            need = math.floor(size * minimum_category_share)
-            have = 0
-            if chosen is not None:
-                have = chosen.where(F.col("category") == category).count()
-            if need > have:
-                rows = pool.where(F.col("category") == category)
-                chosen, added = _add(pool, rows, chosen, tier, total, need - have, cap)
-                total += added
-                if added < need - have:
-                    raise Infeasible(f"category floor of {category} cannot be met in {tier}")
+            need = math.floor(size * minimum_category_share) - held[category]
+            if need > 0 and add(pool.where(F.col("category") == category), tier, need, cap) < need:
+                raise Infeasible(f"category floor of {category} cannot be met in {tier}")
         if size > total:
-            chosen, added = _add(pool, pool, chosen, tier, total, size - total, cap)
-            total += added
+            add(pool, tier, size - total, cap)
         if total < size:
             raise Infeasible(f"constraints allow {total}/{size} rows in {tier}")
-    return chosen.select(*PICKED)
+    return reduce(DataFrame.unionByName, picks)
 
 
-def _add(
-    pool: DataFrame, rows: DataFrame, chosen: DataFrame | None, tier: str, start: int, count: int,
-    cap: int,
-) -> tuple[DataFrame, int]:
+def _pick(
+    rows: DataFrame, chosen: DataFrame | None, tier: str, start: int, count: int, cap: int,
+    lightest: float,
+) -> DataFrame:
     if chosen is not None:
         rows = rows.join(chosen.select("id"), "id", "left_anti")
     ready = cut(_schedule(rows.withColumn("_cap", F.lit(cap)), chosen))
-    picked = _lowest(ready, count).select(
+    # A domain's weight is at least one, so no key exceeds the cap over the lightest category.
+    lowest = take_lowest(ready, "key", cap / lightest * 1.000001, "tie", count, "pick")
+    return lowest.select(
         "id", "domain", "category", F.lit(tier).alias("tier"),
         (F.col("pick") + start).cast("bigint").alias("pick_order"),
     )
-    merged = cut(picked if chosen is None else chosen.unionByName(picked))
-    return merged, merged.count() - start
 
 
 def diverse_sample(df: DataFrame, count: int, **options) -> DataFrame:
