@@ -1,7 +1,8 @@
 """Browser actions: normalising raw ones, reading predicted ones, comparing the two.
 
 Actions have an open set of arguments, so they travel as JSON text and are opened as VARIANT where
-their types matter (``true`` must not pass for a number).
+their types matter (``true`` must not pass for a number).  All functions here take the opened value:
+callers parse each text once into a column of its own and refer to that.
 """
 
 from __future__ import annotations
@@ -19,6 +20,23 @@ CLICK_TOLERANCE_PX = 25.0
 SCROLL_TOLERANCE = 10.0
 
 
+def opened(json_text: Column) -> Column:
+    return F.try_parse_json(json_text)
+
+
+def strictly_opened(json_text: Column) -> Column:
+    """Null unless the whole text is one JSON value.
+
+    The parser stops after the first value.  Text after it can slip through inside brackets or inside
+    braces, but never through both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), json_text, F.lit("}")))
+    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    only = F.size(F.try_variant_get(keyed, "$", "map<string,variant>")) == 1
+    return F.when(single & only, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def child(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f"$.{key}", "variant")
 
@@ -50,14 +68,12 @@ def _scaled(value: Column, size: Column, clamped: bool) -> Column:
     return F.bround(clamp(percent, 0.0, 100.0) if clamped else percent, 1)
 
 
-def normalize_action(name: Column, raw: Column, width: Column, height: Column) -> Column:
-    """Raw action to the 0-100 scale.
+def normalize_action(name: Column, value: Column, width: Column, height: Column) -> Column:
+    """Raw action (name and opened arguments) to the 0-100 scale.
 
     Returns a struct of ``action`` (JSON text) and ``box`` (xyxy pixels, clicks only); ``action`` is
     null when the raw action is unusable, which drops the step.
     """
-    name = strip(F.coalesce(name, F.lit("")))
-    value = F.try_parse_json(raw)
     sides = {"x": width, "y": height}
 
     def coordinate(key):
@@ -126,47 +142,39 @@ def action_bbox(box: Column, width: Column, height: Column) -> Column:
     )
 
 
-def parse_action(prediction: Column) -> Column:
-    """Strict reading of a predicted ``{thought, action}`` object.
-
-    Struct of ``action`` (JSON text, null when invalid) and ``reason`` (null when valid).
-    """
-    payload = F.try_parse_json(strip(F.coalesce(prediction, F.lit(""))))
-    keys = F.sort_array(
-        F.coalesce(F.json_object_keys(F.to_json(payload)), F.array().cast("array<string>"))
-    )
+def prediction_error(payload: Column) -> Column:
+    """Why an opened prediction is not exactly ``{thought, action}``; null when it is."""
     action = child(payload, "action")
+    keys = F.map_keys(F.try_variant_get(payload, "$", "map<string,variant>"))
+    two_keys = (F.size(keys) == 2) & F.array_contains(keys, "action") & F.array_contains(
+        keys, "thought"
+    )
     name = text(child(action, "name"))
 
     def out_of_range(key):
         value = child(action, key)
         parsed = number(value)
-        bad = parsed.isNull() if key in DELTA_KEYS else ~F.coalesce(
-            parsed.between(0, 100), F.lit(False)
-        )
-        return value.isNotNull() & bad
+        good = parsed.isNotNull() if key in DELTA_KEYS else parsed.between(0, 100)
+        return value.isNotNull() & ~F.coalesce(good, F.lit(False))
 
     bad_number = F.lit(False)
     for key in (*POSITION_KEYS, *DELTA_KEYS):
         bad_number = bad_number | out_of_range(key)
-    reason = (
+    return (
         F.when(payload.isNull(), F.lit("invalid_json"))
         .when(~is_object(payload), F.lit("not_thought_and_action"))
-        .when(keys != F.array(F.lit("action"), F.lit("thought")), F.lit("not_thought_and_action"))
+        .when(~F.coalesce(two_keys, F.lit(False)), F.lit("not_thought_and_action"))
         .when(text(child(payload, "thought")).isNull() | ~is_object(action), F.lit("wrong_types"))
         .when(F.coalesce(strip(name), F.lit("")) == "", F.lit("missing_name"))
         .when(bad_number, F.lit("bad_coordinate"))
     )
-    return F.struct(
-        F.when(reason.isNull(), F.to_json(action)).alias("action"), reason.alias("reason")
-    )
 
 
-def canonical_arguments(action: Column, with_name: bool) -> Column:
-    """Comparable text of an action: sorted keys, and numbers compared by value."""
-    entries = F.try_variant_get(F.try_parse_json(action), "$", "map<string,variant>")
-    if not with_name:
-        entries = F.map_filter(entries, lambda key, _: key != "name")
+def canonical_arguments(action: Column) -> Column:
+    """Comparable text of an action's arguments: sorted keys, and numbers compared by value."""
+    entries = F.map_filter(
+        F.try_variant_get(action, "$", "map<string,variant>"), lambda key, _: key != "name"
+    )
     return F.to_json(
         F.array_sort(
             F.transform(
@@ -196,10 +204,13 @@ def _gap(predicted: Column, target: Column, prefix: str, width: Column, height:
 
 
 def compare_action(
-    action: Column, target: Column, box: Column, width: Column, height: Column
+    p: Column, t: Column, equal: Column, box: Column, width: Column, height: Column
 ) -> Column:
-    """Struct of name, argument and exact agreement, click distance and click-in-box."""
-    p, t = F.try_parse_json(action), F.try_parse_json(target)
+    """Struct of name, argument and exact agreement, click distance and click-in-box.
+
+    ``p`` and ``t`` are the opened predicted and target actions, ``equal`` whether all arguments
+    agree.
+    """
     name = text(child(t, "name"))
     same_name = F.coalesce(text(child(p, "name")) == name, F.lit(False))
     distance = F.when(
@@ -225,22 +236,19 @@ def compare_action(
         .when(name == "scroll", deltas)
         .when(name == "scroll_at", (distance <= CLICK_TOLERANCE_PX) & deltas)
         .when(name == "mouse_drag_and_drop", drag)
-        .otherwise(canonical_arguments(action, False) == canonical_arguments(target, False))
+        .otherwise(equal)
     )
     return F.struct(
         same_name.alias("name_correct"),
         F.coalesce(arguments, F.lit(False)).alias("arguments_correct"),
-        F.coalesce(
-            canonical_arguments(action, True) == canonical_arguments(target, True), F.lit(False)
-        ).alias("exact"),
+        F.coalesce(same_name & equal, F.lit(False)).alias("exact"),
         distance.alias("click_distance_px"),
         inside.alias("click_inside_bbox"),
     )
 
 
-def rollout_action(action: Column) -> Column:
-    """Dataset action to the minimal environment action, with an error when it has none."""
-    value = F.try_parse_json(action)
+def rollout_action(value: Column) -> Column:
+    """Opened dataset action to the minimal environment action, or an error when it has none."""
     name = text(child(value, "name"))
     x = F.try_variant_get(value, "$.x", "double") / 100.0
     y = F.try_variant_get(value, "$.y", "double") / 100.0
@@ -300,11 +308,11 @@ POLICY_FIELDS = {
 # ---------------------------------------------------------------------------------------------
 
 
-def policy_action_error(output: Column) -> Column:
-    """Why a logged policy output is not one strict environment action; null when it is."""
-    value = F.try_parse_json(output)
+def policy_action_error(value: Column) -> Column:
+    """Why an opened policy output is not one strict environment action; null when it is."""
     name = text(child(value, "action"))
-    keys = F.array_join(F.sort_array(F.json_object_keys(F.to_json(value))), ",")
+    entries = F.try_variant_get(value, "$", "map<string,variant>")
+    keys = F.array_join(F.sort_array(F.map_keys(entries)), ",")
     wrong_fields = F.lit(False)
     for action, fields in POLICY_FIELDS.items():
         wrong_fields = wrong_fields | ((name == action) & (keys != ",".join(sorted(fields))))

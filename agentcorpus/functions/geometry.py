@@ -9,7 +9,8 @@ GRID = 1000.0
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    # greatest() and least() skip nulls, and a missing value must stay missing.
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def normalize_bbox(box: Column, width: Column, height: Column) -> Column:

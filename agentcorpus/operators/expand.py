@@ -95,8 +95,12 @@ def explode_trajectory(
 
     History is taken before the cut to ``max_steps``, from usable steps only.
     """
+    # Unusable rows keep no steps.  A filter would be pushed below the parsing and repeat it, and so
+    # would the filter Spark infers from a plain explode; hence the outer one.
     parsed = parse_trajectories(df)
-    parsed = parsed.where(trajectory_status(parsed).isNull())
+    parsed = parsed.withColumn(
+        "_steps", F.when(trajectory_status(parsed).isNull(), F.col("_steps"))
+    )
 
     def usable(item):
         body = item["body"]
@@ -108,16 +112,22 @@ def explode_trajectory(
             body["image_h"].alias("height"),
             page_state(body).alias("page"),
             strip(F.coalesce(output["thought"], F.lit(""))).alias("thought"),
-            actions.normalize_action(
-                output["action_name"], output["action"], body["image_w"], body["image_h"]
-            ).alias("done"),
+            strip(F.coalesce(output["action_name"], F.lit(""))).alias("name"),
+            actions.opened(output["action"]).alias("raw"),
         )
 
+    def normalized(s):
+        done = actions.normalize_action(s["name"], s["raw"], s["width"], s["height"])
+        kept = [s[f].alias(f) for f in ("step", "screenshot", "width", "height", "page", "thought")]
+        return F.struct(*kept, done.alias("done"))
+
     prepared = parsed.withColumn(
         "_valid",
         F.filter(
-            F.transform("_steps", usable),
-            lambda s: (s["screenshot"] != "") & s["done"]["action"].isNotNull(),
+            F.transform(
+                F.filter(F.transform("_steps", usable), lambda s: s["screenshot"] != ""), normalized
+            ),
+            lambda s: s["done"]["action"].isNotNull(),
         ),
     ).drop("_steps", "_instruction", "instruction", "trajectory")
 
@@ -156,8 +166,8 @@ def explode_trajectory(
         max_steps,
     )
     one = prepared.withColumn("_all", with_history).select(
-        "*", F.explode(kept).alias("_one")
-    ).drop("_all", "_valid")
+        "*", F.explode_outer(kept).alias("_one")
+    ).where("_one is not null").drop("_all", "_valid")
     s, history = F.col("_one.s"), F.col("_one.history")
     page = s["page"]
     domain = web.host_domain(page["url"])
@@ -254,7 +264,7 @@ def explode_messages(
         1,
         max_messages,
     )
-    one = base.select("*", F.explode(kept).alias("_one"))
+    one = base.select("*", F.explode_outer(kept).alias("_one")).where("_one is not null")
     m, question = F.col("_one.x.m"), F.col("_one.x.question")
     url = strip(F.coalesce(F.col("metadata.url"), F.lit("")))
     fields = {

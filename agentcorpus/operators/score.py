@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from agentcorpus.functions import actions, geometry
 from agentcorpus.functions.points import parse_point
-from agentcorpus.functions.text import answer_tokens, blank_to, overlap_f1
+from agentcorpus.functions.text import answer_tokens, blank_to, overlap_f1, strip
 from agentcorpus.operators import records
 from agentcorpus.operators.audit import macro_metric
 from agentcorpus.operators.ranking import exact_median
@@ -81,13 +81,26 @@ def grounding_score(df: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> Da
 
 
 def parse_action_predictions(df: DataFrame) -> DataFrame:
-    return df.withColumn("_parsed", actions.parse_action(_prediction(df))).withColumns(
-        {"parsed_action": F.col("_parsed.action"), "parse_error": F.col("_parsed.reason")}
-    ).drop("_parsed")
+    """Strict reading of predicted actions: ``parsed_action`` as JSON text and ``parse_error``."""
+    return _opened_predictions(df).withColumn(
+        "parsed_action", F.to_json("_action")
+    ).drop("_action")
+
+
+def _opened_predictions(df: DataFrame) -> DataFrame:
+    # Each step has its own projection, so the text is parsed once per row.
+    payload = df.withColumn("_payload", actions.strictly_opened(strip(_prediction(df))))
+    judged = payload.withColumn("parse_error", actions.prediction_error(F.col("_payload")))
+    return judged.withColumn(
+        "_action", F.when(F.col("parse_error").isNull(), actions.child(F.col("_payload"), "action"))
+    ).drop("_payload")
 
 
 def parse_policy_outputs(steps: DataFrame, column: str = "raw_policy_output") -> DataFrame:
-    return steps.withColumn("parse_error", actions.policy_action_error(F.col(column)))
+    opened = steps.withColumn("_value", actions.strictly_opened(F.col(column)))
+    return opened.withColumn("parse_error", actions.policy_action_error(F.col("_value"))).drop(
+        "_value"
+    )
 
 
 def parse_error_summary(parsed: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -120,14 +133,25 @@ def action_error_category(df: DataFrame) -> Column:
 
 
 def action_score(df: DataFrame) -> DataFrame:
-    parsed = parse_action_predictions(df)
-    judged = parsed.withColumn(
+    parsed = _opened_predictions(df).withColumn("_target", actions.opened(F.col("target_action")))
+    same_name = actions.text(actions.child(F.col("_action"), "name")) == actions.text(
+        actions.child(F.col("_target"), "name")
+    )
+    agreed = parsed.withColumn(
+        "_equal",
+        F.when(
+            same_name,
+            actions.canonical_arguments(F.col("_action"))
+            == actions.canonical_arguments(F.col("_target")),
+        ),
+    )
+    judged = agreed.withColumn(
         "_c",
         actions.compare_action(
-            F.col("parsed_action"), F.col("target_action"), F.col("bbox_normalized"),
+            F.col("_action"), F.col("_target"), F.col("_equal"), F.col("bbox_normalized"),
             F.col("image_width"), F.col("image_height"),
         ),
-    )
+    ).drop("_action", "_target", "_equal")
     scored = judged.withColumns(
         {
             "action_parse_valid": F.col("parse_error").isNull(),
