@@ -15,7 +15,6 @@ from agentcorpus.functions.text import strip
 
 POSITION_KEYS = ("x", "y", "from_x", "from_y", "to_x", "to_y")
 DELTA_KEYS = ("delta_x", "delta_y")
-NUMBER_TYPE = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
 CLICK_TOLERANCE_PX = 25.0
 SCROLL_TOLERANCE = 10.0
 
@@ -46,7 +45,9 @@ def type_of(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    return F.coalesce(type_of(value).rlike(NUMBER_TYPE), F.lit(False))
+    """JSON numbers are whole, decimal or floating; booleans and texts are not numbers."""
+    kind = type_of(value)
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.lit(False))
 
 
 def number(value: Column) -> Column:
@@ -142,30 +143,35 @@ def action_bbox(box: Column, width: Column, height: Column) -> Column:
     )
 
 
-def prediction_error(payload: Column) -> Column:
-    """Why an opened prediction is not exactly ``{thought, action}``; null when it is."""
-    action = child(payload, "action")
-    keys = F.map_keys(F.try_variant_get(payload, "$", "map<string,variant>"))
-    two_keys = (F.size(keys) == 2) & F.array_contains(keys, "action") & F.array_contains(
-        keys, "thought"
+def action_fields(action: Column) -> Column:
+    """Name and numeric arguments of an opened action, each read once."""
+    keys = (*POSITION_KEYS, *DELTA_KEYS)
+    return F.struct(
+        text(child(action, "name")).alias("name"),
+        *[number(child(action, key)).alias(key) for key in keys],
     )
-    name = text(child(action, "name"))
 
-    def out_of_range(key):
-        value = child(action, key)
-        parsed = number(value)
-        good = parsed.isNotNull() if key in DELTA_KEYS else parsed.between(0, 100)
-        return value.isNotNull() & ~F.coalesce(good, F.lit(False))
 
+def prediction_error(payload: Column, action: Column, fields: Column) -> Column:
+    """Why an opened prediction is not exactly ``{thought, action}``; null when it is.
+
+    ``action`` is the opened action and ``fields`` its :func:`action_fields`.
+    """
+    keys = F.map_keys(F.try_variant_get(payload, "$", "map<string,variant>"))
     bad_number = F.lit(False)
     for key in (*POSITION_KEYS, *DELTA_KEYS):
-        bad_number = bad_number | out_of_range(key)
+        parsed = fields[key]
+        good = parsed.isNotNull() if key in DELTA_KEYS else parsed.between(0, 100)
+        bad_number = bad_number | (child(action, key).isNotNull() & ~F.coalesce(good, F.lit(False)))
     return (
         F.when(payload.isNull(), F.lit("invalid_json"))
         .when(~is_object(payload), F.lit("not_thought_and_action"))
-        .when(~F.coalesce(two_keys, F.lit(False)), F.lit("not_thought_and_action"))
+        .when(
+            F.sort_array(keys) != F.array(F.lit("action"), F.lit("thought")),
+            F.lit("not_thought_and_action"),
+        )
         .when(text(child(payload, "thought")).isNull() | ~is_object(action), F.lit("wrong_types"))
-        .when(F.coalesce(strip(name), F.lit("")) == "", F.lit("missing_name"))
+        .when(F.coalesce(strip(fields["name"]), F.lit("")) == "", F.lit("missing_name"))
         .when(bad_number, F.lit("bad_coordinate"))
     )
 
@@ -190,17 +196,9 @@ def canonical_arguments(action: Column) -> Column:
     )
 
 
-def _point(value: Column, prefix: str, width: Column, height: Column) -> Column:
-    return F.array(
-        number(child(value, f"{prefix}x")) / 100.0 * width,
-        number(child(value, f"{prefix}y")) / 100.0 * height,
-    )
-
-
-def _gap(predicted: Column, target: Column, prefix: str, width: Column, height: Column) -> Column:
-    p = _point(predicted, prefix, width, height)
-    t = _point(target, prefix, width, height)
-    return F.hypot(p[0] - t[0], p[1] - t[1])
+def _gap(p: Column, t: Column, prefix: str, width: Column, height: Column) -> Column:
+    x, y = f"{prefix}x", f"{prefix}y"
+    return F.hypot((p[x] - t[x]) / 100.0 * width, (p[y] - t[y]) / 100.0 * height)
 
 
 def compare_action(
@@ -208,25 +206,23 @@ def compare_action(
 ) -> Column:
     """Struct of name, argument and exact agreement, click distance and click-in-box.
 
-    ``p`` and ``t`` are the opened predicted and target actions, ``equal`` whether all arguments
-    agree.
+    ``p`` and ``t`` are the fields of the predicted and target actions, ``equal`` whether all
+    arguments agree.
     """
-    name = text(child(t, "name"))
-    same_name = F.coalesce(text(child(p, "name")) == name, F.lit(False))
+    name = t["name"]
+    same_name = F.coalesce(p["name"] == name, F.lit(False))
     distance = F.when(
         same_name & name.isin("click", "scroll_at"), _gap(p, t, "", width, height)
     )
-    at = _point(p, "", width, height)
+    x, y = p["x"] / 100.0 * width, p["y"] / 100.0 * height
     has_box = F.coalesce(F.size(box) > 0, F.lit(False))
     inside = F.when(
-        same_name & (name == "click") & has_box & distance.isNotNull(),
-        at[0].between(box[0] * width, box[2] * width)
-        & at[1].between(box[1] * height, box[3] * height),
+        same_name & (name == "click") & has_box & p["x"].isNotNull() & p["y"].isNotNull(),
+        x.between(box[0] * width, box[2] * width) & y.between(box[1] * height, box[3] * height),
     )
     deltas = F.lit(True)
     for key in DELTA_KEYS:
-        gap = F.abs(number(child(p, key)) - number(child(t, key)))
-        deltas = deltas & (gap <= SCROLL_TOLERANCE)
+        deltas = deltas & (F.abs(p[key] - t[key]) <= SCROLL_TOLERANCE)
     drag = (_gap(p, t, "from_", width, height) <= CLICK_TOLERANCE_PX) & (
         _gap(p, t, "to_", width, height) <= CLICK_TOLERANCE_PX
     )

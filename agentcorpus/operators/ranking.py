@@ -129,9 +129,7 @@ def exact_median(
     Equal values collapse in the partial aggregate, so neither a hot group nor a hot value reaches
     one task whole; only the bucket(s) holding the middle are sorted.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    counted = df.groupBy(*keys, value).agg(F.count(value).alias("_n")).where("_n > 0")
     bucketed = counted.withColumn(
         BUCKET, F.least(F.floor(F.col(value) / F.lit(width)), F.lit(top)).cast("bigint")
     )

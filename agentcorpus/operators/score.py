@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentcorpus.functions import actions, geometry
-from agentcorpus.functions.points import parse_point
+from agentcorpus.functions.points import with_point
+from agentcorpus.functions.staging import staged
 from agentcorpus.functions.text import answer_tokens, blank_to, overlap_f1, strip
 from agentcorpus.operators import records
 from agentcorpus.operators.audit import macro_metric
@@ -32,19 +33,21 @@ def _prediction(df: DataFrame) -> Column:
 def qa_score(df: DataFrame) -> DataFrame:
     """Exact match, token F1 and error category."""
     # Tokens are formed once per text and used by both scores.
-    tokens = df.withColumns(
-        {"_p": answer_tokens(_prediction(df)), "_e": answer_tokens(F.col("answer"))}
+    tokens = staged(
+        df, {"_p": answer_tokens(_prediction(df)), "_e": answer_tokens(F.col("answer"))}
     )
     exact = F.coalesce(F.concat_ws(" ", "_p") == F.concat_ws(" ", "_e"), F.lit(False))
     kind = F.lower(records.field_or(df, "question_type"))
     reading = kind.contains("ocr") | kind.contains("text") | kind.contains("read")
     category = F.when(~F.col("exact_match"), F.when(reading, "ocr").otherwise("semantic_understanding"))
-    scored = tokens.withColumns({"exact_match": exact, "token_f1": overlap_f1(F.col("_p"), F.col("_e"))})
+    scored = staged(
+        tokens, {"exact_match": exact, "token_f1": overlap_f1(F.col("_p"), F.col("_e"))}
+    )
     return scored.withColumn("error_category", category).drop("_p", "_e")
 
 
 def parse_grounding_predictions(df: DataFrame) -> DataFrame:
-    return df.withColumn("parsed_point", parse_point(_prediction(df))).withColumn(
+    return with_point(df, _prediction(df), "parsed_point").withColumn(
         "parse_error", F.when(F.col("parsed_point").isNull(), F.lit("output_format"))
     )
 
@@ -58,13 +61,14 @@ def grounding_score(df: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> Da
     gap = geometry.pixel_distance(
         point, F.col("target_point_normalized"), F.col("image_width"), F.col("image_height")
     )
-    scored = parsed.withColumns(
+    scored = staged(
+        parsed,
         {
             "parse_success": ok,
             "point_on_grid": F.coalesce(on_grid, F.lit(False)),
             "within_element_bounds": F.coalesce(hit, F.lit(False)),
             "pixel_distance": F.when(ok, gap),
-        }
+        },
     )
     category = F.when(~F.col("parse_success"), "output_format").when(
         ~F.col("within_element_bounds"), "spatial_grounding"
@@ -84,21 +88,30 @@ def parse_action_predictions(df: DataFrame) -> DataFrame:
     """Strict reading of predicted actions: ``parsed_action`` as JSON text and ``parse_error``."""
     return _opened_predictions(df).withColumn(
         "parsed_action", F.to_json("_action")
-    ).drop("_action")
+    ).drop("_action", "_p")
 
 
 def _opened_predictions(df: DataFrame) -> DataFrame:
-    # Each step has its own projection, so the text is parsed once per row.
-    payload = df.withColumn("_payload", actions.strictly_opened(strip(_prediction(df))))
-    judged = payload.withColumn("parse_error", actions.prediction_error(F.col("_payload")))
-    return judged.withColumn(
-        "_action", F.when(F.col("parse_error").isNull(), actions.child(F.col("_payload"), "action"))
+    opened = staged(df, {"_payload": actions.strictly_opened(strip(_prediction(df)))})
+    inner = staged(opened, {"_action": actions.child(F.col("_payload"), "action")})
+    read = staged(inner, {"_p": actions.action_fields(F.col("_action"))})
+    judged = staged(
+        read,
+        {
+            "parse_error": actions.prediction_error(
+                F.col("_payload"), F.col("_action"), F.col("_p")
+            )
+        },
     ).drop("_payload")
+    valid = F.col("parse_error").isNull()
+    return judged.withColumns(
+        {"_action": F.when(valid, F.col("_action")), "_p": F.when(valid, F.col("_p"))}
+    )
 
 
 def parse_policy_outputs(steps: DataFrame, column: str = "raw_policy_output") -> DataFrame:
-    opened = steps.withColumn("_value", actions.strictly_opened(F.col(column)))
-    return opened.withColumn("parse_error", actions.policy_action_error(F.col("_value"))).drop(
+    opened = staged(steps, {"_value": actions.strictly_opened(F.col(column))})
+    return staged(opened, {"parse_error": actions.policy_action_error(F.col("_value"))}).drop(
         "_value"
     )
 
@@ -133,25 +146,28 @@ def action_error_category(df: DataFrame) -> Column:
 
 
 def action_score(df: DataFrame) -> DataFrame:
-    parsed = _opened_predictions(df).withColumn("_target", actions.opened(F.col("target_action")))
-    same_name = actions.text(actions.child(F.col("_action"), "name")) == actions.text(
-        actions.child(F.col("_target"), "name")
+    parsed = staged(
+        _opened_predictions(df), {"_target": actions.opened(F.col("target_action"))}
+    )
+    parsed = staged(parsed, {"_t": actions.action_fields(F.col("_target"))})
+    agreed = staged(
+        parsed,
+        {
+            "parsed_action": F.to_json("_action"),
+            # Unequal numbers and equal texts settle almost every row without the full comparison.
+            "_equal": F.when(~F.col("_p").eqNullSafe(F.col("_t")), F.lit(False))
+            .when(F.to_json("_action") == F.to_json("_target"), F.lit(True))
+            .otherwise(
+                actions.canonical_arguments(F.col("_action"))
+                == actions.canonical_arguments(F.col("_target"))
+            ),
+        },
     )
-    agreed = parsed.withColumn(
-        "_equal",
-        F.when(
-            same_name,
-            actions.canonical_arguments(F.col("_action"))
-            == actions.canonical_arguments(F.col("_target")),
-        ),
+    verdict = actions.compare_action(
+        F.col("_p"), F.col("_t"), F.col("_equal"), F.col("bbox_normalized"),
+        F.col("image_width"), F.col("image_height"),
     )
-    judged = agreed.withColumn(
-        "_c",
-        actions.compare_action(
-            F.col("_action"), F.col("_target"), F.col("_equal"), F.col("bbox_normalized"),
-            F.col("image_width"), F.col("image_height"),
-        ),
-    ).drop("_action", "_target", "_equal")
+    judged = staged(agreed, {"_c": verdict}).drop("_action", "_target", "_equal", "_p", "_t")
     scored = judged.withColumns(
         {
             "action_parse_valid": F.col("parse_error").isNull(),
