@@ -299,7 +299,10 @@ _LINE_ID = (
 
 
 def grounding_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    line = table(spark, folder, "lineitem")
+    return grounding_predictions_of(table(spark, folder, "lineitem"))
+
+
+def grounding_predictions_of(line: DataFrame) -> DataFrame:
     x = F.col("l_quantity") * 10
     y = (F.col("l_partkey") % 900).cast("double")
     box = F.array(x, y, x + 40 + F.col("l_discount") * 1000, y + 30 + F.col("l_tax") * 1000)
@@ -539,7 +542,7 @@ def paired_episodes(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(
             F.lit("candidate").alias("variant_id"),
             F.col("o_orderstatus").isin("F", "P").alias("success"),
-            (F.col("o_totalprice") / 90000.0).alias("total_reward"),
+            (F.col("o_totalprice") / 73331.7).alias("total_reward"),
         ),
     )
     return orders.select(
@@ -559,6 +562,6 @@ SELECT o_orderkey::VARCHAR AS task_id, (o_custkey % 3)::INT AS seed,
   CASE WHEN variant_id = 'control' THEN o_orderstatus = 'F'
        ELSE o_orderstatus IN ('F', 'P') END AS success,
   CASE WHEN variant_id = 'control' THEN o_totalprice / 100000.0
-       ELSE o_totalprice / 90000.0 END AS total_reward
+       ELSE o_totalprice / 73331.7 END AS total_reward
 FROM orders, (SELECT unnest(['control', 'candidate']) AS variant_id)
 """

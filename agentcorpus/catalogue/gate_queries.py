@@ -526,10 +526,10 @@ def reproducibility_gate(spark, folder):
 
 @query(
     "runtime_comparison",
-    """SELECT user_id AS run_id, round(epoch_us(min(ts))::DOUBLE / 1e6
-         - epoch_us(TIMESTAMP '2024-01-01')::DOUBLE / 1e6, 3) AS setup_seconds,
-       round(epoch_us(max(ts))::DOUBLE / 1e6 - epoch_us(TIMESTAMP '2024-01-01')::DOUBLE / 1e6, 3)
-         AS wall_seconds FROM events GROUP BY user_id""",
+    """SELECT user_id AS run_id,
+         (epoch_us(min(ts)) - epoch_us(TIMESTAMP '2024-01-01'))::DOUBLE / 1e6 AS setup_seconds,
+         (epoch_us(max(ts)) - epoch_us(TIMESTAMP '2024-01-01'))::DOUBLE / 1e6 AS wall_seconds
+       FROM events GROUP BY user_id""",
 )
 def runtime_comparison(spark, folder):
     events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -547,6 +547,5 @@ def runtime_comparison(spark, folder):
     ).select("run_id", "e.*", F.lit(1.0).alias("elapsed_seconds"))
     created = ends.select("run_id", F.to_timestamp(F.lit("2024-01-01")).alias("created"))
     return gates.runtime_comparison(rows, created).select(
-        "run_id", F.round("setup_seconds", 3).alias("setup_seconds"),
-        F.round("wall_seconds", 3).alias("wall_seconds"),
+        "run_id", "setup_seconds", "wall_seconds"
     )
