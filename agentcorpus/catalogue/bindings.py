@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from agentcorpus.catalogue.base import sql_mod, table
 from agentcorpus.functions import hashing, web
+from agentcorpus.session import spread
 
 SEED = 53
 SHARES = {"train": 70, "domain_balanced": 15, "distribution_shift": 15}
@@ -219,7 +220,7 @@ LABELS = ("baseline", "latest")
 
 def qa_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Long table (label, id, answer, prediction); each label answers another share correctly."""
-    turns = table(spark, folder, "conversations")
+    turns = spread(table(spark, folder, "conversations"), "conv_id", "turn")
     identifier = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     keyed = turns.withColumns(
         {
@@ -269,8 +270,7 @@ def tokens_sql(text: str) -> str:
     return TOKENS_SQL.format(text)
 
 
-QA_SCORED_SQL = f"""
-q AS ({QA_SQL}),
+QA_SCORED_TAIL = f"""
 t AS (SELECT *, {tokens_sql('prediction')} AS p, {tokens_sql('answer')} AS e FROM q),
 c AS (SELECT id, label, sum(least(np, ne)) AS common FROM (
         SELECT id, label, tok, count(*) FILTER (side = 0) AS np, count(*) FILTER (side = 1) AS ne
@@ -283,6 +283,8 @@ s AS (SELECT t.*, array_to_string(p, ' ') = array_to_string(e, ' ') AS exact_mat
       FROM t LEFT JOIN c USING (id, label))
 """
 
+QA_SCORED_SQL = f"q AS ({QA_SQL}), {QA_SCORED_TAIL}"
+
 # ---- lineitem: grounding and action predictions -----------------------------------------------
 
 
@@ -299,7 +301,9 @@ _LINE_ID = (
 
 
 def grounding_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return grounding_predictions_of(table(spark, folder, "lineitem"))
+    return grounding_predictions_of(
+        spread(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
+    )
 
 
 def grounding_predictions_of(line: DataFrame) -> DataFrame:
@@ -357,7 +361,7 @@ g AS (SELECT *,
 
 
 def action_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
     x = (F.col("l_quantity") * 2).cast("int")
     y = (F.col("l_partkey") % 101).cast("int")
     px = F.least(x + (F.col("l_suppkey") % 4).cast("int"), F.lit(100))

@@ -12,6 +12,7 @@ from agentcorpus.catalogue import bindings as B
 from agentcorpus.catalogue.base import query, sql_key, sql_mod, table
 from agentcorpus.functions import actions, prompts
 from agentcorpus.operators import expand, records
+from agentcorpus.session import spread
 
 WIDTH, HEIGHT = 1280, 720
 PAST, KEEP = 2, 5
@@ -19,7 +20,7 @@ SOURCE = {"id": "docs", "role": "training", "generator": "lines", "benchmark": "
 
 
 def raw_trajectories(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
 
     def step(line, i):
         n = F.length(line)
@@ -188,7 +189,7 @@ def page_state(spark, folder):
 
 
 def raw_screenshots(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
 
     def message(line):
         n = F.length(line)
@@ -393,7 +394,7 @@ def normalize_action(spark, folder):
         .when(number == 4, F.concat(F.lit('{"delta_x":-'), q, F.lit(',"delta_y":'), px, F.lit("}")))
         .otherwise(F.concat(F.lit('{"key":"Enter","n":'), q, F.lit(',"bbox":[1]}')))
     )
-    done = line.select(
+    done = spread(line, "l_orderkey", "l_partkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.trim(name).alias("name"), actions.opened(raw).alias("raw"),
     ).withColumn(

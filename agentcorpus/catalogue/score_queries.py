@@ -8,6 +8,7 @@ from agentcorpus.catalogue import bindings as B
 from agentcorpus.catalogue.base import query, r6, rounded, sql_key, table
 from agentcorpus.operators import order, sample, score
 from agentcorpus.plans import dashboards
+from agentcorpus.session import cut
 
 
 def _latest(spark, folder, label="latest"):
@@ -89,7 +90,8 @@ _GROUNDING_METRICS = """count(*)::BIGINT AS examples, round(avg(parse_success::I
     f"WITH {B.GROUNDING_SQL} SELECT benchmark, {_GROUNDING_METRICS} FROM g GROUP BY benchmark",
 )
 def grounding_summary(spark, folder):
-    scored = score.grounding_score(B.grounding_predictions(spark, folder))
+    # Sums and the median both read the scores: store them once.
+    scored = cut(score.grounding_score(B.grounding_predictions(spark, folder)))
     return rounded(score.grounding_summary(scored, ["benchmark"]))
 
 
@@ -99,7 +101,7 @@ def grounding_summary(spark, folder):
 )
 def grounding_summary_all(spark, folder):
     return rounded(
-        score.grounding_summary(score.grounding_score(B.grounding_predictions(spark, folder)))
+        score.grounding_summary(cut(score.grounding_score(B.grounding_predictions(spark, folder))))
     )
 
 
@@ -166,7 +168,7 @@ _ACTION_METRICS = """count(*)::BIGINT AS examples,
         GROUP BY website_category""",
 )
 def action_summary(spark, folder):
-    scored = score.action_score(B.action_predictions(spark, folder))
+    scored = cut(score.action_score(B.action_predictions(spark, folder)))
     return rounded(score.action_summary(scored, ["website_category"]))
 
 
@@ -266,7 +268,7 @@ _ACTION_LONG = {
     {_unpivot('action', _ACTION_LONG, 'ma', "'web'")}""",
 )
 def score_mixed(spark, folder):
-    scored = score.score_mixed_rows(mixed_predictions(spark, folder))
+    scored = cut(score.score_mixed_rows(mixed_predictions(spark, folder)))
     return rounded(score.score_mixed(scored))
 
 
@@ -327,10 +329,10 @@ def representative_errors(spark, folder):
 
 @query(
     "representative_failures",
-    f"""WITH {MIXED_SQL}, c AS (SELECT id, 'web_' || coalesce({_QA_CATEGORY}, 'qa_correct') AS bucket
+    f"""WITH {MIXED_SQL}, z AS (SELECT id, 'web_' || coalesce({_QA_CATEGORY}, 'qa_correct') AS bucket
         FROM ql UNION ALL SELECT id, benchmark || '_' || CASE WHEN NOT parse_success THEN 'output_format'
           WHEN NOT within_element_bounds THEN 'spatial_grounding' ELSE 'grounding_correct' END FROM g)
-    SELECT id, bucket FROM c QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY
+    SELECT id, bucket FROM z QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY
       {sql_key('id', 'bucket')}, id) <= CASE WHEN suffix(bucket, 'correct') THEN 10 ELSE 12 END""",
 )
 def representative_failures(spark, folder):
@@ -392,7 +394,7 @@ def action_diagnostic_order(spark, folder):
     "qa_dashboard",
     f"""WITH q AS (SELECT * REPLACE (trim(regexp_replace(prediction, '(?s)\\n(user|assistant)\\n.*$', ''),
           chr(32) || chr(10)) AS prediction), prediction AS raw FROM ({B.QA_SQL})),
-    {B.QA_SCORED_SQL.split('),', 1)[1].lstrip()}
+    {B.QA_SCORED_TAIL}
     SELECT label, count(*)::BIGINT AS examples, round(avg(exact_match::INT::DOUBLE), 6)
       AS exact_accuracy, round(avg(token_f1), 6) AS mean_token_f1,
       count(*) FILTER (prediction <> trim(raw, chr(32) || chr(10)))::BIGINT AS turn_leak_examples

@@ -15,6 +15,10 @@ from agentcorpus.functions.text import strip
 
 POSITION_KEYS = ("x", "y", "from_x", "from_y", "to_x", "to_y")
 DELTA_KEYS = ("delta_x", "delta_y")
+ARGUMENTS = "struct<name:variant, " + ", ".join(
+    f"{key}:variant" for key in (*POSITION_KEYS, *DELTA_KEYS)
+) + ">"
+ONE_OBJECT = "^\\{[^{}]*(?:\\{[^{}]*\\}[^{}]*)?\\}$"
 CLICK_TOLERANCE_PX = 25.0
 SCROLL_TOLERANCE = 10.0
 
@@ -26,14 +30,18 @@ def opened(json_text: Column) -> Column:
 def strictly_opened(json_text: Column) -> Column:
     """Null unless the whole text is one JSON value.
 
-    The parser stops after the first value.  Text after it can slip through inside brackets or inside
-    braces, but never through both.
+    The parser stops after the first value.  One object with at most one object inside cannot hide a
+    tail, and is parsed once.  Any other text is tried inside brackets and inside braces: a tail can
+    slip through one of them, but never through both.
     """
+    simple = json_text.rlike(ONE_OBJECT)
     listed = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), json_text, F.lit("}")))
     single = F.try_variant_get(listed, "$[1]", "variant").isNull()
     only = F.size(F.try_variant_get(keyed, "$", "map<string,variant>")) == 1
-    return F.when(single & only, F.try_variant_get(listed, "$[0]", "variant"))
+    return F.when(simple, F.try_parse_json(json_text)).when(
+        single & only, F.try_variant_get(listed, "$[0]", "variant")
+    )
 
 
 def child(value: Column, key: str) -> Column:
@@ -143,26 +151,32 @@ def action_bbox(box: Column, width: Column, height: Column) -> Column:
     )
 
 
-def action_fields(action: Column) -> Column:
-    """Name and numeric arguments of an opened action, each read once."""
+def action_arguments(action: Column) -> Column:
+    """The known arguments of an opened action, all found in one pass over it."""
+    return F.try_variant_get(action, "$", ARGUMENTS)
+
+
+def action_fields(arguments: Column) -> Column:
+    """Name and numeric values of :func:`action_arguments`."""
     keys = (*POSITION_KEYS, *DELTA_KEYS)
     return F.struct(
-        text(child(action, "name")).alias("name"),
-        *[number(child(action, key)).alias(key) for key in keys],
+        text(arguments["name"]).alias("name"),
+        *[
+            F.when(arguments[key].isNotNull(), number(arguments[key])).alias(key) for key in keys
+        ],
     )
 
 
-def prediction_error(payload: Column, action: Column, fields: Column) -> Column:
-    """Why an opened prediction is not exactly ``{thought, action}``; null when it is.
-
-    ``action`` is the opened action and ``fields`` its :func:`action_fields`.
-    """
+def prediction_error(
+    payload: Column, action: Column, arguments: Column, fields: Column
+) -> Column:
+    """Why an opened prediction is not exactly ``{thought, action}``; null when it is."""
     keys = F.map_keys(F.try_variant_get(payload, "$", "map<string,variant>"))
     bad_number = F.lit(False)
     for key in (*POSITION_KEYS, *DELTA_KEYS):
         parsed = fields[key]
         good = parsed.isNotNull() if key in DELTA_KEYS else parsed.between(0, 100)
-        bad_number = bad_number | (child(action, key).isNotNull() & ~F.coalesce(good, F.lit(False)))
+        bad_number = bad_number | (arguments[key].isNotNull() & ~F.coalesce(good, F.lit(False)))
     return (
         F.when(payload.isNull(), F.lit("invalid_json"))
         .when(~is_object(payload), F.lit("not_thought_and_action"))

@@ -94,15 +94,16 @@ def parse_action_predictions(df: DataFrame) -> DataFrame:
 def _opened_predictions(df: DataFrame) -> DataFrame:
     opened = staged(df, {"_payload": actions.strictly_opened(strip(_prediction(df)))})
     inner = staged(opened, {"_action": actions.child(F.col("_payload"), "action")})
-    read = staged(inner, {"_p": actions.action_fields(F.col("_action"))})
+    found = staged(inner, {"_known": actions.action_arguments(F.col("_action"))})
+    read = staged(found, {"_p": actions.action_fields(F.col("_known"))})
     judged = staged(
         read,
         {
             "parse_error": actions.prediction_error(
-                F.col("_payload"), F.col("_action"), F.col("_p")
+                F.col("_payload"), F.col("_action"), F.col("_known"), F.col("_p")
             )
         },
-    ).drop("_payload")
+    ).drop("_payload", "_known")
     valid = F.col("parse_error").isNull()
     return judged.withColumns(
         {"_action": F.when(valid, F.col("_action")), "_p": F.when(valid, F.col("_p"))}
@@ -149,7 +150,8 @@ def action_score(df: DataFrame) -> DataFrame:
     parsed = staged(
         _opened_predictions(df), {"_target": actions.opened(F.col("target_action"))}
     )
-    parsed = staged(parsed, {"_t": actions.action_fields(F.col("_target"))})
+    parsed = staged(parsed, {"_known": actions.action_arguments(F.col("_target"))})
+    parsed = staged(parsed, {"_t": actions.action_fields(F.col("_known"))}).drop("_known")
     agreed = staged(
         parsed,
         {
