@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agentcorpus.operators import records
 from agentcorpus.operators.ranking import first_few
+from agentcorpus.operators.rows import single_row
 
 
 def record_profile(df: DataFrame) -> DataFrame:
@@ -170,13 +171,10 @@ def materialization_summary(locators: DataFrame, index: DataFrame) -> DataFrame:
     wanted = locators.select("locator_id").distinct()
     have = index.select("locator_id", "jpeg_bytes").dropDuplicates(["locator_id"])
     joined = wanted.join(have.withColumn("_have", F.lit(True)), "locator_id", "left")
-    groups = locator_groups(locators).agg(
-        F.count(F.lit(1)).alias("groups"), F.lit("a").alias("_one")
-    )
+    groups = locator_groups(locators).agg(F.count(F.lit(1)).alias("groups"))
     images = joined.agg(
         F.count(F.lit(1)).alias("unique_images"),
         F.count_if(F.col("_have").isNull()).alias("missing_images"),
         F.coalesce(F.sum("jpeg_bytes"), F.lit(0)).cast("bigint").alias("image_bytes"),
-        F.lit("a").alias("_one"),
     )
-    return groups.join(images, "_one").drop("_one")
+    return single_row(groups, images)

@@ -217,10 +217,13 @@ def scaling_gate(candidates: DataFrame, reference: DataFrame, by: Sequence[str])
 
 def identity_issues(runs: DataFrame, reference: DataFrame) -> DataFrame:
     """Candidate runs with another base model than the reference, or without an adapter hash."""
+    # A scalar subquery: a reference with two identities is an error.
     base = reference.select(
-        F.col("model").alias("_m"), F.col("model_revision").alias("_r"), F.lit("a").alias("_one")
+        F.struct(F.col("model").alias("m"), F.col("model_revision").alias("r"))
     ).distinct()
-    joined = runs.withColumn("_one", F.lit("a")).join(base, "_one").drop("_one")
+    joined = runs.withColumn("_base", base.scalar()).withColumns(
+        {"_m": F.col("_base.m"), "_r": F.col("_base.r")}
+    )
     issue = (
         F.when(
             ~(F.col("model").eqNullSafe(F.col("_m")) & F.col("model_revision").eqNullSafe(F.col("_r"))),

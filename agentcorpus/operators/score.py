@@ -15,6 +15,7 @@ from agentcorpus.functions.text import answer_tokens, blank_to, overlap_f1, stri
 from agentcorpus.operators import records
 from agentcorpus.operators.audit import macro_metric
 from agentcorpus.operators.ranking import exact_median
+from agentcorpus.operators.rows import single_row
 
 THRESHOLDS = (25, 50, 100)
 # primary boolean metrics of a mixed evaluation: name -> (task, column)
@@ -198,9 +199,7 @@ def _grouped(df: DataFrame, by: Sequence[str]):
 def _with_median(summary: DataFrame, scored: DataFrame, by: Sequence[str], value: str, out: str):
     median = exact_median(scored, by, value, out)
     if not by:
-        return summary.withColumn("_one", F.lit(1)).join(
-            median.withColumn("_one", F.lit(1)), "_one", "left"
-        ).drop("_one")
+        return single_row(summary, median)
     names = [f"_m{i}" for i in range(len(by))]
     right = median.select(*[F.col(b).alias(n) for b, n in zip(by, names)], out)
     match = reduce(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from agentcorpus.functions import hashing
 from agentcorpus.operators import records
 from agentcorpus.operators.ranking import first_few
+from agentcorpus.operators.rows import single_row
 
 KINDS = ("id", "sampling_unit", "known_domain")
 
@@ -53,8 +54,7 @@ def leakage_audit(training: DataFrame, evaluation: DataFrame) -> DataFrame:
         *[
             F.count_if((F.col("kind") == kind) & shared).alias(f"{kind}_overlap_count")
             for kind in KINDS
-        ],
-        F.lit("a").alias("_one"),
+        ]
     )
 
     def side(df, name):
@@ -62,14 +62,9 @@ def leakage_audit(training: DataFrame, evaluation: DataFrame) -> DataFrame:
         return df.agg(
             F.count(F.lit(1)).alias(f"{name}_examples"),
             F.count_if(unknown).alias(f"{name}_unknown_domains"),
-            F.lit("a").alias("_one"),
         )
 
-    return (
-        overlap.join(side(training, "training"), "_one")
-        .join(side(evaluation, "evaluation"), "_one")
-        .drop("_one")
-    )
+    return single_row(overlap, side(training, "training"), side(evaluation, "evaluation"))
 
 
 def leakage_preview(training: DataFrame, evaluation: DataFrame, rows: int = 20) -> DataFrame:

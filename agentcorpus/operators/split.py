@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from agentcorpus.functions import hashing
 from agentcorpus.operators import records
 from agentcorpus.operators.ranking import position_bucket, ranked
+from agentcorpus.operators.rows import single_row
 
 # ---- fixed values: hash salts of the published split ----------------------------------------
 DOMAIN_SALT = "exp005-domain"
@@ -102,14 +103,13 @@ def unit_split_audit(
         F.count(F.lit(1)).alias("units"),
         F.count_if(F.col("unit_domains") > 1).alias("cross_domain_units"),
         F.count_if(crosses_partitions()).alias("excluded_cross_partition_units"),
-        F.lit("a").alias("_one"),
     )
     assigned = (
         assign_destination(df, seed, shares, iid_percent)
         .where(F.col("destination").isNotNull())
-        .agg(F.count_distinct("unit").alias("assigned_units"), F.lit("a").alias("_one"))
+        .agg(F.count_distinct("unit").alias("assigned_units"))
     )
-    return state.join(assigned, "_one").drop("_one")
+    return single_row(state, assigned)
 
 
 def excluded_records_by_task(assigned: DataFrame) -> DataFrame:
@@ -170,8 +170,7 @@ def proportional_targets(counts: DataFrame, totals: Mapping[str, int]) -> DataFr
 
     ``counts`` has ``source``, ``train`` and ``ord`` (input order breaks ties).
     """
-    one = counts.agg(F.sum("train").alias("_all"), F.lit("a").alias("_one"))
-    based = counts.withColumn("_one", F.lit("a")).join(one, "_one").drop("_one")
+    based = counts.withColumn("_all", counts.agg(F.sum("train")).scalar())
     pieces = F.array(
         *[
             F.struct(F.lit(split).alias("split"), F.lit(total).cast("bigint").alias("total"))

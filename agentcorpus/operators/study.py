@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from agentcorpus.functions import hashing
 from agentcorpus.operators.ranking import ranked
+from agentcorpus.operators.rows import single_row
 
 # ---- fixed values: default reward weights ----------------------------------------------------
 REWARD_WEIGHTS = {
@@ -106,14 +107,14 @@ def paired_bootstrap(pairs: DataFrame, samples: int = 2000, seed: int = 0) -> Da
     the cluster, each seeded by its own number.  The cost does not depend on n.
     """
     spark = pairs.sparkSession
-    summary = pair_summary(pairs).withColumn("_one", F.lit("a"))
     counts = pairs.agg(
-        F.count_if(F.col("success_delta") < 0).alias("minus"),
-        F.count_if(F.col("success_delta") == 0).alias("zero"),
-        F.count_if(F.col("success_delta") > 0).alias("plus"),
-        F.lit("a").alias("_one"),
+        F.struct(
+            F.count_if(F.col("success_delta") < 0).alias("minus"),
+            F.count_if(F.col("success_delta") == 0).alias("zero"),
+            F.count_if(F.col("success_delta") > 0).alias("plus"),
+        )
     )
-    draws = spark.range(samples).withColumn("_one", F.lit("a")).join(counts, "_one")
+    draws = spark.range(samples).withColumn("_c", counts.scalar())
 
     def resample(batches):
         for batch in batches:
@@ -130,16 +131,16 @@ def paired_bootstrap(pairs: DataFrame, samples: int = 2000, seed: int = 0) -> Da
                 estimates.append(float(got[2] - got[0]) / total)
             yield pd.DataFrame({"estimate": estimates})
 
-    estimates = draws.select("id", "minus", "zero", "plus").mapInPandas(
+    estimates = draws.select("id", "_c.minus", "_c.zero", "_c.plus").mapInPandas(
         resample, "estimate double"
     )
     low, high = bootstrap_positions(samples)
     # The estimates number ``samples``, a parameter, whatever the size of the data.
     ordered = F.array_sort(F.collect_list("estimate"))
-    interval = estimates.agg(ordered.alias("_e"), F.lit("a").alias("_one")).select(
-        "_one", F.col("_e")[low].alias("ci_low"), F.col("_e")[high].alias("ci_high")
+    interval = estimates.agg(ordered.alias("_e")).select(
+        F.col("_e")[low].alias("ci_low"), F.col("_e")[high].alias("ci_high")
     )
-    return summary.join(interval, "_one").drop("_one")
+    return single_row(pair_summary(pairs), interval)
 
 
 def clustered_bootstrap(
@@ -158,29 +159,23 @@ def clustered_bootstrap(
     numbered = ranked(
         keyed, [], [F.col("_k"), F.col("cluster")], hashing.key_prefix(F.col("_k"), 4), "number"
     ).select((F.col("number") - 1).cast("bigint").alias("number"), "s", "n")
-    size = totals.agg(F.count(F.lit(1)).alias("c"), F.lit("a").alias("_one"))
+    size = totals.agg(F.count(F.lit(1)))
     # One cluster row gives its own draw number in every sample: no array grows with the data.
-    per_draw = (
-        numbered.select(
-            F.col("number").alias("j"), F.lit("a").alias("_one"),
-            F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"),
-        )
-        .join(size, "_one")
-        .select("b", "c", "j")
-    )
+    per_draw = numbered.select(
+        F.col("number").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")
+    ).withColumn("c", size.scalar())
     key = hashing.stable_key("draw", seed, F.col("b"), F.col("j"))
     number = F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint") % F.col("c")
     drawn = per_draw.select("b", number.alias("number")).join(numbered, "number")
     estimates = drawn.groupBy("b").agg((F.sum("s") / F.sum("n")).alias("estimate"))
     low, high = bootstrap_positions(samples)
-    interval = estimates.agg(
-        F.array_sort(F.collect_list("estimate")).alias("_e"), F.lit("a").alias("_one")
-    ).select("_one", F.col("_e")[low].alias("ci_low"), F.col("_e")[high].alias("ci_high"))
+    interval = estimates.agg(F.array_sort(F.collect_list("estimate")).alias("_e")).select(
+        F.col("_e")[low].alias("ci_low"), F.col("_e")[high].alias("ci_high")
+    )
     mean = totals.agg(
-        F.count(F.lit(1)).alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean"),
-        F.lit("a").alias("_one"),
+        F.count(F.lit(1)).alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean")
     )
-    return mean.join(interval, "_one").drop("_one")
+    return single_row(mean, interval)
 
 
 def episode_id(variant: Column, task: Column, seed: Column) -> Column:

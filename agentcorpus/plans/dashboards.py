@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agentcorpus.functions.text import first_answer, strip
 from agentcorpus.operators import align, order, score
+from agentcorpus.operators.rows import single_row
 
 DISPLAY = ("id", "image", "domain", "question", "answer")
 
@@ -67,15 +68,14 @@ def action_dashboard(
     scored = score.action_score(predictions)
     current = scored.where(F.col("label") == latest)
     displayed = order.diagnostic_rows(current, order.action_diagnostic_order(current), limit)
-    total = current.agg(F.count(F.lit(1)).alias("scored_examples"), F.lit("a").alias("_one"))
+    total = current.agg(F.count(F.lit(1)).alias("scored_examples"))
     shown = displayed.agg(
         F.count(F.lit(1)).alias("display_examples"),
         F.count_distinct("image").alias("unique_screenshots"),
-        F.lit("a").alias("_one"),
     )
     return {
         "metrics": score.action_summary(scored, ["label"]),
-        "meta": total.join(shown, "_one").drop("_one"),
+        "meta": single_row(total, shown),
         "records": displayed,
         "target_action_counts": current.groupBy(
             F.get_json_object("target_action", "$.name").alias("action")
