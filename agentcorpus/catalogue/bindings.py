@@ -289,14 +289,14 @@ QA_SCORED_SQL = f"q AS ({QA_SQL}), {QA_SCORED_TAIL}"
 
 
 def _line_id():
-    return F.concat_ws(
-        "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    )
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return F.concat_ws("-", *[column.cast("string") for column in (*keys, cents)])
 
 
 _LINE_ID = (
     "l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR || '-' "
-    "|| l_suppkey::VARCHAR"
+    "|| l_suppkey::VARCHAR || '-' || round(l_extendedprice * 100)::BIGINT::VARCHAR"
 )
 
 
@@ -423,7 +423,7 @@ def action_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ACTIONS_SQL = f"""
-a0 AS (SELECT {_LINE_ID} AS id, 'supplier' || l_suppkey::VARCHAR AS domain,
+a0 AS (SELECT {_LINE_ID} AS id, l_suppkey, 'supplier' || l_suppkey::VARCHAR AS domain,
   l_returnflag AS website_category, l_linestatus = 'O' AS application_focused,
   'images/' || l_partkey::VARCHAR || '.jpg' AS image,
   CASE WHEN l_linenumber <= 3 THEN 'click' WHEN l_linenumber = 4 THEN 'scroll'

@@ -416,9 +416,7 @@ def normalize_action(spark, folder):
         count(*)::BIGINT AS n, round(sum(CASE WHEN target_name = 'click' THEN x / 100.0::DOUBLE END), 4)
           AS sum_x, round(sum(CASE WHEN target_name = 'scroll' AND dy > 0 THEN dy / 100.0::DOUBLE END), 4)
           AS sum_amount
-        FROM (SELECT a.*, (l_suppkey % 30)::INT AS dy FROM a JOIN (SELECT l_suppkey, l_orderkey::VARCHAR
-          || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR AS id
-          FROM lineitem) USING (id)) GROUP BY 1, 2""",
+        FROM (SELECT a.*, (l_suppkey % 30)::INT AS dy FROM a) GROUP BY 1, 2""",
 )
 def rollout_action(spark, folder):
     rows = B.action_predictions(spark, folder).select(

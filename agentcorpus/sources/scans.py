@@ -75,6 +75,17 @@ def scan_completeness(expected: DataFrame, scans: DataFrame) -> DataFrame:
     ).select("file", "identity", F.col("_found").alias("scanned_identity"))
 
 
+def open_path(path: str):
+    """File system and name of a local path or a file, HDFS or object-store URI."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
 def scan_arrow(
     spark: SparkSession, files: DataFrame, columns: Sequence[str], schema: str, rows: int = 4096
 ) -> DataFrame:
@@ -88,10 +99,10 @@ def scan_arrow(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with pa.memory_map(path.removeprefix("file:")) as source:
+                files_at, name = open_path(path)
+                with files_at.open_input_file(name) as source:
                     try:
-                        reader = pa.ipc.open_stream(source)
-                        pieces = iter(reader)
+                        pieces = iter(pa.ipc.open_stream(source))
                     except pa.ArrowInvalid:
                         source.seek(0)
                         opened = pa.ipc.open_file(source)
@@ -110,18 +121,21 @@ def write_arrow_shards(df: DataFrame, folder: str) -> DataFrame:
     """Write each partition as one Arrow stream file in a shared folder; returns the paths."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
-        writer, path = None, None
+        files_at, base = open_path(folder)
+        sink, writer, path = None, None, None
         for batch in batches:
             if writer is None:
-                path = os.path.join(folder, f"shard-{uuid.uuid4().hex}.arrow")
-                writer = pa.ipc.new_stream(path, batch.schema)
+                files_at.create_dir(base, recursive=True)
+                name = f"shard-{uuid.uuid4().hex}.arrow"
+                path = f"{folder}/{name}"
+                sink = files_at.open_output_stream(f"{base}/{name}")
+                writer = pa.ipc.new_stream(sink, batch.schema)
             writer.write_batch(batch)
         if writer is not None:
             writer.close()
+            sink.close()
             yield pa.record_batch({"path": [path]})
 
     return df.mapInArrow(write, "path string")
