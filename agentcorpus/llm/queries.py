@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentcorpus.llm import hilbert, langid, packing, topk, webtext
+from agentcorpus.llm import hilbert, langid, packing, simhash, topk, webtext
+from agentcorpus.llm.store import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return webtext.extract(pages.select("page_id", "url", "html")).drop("html")
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = stored(simhash.fingerprint_edits(table(spark, sf_dir, "documents")), "simhash")
+    return simhash.count_near(marked, F.col("doc_id") % 100 == 0).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.as_text(F.col("a"), F.col("b")).alias("fingerprint"),
+        simhash.as_text(F.col("ea"), F.col("eb")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "near_docs",
+    )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from agentcorpus.session import shared_folder
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -19,11 +21,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write rows as Parquet beneath the shared folder and read them back.
 
     Later steps start from files that every executor sees: a lost executor costs a reread, and the
-    rows are computed once however often they are used.
+    rows are computed once however often they are used.  The shuffle files behind them are let go.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
