@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentcorpus.llm import hilbert, langid, packing, simhash, topk, webtext
+from agentcorpus.llm import hilbert, langid, lines, packing, simhash, topk, webtext
 from agentcorpus.llm.store import stored
 
 QUERIES: dict = {}
@@ -90,3 +90,53 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_next",
         "near_docs",
     )
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "text", "lines_in", "lines_kept")
+
+
+ORACLES["op1_line_dedup"] = """
+WITH split AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM documents WHERE text IS NOT NULL
+),
+lines AS (
+    SELECT doc_id, pos, line,
+           trim(lower(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS norm
+    FROM split
+),
+firsts AS (
+    SELECT norm, min((doc_id, pos)) AS place FROM lines WHERE norm <> '' GROUP BY norm
+),
+halves AS (
+    SELECT norm, place, b, 'head' AS side, left(norm, b // 2) AS half
+    FROM firsts, unnest([length(norm), length(norm) - 1]) AS u(b) WHERE length(norm) >= 16
+    UNION ALL
+    SELECT norm, place, b, 'tail', right(norm, b - b // 2)
+    FROM firsts, unnest([length(norm), length(norm) - 1]) AS u(b) WHERE length(norm) >= 16
+),
+near AS (
+    SELECT DISTINCT y.norm
+    FROM halves AS x JOIN halves AS y USING (b, side, half)
+    WHERE x.place < y.place AND levenshtein(x.norm, y.norm) <= 1
+),
+judged AS (
+    SELECT l.*, l.norm <> '' AND f.place = (l.doc_id, l.pos) AND n.norm IS NULL AS stays
+    FROM lines AS l LEFT JOIN firsts AS f ON l.norm = f.norm LEFT JOIN near AS n ON l.norm = n.norm
+),
+built AS (
+    SELECT doc_id,
+           count(*) FILTER (WHERE norm <> '')::INTEGER AS lines_in,
+           count(*) FILTER (WHERE stays)::INTEGER AS lines_kept,
+           string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays OR norm = '') AS text
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id,
+       CASE WHEN d.text IS NULL THEN NULL WHEN b.lines_kept > 0 THEN b.text ELSE '' END AS text,
+       coalesce(b.lines_in, 0) AS lines_in, coalesce(b.lines_kept, 0) AS lines_kept
+FROM documents AS d LEFT JOIN built AS b USING (doc_id)
+"""
