@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentcorpus.llm import hilbert, langid, lines, packing, simhash, topk, webtext
+from agentcorpus.llm import hilbert, langid, lines, ordermin, packing, simhash, topk, webtext
 from agentcorpus.llm.store import stored
 
 QUERIES: dict = {}
@@ -140,3 +140,9 @@ SELECT d.doc_id,
        coalesce(b.lines_in, 0) AS lines_in, coalesce(b.lines_kept, 0) AS lines_kept
 FROM documents AS d LEFT JOIN built AS b USING (doc_id)
 """
+
+
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordermin.near_duplicates(docs).select("doc_id", "class_id", "stays")
