@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentcorpus.llm import hilbert, langid, lines, ordermin, packing, simhash, topk, webtext
+from agentcorpus.llm import hilbert, langid, licences, lines, ordermin, packing, pieces, simhash, topk, webtext
 from agentcorpus.llm.store import stored
 
 QUERIES: dict = {}
@@ -146,3 +146,23 @@ FROM documents AS d LEFT JOIN built AS b USING (doc_id)
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ordermin.near_duplicates(docs).select("doc_id", "class_id", "stays")
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(docs, model), model)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.translate("text", pieces.BLANK, " ")).alias("round_trip"),
+    )
+
+
+@query
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.fit(docs))
+    return found.where("confirmed").select("doc_id", "line", "family", "probability", "overlap")
