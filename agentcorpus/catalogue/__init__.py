@@ -15,6 +15,7 @@ MODULES = (
     "study_queries",
     "source_queries",
     "stream_queries",
+    "site_queries",
 )
 
 

@@ -31,6 +31,13 @@ GROUNDING_SUFFIX = (
     '[{"point_2d":[x,y],"label":"element description"}]. '
     "Use integer coordinates from 0 to 1000."
 )
+GOAL_HEADING = "# GOAL"
+HISTORY_HEADING = "# PREVIOUS STEPS"
+STEP_HEADING = "## Step "
+THOUGHT_LABEL = "THOUGHT: "
+ACTION_LABEL = "ACTION: "
+PAGE_HEADING = "# CURRENTLY ACTIVE PAGE"
+NEXT_HEADING = "# NEXT STEP"
 # ---------------------------------------------------------------------------------------------
 
 
@@ -50,9 +57,9 @@ def action_prompt(
         history,
         lambda item: F.concat_ws(
             "\n",
-            F.concat(F.lit("## Step "), item["step"].cast("string")),
-            F.concat(F.lit("THOUGHT: "), strip(F.coalesce(item["thought"], F.lit("")))),
-            F.concat(F.lit("ACTION: "), item["action"]),
+            F.concat(F.lit(STEP_HEADING), item["step"].cast("string")),
+            F.concat(F.lit(THOUGHT_LABEL), strip(F.coalesce(item["thought"], F.lit("")))),
+            F.concat(F.lit(ACTION_LABEL), item["action"]),
         ),
     )
     page = F.concat(
@@ -61,9 +68,9 @@ def action_prompt(
     return strip(
         F.concat_ws(
             "\n",
-            F.concat(F.lit("# GOAL\n"), strip(goal), F.lit("\n\n# PREVIOUS STEPS")),
+            F.concat(F.lit(f"{GOAL_HEADING}\n"), strip(goal), F.lit(f"\n\n{HISTORY_HEADING}")),
             blocks,
-            F.concat(F.lit("# CURRENTLY ACTIVE PAGE\n"), page, F.lit("\n\n# NEXT STEP")),
+            F.concat(F.lit(f"{PAGE_HEADING}\n"), page, F.lit(f"\n\n{NEXT_HEADING}")),
         )
     )
 

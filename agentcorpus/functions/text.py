@@ -9,12 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# ---- fixed values -----------------------------------------------------------------------------
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+TURN_BOUNDARY = r"(?i)\n(?:user|assistant)\n|<think>|<\|im_(?:start|end)\|>"
+ARTICLES = ("a", "an", "the")
+# ---------------------------------------------------------------------------------------------
 
 # Characters that compatibility normalisation leaves alone: ASCII and precomposed Latin letters.
 # A text made only of these needs no Python round trip.
-NORMALISATION_INERT = "\\x00-\\x7F\\u00C0-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E"
-TURN_BOUNDARY = "(?i)\\n(?:user|assistant)\\n|<think>|<\\|im_(?:start|end)\\|>"
+NORMALISATION_INERT = r"\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
 
 
 def strip(text: Column) -> Column:
@@ -32,7 +35,7 @@ def _compatibility_form(texts: pd.Series) -> pd.Series:
 
 
 def compatibility_form(text: Column) -> Column:
-    """NFKC; only texts that the form can change cross into Python."""
+    """NFKC; texts that the form cannot change cross into Python as nulls."""
     affected = F.when(text.rlike(f"[^{NORMALISATION_INERT}]"), text)
     return F.coalesce(_compatibility_form(affected), text)
 
@@ -41,7 +44,7 @@ def answer_tokens(text: Column) -> Column:
     """Lower-case word tokens with punctuation and English articles removed."""
     cleaned = F.regexp_replace(F.lower(compatibility_form(text)), "[^\\p{L}\\p{N}_\\s]", " ")
     return F.filter(
-        F.split(cleaned, "\\s+"), lambda token: ~token.isin("", "a", "an", "the")
+        F.split(cleaned, "\\s+"), lambda token: ~token.isin("", *ARTICLES)
     )
 
 

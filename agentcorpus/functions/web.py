@@ -13,17 +13,22 @@ from agentcorpus.functions.text import blank_to, strip
 # ---- fixed values: vocabularies, category names and product aliases -------------------------
 APPLICATION_CATEGORIES = ("work_application", "transactional_application", "service_application")
 WORK_WORDS = (
-    "airtable asana atlassian calendar canva clickup confluence docs drive dropbox figma github "
-    "gitlab gmail hubspot jira linear mail monday notion office outlook salesforce sheets slack "
-    "slides teams trello zoom"
-).split()
+    "airtable", "asana", "atlassian", "calendar", "canva", "clickup", "confluence", "docs",
+    "drive", "dropbox", "figma", "github", "gitlab", "gmail", "hubspot", "jira", "linear", "mail",
+    "monday", "notion", "office", "outlook", "salesforce", "sheets", "slack", "slides", "teams",
+    "trello", "zoom",
+)
 TRANSACTION_WORDS = (
-    "airbnb amazon booking doordash ebay expedia flight hotel instacart shop store travel walmart"
-).split()
+    "airbnb", "amazon", "booking", "doordash", "ebay", "expedia", "flight", "hotel", "instacart",
+    "shop", "store", "travel", "walmart",
+)
 SERVICE_WORDS = (
-    "bank clinic college coursera edu finance gov health insurance school university"
-).split()
-CONTENT_WORDS = "blog cnn encyclopedia forbes magazine news nytimes wikipedia".split()
+    "bank", "clinic", "college", "coursera", "edu", "finance", "gov", "health", "insurance",
+    "school", "university",
+)
+CONTENT_WORDS = (
+    "blog", "cnn", "encyclopedia", "forbes", "magazine", "news", "nytimes", "wikipedia",
+)
 VOCABULARIES = (
     ("work_application", WORK_WORDS),
     ("transactional_application", TRANSACTION_WORDS),
@@ -33,6 +38,8 @@ VOCABULARIES = (
 DOCS_PRODUCTS = {"document": "docs", "spreadsheets": "sheets", "presentation": "slides"}
 # ---------------------------------------------------------------------------------------------
 
+HOST_SALTS = 16
+
 AUTHORITY = "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//"
 HOST = AUTHORITY + "(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@]*)"
 PATH = AUTHORITY + "[^/?#]*([^?#]*)"
@@ -85,8 +92,19 @@ def registrable_domain(
         .groupBy(host)
         .agg(F.min_by(F.concat_ws(".", "_label", "suffix"), "_at").alias("_best"))
     )
-    joined = df.join(best, host, "left")
-    return joined.withColumn(out, F.coalesce("_best", F.col(host))).drop("_best")
+    # a host may hold a third of all rows: its rows are spread over salted copies of its one answer
+    salts = F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(HOST_SALTS)))
+    joined = salted.join(best.withColumn("_salt", salts), [host, "_salt"], "left")
+    return joined.withColumn(out, F.coalesce("_best", F.col(host))).drop("_best", "_salt")
+
+
+def registrable(df: DataFrame, suffixes: DataFrame | None, column: str = "domain") -> DataFrame:
+    """Replace hosts by registrable domains; without a suffix table hosts stay as they are."""
+    if suffixes is None:
+        return df
+    found = registrable_domain(df.withColumn("_host", F.col(column)), suffixes, "_host", "_site")
+    return found.withColumn(column, F.col("_site")).select(df.columns)
 
 
 def website_surface(url: Column, website: Column | None = None) -> Column:

@@ -90,10 +90,12 @@ def explode_trajectory(
     max_past_steps: int,
     max_steps: int,
     locator: Mapping[str, Column] | None = None,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per usable step with its history, prompt, answer and normalised action.
 
-    History is taken before the cut to ``max_steps``, from usable steps only.
+    History comes from all usable steps, and is built for the ``max_steps`` kept ones only.  With a
+    suffix table domains are registrable ones.
     """
     # Unusable rows keep no steps.  A filter would be pushed below the parsing and repeat it, and so
     # would the filter Spark infers from a plain explode; hence the outer one.
@@ -138,36 +140,32 @@ def explode_trajectory(
         )
 
     valid = F.col("_valid")
-    with_history = F.transform(
-        valid,
-        lambda s, i: F.struct(
-            s.alias("s"),
-            F.transform(
-                F.slice(
-                    valid,
-                    F.greatest(i - F.lit(max_past_steps), F.lit(0)) + 1,
-                    F.least(i, F.lit(max_past_steps)),
-                ),
-                brief,
-            ).alias("history"),
-            hashing.stable_key(
-                "inventory-step", source["id"], F.col("sample_id"), s["step"]
-            ).alias("rank"),
-        ),
-    )
-    kept = F.slice(
-        F.array_sort(
-            F.col("_all"),
-            lambda a, b: F.when(a["rank"] < b["rank"], F.lit(-1)).when(
-                a["rank"] > b["rank"], F.lit(1)
-            ).otherwise(F.lit(0)),
-        ),
-        1,
-        max_steps,
+    # (rank, place) pairs in the natural order of structs: no comparator, no copied steps
+    ranks = F.array_sort(
+        F.transform(
+            valid,
+            lambda s, i: F.struct(
+                hashing.stable_key(
+                    "inventory-step", source["id"], F.col("sample_id"), s["step"]
+                ).alias("rank"),
+                i.alias("place"),
+            ),
+        )
     )
-    one = prepared.withColumn("_all", with_history).select(
-        "*", F.explode_outer(kept).alias("_one")
-    ).where("_one is not null").drop("_all", "_valid")
+
+    def with_history(pair):
+        i = pair["place"]
+        past = F.slice(
+            valid,
+            F.greatest(i - F.lit(max_past_steps), F.lit(0)) + 1,
+            F.least(i, F.lit(max_past_steps)),
+        )
+        return F.struct(F.get(valid, i).alias("s"), F.transform(past, brief).alias("history"))
+
+    kept = F.transform(F.slice(ranks, 1, max_steps), with_history)
+    one = prepared.select("*", F.explode_outer(kept).alias("_one")).where(
+        "_one is not null"
+    ).drop("_valid")
     s, history = F.col("_one.s"), F.col("_one.history")
     page = s["page"]
     domain = web.host_domain(page["url"])
@@ -177,7 +175,7 @@ def explode_trajectory(
         "screenshot": s["screenshot"],
     }
     place = records.image_locator(fields)
-    return one.select(
+    examples = one.select(
         hashing.record_id(source["id"], F.col("sample_id"), s["step"]).alias("id"),
         F.lit(source.get("benchmark", "web_action")).alias("benchmark"),
         F.lit("action").alias("task"),
@@ -201,6 +199,7 @@ def explode_trajectory(
         place.alias("image_locator"),
         F.size(history).alias("history_steps"),
     )
+    return web.registrable(examples, suffixes)
 
 
 def trajectory_domain(df: DataFrame) -> DataFrame:
@@ -232,8 +231,12 @@ def explode_messages(
     file: Column,
     row_index: Column,
     locator: Mapping[str, Column] | None = None,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per usable message of a screenshot row, capped per row by hash order."""
+    """One row per usable message of a screenshot row, capped per row by hash order.
+
+    With a suffix table domains are registrable ones.
+    """
     task = source["task"]
     width, height = F.col("metadata.image_w"), F.col("metadata.image_h")
     base = df.withColumns({"_file": file, "_row": row_index})
@@ -291,17 +294,18 @@ def explode_messages(
         place.alias("image_locator"),
     ]
     if task == "qa":
-        return one.select(
+        answered = one.select(
             *common,
             prompts.qa_prompt(question).alias("prompt"),
             strip(m["answer"]).alias("answer"),
             blank_to(m["question_type"], "unknown").alias("question_type"),
             blank_to(m["question_form"], "unknown").alias("question_form"),
         )
+        return web.registrable(answered, suffixes)
     box = geometry.normalize_bbox(F.from_json(m["bbox"], "array<double>"), width, height)
     staged = one.withColumn("_box", box)
     center = geometry.bbox_center(F.col("_box"))
-    return staged.select(
+    located = staged.select(
         *common,
         prompts.grounding_prompt(question).alias("prompt"),
         geometry.point_answer(center, question).alias("answer"),
@@ -310,6 +314,7 @@ def explode_messages(
         width.alias("original_width"),
         height.alias("original_height"),
     )
+    return web.registrable(located, suffixes)
 
 
 def explode_benchmark_rows(

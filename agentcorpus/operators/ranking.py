@@ -71,18 +71,23 @@ def ranked(
     return numbered if limit is None else numbered.where(F.col(out) <= limit)
 
 
+SALTS = 16
+
+
 def first_few(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, out: str = "rank"
 ) -> DataFrame:
-    """First ``limit`` rows per group for a small constant limit.
+    """First ``limit`` rows per group, whatever the limit.
 
-    Spark cuts every map partition to ``limit`` rows per group before the shuffle (window group
-    limit), so a hot group sends few rows; larger limits belong in :func:`ranked`.
+    Every group is first divided by the partition its rows lie in, and each part keeps its own first
+    ``limit`` rows, so that a hot group is sorted in parts and only the rows that can still be among
+    the first meet.  For large limits with an order-preserving bucket use :func:`ranked`.
     """
-    if limit > 1000:
-        raise ValueError("use ranked() for limits above the window group limit")
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    part = W.partitionBy(*keys, "_salt").orderBy(*order)
+    kept = salted.withColumn(out, F.row_number().over(part)).where(F.col(out) <= limit)
     window = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
+    return kept.drop("_salt").withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
 
 
 def position_bucket(df: DataFrame, column: str, buckets: int = 4096) -> Column:

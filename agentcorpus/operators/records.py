@@ -37,14 +37,21 @@ def with_unit(df: DataFrame) -> DataFrame:
     return df.withColumn("unit", sampling_unit(df))
 
 
-def canonicalize_domain_column(df: DataFrame) -> DataFrame:
-    return df.withColumn(
+def canonicalize_domain_column(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Lower-case recorded or derived domains; registrable ones where a suffix table is given."""
+    named = df.withColumn(
         "domain",
         web.canonical_domain(optional(df, "domain"), optional(df, "url"), optional(df, "website")),
     )
+    return web.registrable(named, suffixes)
 
 
-def annotate_website(df: DataFrame, rules: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def annotate_website(
+    df: DataFrame, rules: Sequence[tuple[str, str]] = (), suffixes: DataFrame | None = None
+) -> DataFrame:
+    """Host, surface and category of the website; with a suffix table also canonical domains."""
+    if suffixes is not None:
+        df = canonicalize_domain_column(df, suffixes)
     url = F.coalesce(optional(df, "url"), F.lit(""))
     surface = web.website_surface(url, optional(df, "website"))
     named = df.withColumns({"hostname": web.hostname(url), "website_surface": surface})

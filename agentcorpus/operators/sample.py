@@ -387,8 +387,6 @@ def stratified_sample(df: DataFrame, seed: int, per_stratum: int) -> DataFrame:
         }
     )
     keys = ["stratum_task", "stratum_category"]
-    if per_stratum <= 1000:
-        return first_few(keyed, keys, [F.col("stable_rank")], per_stratum)
     return ranked(
         keyed, keys, [F.col("stable_rank")], hashing.key_prefix(F.col("stable_rank"), 3),
         limit=per_stratum,
