@@ -365,20 +365,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are replaced.
     """
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST))
-    found = classes(docs).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    found = classes(docs)
+    found = found.select(*[F.col(c).alias(f"_near_{c}") for c in found.columns])
     text = F.col("text")
     joined = docs.withColumns(
-        {"_key1": F.xxhash64(text), "_key2": F.xxhash64(F.lit("second"), text), "_order": order}
-    ).join(found, (F.col("_key1") == F.col("_k1")) & (F.col("_key2") == F.col("_k2")), "left")
+        {"_key1": F.xxhash64(text), "_key2": F.xxhash64(F.lit("second"), text)}
+    ).join(
+        found,
+        (F.col("_key1") == F.col("_near_k1")) & (F.col("_key2") == F.col("_near_k2")),
+        "left",
+    )
+    leader = F.col("_near_class_order")
     first: Column = (
-        (F.col("_order") == F.col("class_order"))
-        & (F.col("_key1") == F.col("class_k1"))
-        & (F.col("_key2") == F.col("class_k2"))
+        (order == leader)
+        & (F.col("_key1") == F.col("_near_class_k1"))
+        & (F.col("_key2") == F.col("_near_class_k2"))
     )
-    root = F.when(F.col("class_order") != FIRST, F.col("class_order"))
     return joined.withColumns(
         {
-            "class_id": F.when(F.col("class_order").isNull(), F.col("doc_id")).otherwise(root),
-            "stays": F.coalesce(first, F.lit(True)),
+            "class_id": F.when(text.isNull(), F.col("doc_id")).when(leader != FIRST, leader),
+            "stays": F.coalesce(first | text.isNull(), F.lit(True)),
         }
-    ).drop("_key1", "_key2", "_k1", "_k2", "_order", "class_order", "class_k1", "class_k2")
+    ).drop("_key1", "_key2", *found.columns)
