@@ -22,6 +22,7 @@ from agentcorpus.llm.store import numbered, stored
 
 LEAST = 16  # shorter lines are compared as they are
 PART = 512  # characters of a part of a long line
+SPACES = " \t\r\f\v"
 FIRST = -(1 << 63)
 DOC = ["_order", "_hash"]
 
@@ -40,20 +41,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def all_lines(docs: DataFrame) -> DataFrame:
-    """Every line that is not blank: its place, its 128-bit key and its length."""
-    rows = keyed(docs).select(*DOC, F.posexplode("_lines").alias("_pos", "_line"))
-    held = staged(rows.select(*DOC, "_pos", normal(F.col("_line")).alias("_text")), {"_norm": F.col("_text")})
-    return held.where(F.col("_norm") != "").select(
-        *DOC,
-        "_pos",
-        "_norm",
-        F.xxhash64("_norm").alias("k1"),
-        F.xxhash64(F.lit("second"), "_norm").alias("k2"),
-        F.char_length("_norm").alias("n"),
-    )
-
-
 def parts(base: Column) -> Column:
     return F.greatest(F.lit(2), F.ceil(base / PART).cast("int"))
 
@@ -64,17 +51,47 @@ def bounds(base: Column, part: Column) -> tuple[Column, Column]:
     return cut(part), base - cut(part + 1)
 
 
-def anchors(lines: DataFrame) -> DataFrame:
-    """A row per base length (the line's own, or one less) and part."""
-    based = (
-        lines.where(F.col("n") >= LEAST)
-        .withColumn("base", F.explode(F.array(F.col("n"), F.col("n") - 1)))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), parts(F.col("base")) - 1)))
+def anchors(base: Column) -> Column:
+    """The anchors of a line for a base length (its own, or one less), one per part."""
+
+    def anchor(part: Column) -> Column:
+        before, after = bounds(base, part)
+        head = F.substring("_norm", F.lit(1), before)
+        tail = F.substring("_norm", F.col("n") - after + 1, after)
+        return F.xxhash64(base, part, head, tail)
+
+    return F.transform(F.sequence(F.lit(0), parts(base) - 1), anchor)
+
+
+def all_lines(docs: DataFrame) -> DataFrame:
+    """Every line that is not blank: its place, its 128-bit key, its length and its anchors."""
+    rows = keyed(docs).select(*DOC, F.posexplode("_lines").alias("_pos", "_line"))
+    held = staged(rows, {"_norm": normal(F.col("_line"))}).where(F.col("_norm") != "")
+    sized = held.withColumn("n", F.char_length("_norm"))
+    both = F.concat(anchors(F.col("n")), anchors(F.col("n") - 1))
+    return sized.select(
+        *DOC,
+        "_pos",
+        F.xxhash64("_norm").alias("k1"),
+        F.xxhash64(F.lit("second"), "_norm").alias("k2"),
+        "n",
+        F.when(F.col("n") >= LEAST, both).alias("anchors"),
+    )
+
+
+def anchored(lines: DataFrame) -> DataFrame:
+    """A row per line and anchor, with the base length and the part."""
+    own = parts(F.col("n"))
+    rows = lines.select("k1", "k2", "n", F.posexplode("anchors").alias("_at", "anchor"))
+    first = F.col("_at") < own
+    return rows.select(
+        "k1",
+        "k2",
+        "n",
+        F.when(first, F.col("n")).otherwise(F.col("n") - 1).alias("base"),
+        F.when(first, F.col("_at")).otherwise(F.col("_at") - own).alias("part"),
+        "anchor",
     )
-    before, after = bounds(F.col("base"), F.col("part"))
-    head = F.substring("_norm", F.lit(1), before)
-    tail = F.substring("_norm", F.col("n") - after + 1, after)
-    return based.withColumn("anchor", F.xxhash64("base", "part", head, tail))
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -106,11 +123,10 @@ def variants(lines: DataFrame) -> DataFrame:
     return made.select("key", "id", (F.col("own") & (F.col("key") == F.col("_whole"))).alias("center"))
 
 
-def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     """Keys of the distinct lines that have an earlier line one edit away."""
-    lines = all_lines(docs)
     shared = stored(
-        anchors(lines)
+        lines.select("k1", F.explode("anchors").alias("anchor"))
         .groupBy("anchor")
         .agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
         .where("low < high")
@@ -119,11 +135,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     )
     # a row per line and shared anchor; equal lines are one
     found = stored(
-        anchors(lines)
-        .select("k1", "k2", "n", "base", "part", "anchor")
-        .join(shared, "anchor", "left_semi")
-        .distinct(),
-        "candidates",
+        anchored(lines).join(shared, "anchor", "left_semi").distinct(), "candidates"
     )
     wanted = (
         found.select("k1", "k2")
@@ -144,7 +156,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
         numbered(texts, [F.col(c) for c in (*DOC, "_pos")], "id").select("id", "k1", "k2", "_norm"),
         "lines",
     )
-    spread = variants(found.join(texts, ["k1", "k2"]).drop("k1", "k2"))
+    spread = stored(variants(found.join(texts, ["k1", "k2"]).drop("k1", "k2")), "variants")
     groups = stored(
         spread.groupBy("key")
         .agg(
@@ -154,7 +166,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
         )
         .where("earliest < latest")
         .drop("latest"),
-        "variants",
+        "variant_groups",
     )
     inserted = F.col("middle_id").isNotNull() & ~F.col("center")
     links = (
@@ -181,18 +193,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id first; documents that share an id are ordered by a hash of their text.  A line goes if it
     equals an earlier one after lower case and single blanks, or if it and an earlier line have at
     least LEAST characters and are one edit apart, whether or not that one stays.  Blank lines never
-    count as copies, but a document that loses all other lines gets an empty text.  Null text stays
+    count as copies, but a document without any other line left gets an empty text.  Null text stays
     null.  Rows that repeat id and text are one document and both keep its lines.
 
     Adds ``lines_in`` and ``lines_kept`` (without blank ones); columns of these names are replaced.
     """
-    lines = all_lines(docs)
+    lines = stored(all_lines(docs), "all_lines")
     place = F.struct(*DOC, "_pos")
     first = stored(
         lines.groupBy("k1", "k2").agg(F.min(place).alias("first")).select("k1", "k2", "first.*"),
         "first_lines",
     )
-    gone = near_lines(docs, first)
+    gone = near_lines(docs, lines, first)
     kept = stored(
         first.join(gone, ["k1", "k2"], "left_anti")
         .groupBy(*DOC)
@@ -206,7 +218,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "left",
     )
     held = staged(joined, {"_split": F.split("text", "\n")})
-    blank = F.transform("_split", lambda line, at: F.when(normal(line) == "", at))
+    blank = F.transform("_split", lambda line, at: F.when(F.trim(line, F.lit(SPACES)) == "", at))
     places = F.array_sort(F.concat(F.col("_kept"), F.array_compact(blank)))
     text = F.when(F.col("_kept").isNull(), F.when(F.col("text").isNotNull(), F.lit(""))).otherwise(
         F.array_join(F.transform(places, lambda at: F.get("_split", at)), "\n")
