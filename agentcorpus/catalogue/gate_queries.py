@@ -387,8 +387,8 @@ def _grid(spark, folder):
     grid = runs.select(
         "*", F.lit("iid").alias("suite"), F.explode(cells).alias("shard_index")
     ).withColumn("num_shards", F.lit(4))
-    line = table(spark, folder, "lineitem").where("l_linenumber <= 4")
-    shards = line.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("shard_index")).agg(
+    shard = ((F.col("l_linenumber") - 1) % 4 + 1).alias("shard_index")  # lines beyond four fold
+    shards = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), shard).agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("examples"),
         F.max((F.col("l_tax") > 0.07).cast("int")).alias("exit_code"),
     )
@@ -408,8 +408,8 @@ def _grid(spark, folder):
 
 @query(
     "evaluation_receipt",
-    """WITH s AS (SELECT l_orderkey AS run_id, l_linenumber AS i, sum(l_quantity::BIGINT) AS ex,
-         max((l_tax > 0.07)::INT) AS code FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
+    """WITH s AS (SELECT l_orderkey AS run_id, (l_linenumber - 1) % 4 + 1 AS i, sum(l_quantity::BIGINT) AS ex,
+         max((l_tax > 0.07)::INT) AS code FROM lineitem GROUP BY ALL),
     m AS (SELECT run_id, count(*) FILTER (code = 0) AS good, sum(ex) AS ex FROM s GROUP BY run_id)
     SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'base' ELSE 'sft' END AS control,
       CASE WHEN coalesce(good, 0) < 4 THEN 'incomplete_grid'

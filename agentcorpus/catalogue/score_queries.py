@@ -404,6 +404,24 @@ def qa_dashboard(spark, folder):
     return rounded(dashboards.qa_dashboard(B.qa_predictions(spark, folder), B.LABELS)["metrics"])
 
 
+@query(
+    "qa_dashboard_records",
+    f"""WITH q AS (SELECT * REPLACE (trim(regexp_replace(prediction, '(?s)\\n(user|assistant)\\n.*$', ''),
+          chr(32) || chr(10)) AS prediction), prediction AS raw FROM ({B.QA_SQL})),
+    {B.QA_SCORED_TAIL}, p AS (SELECT id, max(CASE WHEN label = 'baseline' THEN prediction END) AS baseline,
+      max(CASE WHEN label = 'latest' THEN prediction END) AS latest FROM ({B.QA_SQL}) GROUP BY id)
+    SELECT s.id, row_number() OVER (ORDER BY exact_match, lower(question_type), s.id)::BIGINT
+      AS display_rank, sha256(p.baseline) AS baseline, sha256(p.latest) AS latest
+    FROM s JOIN p ON s.id = p.id WHERE label = 'latest'""",
+)
+def qa_dashboard_records(spark, folder):
+    rows = dashboards.qa_dashboard(B.qa_predictions(spark, folder), B.LABELS)["records"]
+    return rows.select(
+        "id", "display_rank", F.sha2("baseline", 256).alias("baseline"),
+        F.sha2("latest", 256).alias("latest"),
+    )
+
+
 @query(
     "grounding_dashboard",
     f"""WITH {B.GROUNDING_SQL} SELECT 'latest' AS label, count(*)::BIGINT AS examples,

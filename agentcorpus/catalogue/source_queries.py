@@ -27,12 +27,13 @@ def manifest_round_trip(spark, folder):
 
 @query(
     "read_episodes",
-    """SELECT 'valid' AS part, count(*)::BIGINT AS n, sum(turns)::BIGINT AS steps FROM (
-         SELECT doc_id, len(string_split(text, chr(10))) AS turns FROM documents)
-       UNION ALL SELECT 'invalid', count(*)::BIGINT, NULL FROM labels""",
+    """SELECT 'valid' AS part, doc_id::VARCHAR AS id, len(string_split(text, chr(10)))::INTEGER AS steps,
+         NULL::BIGINT AS line FROM documents
+       UNION ALL SELECT 'invalid', doc_id::VARCHAR, NULL,
+         row_number() OVER (PARTITION BY quality ORDER BY doc_id)::BIGINT FROM labels""",
 )
 def read_episodes(spark, folder):
-    """One episode per document, and one broken line per label, in the same log."""
+    """One episode per document, and a log of broken lines for each quality of the labels."""
     path = scratch(spark, "episodes")
     docs = table(spark, folder, "documents")
     steps = F.transform(
@@ -43,21 +44,25 @@ def read_episodes(spark, folder):
         ),
     )
     episodes = docs.select(F.col("doc_id").cast("string").alias("episode_id"), steps.alias("steps"))
-    manifests.append_episodes(episodes, path)
-    labels = table(spark, folder, "labels").select(
-        F.concat(F.lit('{"episode_id": '), F.col("doc_id").cast("string"), F.lit(", broken")).alias("value")
-    )
-    labels.write.mode("append").text(path)
-    valid, invalid = manifests.read_episodes(spark, path)
-    counts = valid.agg(
-        F.lit("valid").alias("part"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.size("steps")).alias("steps"),
-    )
-    broken = invalid.agg(
-        F.lit("invalid").alias("part"), F.count(F.lit(1)).alias("n"),
-        F.lit(None).cast("bigint").alias("steps"),
+    manifests.append_episodes(episodes, f"{path}/good")
+    valid, _ = manifests.read_episodes(spark, f"{path}/good")
+    broken = F.concat(F.lit('{"episode_id": '), F.col("doc_id").cast("string"), F.lit(", broken"))
+    labels = table(spark, folder, "labels").select("doc_id", "quality", broken.alias("value"))
+    # one file per quality, in the order of ids, so that line numbers are known
+    labels.repartition("quality").sortWithinPartitions("quality", "doc_id").select(
+        "quality", "value"
+    ).write.partitionBy("quality").text(f"{path}/bad")
+    _, invalid = manifests.read_episodes(spark, f"{path}/bad")
+    return valid.select(
+        F.lit("valid").alias("part"), F.col("episode_id").alias("id"),
+        F.size("steps").alias("steps"), F.lit(None).cast("bigint").alias("line"),
+    ).unionByName(
+        invalid.select(
+            F.lit("invalid").alias("part"),
+            F.regexp_extract("_bad", ": ([0-9]+),", 1).alias("id"),
+            F.lit(None).cast("int").alias("steps"), F.col("_line").alias("line"),
+        )
     )
-    return counts.unionByName(broken)
 
 
 @query(
@@ -186,23 +191,50 @@ def scan_completeness(spark, folder):
     return scans.scan_completeness(docs, done)
 
 
-@query("source_file_inventory")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+_TEXTS = ("documents", "pages", "conversations", "benchmark")
+
+
+@query(
+    "source_file_inventory",
+    f"""SELECT name || '.parquet' AS file,
+        CASE WHEN name IN {_TEXTS} THEN 'texts' ELSE 'facts' END AS source,
+        CASE WHEN name IN {_TEXTS} THEN 'r1' ELSE 'r2' END AS source_revision,
+        name NOT IN {_TEXTS} AS mismatch
+        FROM (SELECT unnest({list(_TABLES)}) AS name)""",
+)
 def source_file_inventory(spark, folder):
-    """Given files per source against their pinned counts; sizes are not visible to SQL."""
+    """Every given file under its source; the facts are pinned at a count that is not met."""
+    texts = "|".join(_TEXTS)
     specs = spark.createDataFrame(
-        [("texts", "^(documents|pages)\\.parquet$", 2, "r1"), ("facts", "^(lineitem|orders)\\.", 3, "r2")],
+        [("texts", f"^({texts})[.]parquet", 4, "r1"), ("facts", f"^(?!{texts})[a-z]+[.]parquet", 99, "r2")],
         "id string, file_pattern string, expected_files int, source_revision string",
     )
     listed, wrong = checksums.source_file_inventory(spark, folder, specs)
-    return listed.join(
+    flagged = listed.join(
         wrong.select(F.col("id").alias("source"), F.lit(True).alias("mismatch")), "source", "left"
-    ).withColumn("mismatch", F.coalesce("mismatch", F.lit(False)))
+    )
+    return flagged.select(
+        "file", "source", "source_revision", F.coalesce("mismatch", F.lit(False)).alias("mismatch")
+    )
 
 
-@query("content_checksums")
+@query(
+    "content_checksums",
+    """SELECT item_id, sha256(text || chr(10)) AS sha256, (strlen(text) + 1)::BIGINT AS bytes
+       FROM benchmark""",
+)
 def content_checksums(spark, folder):
-    """Digest of every given file; SQL sees the tables, not the bytes."""
-    return checksums.content_checksums(spark, folder)
+    """Every benchmark text as a file of its own; all have one base name, in different folders."""
+    path = scratch(spark, "texts")
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    items.coalesce(1).write.partitionBy("item_id").text(path)
+    files = checksums.content_checksums(spark, path).where(F.contains("file", F.lit("item_id=")))
+    item = F.regexp_extract("file", "^item_id=([0-9]+)/part-", 1).cast("bigint")
+    return files.where(item.isNotNull()).select(item.alias("item_id"), "sha256", "bytes")
 
 
 _LINE = "'{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}'"
@@ -241,10 +273,13 @@ def read_progress_log(spark, folder):
     line = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("note {not json "), "source")).otherwise(
         F.concat(F.lit("INFO "), body)
     )
-    docs.select(line.alias("value"), "lang", F.col("doc_id").alias("line")).write.parquet(path)
-    lines = spark.read.parquet(path).select("value", F.col("lang").alias("log"), "line")
-    last = progress.benchmark_terminals(progress.progress_events(lines), ["log"])
-    return last.select("log", "event", "completed")
+    # one log per language, all of one base name, lines in the order of ids
+    docs.select(line.alias("value"), "lang", "doc_id").coalesce(1).sortWithinPartitions(
+        "lang", "doc_id"
+    ).drop("doc_id").write.partitionBy("lang").text(path)
+    last = progress.read_progress_log(spark, path)
+    log = F.regexp_extract("log", "^lang=([a-z]+)/part-", 1).alias("log")
+    return last.select(log, "event", "completed")
 
 
 @query(

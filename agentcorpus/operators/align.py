@@ -41,12 +41,28 @@ def alignment_issues(predictions: DataFrame, labels: Sequence[str]) -> DataFrame
     ).where("n <> 1")
 
 
+def exactly_one(condition: Column, value: Column, what: Column) -> Column:
+    """Aggregate: the value of the one row that the condition selects; none or several are an error."""
+    n = F.count_if(condition)
+    message = F.concat(F.lit("expected one row, found "), n.cast("string"), F.lit(": "), what)
+    return F.when(n == 1, F.max(F.when(condition, value))).otherwise(F.raise_error(message))
+
+
 def align_predictions(
     predictions: DataFrame, labels: Sequence[str], value: str = "prediction"
 ) -> DataFrame:
-    """One row per id with one prediction column per label; a single shuffle for any label count."""
+    """One row per id with one prediction column per label; a single shuffle for any label count.
+
+    An id that some label lacks or holds twice is an error; :func:`alignment_issues` lists them.
+    """
     return predictions.groupBy("id").agg(
-        *[F.max(F.when(F.col("label") == name, F.col(value))).alias(name) for name in labels]
+        *[
+            exactly_one(
+                F.col("label") == name, F.col(value),
+                F.concat(F.lit(f"{name} of "), F.first("id").cast("string")),
+            ).alias(name)
+            for name in labels
+        ]
     )
 
 
@@ -153,11 +169,18 @@ def shard_selection_issues(shards: DataFrame) -> DataFrame:
 def merge_predictions(
     expected: DataFrame, predictions: DataFrame, label: str, signature: str
 ) -> DataFrame:
-    """Predictions in manifest order, with the shard's own label and signature kept aside."""
+    """Predictions in manifest order, with the shard's own label and signature kept aside.
+
+    A manifest record without a prediction is an error.
+    """
     renamed = predictions.withColumnsRenamed(
         {"evaluation_label": "source_evaluation_label", "run_signature": "source_run_signature"}
     )
-    return expected.select("id", "order_key").join(renamed, "id").withColumns(
+    found = renamed.withColumn("_found", F.lit(True))
+    joined = expected.select("id", "order_key").join(found, "id", "left")
+    missing = F.raise_error(F.concat(F.lit("no prediction for "), F.col("id").cast("string")))
+    checked = joined.withColumn("id", F.when(F.col("_found"), F.col("id")).otherwise(missing))
+    return checked.drop("_found").withColumns(
         {"evaluation_label": F.lit(label), "run_signature": F.lit(signature)}
     )
 
@@ -206,9 +229,12 @@ def trajectory_image_lookup(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+PICTURE = ("image", "image_width", "image_height", "jpeg_sha256", "jpeg_bytes")
+
+
 def image_index_conflicts(index: DataFrame) -> DataFrame:
     """Locators whose checkpoints disagree."""
-    value = F.struct("image", "image_width", "image_height", "jpeg_sha256", "jpeg_bytes")
+    value = F.struct(*PICTURE)
     return (
         index.select("locator_id", F.sha2(F.to_json(value), 256).alias("v"))
         .groupBy("locator_id")
@@ -219,7 +245,16 @@ def image_index_conflicts(index: DataFrame) -> DataFrame:
 
 
 def image_index_merge(index: DataFrame) -> DataFrame:
-    return index.dropDuplicates(["locator_id"])
+    """One row per locator; checkpoints that disagree about one are an error."""
+    row = F.struct(*[F.col(c) for c in index.columns])
+    kept = [c for c in PICTURE if c in index.columns]
+    value = F.to_json(F.struct(*kept))
+    merged = index.groupBy("locator_id").agg(
+        F.when(F.min(value).eqNullSafe(F.max(value)), F.min(row)).otherwise(
+            F.raise_error(F.concat(F.lit("image checkpoints disagree on "), F.first("locator_id")))
+        ).alias("_row")
+    )
+    return merged.select("_row.*")
 
 
 def materialize_manifest(manifest: DataFrame, index: DataFrame) -> DataFrame:
@@ -250,10 +285,16 @@ def pairing_issues(episodes: DataFrame, control: str, candidate: str) -> DataFra
 
 
 def pair_episodes(episodes: DataFrame, control: str, candidate: str) -> DataFrame:
-    """Success and reward deltas per (task_id, seed): one aggregate in place of a self-join."""
+    """Success and reward deltas per (task_id, seed): one aggregate in place of a self-join.
+
+    A key without exactly one episode of each variant is an error; :func:`pairing_issues` lists them.
+    """
+
+    place = F.concat_ws(" ", F.first("task_id").cast("string"), F.first("seed").cast("string"))
 
     def of(variant, column):
-        return F.max(F.when(F.col("variant_id") == variant, F.col(column)))
+        what = F.concat(F.lit(f"{variant} of "), place)
+        return exactly_one(F.col("variant_id") == variant, F.col(column), what)
 
     pairs = episodes.where(F.col("variant_id").isin(control, candidate)).groupBy(
         "task_id", "seed"

@@ -365,24 +365,25 @@ def history_frame(
 ) -> DataFrame:
     """Last ``past`` earlier steps of each row of a step table, oldest first.
 
-    A trajectory is cut into spans of step numbers, and each row that ends a span is also sent to the
+    Steps are numbered densely first, so gaps in the step numbers do not shorten the history.  A
+    trajectory is then cut into spans of numbers, and each row that ends a span is also sent to the
     following spans its successors may look back from, so one endless trajectory becomes many small
-    windows.  Step numbers are dense integers in the source, so ``past`` rows lie within ``past``
-    numbers; rows that arrive with gaps are numbered first by :func:`dense_steps`.
+    windows.
     """
     if past <= 0:
         return steps.withColumn("history", F.array().cast(_history_type(steps, step, fields)))
-    own = F.floor(F.col(step) / span)
-    reach = F.floor((F.col(step) + past) / span)
-    copied = steps.select("*", F.explode(F.sequence(own, reach)).alias("_span")).withColumn(
+    dense = dense_steps(steps, trajectory, step, "_dense")
+    own = F.floor(F.col("_dense") / span)
+    reach = F.floor((F.col("_dense") + past) / span)
+    copied = dense.select("*", F.explode(F.sequence(own, reach)).alias("_span")).withColumn(
         "_own", F.col("_span") == own
     )
-    window = W.partitionBy(trajectory, "_span").orderBy(step).rowsBetween(-past, -1)
+    window = W.partitionBy(trajectory, "_span").orderBy("_dense").rowsBetween(-past, -1)
     item = F.struct(F.col(step).alias("step"), *[F.col(f) for f in fields])
     return (
         copied.withColumn("history", F.collect_list(item).over(window))
         .where("_own")
-        .drop("_span", "_own")
+        .drop("_span", "_own", "_dense")
     )
 
 

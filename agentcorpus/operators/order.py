@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentcorpus.operators.align import CheckFailed, require_empty
+
 # ---- fixed values: data-set sizes from smallest to largest -----------------------------------
 SIZES = ("small", "medium", "large")
 # ---------------------------------------------------------------------------------------------
@@ -51,7 +53,8 @@ SELECTION = (
 def select_checkpoint(gates: DataFrame) -> DataFrame:
     """Best gate without regressions: lexicographic over three metrics, then the earliest step.
 
-    Nulls rank below every number; a non-finite metric is an error.
+    Nulls rank below every number.  A non-finite metric, a step that occurs twice, and gates that
+    all regressed are errors.
     """
 
     def metric(name):
@@ -61,7 +64,10 @@ def select_checkpoint(gates: DataFrame) -> DataFrame:
             bad, F.raise_error(F.lit(f"non-finite {name}")).cast("double")
         ).otherwise(value)
 
+    require_empty(duplicate_steps(gates), "steps occur twice")
     eligible = gates.where(~F.col("regressed"))
+    if eligible.isEmpty():
+        raise CheckFailed("no checkpoint without regressions")
     return eligible.orderBy(
         *[metric(name).desc() for name in SELECTION], F.col("step").asc()
     ).limit(1)

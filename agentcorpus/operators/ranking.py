@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from agentcorpus.session import cut
+
 
 BUCKET, OFFSET, SIZE = "_bucket", "_offset", "_size"
 
@@ -72,6 +74,7 @@ def ranked(
 
 
 SALTS = 16
+MEDIAN_STEPS = 2048  # buckets per doubling of a value
 
 
 def first_few(
@@ -90,6 +93,28 @@ def first_few(
     return kept.drop("_salt").withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
 
 
+def displayed(df: DataFrame, order: Sequence[Column], limit: int | None, out: str) -> DataFrame:
+    """Rows with their 1-based rank along ``order``, the first ``limit`` only where one is given.
+
+    The rank is kept as a column because a later join does not keep the order of rows.  Rows are
+    sorted by range and stored; each partition's offset comes from the partition sizes.
+    """
+    if limit is not None:
+        df = df.orderBy(*order).limit(limit)
+    stored = cut(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_place", 33)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        stored.withColumn("_part", part)
+        .join(offsets, "_part")
+        .withColumn(out, F.col("_before") + inside + 1)
+        .drop("_part", "_place", "_before")
+    )
+
+
 def position_bucket(df: DataFrame, column: str, buckets: int = 4096) -> Column:
     """Equal-width bucket of an integer position between the table's own bounds."""
     low, high = df.agg(F.min(column), F.max(column)).first()
@@ -126,17 +151,17 @@ def take_lowest(
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, width: float = 1.0,
-    top: int = 65535,
+    df: DataFrame, keys: Sequence[str], value: str, out: str, width: float = 1.0
 ) -> DataFrame:
     """Exact median per group of non-negative values; the mean of the middle two for even counts.
 
     Equal values collapse in the partial aggregate, so neither a hot group nor a hot value reaches
-    one task whole; only the bucket(s) holding the middle are sorted.
+    one task whole; only the bucket(s) holding the middle are sorted.  Buckets grow with the value,
+    so none is open-ended.
     """
     counted = df.groupBy(*keys, value).agg(F.count(value).alias("_n")).where("_n > 0")
     bucketed = counted.withColumn(
-        BUCKET, F.least(F.floor(F.col(value) / F.lit(width)), F.lit(top)).cast("bigint")
+        BUCKET, F.floor(F.log2(F.col(value) / F.lit(width) + 1) * MEDIAN_STEPS).cast("bigint")
     )
     offsets = bucket_offsets(bucketed, keys, "_n")
     whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentcorpus.functions.text import first_answer, strip
-from agentcorpus.operators import align, order, score
+from agentcorpus.operators import align, order, ranking, score
 from agentcorpus.operators.rows import single_row
 
 DISPLAY = ("id", "image", "domain", "question", "answer")
@@ -34,8 +34,7 @@ def qa_dashboard(
         F.count_if("leaked_turn").alias("turn_leak_examples"),
     )
     current = scored.where(F.col("label") == latest)
-    rows = current.orderBy(*order.qa_diagnostic_order(current))
-    displayed = rows if limit is None else rows.limit(limit)
+    displayed = ranking.displayed(current, order.qa_diagnostic_order(current), limit, "display_rank")
     others = align.align_predictions(predictions, labels)
     return {
         "metrics": metrics,
@@ -55,10 +54,12 @@ def grounding_dashboard(
     # The dashboard leaves an undefined mean empty where the summary writes zero.
     means = scored.groupBy("label").agg(F.avg("pixel_distance").alias("mean_pixel_distance"))
     current = scored.where(F.col("label") == latest)
-    rows = current.orderBy(*order.grounding_diagnostic_order(current))
+    rows = ranking.displayed(
+        current, order.grounding_diagnostic_order(current), limit, "display_rank"
+    )
     return {
         "metrics": summary.join(means, "label"),
-        "records": rows if limit is None else rows.limit(limit),
+        "records": rows,
     }
 
 

@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agentcorpus.sources import paths
+from agentcorpus.sources.scans import open_path
 
-def content_checksums(spark: SparkSession, path: str, exclude: str | None = None) -> DataFrame:
-    """SHA-256 and size of every file beneath a folder, hashed where the file is read."""
-    files = (
+
+CHUNK = 1 << 22
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Every file beneath a folder: full path, relative name and size.  Contents are not read."""
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.sha2("content", 256).alias("sha256"),
-            F.col("length").alias("bytes"),
-        )
+        .select("path", paths.relative(spark, path, F.col("path")).alias("file"), F.col("length").alias("bytes"))
     )
-    return files if exclude is None else files.where(F.col("file") != exclude)
+
+
+def content_checksums(spark: SparkSession, path: str, exclude: str | None = None) -> DataFrame:
+    """SHA-256 and size of every file beneath a folder, by path relative to it.
+
+    Files are streamed in chunks where they are read, so none is ever held whole.
+    """
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for name in batch["path"]:
+                files_at, local = open_path(name)
+                state = hashlib.sha256()
+                with files_at.open_input_stream(local) as source:
+                    while chunk := source.read(CHUNK):
+                        state.update(chunk)
+                found.append(state.hexdigest())
+            yield batch.assign(sha256=found)[["file", "sha256", "bytes"]]
+
+    files = listing(spark, path)
+    if exclude is not None:
+        files = files.where(F.col("file") != exclude)
+    return files.repartition("path").mapInPandas(digest, "file string, sha256 string, bytes bigint")
 
 
 def row_fingerprint(line: Column) -> Column:
@@ -42,32 +71,13 @@ def source_file_inventory(
 ) -> tuple[DataFrame, DataFrame]:
     """Files of each source with their size, and the sources whose file count is not as pinned.
 
-    ``specs`` has ``id``, ``file_pattern`` (a regular expression on the file name), ``expected_files``
-    and ``source_revision``.  Contents are never read: only listing metadata is selected.
+    ``specs`` has ``id``, ``file_pattern`` (a regular expression on the path relative to the folder),
+    ``expected_files`` and ``source_revision``.  Contents are never read: only listing metadata is
+    selected.  Matching by pattern is a join on a condition, over file names and sources alone.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
-    )
-    names = specs.select("id", "file_pattern", "expected_files", "source_revision").collect()
-    cells = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col("file").rlike(row["file_pattern"]),
-                    F.struct(
-                        F.lit(row["id"]).alias("id"),
-                        F.lit(row["source_revision"]).alias("source_revision"),
-                    ),
-                )
-                for row in names
-            ]
-        )
-    )
-    listed = files.select("file", "size", F.explode(cells).alias("s")).select(
-        F.col("s.id").alias("source"), "s.source_revision", "file", "size"
+    files = listing(spark, folder).select("file", F.col("bytes").alias("size"))
+    listed = files.join(specs, F.expr("file RLIKE file_pattern")).select(
+        F.col("id").alias("source"), "source_revision", "file", "size"
     )
     counts = listed.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("files"))
     found = F.coalesce("files", F.lit(0))

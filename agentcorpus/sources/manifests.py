@@ -5,14 +5,26 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agentcorpus import schema
+from agentcorpus.sources.paths import relative
 
 
 def read_manifest(spark: SparkSession, *paths: str, columns: str = schema.RECORD) -> DataFrame:
-    """JSON lines with a fixed schema; blank lines are skipped and a malformed line fails the read."""
-    return spark.read.schema(columns).option("mode", "FAILFAST").json(list(paths))
+    """JSON lines; blank lines are skipped and a malformed line fails the read.
+
+    Keys beyond ``columns`` are kept as text in the map ``extra``, which is null where there is none.
+    """
+    lines = spark.read.text(list(paths)).where(F.trim("value") != "")
+    read = lines.select(
+        F.from_json("value", columns, {"mode": "FAILFAST"}).alias("_r"),
+        F.from_json("value", "map<string,string>").alias("_all"),
+    )
+    known = list(read.select("_r.*").columns)
+    extra = F.map_filter("_all", lambda key, _: ~key.isin(known))
+    return read.select("_r.*", F.when(F.size(extra) > 0, extra).alias("extra"))
 
 
 def write_manifest(df: DataFrame, path: str, file_format: str = "json") -> None:
@@ -35,30 +47,61 @@ def append_episodes(episodes: DataFrame, path: str) -> None:
     episodes.write.mode("append").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with their file (relative) and 1-based line number.
+
+    Lines are counted inside each split of a file; the counts of a file's earlier splits are added.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        relative(spark, path, F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = lines.groupBy("file", "_start").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")
+    )
+    earlier = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select(
+        "file", "_start", "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")
+    )
+    return lines.join(offsets, ["file", "_start"]).select(
+        "value", "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line")
+    )
+
+
 def read_episodes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Valid episodes, and the invalid lines with their file."""
-    columns = schema.EPISODE + ", _bad string"
-    raw = (
-        spark.read.schema(columns)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(path)
-        .withColumn("_file", F.col("_metadata.file_path"))
+    """Valid episodes, and the invalid lines with their file and line number."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    read = numbered_lines(spark, path).where(F.trim("value") != "").withColumn(
+        "_e", F.from_json("value", schema.EPISODE + ", _bad string", options)
+    )
+    broken = F.col("_e._bad").isNotNull() | F.col("_e.episode_id").isNull()
+    return read.where(~broken).select("_e.*").drop("_bad"), read.where(broken).select(
+        F.col("file").alias("_file"), F.col("line").alias("_line"), F.col("value").alias("_bad")
     )
-    broken = F.col("_bad").isNotNull() | F.col("episode_id").isNull()
-    return raw.where(~broken).drop("_bad", "_file"), raw.where(broken).select("_file", "_bad")
 
 
 RECEIPT_TREE = "map<string, struct<merged:struct<tasks:map<string, map<string, string>>>>>"
 
 
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """Receipts (one JSON object per line) as long metrics; numeric values only, no example counts."""
+    """Receipts as long metrics; numeric values only, no example counts.
+
+    A file holds one receipt, indented or not, or one per line.  Receipts are small, so a file is
+    read as one value.
+    """
     columns = (
         "run_id string, control string, size string, seed int, step int, model string, "
         f"model_revision string, adapter_sha256 string, suites {RECEIPT_TREE}"
     )
-    raw = spark.read.schema(columns).option("mode", "FAILFAST").json(path)
+    files = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
+    by_line = F.forall(lines, lambda line: F.trim(line).rlike("^[{].*[}]$"))
+    texts = files.select(
+        F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("value")
+    )
+    raw = texts.select(F.from_json("value", columns, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
     head = [c for c in raw.columns if c != "suites"]
     suites = raw.select(*head, F.explode("suites").alias("suite", "_s"))
     tasks = suites.select(*head, "suite", F.explode("_s.merged.tasks").alias("task", "_t"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentcorpus import schema
+from agentcorpus.sources import paths
 
 
 def progress_events(lines: DataFrame) -> DataFrame:
@@ -33,11 +34,17 @@ def benchmark_terminals(events: DataFrame, keys: list[str], order: str = "line")
 
 
 def read_progress_log(spark: SparkSession, path: str) -> DataFrame:
-    """Terminal events per log file; the byte position in the file decides which line is last."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("log"),
-        F.struct(
-            F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-        ).alias("line"),
+    """Terminal events per log file, by path relative to the given one; the byte position in the
+    file decides which line is last."""
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .text(path)
+        .select(
+            "value",
+            paths.relative(spark, path, F.col("_metadata.file_path")).alias("log"),
+            F.struct(
+                F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+            ).alias("line"),
+        )
     )
     return benchmark_terminals(progress_events(lines), ["log"])

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentcorpus.operators import expand
+from agentcorpus.sources.paths import relative
 
 
-def file_position(df: DataFrame, dataset: str, revision: str) -> DataFrame:
-    """Locator columns: file name, byte offset of the split, and row index in the file.
+def file_position(df: DataFrame, path: str, dataset: str, revision: str) -> DataFrame:
+    """Locator columns: file name relative to the given path, byte offset of the split, and row index in the file.
 
     The start of the split stands in for the row-group number: both name one contiguous piece of one
     file, which is what later fetches group by.
@@ -21,8 +22,8 @@ def file_position(df: DataFrame, dataset: str, revision: str) -> DataFrame:
         {
             "dataset": F.lit(dataset),
             "revision": F.lit(revision),
-            "file": F.col("_metadata.file_name"),
-            "block_start": F.col("_metadata.file_block_start"),
+            "file": relative(df.sparkSession, path, F.col("_metadata.file_path")),
+            "row_group": F.col("_metadata.file_block_start"),
             "row_index": F.col("_metadata.row_index"),
         }
     )
@@ -32,9 +33,9 @@ def scan_trajectories(
     spark: SparkSession, path: str, dataset: str = "", revision: str = ""
 ) -> DataFrame:
     """Only the three text columns are read; image bytes never leave the file."""
-    raw = file_position(spark.read.parquet(path), dataset, revision)
+    raw = file_position(spark.read.parquet(path), path, dataset, revision)
     return raw.select(
-        "sample_id", "instruction", "trajectory", "dataset", "revision", "file", "block_start",
+        "sample_id", "instruction", "trajectory", "dataset", "revision", "file", "row_group",
         "row_index",
     )
 
@@ -42,9 +43,9 @@ def scan_trajectories(
 def scan_screenshots(
     spark: SparkSession, path: str, dataset: str = "", revision: str = ""
 ) -> DataFrame:
-    raw = file_position(spark.read.parquet(path), dataset, revision)
+    raw = file_position(spark.read.parquet(path), path, dataset, revision)
     return raw.select(
-        "messages", "metadata", "dataset", "revision", "file", "block_start", "row_index"
+        "messages", "metadata", "dataset", "revision", "file", "row_group", "row_index"
     )
 
 
@@ -89,7 +90,7 @@ def open_path(path: str):
 def scan_arrow(
     spark: SparkSession, files: DataFrame, columns: Sequence[str], schema: str, rows: int = 4096
 ) -> DataFrame:
-    """Arrow IPC stream or file shards listed in ``files`` (column ``path``), one task per file.
+    """Arrow IPC stream or file shards listed in ``files`` (column ``path``), dealt out by path.
 
     Batches are projected before they leave the reader and re-sliced to a fixed size, so a task holds
     one batch at a time.  Run once to write Parquet; later scans then prune and split.
@@ -112,9 +113,7 @@ def scan_arrow(
                         for start in range(0, kept.num_rows, rows):
                             yield kept.slice(start, rows)
 
-    listed = files.select("path")
-    spread = listed.repartition(max(1, min(listed.count(), 10000)), "path")
-    return spread.mapInArrow(read, schema)
+    return files.select("path").repartition("path").mapInArrow(read, schema)
 
 
 def write_arrow_shards(df: DataFrame, folder: str) -> DataFrame:

@@ -177,3 +177,82 @@ def test_malformed_manifest_fails(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"id":"a"}\n{"id": \n')
     with pytest.raises(Exception):
         manifests.read_manifest(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_history_with_gaps_in_step_numbers(spark):
+    rows = [("a", s, f"n{s}") for s in (0, 500, 1000, 1001)] + [("b", 7, "x")]
+    df = spark.createDataFrame(rows, "t string, i long, name string")
+    got = {(r["t"], r["i"]): [h["step"] for h in r["history"]]
+           for r in expand.history_frame(df, "t", "i", ["name"], 2, span=4).collect()}
+    assert got == {("a", 0): [], ("a", 500): [0], ("a", 1000): [0, 500], ("a", 1001): [500, 1000], ("b", 7): []}
+
+
+def test_missing_and_double_partners_are_errors(spark):
+    rows = [("base", "1", "x"), ("new", "1", "y"), ("base", "2", "z")]
+    df = spark.createDataFrame(rows, "label string, id string, prediction string")
+    good = align.align_predictions(df.where("id = '1'"), ["base", "new"]).first()
+    assert (good["base"], good["new"]) == ("x", "y")
+    for bad in (df, df.where("id = '1'").union(df.where("id = '1'"))):
+        with pytest.raises(Exception, match="expected one row"):
+            align.align_predictions(bad, ["base", "new"]).collect()
+    episodes = spark.createDataFrame(
+        [("t1", 1, "c", True, 1.0), ("t1", 1, "n", False, 2.0), ("t2", 1, "c", True, 1.0)],
+        "task_id string, seed int, variant_id string, success boolean, total_reward double",
+    )
+    assert align.pair_episodes(episodes.where("task_id = 't1'"), "c", "n").first()["reward_delta"] == 1.0
+    with pytest.raises(Exception, match="expected one row"):
+        align.pair_episodes(episodes, "c", "n").collect()
+
+
+def test_disagreeing_image_checkpoints_are_an_error(spark):
+    rows = [("a", "p", 1), ("a", "p", 1), ("b", "q", 2)]
+    df = spark.createDataFrame(rows, "locator_id string, image string, image_width int")
+    assert align.image_index_merge(df).count() == 2
+    with pytest.raises(Exception, match="disagree"):
+        align.image_index_merge(df.union(spark.createDataFrame([("b", "q", 3)], df.schema))).collect()
+
+
+def test_checkpoint_choice_refuses_doubtful_gates(spark):
+    columns = "click_inside_bbox_accuracy double, action_name_accuracy double, action_argument_accuracy double, step int, regressed boolean"
+    one = (0.5, 0.5, 0.5, 500, False)
+    with pytest.raises(ValueError, match="twice"):
+        order.select_checkpoint(spark.createDataFrame([one, one], columns))
+    with pytest.raises(ValueError, match="without regressions"):
+        order.select_checkpoint(spark.createDataFrame([(*one[:4], True)], columns))
+
+
+def test_readers_keep_paths_lines_and_unknown_keys(spark, tmp_path):
+    import hashlib
+    import json
+
+    from agentcorpus.sources import checksums, progress
+
+    for name, value in (("a", 1), ("b", 2)):
+        (tmp_path / "logs" / name).mkdir(parents=True)
+        event = {"event": "complete", "stage": "benchmark_x", "completed": value}
+        (tmp_path / "logs" / name / "x.log").write_text("note\n" + json.dumps(event) + "\n")
+    found = {r["log"]: r["completed"] for r in progress.read_progress_log(spark, str(tmp_path / "logs")).collect()}
+    assert found == {"a/x.log": 1, "b/x.log": 2}
+    sums = {r["file"]: r["sha256"] for r in checksums.content_checksums(spark, str(tmp_path / "logs"), "b/x.log").collect()}
+    assert sums == {"a/x.log": hashlib.sha256((tmp_path / "logs/a/x.log").read_bytes()).hexdigest()}
+    receipt = {"run_id": "r", "seed": 1, "suites": {"iid": {"merged": {"tasks": {"qa": {"f1": "0.5", "examples": "9"}}}}}}
+    (tmp_path / "receipts").mkdir()
+    (tmp_path / "receipts/one.json").write_text(json.dumps(receipt, indent=2))
+    (tmp_path / "receipts/two.json").write_text(json.dumps(receipt) + "\n" + json.dumps(receipt) + "\n")
+    assert manifests.read_receipts(spark, str(tmp_path / "receipts")).count() == 3
+    (tmp_path / "m.jsonl").write_text('{"id": "1", "colour": "red"}\n\n{"id": "2"}\n')
+    extra = {r["id"]: r["extra"] for r in manifests.read_manifest(spark, str(tmp_path / "m.jsonl")).collect()}
+    assert extra == {"1": {"colour": "red"}, "2": None}
+    (tmp_path / "e.jsonl").write_text('{"episode_id": "1"}\n{broken\n{"episode_id": "2"}\n{"x": 1}\n')
+    valid, invalid = manifests.read_episodes(spark, str(tmp_path / "e.jsonl"))
+    assert valid.count() == 2
+    assert {(r["_file"], r["_line"]) for r in invalid.collect()} == {("e.jsonl", 2), ("e.jsonl", 4)}
+
+
+@pytest.mark.parametrize("limit", [4, 1000, 1001, 5000])
+def test_first_few_has_no_cap(spark, limit):
+    from agentcorpus.operators.ranking import first_few
+
+    df = spark.range(6000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    found = first_few(df, ["k"], [F.desc("v")], limit).groupBy("k").agg(F.count("v").alias("n"), F.max("rank").alias("r"))
+    assert {(r["n"], r["r"]) for r in found.collect()} == {(min(limit, 3000), min(limit, 3000))}
