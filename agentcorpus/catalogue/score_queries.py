@@ -20,6 +20,11 @@ _QA_CATEGORY = """CASE WHEN exact_match THEN NULL WHEN contains(question_type, '
   ELSE 'semantic_understanding' END"""
 
 
+def stored_scores(scored):
+    """Scores without their texts, written once: sums and medians both read them."""
+    return cut(scored, *score.score_columns(scored))
+
+
 @query(
     "qa_score",
     f"""WITH {B.QA_SCORED_SQL} SELECT id, label, exact_match, round(token_f1, 6) AS token_f1,
@@ -91,7 +96,7 @@ _GROUNDING_METRICS = """count(*)::BIGINT AS examples, round(avg(parse_success::I
 )
 def grounding_summary(spark, folder):
     # Sums and the median both read the scores: store them once.
-    scored = cut(score.grounding_score(B.grounding_predictions(spark, folder)))
+    scored = stored_scores(score.grounding_score(B.grounding_predictions(spark, folder)))
     return rounded(score.grounding_summary(scored, ["benchmark"]))
 
 
@@ -101,7 +106,9 @@ def grounding_summary(spark, folder):
 )
 def grounding_summary_all(spark, folder):
     return rounded(
-        score.grounding_summary(cut(score.grounding_score(B.grounding_predictions(spark, folder))))
+        score.grounding_summary(
+            stored_scores(score.grounding_score(B.grounding_predictions(spark, folder)))
+        )
     )
 
 
@@ -168,7 +175,7 @@ _ACTION_METRICS = """count(*)::BIGINT AS examples,
         GROUP BY website_category""",
 )
 def action_summary(spark, folder):
-    scored = cut(score.action_score(B.action_predictions(spark, folder)))
+    scored = stored_scores(score.action_score(B.action_predictions(spark, folder)))
     return rounded(score.action_summary(scored, ["website_category"]))
 
 
@@ -268,7 +275,7 @@ _ACTION_LONG = {
     {_unpivot('action', _ACTION_LONG, 'ma', "'web'")}""",
 )
 def score_mixed(spark, folder):
-    scored = cut(score.score_mixed_rows(mixed_predictions(spark, folder)))
+    scored = stored_scores(score.score_mixed_rows(mixed_predictions(spark, folder)))
     return rounded(score.score_mixed(scored))
 
 

@@ -151,15 +151,17 @@ def take_lowest(
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, width: float = 1.0
+    df: DataFrame, keys: Sequence[str], value: str, out: str, width: float = 1.0,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact median per group of non-negative values; the mean of the middle two for even counts.
 
     Equal values collapse in the partial aggregate, so neither a hot group nor a hot value reaches
     one task whole; only the bucket(s) holding the middle are sorted.  Buckets grow with the value,
-    so none is open-ended.
+    so none is open-ended.  With ``weight`` a row stands for that many equal values.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(value).alias("_n")).where("_n > 0")
+    amount = F.count(value) if weight is None else F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    counted = df.groupBy(*keys, value).agg(amount.alias("_n")).where("_n > 0")
     bucketed = counted.withColumn(
         BUCKET, F.floor(F.log2(F.col(value) / F.lit(width) + 1) * MEDIAN_STEPS).cast("bigint")
     )

@@ -16,6 +16,7 @@ from agentcorpus.operators import records
 from agentcorpus.operators.audit import macro_metric
 from agentcorpus.operators.ranking import exact_median
 from agentcorpus.operators.rows import single_row
+from agentcorpus.session import cut
 
 THRESHOLDS = (25, 50, 100)
 # primary boolean metrics of a mixed evaluation: name -> (task, column)
@@ -181,7 +182,15 @@ def action_score(df: DataFrame) -> DataFrame:
             "click_inside_bbox": F.col("_c.click_inside_bbox"),
         }
     ).drop("_c").withColumnsRenamed({"parse_error": "action_parse_error"})
-    return scored.withColumn("error_category", action_error_category(scored))
+    click = F.get_json_object("target_action", "$.name") == "click"
+    boxed = click & F.coalesce(F.size("bbox_normalized") > 0, F.lit(False))
+    return scored.withColumns(
+        {
+            "error_category": action_error_category(scored),
+            "click_target": F.coalesce(click, F.lit(False)),
+            "boxed_target": F.coalesce(boxed, F.lit(False)),
+        }
+    )
 
 
 # ---- summaries ------------------------------------------------------------------------------
@@ -196,8 +205,93 @@ def _grouped(df: DataFrame, by: Sequence[str]):
     return df.groupBy(*by) if by else df.groupBy()
 
 
-def _with_median(summary: DataFrame, scored: DataFrame, by: Sequence[str], value: str, out: str):
-    median = exact_median(scored, by, value, out)
+def _moments(parts: dict[str, Column]) -> list[Column]:
+    """Sum and count of each value: what means of any coarser grouping are made of."""
+    return [
+        column
+        for name, value in parts.items()
+        for column in (
+            F.sum(value.cast("double")).alias(f"{name}_sum"), F.count(value).alias(f"{name}_n")
+        )
+    ]
+
+
+def _mean(name: str, default: float | None = 0.0) -> Column:
+    value = F.when(F.col(f"{name}_n") > 0, F.col(f"{name}_sum") / F.col(f"{name}_n"))
+    return (value if default is None else F.coalesce(value, F.lit(default))).alias(name)
+
+
+def _share(condition: Column, hit: Column) -> Column:
+    return F.when(condition, F.coalesce(hit, F.lit(False)).cast("double"))
+
+
+def _summary_parts(task: str, thresholds: Sequence[int]) -> tuple[dict, dict, str | None, str]:
+    """(means with 0 where undefined, means with null, value of the median, its name) of a task."""
+    if task == "qa":
+        return {"answer_accuracy": F.col("exact_match"), "mean_token_f1": F.col("token_f1")}, {}, None, ""
+    if task == "grounding":
+        given = F.when(F.col("parse_success"), F.col("within_element_bounds").cast("double"))
+        means = {
+            "parse_rate": F.col("parse_success"),
+            "point_on_grid_rate": F.col("point_on_grid"),
+            "click_accuracy": F.col("within_element_bounds"),
+            "click_accuracy_given_parse": given,
+            "mean_pixel_distance": F.col("pixel_distance"),
+            **{f"accuracy_within_{t}px": F.col(f"within_{t}px") for t in thresholds},
+        }
+        return means, {}, "pixel_distance", "median_pixel_distance"
+    means = {
+        "json_parse_rate": F.col("action_parse_valid"),
+        "action_name_accuracy": F.col("action_name_correct"),
+        "action_argument_accuracy": F.col("action_arguments_correct"),
+        "exact_action_accuracy": F.col("action_exact"),
+    }
+    boxed, click, gap = F.col("boxed_target"), F.col("click_target"), F.col("click_distance_px")
+    optional = {
+        "click_inside_bbox_accuracy": _share(boxed, F.col("click_inside_bbox")),
+        **{f"click_within_{t}px_accuracy": _share(click, gap <= t) for t in thresholds},
+    }
+    return means, optional, "click_distance_px", "click_median_distance_px"
+
+
+def _summarise(
+    scored: DataFrame, by: Sequence[str], task: str, thresholds: Sequence[int] = THRESHOLDS,
+    regroup=None, base: Sequence[str] | None = None,
+) -> DataFrame:
+    """Summary of a task per ``by``.
+
+    Rows are summed once per ``base`` (``by`` itself unless given); ``regroup`` repeats those few
+    sums, and the counts of equal distances, for every coarser group.
+    """
+    base = list(by if base is None else base)
+    regroup = regroup or (lambda df: df)
+    means, optional, value, out = _summary_parts(task, thresholds)
+    sums = [F.count(F.lit(1)).alias("examples"), *_moments({**means, **optional})]
+    if task == "action":
+        sums += [
+            F.count_if(F.col("boxed_target")).alias("click_target_examples_with_bbox"),
+            F.count("click_distance_px").alias("click_predictions_with_distance"),
+        ]
+    first = _grouped(scored, base).agg(*sums)
+    added = [c for c in first.columns if c not in base]
+    total = _grouped(regroup(first), by).agg(*[F.sum(c).alias(c) for c in added])
+    shown = {name: _mean(name) for name in means} | {name: _mean(name, None) for name in optional}
+    if task == "action":
+        count = ["click_target_examples_with_bbox", "click_predictions_with_distance"]
+        parts = [
+            *[shown[name] for name in means], count[0], shown["click_inside_bbox_accuracy"], count[1],
+            *[shown[name] for name in optional if name != "click_inside_bbox_accuracy"],
+        ]
+    else:
+        parts = list(shown.values())
+    whole = F.coalesce("examples", F.lit(0)).alias("examples")  # an empty table has no sums
+    summary = total.select(*by, whole, *parts)
+    if value is None:
+        return summary
+    counted = _grouped(scored.where(F.col(value).isNotNull()), [*base, value]).agg(
+        F.count(F.lit(1)).alias("_weight")
+    )
+    median = exact_median(regroup(counted), by, value, out, weight="_weight")
     if not by:
         return single_row(summary, median)
     names = [f"_m{i}" for i in range(len(by))]
@@ -209,27 +303,13 @@ def _with_median(summary: DataFrame, scored: DataFrame, by: Sequence[str], value
 
 
 def qa_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _grouped(scored, by).agg(
-        F.count(F.lit(1)).alias("examples"),
-        rate("exact_match").alias("answer_accuracy"),
-        rate("token_f1").alias("mean_token_f1"),
-    )
+    return _summarise(scored, by, "qa")
 
 
 def grounding_summary(
     scored: DataFrame, by: Sequence[str] = (), thresholds: Sequence[int] = THRESHOLDS
 ) -> DataFrame:
-    given = F.avg(F.when(F.col("parse_success"), F.col("within_element_bounds").cast("double")))
-    summary = _grouped(scored, by).agg(
-        F.count(F.lit(1)).alias("examples"),
-        rate("parse_success").alias("parse_rate"),
-        rate("point_on_grid").alias("point_on_grid_rate"),
-        rate("within_element_bounds").alias("click_accuracy"),
-        F.coalesce(given, F.lit(0.0)).alias("click_accuracy_given_parse"),
-        F.coalesce(F.avg("pixel_distance"), F.lit(0.0)).alias("mean_pixel_distance"),
-        *[rate(f"within_{t}px").alias(f"accuracy_within_{t}px") for t in thresholds],
-    )
-    return _with_median(summary, scored, by, "pixel_distance", "median_pixel_distance")
+    return _summarise(scored, by, "grounding", thresholds)
 
 
 def grounding_breakdown(scored: DataFrame, field: str) -> DataFrame:
@@ -244,27 +324,7 @@ def action_summary(
     scored: DataFrame, by: Sequence[str] = (), thresholds: Sequence[int] = THRESHOLDS
 ) -> DataFrame:
     """Rates over all rows; click figures over click targets, where a missing value is a miss."""
-    click = F.get_json_object("target_action", "$.name") == "click"
-    boxed = click & F.coalesce(F.size("bbox_normalized") > 0, F.lit(False))
-
-    def share(condition, hit):
-        return F.avg(F.when(condition, F.coalesce(hit, F.lit(False)).cast("double")))
-
-    summary = _grouped(scored, by).agg(
-        F.count(F.lit(1)).alias("examples"),
-        rate("action_parse_valid").alias("json_parse_rate"),
-        rate("action_name_correct").alias("action_name_accuracy"),
-        rate("action_arguments_correct").alias("action_argument_accuracy"),
-        rate("action_exact").alias("exact_action_accuracy"),
-        F.count_if(boxed).alias("click_target_examples_with_bbox"),
-        share(boxed, F.col("click_inside_bbox")).alias("click_inside_bbox_accuracy"),
-        F.count("click_distance_px").alias("click_predictions_with_distance"),
-        *[
-            share(click, F.col("click_distance_px") <= t).alias(f"click_within_{t}px_accuracy")
-            for t in thresholds
-        ],
-    )
-    return _with_median(summary, scored, by, "click_distance_px", "click_median_distance_px")
+    return _summarise(scored, by, "action", thresholds)
 
 
 def action_name_accuracy(scored: DataFrame) -> DataFrame:
@@ -287,45 +347,67 @@ def score_mixed_rows(df: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> D
     )
 
 
-def evaluation_groups(scored: DataFrame) -> DataFrame:
-    """Repeat each row for the whole evaluation, its website category and its application focus.
+MIXED_BASE = ("benchmark", "_category", "_focus")
 
-    Together with the grouped summaries this is GROUPING SETS; the copies meet in the partial
-    aggregates and do not cross the shuffle row by row.
-    """
-    focus = F.when(
-        F.coalesce(records.optional(scored, "application_focused", "boolean"), F.lit(False)),
-        "application",
-    ).otherwise("other")
+
+def evaluation_groups(sums: DataFrame) -> DataFrame:
+    """Repeat rows for the whole evaluation, the website category and the application focus."""
 
     def key(kind, value):
         return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
     keys = F.array(
         key("all", F.lit("all")),
-        key("website_category", records.field_or(scored, "website_category", "unclassified")),
-        key("application_focus", focus),
+        key("website_category", F.col("_category")),
+        key("application_focus", F.col("_focus")),
     )
-    return scored.withColumn("_g", F.explode(keys)).withColumns(
+    return sums.withColumn("_g", F.explode(keys)).withColumns(
         {"group_kind": F.col("_g.kind"), "group_value": F.col("_g.value")}
     ).drop("_g")
 
 
 def score_mixed(scored: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -> DataFrame:
-    """Long metrics (group_kind, group_value, benchmark, task, metric, value) of a scored table."""
-    grouped = evaluation_groups(scored).withColumn(
-        "benchmark", records.field_or(scored, "benchmark")
+    """Long metrics (group_kind, group_value, benchmark, task, metric, value) of a scored table.
+
+    Rows are summed once per (benchmark, category, focus); only those sums are repeated for the
+    three groupings.
+    """
+    focus = F.coalesce(records.optional(scored, "application_focused", "boolean"), F.lit(False))
+    based = scored.withColumns(
+        {
+            "benchmark": records.field_or(scored, "benchmark"),
+            "_category": records.field_or(scored, "website_category", "unclassified"),
+            "_focus": F.when(focus, "application").otherwise("other"),
+        }
     )
     by = ["group_kind", "group_value", "benchmark"]
-    parts = {
-        "qa": qa_summary(grouped.where(F.col("task") == "qa"), by),
-        "grounding": grounding_summary(grouped.where(F.col("task") == "grounding"), by, thresholds),
-        "action": action_summary(grouped.where(F.col("task") == "action"), by, thresholds),
-    }
-    long = [to_long(summary, by, task) for task, summary in parts.items()]
+    long = [
+        to_long(
+            _summarise(
+                based.where(F.col("task") == task), by, task, thresholds, evaluation_groups, MIXED_BASE
+            ),
+            by, task,
+        )
+        for task in ("qa", "grounding", "action")
+    ]
     return reduce(DataFrame.unionByName, long)
 
 
+SCORES = (
+    "id", "task", "benchmark", "domain", "website_category", "application_focused", "label",
+    "source_evaluation_label", "exact_match", "token_f1", "parse_success", "point_on_grid",
+    "within_element_bounds", "pixel_distance", "action_parse_valid", "action_name_correct",
+    "action_arguments_correct", "action_exact", "click_distance_px", "click_inside_bbox",
+    "click_target", "boxed_target", "error_category",
+)
+
+
+def score_columns(scored: DataFrame) -> list[str]:
+    """The columns that summaries read; texts and JSON are not among them."""
+    within = [c for c in scored.columns if c.startswith("within_") and c.endswith("px")]
+    return [c for c in SCORES if c in scored.columns] + within
+
+
 def to_long(summary: DataFrame, by: Sequence[str], task: str) -> DataFrame:
     """Wide summary to one row per metric."""
     metrics = [c for c in summary.columns if c not in by]
@@ -357,10 +439,9 @@ def score_by_benchmark(df: DataFrame, thresholds: Sequence[int] = THRESHOLDS) ->
     """QA and grounding summaries per benchmark, as long metrics."""
     known = df.withColumn("benchmark", records.field_or(df, "benchmark"))
     qa = qa_summary(qa_score(known.where(F.col("task") == "qa")), ["benchmark"])
-    grounding = grounding_summary(
-        grounding_score(known.where(F.col("task") == "grounding"), thresholds),
-        ["benchmark"], thresholds,
-    )
+    scored = grounding_score(known.where(F.col("task") == "grounding"), thresholds)
+    # sums and the median both read the scores
+    grounding = grounding_summary(cut(scored, *score_columns(scored)), ["benchmark"], thresholds)
     return to_long(qa, ["benchmark"], "qa").unionByName(
         to_long(grounding, ["benchmark"], "grounding")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +46,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are computed once, stored, and survive lost executors."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, *columns: str) -> DataFrame:
+    """Write rows (of the named columns, where given) as Parquet in the shared folder; read them back.
+
+    They are computed once and survive lost executors; later steps prune columns, and the shuffle
+    files behind them are let go.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    kept = df.select(*columns) if columns else df
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        kept.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(kept.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
