@@ -131,10 +131,38 @@ def nested_tier_sizes(spark, folder):
     )
 
 
-@query("nested_check", "SELECT doc_id::VARCHAR AS id, source AS missing_after FROM documents WHERE false")
+_NESTING = """
+t AS (SELECT doc_id::VARCHAR AS id, source AS domain, n_chars % 10 AS k, doc_id % 7 = 0 AS hole FROM documents),
+m AS (SELECT 'small' AS tier, id, domain FROM t WHERE k < 2 UNION ALL
+      SELECT 'medium', id, domain FROM t WHERE k < 5 AND NOT hole UNION ALL
+      SELECT 'large', id, domain FROM t WHERE k <> 4)"""
+
+
+def nesting(spark, folder):
+    """Tiers by text length, with holes: the middle one lacks every seventh id, the last one length 4."""
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("domain"),
+        (F.col("n_chars") % 10).alias("k"), (F.col("doc_id") % 7 == 0).alias("hole"),
+    )
+    tiers = F.array_compact(
+        F.array(
+            F.when(F.col("k") < 2, "small"),
+            F.when((F.col("k") < 5) & ~F.col("hole"), "medium"),
+            F.when(F.col("k") != 4, "large"),
+        )
+    )
+    return docs.select("id", "domain", F.explode(tiers).alias("tier"))
+
+
+@query(
+    "nested_check",
+    f"""WITH {_NESTING} SELECT id, 'small' AS missing_after FROM m WHERE tier = 'small' AND id NOT IN
+      (SELECT id FROM m WHERE tier = 'medium') UNION ALL
+    SELECT id, 'medium' FROM m WHERE tier = 'medium' AND id NOT IN
+      (SELECT id FROM m WHERE tier = 'large')""",
+)
 def nested_check(spark, folder):
-    members = sample.tier_membership(_tiers(spark, folder), list(TIERS))
-    return setops.nested_check(members, list(TIERS))
+    return setops.nested_check(nesting(spark, folder), ["small", "medium", "large"])
 
 
 @query(
@@ -287,9 +315,10 @@ def retain_archived(spark, folder):
 
 @query(
     "combined_tier",
-    """SELECT * FROM (VALUES ('small', 60::BIGINT, true), ('medium', 150::BIGINT, true),
-       ('large', 300::BIGINT, true)) v(tier, examples, cap_ok)""",
+    f"""WITH {_NESTING}, c AS (SELECT tier, domain, count(*) AS n FROM m GROUP BY ALL)
+    SELECT tier, sum(n)::BIGINT AS examples, count(*)::BIGINT AS domains,
+      round(max(n) / sum(n)::DOUBLE, 6) AS max_domain_share,
+      max(n) / sum(n)::DOUBLE <= 0.055 + 1.0 / sum(n)::DOUBLE AS cap_ok FROM c GROUP BY tier""",
 )
 def combined_tier(spark, folder):
-    members = cut(sample.tier_membership(_tiers(spark, folder), list(TIERS)))
-    return setops.combined_tier(members, SEED, 0.15).select("tier", "examples", "cap_ok")
+    return rounded(setops.combined_tier(nesting(spark, folder), SEED, 0.055))

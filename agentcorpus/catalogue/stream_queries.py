@@ -32,7 +32,12 @@ def stream_scores(spark, folder):
     )
     twice = predictions.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy")).drop("_copy")
     out = scratch(spark, "stream-scores")
-    _finish(jobs.stream_scores(twice, score.grounding_score, f"{out}/rows", f"{out}/state"))
+    arriving = twice.withColumn("arrived", F.current_timestamp())
+    _finish(
+        jobs.stream_scores(
+            arriving, score.grounding_score, f"{out}/rows", f"{out}/state", arrival="arrived"
+        )
+    )
     return spark.read.parquet(f"{out}/rows").select(
         "id", "run_signature", "parse_success", "within_element_bounds"
     )
@@ -80,8 +85,12 @@ def stream_progress(spark, folder):
 )
 def stream_episodes(spark, folder):
     episodes = _stream(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("episode_id")
+        F.col("user_id").cast("string").alias("episode_id"), F.col("ts").cast("timestamp").alias("ts"),
     )
     out = scratch(spark, "stream-episodes")
-    _finish(jobs.stream_episodes(episodes, f"{out}/rows", f"{out}/state"))
+    _finish(
+        jobs.stream_episodes(
+            episodes, f"{out}/rows", f"{out}/state", arrival="ts", delay="3650 days"
+        )
+    )
     return spark.read.parquet(f"{out}/rows").select("episode_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agentcorpus.catalogue import bindings as B
 from agentcorpus.catalogue.base import query, r6, rounded, sql_key, table
+from agentcorpus.operators.rows import single_row
 from agentcorpus.operators import align, study
 
 
@@ -90,10 +91,36 @@ def pairing_issues(spark, folder):
     return align.pairing_issues(rows, "control", "candidate")
 
 
-@query("paired_bootstrap")
+_TOLERANCE = 0.3  # of the interval's half width, between 1000 resamples and the normal interval
+
+
+@query(
+    "paired_bootstrap",
+    f"""WITH {_PAIRS} SELECT count(*)::BIGINT AS paired_episodes,
+        round(avg(success_delta), 6) AS success_rate_delta,
+        round(avg(reward_delta), 6) AS mean_reward_delta,
+        round(avg(success_delta) - 1.96::DOUBLE * stddev_pop(success_delta) / sqrt(count(*)), 6) AS normal_low,
+        round(avg(success_delta) + 1.96::DOUBLE * stddev_pop(success_delta) / sqrt(count(*)), 6) AS normal_high,
+        true AS agrees FROM p""",
+)
 def paired_bootstrap(spark, folder):
-    """Interval ends come from random draws; tests compare them with brute-force resampling."""
-    return study.paired_bootstrap(_pairs(spark, folder), samples=1000, seed=B.SEED)
+    """Counts and deltas, and whether the resampled interval agrees with the normal one."""
+    pairs = _pairs(spark, folder)
+    spread = pairs.agg(
+        (F.stddev_pop("success_delta") / F.sqrt(F.count("success_delta"))).alias("error")
+    )
+    found = single_row(study.paired_bootstrap(pairs, samples=1000, seed=B.SEED), spread)
+    half = F.lit(1.96) * F.col("error")
+    low, high = F.col("success_rate_delta") - half, F.col("success_rate_delta") + half
+    near = (F.abs(F.col("ci_low") - low) <= _TOLERANCE * half) & (
+        F.abs(F.col("ci_high") - high) <= _TOLERANCE * half
+    )
+    return rounded(
+        found.select(
+            "paired_episodes", "success_rate_delta", "mean_reward_delta", low.alias("normal_low"),
+            high.alias("normal_high"), near.alias("agrees"),
+        )
+    )
 
 
 _SAMPLES = 40

@@ -115,13 +115,24 @@ def displayed(df: DataFrame, order: Sequence[Column], limit: int | None, out: st
     )
 
 
-def position_bucket(df: DataFrame, column: str, buckets: int = 4096) -> Column:
-    """Equal-width bucket of an integer position between the table's own bounds."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None:
+def position_bucket(df: DataFrame, column: str, buckets: int = 1024) -> Column:
+    """Equal-count bucket of a position, whatever its distribution.
+
+    The bounds are quantiles from a fixed-size summary of all rows; a row finds its bucket by binary
+    search in them.
+    """
+    steps = [k / buckets for k in range(1, buckets)]
+    found = df.agg(F.percentile_approx(column, steps, 20 * buckets)).first()[0]
+    bounds = sorted(set(found or []))
+    if not bounds:
         return F.lit(0)
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    return F.floor((F.col(column) - F.lit(int(low))) / F.lit(width)).cast("bigint")
+    listed = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>")
+    halvings = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, halvings)),
+        F.lit(-1),
+        lambda at, step: F.when(F.get(listed, at + step) <= F.col(column), at + step).otherwise(at),
+    )
 
 
 def take_lowest(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from agentcorpus.functions import hashing
 from agentcorpus.operators import records
 from agentcorpus.operators.ranking import position_bucket, ranked
-from agentcorpus.operators.rows import single_row
+from agentcorpus.session import cut
 
 # ---- fixed values: hash salts of the published split ----------------------------------------
 DOMAIN_SALT = "exp005-domain"
@@ -77,7 +77,8 @@ def assign_destination(
     state = unit_state(df, seed, shares).withColumn(
         "cross_partition", crosses_partitions()
     ).select("unit", "partition_low", "cross_partition")
-    joined = df.withColumn("_role", known_role).join(state, "unit")
+    # stored, so that both sides of the join are plain exchanges and a hot unit's rows are split
+    joined = df.withColumn("_role", known_role).join(cut(state), "unit")
     part, role = F.col("partition_low"), F.col("_role")
     diverted = hashing.stable_mod(100, IID_SALT, seed, F.col("unit")) < iid_percent
     destination = (
@@ -98,18 +99,30 @@ def assign_destination(
 def unit_split_audit(
     df: DataFrame, seed: int, shares: Mapping[str, int], iid_percent: int
 ) -> DataFrame:
-    """Units, cross-domain units, excluded units and assigned units: one row."""
-    state = unit_state(df, seed, shares).agg(
+    """Units, cross-domain units, excluded units and assigned units: one row.
+
+    A unit's rows share its partition, so its roles and its state decide whether any row is placed;
+    no row is joined.
+    """
+    role = records.field_or(df, "source_role", "training")
+    roles = df.select("unit", role.alias("_role")).groupBy("unit").agg(
+        F.max(F.col("_role") == "training").alias("trains"),
+        F.max(F.col("_role") == "distribution_shift").alias("shifts"),
+        F.max(~F.col("_role").isin("training", "distribution_shift")).alias("_unknown"),
+    )
+    part = F.col("partition_low")
+    placed = F.col("trains") & part.isin("train", "domain_balanced") | (
+        F.col("shifts") & (part == "distribution_shift")
+    )
+    known = F.when(
+        F.col("_unknown"), F.raise_error(F.lit("unknown source role")).cast("boolean")
+    ).otherwise(placed)
+    return unit_state(df, seed, shares).join(roles, "unit").agg(
         F.count(F.lit(1)).alias("units"),
         F.count_if(F.col("unit_domains") > 1).alias("cross_domain_units"),
         F.count_if(crosses_partitions()).alias("excluded_cross_partition_units"),
+        F.count_if(known & ~crosses_partitions()).alias("assigned_units"),
     )
-    assigned = (
-        assign_destination(df, seed, shares, iid_percent)
-        .where(F.col("destination").isNotNull())
-        .agg(F.count_distinct("unit").alias("assigned_units"))
-    )
-    return single_row(state, assigned)
 
 
 def excluded_records_by_task(assigned: DataFrame) -> DataFrame:

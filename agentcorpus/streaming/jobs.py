@@ -63,7 +63,8 @@ def stream_metrics(
 ) -> StreamingQuery:
     """Running rates per run and task.
 
-    State is one small row per (run, task).  ``update`` mode writes only the groups a batch touched;
+    State is one small row per (run, task).  A prediction that arrives twice counts twice: feed the
+    rows that :func:`stream_scores` has made unique.  ``update`` mode writes only the groups a batch touched;
     :func:`latest_metrics` reads the newest row of each.
     """
     sums = running_sums(scored, metrics)
@@ -112,9 +113,17 @@ def latest_progress(df: DataFrame) -> DataFrame:
 
 
 def stream_episodes(
-    episodes: DataFrame, output: str, checkpoint: str, now: bool = True
+    episodes: DataFrame, output: str, checkpoint: str, now: bool = True,
+    arrival: str | None = None, delay: str = "7 days",
 ) -> StreamingQuery:
-    """Append episodes whose id has not been seen."""
-    return _start(
-        episodes.dropDuplicates(["episode_id"]), checkpoint, "append", _replace(output), now
-    )
+    """Append episodes whose id has not been seen.
+
+    With an arrival-time column, ids are forgotten ``delay`` after the newest arrival, which bounds
+    the state; without one it grows with the ids.
+    """
+    keys = ["episode_id"]
+    if arrival is None:
+        once = episodes.dropDuplicates(keys)
+    else:
+        once = episodes.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(keys)
+    return _start(once, checkpoint, "append", _replace(output), now)
