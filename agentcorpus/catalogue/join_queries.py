@@ -158,11 +158,12 @@ def shard_selection_issues(spark, folder):
        FROM documents d JOIN labels l USING (doc_id)""",
 )
 def merge_predictions(spark, folder):
-    expected = table(spark, folder, "documents").select(
+    labels = table(spark, folder, "labels")
+    expected = table(spark, folder, "documents").join(labels, "doc_id", "left_semi").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("order_key")
     )
     shard = F.concat(F.lit("shard-"), (F.col("doc_id") % 4).cast("string"))
-    predictions = table(spark, folder, "labels").select(
+    predictions = labels.select(
         F.col("doc_id").alias("id"), F.col("quality").alias("prediction"),
         shard.alias("evaluation_label"), shard.alias("run_signature"),
     )

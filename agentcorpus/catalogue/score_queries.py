@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentcorpus.catalogue import bindings as B
-from agentcorpus.catalogue.base import query, r6, rounded, sql_key, table
+from agentcorpus.catalogue.base import ORACLES, query, r6, rounded, sql_key, table
 from agentcorpus.operators import order, sample, score
-from agentcorpus.plans import dashboards
+from agentcorpus.plans import dashboards, evaluation
 from agentcorpus.session import cut
 
 
@@ -279,6 +279,26 @@ def score_mixed(spark, folder):
     return rounded(score.score_mixed(scored))
 
 
+@query("merge_and_score", ORACLES["score_mixed"])
+def merge_and_score(spark, folder):
+    """The same rows as predictions of four shards: checked, merged, scored and summarised."""
+    key = F.concat_ws("-", "task", "id")
+    rows = mixed_predictions(spark, folder).withColumn("id", key)
+    index = F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")
+    name = F.concat(F.lit("shard-"), index.cast("string"))
+    predictions = rows.withColumns({"evaluation_label": name, "run_signature": name})
+    expected = rows.select("id", F.col("id").alias("order_key"))
+    shards = predictions.select("evaluation_label").distinct().select(
+        F.lit("mixed").alias("label"),
+        F.substring("evaluation_label", 7, 9).cast("int").alias("shard_index"),
+        F.lit(4).alias("num_shards"), F.lit("base").alias("model"), F.lit("r1").alias("model_revision"),
+        F.concat(F.lit("/mnt/"), "evaluation_label", F.lit("/adapter")).alias("adapter"),
+        F.lit("h").alias("adapter_sha256"), F.array(F.lit("/data/eval.jsonl")).alias("manifests"),
+    )
+    found = evaluation.merge_and_score(expected, predictions, shards, "merged", "sig")
+    return rounded(found["metrics"])
+
+
 @query(
     "macro_over_domain",
     f"""WITH {MIXED_SQL}, x AS (SELECT 'qa_answer_accuracy' AS metric, domain, exact_match AS hit FROM ql
