@@ -311,6 +311,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    columns = ["doc_id", "line", "family", "probability", "overlap"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -328,13 +329,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                         ascending=[True, True, True, False, False],
                     ).drop_duplicates(["text", "line", "family"])
                     ids = batch["doc_id"].iloc[start + best["text"].astype(int)].astype("Int64")
-                    yield best.drop(columns="text").assign(doc_id=ids.to_numpy())
+                    yield best.assign(doc_id=ids.to_numpy())[columns]
                 start = stop
 
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
     schema = "doc_id long, line int, family string, probability double, overlap double"
-    found = rows.mapInPandas(
-        lambda batches: (part[["doc_id", "line", "family", "probability", "overlap"]] for part in run(batches)),
-        schema,
-    )
+    found = rows.mapInPandas(run, schema)
     return found.withColumn("confirmed", F.col("overlap") >= LEAST_OVERLAP)
