@@ -3,7 +3,8 @@
 A sketch holds, for each of SKETCHES hash functions, the two minimal occurrence-labelled runs of five
 words in the order in which the text has them.  Texts that agree in a sketch meet in its bucket.  A
 bucket never makes pairs of its members: all are compared with its first and its last member, and
-those that resemble neither go on to finer buckets, which ask for one more common sketch.  A pair is
+where some resemble neither, its members go on to finer buckets, which ask for three, then for six
+common sketches: there a passage that many texts share no longer brings them together.  A pair is
 verified by its word edit distance in a band, and near if that leaves SIMILARITY of the longer text.
 Classes are the connected components of the verified links.
 """
@@ -11,6 +12,7 @@ Classes are the connected components of the verified links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ from agentcorpus.llm.words import blocks, mix, word_hashes
 
 RUN = 5
 SKETCHES = 24
+DEEPER = ((3, 40), (6, 100))  # (sketches in a set, sets) of the finer buckets
 SIMILARITY = 0.8
 FIRST = -(1 << 63)
 CELLS = 1 << 20  # cells of the padded pairs that are aligned together
@@ -226,14 +229,36 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(texts, "id").join(others, "to").mapInPandas(run, "id long, to long")
 
 
+def depths() -> list[list[tuple[int, ...]]]:
+    """The sketches that make up each bucket key: one, then sets of three, then sets of six."""
+    draw = np.random.default_rng(11)
+    found = [[(k,) for k in range(SKETCHES)]]
+    for size, count in DEEPER:
+        found.append([tuple(draw.choice(SKETCHES, size, replace=False).tolist()) for _ in range(count)])
+    return found
+
+
+def bucket_keys(sets: list[tuple[int, ...]]) -> Column:
+    return F.array(
+        *[
+            F.xxhash64(F.lit(number), *[F.get("keys", F.lit(k)) for k in one])
+            for number, one in enumerate(sets)
+        ]
+    )
+
+
 def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Verified links (id, to) between distinct texts, ``to`` the earlier."""
-    narrow = marks.select("id", "words", "keys")
-    level = narrow.select("id", "words", F.posexplode("keys").alias("last", "key"))
-    found: DataFrame | None = None
-    tested: DataFrame | None = None
+    """Verified links (id, to) between distinct texts, ``to`` the earlier.
+
+    At every depth the members of a bucket are compared with its first and last one.  The members
+    of buckets in which someone resembles neither go on to the next depth.
+    """
+    rows = marks.where(F.size("keys") > 0).select("id", "words", "keys")
+    found: list[DataFrame] = []  # of each depth
+    tested: list[DataFrame] = []
     texts: DataFrame | None = None
-    for depth in range(SKETCHES):
+    for depth, sets in enumerate(depths()):
+        level = rows.select("id", "words", F.explode(bucket_keys(sets)).alias("key"))
         groups = level.groupBy("key").agg(
             F.min(F.struct("id", "words")).alias("low"), F.max(F.struct("id", "words")).alias("high")
         )
@@ -255,42 +280,30 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
             return pair.select(F.greatest("id", end).alias("id"), F.least("id", end).alias("to"))
 
         pairs = toward("low").unionByName(toward("high")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["id", "to"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["id", "to"], "left_anti")
+        tested.append(stored(pairs, "pairs"))
         if texts is None:  # a member of any later bucket is one of these
             ids = members.select("id").distinct()
             texts = stored(sequences(docs, marks.join(ids, "id")), "sequences")
-        near = stored(verified(pairs, texts), "near")
-        found = near if found is None else stored(found.unionByName(near), "links")
-        tested = pairs if tested is None else stored(tested.unionByName(pairs), "tested")
-        level = refined(members, found, narrow)
-    if found is None:
+        found.append(stored(verified(tested[-1], texts), "near"))
+        if depth < len(DEEPER):
+            open_ids = unresolved(members, reduce(DataFrame.unionByName, found))
+            rows = rows.join(stored(open_ids, "open"), "id", "left_semi")
+    if not found:
         return docs.sparkSession.createDataFrame([], "id bigint, to bigint")
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
-def refined(members: DataFrame, found: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Members near neither end of their bucket, in a finer bucket for every later sketch."""
+def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Ids in buckets with a member that is near neither end."""
     left = members.where((F.col("id") != F.col("low")) & (F.col("id") != F.col("high")))
-    known = found.withColumn("near", F.lit(True))
     for end in ("low", "high"):
-        side = known.select(
-            F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("near").alias(f"near_{end}")
-        )
-        left = left.join(
-            side,
-            (F.greatest("id", end) == F.col("_id")) & (F.least("id", end) == F.col("_to")),
-            "left",
-        ).drop("_id", "_to")
-    left = left.where(F.col("near_low").isNull() & F.col("near_high").isNull())
-    left = stored(left.select("id", "words", "last", "key"), "left")
-    return (
-        left.join(narrow.select("id", "keys"), "id")
-        .select("id", "words", "last", "key", F.posexplode("keys").alias("place", "added"))
-        .where("place > last")
-        .select("id", "words", F.col("place").alias("last"), F.xxhash64("key", "place", "added").alias("key"))
-    )
+        near = found.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
+        met = (F.greatest("id", end) == F.col("_id")) & (F.least("id", end) == F.col("_to"))
+        left = left.join(near, met, "left_anti")
+    mixed = stored(left.select("key").distinct(), "mixed")
+    return members.join(mixed, "key", "left_semi").select("id").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -356,7 +369,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two texts are near if their words (lower case, parted by white space) need at most a fifth as
     many insertions, deletions and replacements as the longer has words; classes join texts by
     chains of near ones.  Candidates are found by chance: a pair with a shingle resemblance of 0.8
-    is missed once in 10^10, of 0.5 once in a thousand, and ever more often below.
+    shares no bucket once in 10^10, of 0.5 once in a thousand, and ever more often below.  Where its
+    buckets are crowded with unlike texts, a pair at 0.8 is still together in some bucket of six
+    sketches but for once in a thousand.
 
     The first document is the one of least doc_id, null first; among equal ids, of least text hash.
     Equal texts are always one class.  Texts of fewer than five words are compared as a whole only,
