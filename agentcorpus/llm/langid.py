@@ -110,9 +110,10 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame) -> None:
         self.langs = sorted(counts["lang"].unique())
-        place = counts["lang"].map({lang: k for k, lang in enumerate(self.langs)}).to_numpy()
+        order = {lang: k for k, lang in enumerate(self.langs)}
+        place = counts["lang"].map(order).to_numpy(np.int64)
         cells = np.zeros((len(self.langs), BUCKETS + 1))
-        cells[place, counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+        cells[place, counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
         documents = cells[:, BUCKETS]
         self.prior = np.log(documents / documents.sum()) if len(self.langs) else np.zeros(0)
         grams = cells[:, :BUCKETS] + 1.0

@@ -19,8 +19,8 @@ def library():
 
 def test_ids_equal_the_library(spark, sf, library):
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    found = list(pieces.Encoder(pieces.Vocabulary(PATH)).encode(texts))
-    assert [f.tolist() for f in found] == library.encode(texts)
+    parts = pieces.Encoder(pieces.Vocabulary(PATH)).encode(texts)
+    assert [one.tolist() for part in parts for one in part] == library.encode(texts)
 
 
 def test_transitions_equal_merging(library):
@@ -40,6 +40,10 @@ def test_round_trip_on_whole_table(spark, sf):
 def test_odd_rows(spark, odd, empty):
     found = pieces.decode(pieces.encode(odd, PATH), PATH)
     assert found.columns == [*odd.columns, "ids", "decoded"]
+    same = pieces.encode(odd, PATH, decoded="decoded").select("doc_id", "text", "ids", "decoded")
+    assert sorted(map(repr, same.collect())) == sorted(
+        map(repr, found.select("doc_id", "text", "ids", "decoded").collect())
+    )
     for r in found.collect():
         assert r["decoded"] == r["text"]
         assert (r["ids"] is None) == (r["text"] is None)
