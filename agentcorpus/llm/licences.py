@@ -2,8 +2,8 @@
 
 Paragraphs are lines; long ones are read in overlapping windows.  A multinomial logistic regression
 over hashed word 1- and 2-grams names the licence family of a window or the class ``unknown``, its
-probabilities calibrated on held-out examples.  A named family is confirmed by comparison with its
-templates.  The model is trained here: on the templates, whole and in pieces, alone and amid words of
+probabilities calibrated on held-out examples.  A family that is likely enough is confirmed by comparison
+with its templates.  The model is trained here: on the templates, whole and in pieces, alone and amid words of
 the corpus, against a bounded sample of the corpus's own lines.
 """
 
@@ -20,10 +20,10 @@ from agentcorpus.llm.words import mix, word_hashes
 
 UNKNOWN = "unknown"
 BITS = 15
-WINDOW, STEP = 48, 24  # words
+WINDOW, STEP = 24, 12  # words
 NEGATIVES = 3000  # lines sampled from the corpus for training, whatever its size
-LEAST_PROBABILITY = 0.5
-LEAST_OVERLAP = 0.6  # of a template's word pairs, found in the window
+LEAST_PROBABILITY = 0.1  # of the likeliest family; the templates decide between it and unknown
+LEAST_OVERLAP = 0.6  # of a template's word pairs, found in the line
 BLOCK = 1 << 20  # bytes read at once
 ROUNDS = 120
 
@@ -149,6 +149,7 @@ class Windows:
         number = np.arange(len(of_line)) - np.repeat(np.cumsum(each) - each, each)
         self.first = starts[of_line] + number * STEP
         self.size = np.minimum(WINDOW, ends[of_line] - self.first)
+        self.line_first, self.line_end = starts[of_line], ends[of_line]
         text_of_line = np.repeat(np.arange(len(texts)), per_text)
         first_line = np.cumsum(per_text) - per_text
         self.text = text_of_line[of_line]
@@ -187,8 +188,9 @@ class Windows:
         found, begins = np.unique(features[order], return_index=True)
         return found, begins, np.concatenate([places, places[inner]])[order]
 
-    def pair_set(self, window: int) -> np.ndarray:
-        return np.unique(self.pairs[self.first[window] : self.first[window] + self.size[window] - 1])
+    def line_pairs(self, window: int) -> np.ndarray:
+        """Word pairs of the whole line that the window is in."""
+        return np.unique(self.pairs[self.line_first[window] : self.line_end[window] - 1])
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -208,7 +210,7 @@ class Model:
         self._calibrate([t for t, h in zip(texts, held) if h], labels[held])
         self.weights = self.weights.astype(np.float32)
         self.pairs = {
-            name: [Windows([clean(t)]).pair_set(0) for t in group] for name, group in TEMPLATES.items()
+            name: [Windows([clean(t)]).line_pairs(0) for t in group] for name, group in TEMPLATES.items()
         }
 
     def logits(self, windows: Windows) -> np.ndarray:
@@ -246,12 +248,12 @@ class Model:
         if not len(windows):
             return pd.DataFrame({"text": [], "line": [], "family": [], "probability": [], "overlap": []})
         chances = softmax(self.logits(windows) / self.heat)
-        best = chances.argmax(axis=1)
-        seen = np.flatnonzero((best > 0) & (chances.max(axis=1) >= LEAST_PROBABILITY))
+        best = chances[:, 1:].argmax(axis=1) + 1
+        seen = np.flatnonzero(chances[np.arange(len(best)), best] >= LEAST_PROBABILITY)
         rows = []
         for at in seen:
             name = self.names[best[at]]
-            own = windows.pair_set(at)
+            own = windows.line_pairs(at)
             overlap = max(np.isin(t, own, assume_unique=True).mean() for t in self.pairs[name])
             rows.append((windows.text[at], windows.line[at], name, chances[at, best[at]], overlap))
         return pd.DataFrame(rows, columns=["text", "line", "family", "probability", "overlap"])
@@ -265,13 +267,13 @@ def examples(negatives: Sequence[str]) -> tuple[list[str], np.ndarray]:
     for label, group in enumerate(TEMPLATES.values(), 1):
         for template in group:
             words = template.split()
-            for turn in range(40):
+            for turn in range(60):
                 kept = words
                 if turn % 4 == 1 and len(words) > 8:  # a long piece
                     size = int(draw.integers(max(6, len(words) // 2), len(words) + 1))
                     start = int(draw.integers(0, len(words) - size + 1))
                     kept = words[start : start + size]
-                if turn % 2:
+                if turn % 3:
                     around = plain[int(draw.integers(len(plain)))].split()
                     room = max(0, WINDOW - len(kept))
                     lead = around[: int(draw.integers(0, min(room, len(around)) + 1))]
@@ -306,7 +308,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, line, family, probability, overlap, confirmed): a row per line and family seen there.
 
     Of the windows of a line the one with the largest overlap counts.  ``confirmed`` says whether the
-    window holds LEAST_OVERLAP of a template of the family.  Lines count from 0.  Null and empty
+    line holds LEAST_OVERLAP of a template of the family.  Lines count from 0.  Null and empty
     texts have no lines that could match; repeated rows repeat their findings; ids may be null.
     """
     spark: SparkSession = docs.sparkSession
