@@ -3,7 +3,7 @@
 A sketch holds, for each of SKETCHES hash functions, the two minimal occurrence-labelled runs of five
 words in the order in which the text has them.  Texts that agree in a sketch meet in its bucket.  A
 bucket never makes pairs of its members: all are compared with its first and its last member, and
-where some resemble neither, its members go on to finer buckets, which ask for three, then for six
+where some resemble neither, its members go on to finer buckets, which ask for three, then for five
 common sketches: there a passage that many texts share no longer brings them together.  A pair is
 verified by its word edit distance in a band, and near if that leaves SIMILARITY of the longer text.
 Classes are the connected components of the verified links.
@@ -24,7 +24,7 @@ from agentcorpus.llm.words import blocks, mix, word_hashes
 
 RUN = 5
 SKETCHES = 24
-DEEPER = ((3, 40), (6, 100))  # (sketches in a set, sets) of the finer buckets
+DEEPER = ((3, 40), (5, 60))  # (sketches in a set, sets) of the finer buckets
 SIMILARITY = 0.8
 FIRST = -(1 << 63)
 CELLS = 1 << 20  # cells of the padded pairs that are aligned together
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def depths() -> list[list[tuple[int, ...]]]:
-    """The sketches that make up each bucket key: one, then sets of three, then sets of six."""
+    """The sketches that make up each bucket key: one, then sets of three, then sets of five."""
     draw = np.random.default_rng(11)
     found = [[(k,) for k in range(SKETCHES)]]
     for size, count in DEEPER:
@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     many insertions, deletions and replacements as the longer has words; classes join texts by
     chains of near ones.  Candidates are found by chance: a pair with a shingle resemblance of 0.8
     shares no bucket once in 10^10, of 0.5 once in a thousand, and ever more often below.  Where its
-    buckets are crowded with unlike texts, a pair at 0.8 is still together in some bucket of six
+    buckets are crowded with unlike texts, a pair at 0.8 is still together in some bucket of five
     sketches but for once in a thousand.
 
     The first document is the one of least doc_id, null first; among equal ids, of least text hash.
