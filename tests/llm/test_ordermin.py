@@ -29,6 +29,8 @@ def text(draw, words):
 def altered(draw, words, count):
     words = list(words)
     for _ in range(count):
+        if not words:
+            break
         at, kind = draw.randrange(len(words)), draw.randrange(3)
         if kind == 0:
             words[at] = "new" + str(draw.randrange(10**6))
