@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-CACHE = 400_000  # words whose ids a worker keeps
-CHUNK = 1 << 22  # characters of texts, or of new words of one length, that advance together
+CACHE = 300_000  # words whose ids a worker keeps
+CHUNK = 1 << 21  # characters of texts, or of new words of one length, that advance together
 NEVER = np.int64(1) << 40
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -234,7 +234,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Sequence[str]) -> Iterator[list[np.ndarray]]:
+        """Ids of the texts, in lists of as many texts as make about CHUNK characters."""
         group: list[list[str]] = []
         size = 0
         for text in texts:
@@ -242,9 +243,10 @@ class Encoder:
             group.append(words)
             size += len(text)
             if size >= CHUNK:
-                yield from self._ids(group)
+                yield list(self._ids(group))
                 group, size = [], 0
-        yield from self._ids(group)
+        if group:
+            yield list(self._ids(group))
 
     def _ids(self, group: list[list[str]]) -> Iterator[np.ndarray]:
         wanted = set().union(*group) if group else set()
@@ -255,24 +257,39 @@ class Encoder:
             yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4")
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """Add piece ids of whole texts, as the library encodes them.
 
     Null text gives null, empty text an empty array.  White space other than the blank is an
-    ordinary character; the sign U+2581 is a blank.  Equal texts get equal ids.  A column named
-    like ``ids`` is replaced.
+    ordinary character; the sign U+2581 is a blank.  Equal texts get equal ids.  With ``decoded`` the
+    ids are also decoded in the same pass, into a column of that name.  Columns of these names are
+    replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    back = decoded is not None
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>" + ", decoded string" * back)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            found = list(encoder.encode(batch.fillna("").tolist()))
-            found = [None if gone else one for gone, one in zip(batch.isna(), found)]
-            yield pd.Series(found, dtype=object)
-
-    return docs.withColumn(ids, run(text))
+            gone = batch.isna().tolist()
+            start = 0
+            for part in encoder.encode(batch.fillna("").tolist()):
+                missing = gone[start : start + len(part)]
+                start += len(part)
+                frame = {"ids": [None if no else one for no, one in zip(missing, part)]}
+                if back:
+                    frame["decoded"] = [
+                        None if no else shared.value.decode(one) for no, one in zip(missing, part)
+                    ]
+                yield pd.DataFrame({name: pd.Series(v, dtype=object) for name, v in frame.items()})
+
+    found = docs.withColumn("_pieces", run(text)).withColumn(ids, F.col("_pieces.ids"))
+    if back:
+        found = found.withColumn(decoded, F.col("_pieces.decoded"))
+    return found.drop("_pieces")
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
