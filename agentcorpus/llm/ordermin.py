@@ -58,6 +58,8 @@ def sketch(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     begins = np.cumsum(counts) - counts
     text = np.repeat(np.arange(len(counts)), counts)
     keys = np.zeros((len(counts), SKETCHES), np.uint64)
+    if not len(counts):
+        return keys
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def lowest(values: np.ndarray) -> np.ndarray:
@@ -307,39 +309,38 @@ def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, class): the least id that can be reached, by label passing with pointer jumps."""
-    both = stored(
-        edges.select(F.col("id").alias("src"), F.col("to").alias("dst")).unionByName(
-            edges.select(F.col("to").alias("src"), F.col("id").alias("dst"))
-        ),
-        "edges",
-    )
-    labels = stored(
-        both.groupBy("src").agg(F.min("dst").alias("m")).select(
-            F.col("src").alias("id"), F.least("src", "m").alias("class")
-        ),
-        "labels",
-    )
-    while True:
-        around = (
-            both.join(labels.select(F.col("id").alias("dst"), F.col("class").alias("c")), "dst")
-            .groupBy("src")
-            .agg(F.min("c").alias("c"))
-        )
-        passed = stored(
-            labels.join(around, F.col("id") == F.col("src")).select(
-                "id", F.col("class").alias("before"), F.least("class", "c").alias("class")
-            ),
-            "passed",
-        )
-        over = passed.select(F.col("id").alias("class"), F.col("class").alias("root"))
-        jumped = stored(
-            passed.join(over, "class").select("id", "before", F.least("class", "root").alias("class")),
-            "jumped",
+    """(id, class): the least id that can be reached.
+
+    Every id hangs on its least smaller neighbour; pointers are doubled until they reach the roots of
+    these trees, the trees are contracted, and the few edges left between roots are gone over again.
+    """
+    lower, upper = F.least("id", "to").alias("to"), F.greatest("id", "to").alias("id")
+    edges = stored(edges.where("id <> to").select(upper, lower).distinct(), "edges")
+    ends = edges.select("id").unionByName(edges.select(F.col("to").alias("id"))).distinct()
+    labels = stored(ends.select("id", F.col("id").alias("class")), "labels")
+    while not edges.isEmpty():
+        parents = stored(edges.groupBy("id").agg(F.min("to").alias("root")), "parents")
+        while True:
+            above = parents.select(F.col("id").alias("root"), F.col("root").alias("above"))
+            jumped = stored(
+                parents.join(above, "root", "left").select(
+                    "id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")
+                ),
+                "jumped",
+            )
+            parents = jumped.select("id", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        over = parents.select(F.col("id").alias("class"), "root")
+        labels = stored(
+            labels.join(over, "class", "left").select("id", F.coalesce("root", "class").alias("class")),
+            "labels",
         )
-        labels = jumped.select("id", "class")
-        if jumped.where(F.col("before") != F.col("class")).isEmpty():
-            return labels
+        for end in ("id", "to"):
+            over = parents.select(F.col("id").alias(end), "root")
+            edges = edges.join(over, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        edges = stored(edges.where("id <> to").select(upper, lower).distinct(), "edges")
+    return labels
 
 
 def classes(docs: DataFrame) -> DataFrame:
