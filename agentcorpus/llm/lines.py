@@ -22,14 +22,16 @@ from agentcorpus.llm.store import numbered, stored
 
 LEAST = 16  # shorter lines are compared as they are
 PART = 512  # characters of a part of a long line
-SPACES = " \t\r\f\v"
+SPACES = " \t\n\r\f\v"
 FIRST = -(1 << 63)
 DOC = ["_order", "_hash"]
 
 
 def normal(line: Column) -> Column:
-    """Lower case, white space as single blanks, trimmed."""
-    return F.trim(F.lower(F.regexp_replace(line, r"\s+", " ")))
+    """Lower case, white space as single blanks, trimmed.  The pattern runs only where it is needed."""
+    plain = F.translate(F.lower(line), SPACES, " " * len(SPACES))
+    single = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
+    return F.trim(single)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
