@@ -1,10 +1,11 @@
 """Operator 2: near-duplicate documents by Order MinHash, verified by banded alignment.
 
 A sketch holds, for each of SKETCHES hash functions, the two minimal occurrence-labelled runs of five
-words in the order in which the text has them.  Texts that agree in a sketch meet in its bucket.  A
-bucket never makes pairs of its members: all are compared with its first and its last member, and
-where some resemble neither, its members go on to finer buckets, which ask for three, then for five
-common sketches: there a passage that many texts share no longer brings them together.  A pair is
+words in the order in which the text has them.  Texts that agree in a sketch meet in its bucket.  All
+members of a bucket are compared with its first and its last member, and the verified links joined to
+classes.  A bucket whose members are one class is settled.  In the others every two members of
+different classes are compared by bags of words, which bound the edits from below, block by block, and
+what the bags leave is verified too: no pair that shares a bucket is dropped untested.  A pair is
 verified by its word edit distance in a band, and near if that leaves SIMILARITY of the longer text.
 Classes are the connected components of the verified links.
 """
@@ -12,7 +13,6 @@ Classes are the connected components of the verified links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,8 @@ from agentcorpus.llm.words import blocks, mix, word_hashes
 
 RUN = 5
 SKETCHES = 24
-DEEPER = ((3, 40), (5, 60))  # (sketches in a set, sets) of the finer buckets
+BINS = 256  # of a bag: a text's words counted by hash
+PANEL = 1024  # members of a bucket that meet as many others in one go
 SIMILARITY = 0.8
 FIRST = -(1 << 63)
 CELLS = 1 << 20  # cells of the padded pairs that are aligned together
@@ -231,81 +232,159 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(texts, "id").join(others, "to").mapInPandas(run, "id long, to long")
 
 
-def depths() -> list[list[tuple[int, ...]]]:
-    """The sketches that make up each bucket key: one, then sets of three, then sets of five."""
-    draw = np.random.default_rng(11)
-    found = [[(k,) for k in range(SKETCHES)]]
-    for size, count in DEEPER:
-        found.append([tuple(draw.choice(SKETCHES, size, replace=False).tolist()) for _ in range(count)])
-    return found
+def bucket_keys() -> Column:
+    return F.array(*[F.xxhash64(F.lit(k), F.get("keys", F.lit(k))) for k in range(SKETCHES)])
 
 
-def bucket_keys(sets: list[tuple[int, ...]]) -> Column:
-    return F.array(
-        *[
-            F.xxhash64(F.lit(number), *[F.get("keys", F.lit(k)) for k in one])
-            for number, one in enumerate(sets)
-        ]
-    )
-
+def linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(id, class) of the distinct texts that have links: the least id that can be reached.
 
-def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Verified links (id, to) between distinct texts, ``to`` the earlier.
-
-    At every depth the members of a bucket are compared with its first and last one.  The members
-    of buckets in which someone resembles neither go on to the next depth.
+    Any two texts that share a bucket are in one class or were compared.
     """
     rows = marks.where(F.size("keys") > 0).select("id", "words", "keys")
-    found: list[DataFrame] = []  # of each depth
-    tested: list[DataFrame] = []
-    texts: DataFrame | None = None
-    for depth, sets in enumerate(depths()):
-        level = rows.select("id", "words", F.explode(bucket_keys(sets)).alias("key"))
-        groups = level.groupBy("key").agg(
-            F.min(F.struct("id", "words")).alias("low"), F.max(F.struct("id", "words")).alias("high")
-        )
-        groups = groups.where("low.id < high.id").select(
-            "key",
-            F.col("low.id").alias("low"),
-            F.col("low.words").alias("low_words"),
-            F.col("high.id").alias("high"),
-            F.col("high.words").alias("high_words"),
-        )
-        members = stored(level.join(stored(groups, "buckets"), "key"), "members")
-        if members.isEmpty():
-            break
-
-        def toward(end: str, members: DataFrame = members) -> DataFrame:
-            words, other = F.col("words"), F.col(f"{end}_words")
-            enough = F.least(words, other) >= SIMILARITY * F.greatest(words, other)
-            pair = members.where((F.col("id") != F.col(end)) & enough)
-            return pair.select(F.greatest("id", end).alias("id"), F.least("id", end).alias("to"))
-
-        pairs = toward("low").unionByName(toward("high")).distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["id", "to"], "left_anti")
-        tested.append(stored(pairs, "pairs"))
-        if texts is None:  # a member of any later bucket is one of these
-            ids = members.select("id").distinct()
-            texts = stored(sequences(docs, marks.join(ids, "id")), "sequences")
-        found.append(stored(verified(tested[-1], texts), "near"))
-        if depth < len(DEEPER):
-            open_ids = unresolved(members, reduce(DataFrame.unionByName, found))
-            rows = rows.join(stored(open_ids, "open"), "id", "left_semi")
-    if not found:
-        return docs.sparkSession.createDataFrame([], "id bigint, to bigint")
-    return reduce(DataFrame.unionByName, found)
-
-
-def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Ids in buckets with a member that is near neither end."""
-    left = members.where((F.col("id") != F.col("low")) & (F.col("id") != F.col("high")))
-    for end in ("low", "high"):
-        near = found.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
-        met = (F.greatest("id", end) == F.col("_id")) & (F.least("id", end) == F.col("_to"))
-        left = left.join(near, met, "left_anti")
-    mixed = stored(left.select("key").distinct(), "mixed")
-    return members.join(mixed, "key", "left_semi").select("id").distinct()
+    level = rows.select("id", "words", F.posexplode(bucket_keys()).alias("number", "key"))
+    groups = level.groupBy("key").agg(
+        F.min(F.struct("id", "words")).alias("low"),
+        F.max(F.struct("id", "words")).alias("high"),
+        F.count(F.lit(1)).alias("size"),
+    )
+    groups = groups.where("low.id < high.id").select(
+        "key",
+        "size",
+        F.col("low.id").alias("low"),
+        F.col("low.words").alias("low_words"),
+        F.col("high.id").alias("high"),
+        F.col("high.words").alias("high_words"),
+    )
+    members = stored(level.join(stored(groups, "buckets"), "key"), "members")
+    if members.isEmpty():
+        return docs.sparkSession.createDataFrame([], "id bigint, class bigint")
+
+    def toward(end: str) -> DataFrame:
+        words, other = F.col("words"), F.col(f"{end}_words")
+        enough = F.least(words, other) >= SIMILARITY * F.greatest(words, other)
+        pair = members.where((F.col("id") != F.col(end)) & enough)
+        return pair.select(F.greatest("id", end).alias("id"), F.least("id", end).alias("to"))
+
+    tested = stored(toward("low").unionByName(toward("high")).distinct(), "pairs")
+    texts = stored(sequences(docs, marks.join(members.select("id").distinct(), "id")), "sequences")
+    found = components(stored(verified(tested, texts), "near"))
+
+    pairs = crossing(members, found, rows, texts).join(tested, ["id", "to"], "left_anti")
+    more = verified(stored(pairs, "crossing"), texts)
+    for end in ("id", "to"):  # links between classes
+        over = found.select(F.col("id").alias(end), "class")
+        more = more.join(over, end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
+    joined = components(more)
+    found = found.unionByName(joined.select("id", F.col("id").alias("class"))).distinct()
+    over = joined.select(F.col("id").alias("class"), F.col("class").alias("_over"))
+    return found.join(over, "class", "left").select("id", F.coalesce("_over", "class").alias("class"))
+
+
+def crossing(members: DataFrame, found: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (id, to) of one bucket and different classes whose bags of words leave them open.
+
+    The ends of a bucket have met all others.  Of the rest, those outside its largest class meet
+    every member, in panels that are dealt out; members of that class do not meet each other.
+    """
+    inner = members.where((F.col("size") > 3) & ~F.col("id").isin(F.col("low"), F.col("high")))
+    inner = inner.join(found, "id", "left").select(
+        "key", "number", "id", "words", F.coalesce("class", "id").alias("class")
+    )
+    inner = stored(inner, "inner")
+    sizes = inner.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "class")).alias("major"), F.sum("n").alias("all")
+    )
+    mixed = mixed.where("major.n < all").select(
+        "key",
+        F.col("major.class").alias("major"),
+        F.ceil((F.col("all") - F.col("major.n")) / PANEL).alias("down"),
+        F.ceil(F.col("all") / PANEL).alias("across"),
+    )
+    left = stored(inner.join(mixed, "key"), "mixed")
+    marked = texts.join(left.select("id").distinct(), "id").join(rows.select("id", "keys"), "id")
+    own = F.xxhash64("id")
+    i, j = F.pmod(own, F.col("down")), F.pmod(own, F.col("across"))
+    spot = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
+    count = lambda size: F.sequence(F.lit(0).cast("bigint"), F.col(size) - 1)
+    asked = F.transform(count("down"), lambda k: spot(k, j, False))
+    asking = F.transform(count("across"), lambda k: spot(i, k, True))
+    minor = F.col("class") != F.col("major")
+    dealt = left.join(marked.mapInPandas(signed, "id long, sign binary"), "id").select(
+        "key",
+        "number",
+        "id",
+        "words",
+        "class",
+        "sign",
+        minor.alias("minor"),
+        F.explode(F.when(minor, F.concat(asked, asking)).otherwise(asked)).alias("spot"),
+    )
+    dealt = dealt.select("*", "spot.i", "spot.j", "spot.asks").drop("spot")
+    panels = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return panels.mapInPandas(meetings, "id long, to long").distinct()
+
+
+def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per text its sketch keys and its bag, counts up to 255, as bytes."""
+    for batch in batches:
+        signs = []
+        for seq, keys in zip(batch["seq"], batch["keys"]):
+            bag = np.bincount(np.frombuffer(seq, np.uint32) % BINS, minlength=BINS)
+            signs.append(np.array(keys, "<i8").tobytes() + np.minimum(bag, 255).astype(np.uint8).tobytes())
+        yield pd.DataFrame({"id": batch["id"], "sign": signs})
+
+
+def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The open pairs of every panel; rows come panel by panel."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        panel = held[["key", "i", "j"]].to_numpy()
+        last = len(panel) - int((panel[::-1] != panel[-1]).any(axis=1).argmax())
+        last = last if (panel[0] != panel[-1]).any() else 0
+        yield from met(held.iloc[:last])
+        held = held.iloc[last:]
+    if held is not None:
+        yield from met(held)
+
+
+def met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The open pairs of whole panels.  A pair is met in the bucket of its first common sketch."""
+    if not len(rows):
+        return
+    signs = np.frombuffer(b"".join(rows["sign"]), np.uint8).reshape(len(rows), -1)
+    keys = np.ascontiguousarray(signs[:, : 8 * SKETCHES]).view("<i8")
+    bags = signs[:, 8 * SKETCHES :].astype(np.int16)
+    ids, words, own, number, minor, asks = (
+        rows[c].to_numpy() for c in ("id", "words", "class", "number", "minor", "asks")
+    )
+    panel = rows[["key", "i", "j"]].to_numpy()
+    edges = np.flatnonzero((panel[1:] != panel[:-1]).any(axis=1)) + 1
+    found = []
+    for first, last in zip([0, *edges], [*edges, len(rows)]):
+        inside = asks[first:last]
+        down, across = first + np.flatnonzero(inside), first + np.flatnonzero(~inside)
+        step = max(1, CELLS // max(len(across), 1))
+        for start in range(0, len(down), step):
+            part = down[start : start + step, None]
+            open_pairs = (own[part] != own[across]) & (~minor[across] | (ids[part] < ids[across]))
+            x, y = np.nonzero(open_pairs)
+            x, y = part[x, 0], across[y]
+            for at in range(0, len(x), CELLS // BINS):
+                a, b = x[at : at + CELLS // BINS], y[at : at + CELLS // BINS]
+                most = ((1 - SIMILARITY) * np.maximum(words[a], words[b]) + 1e-9).astype(np.int64)
+                apart = np.abs(words[a] - words[b])
+                fits = apart <= most
+                fits &= ~(keys[a, : number[first]] == keys[b, : number[first]]).any(axis=1)
+                a, b, most, apart = a[fits], b[fits], most[fits], apart[fits]
+                # edits are at least the words of the longer text that the bags cannot match
+                near = apart + np.abs(bags[a] - bags[b]).sum(axis=1, dtype=np.int64) <= 2 * most
+                found.append(np.stack([ids[a[near]], ids[b[near]]]))
+    if found:
+        pairs = np.concatenate(found, axis=1)
+        yield pd.DataFrame({"id": pairs.max(axis=0), "to": pairs.min(axis=0)})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,7 +426,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(k1, k2, class_order, class_k1, class_k2, own_order) per distinct text: its class's first
     document."""
     marks = stored(sketches(docs), "sketches")
-    found = components(links(docs, marks))
+    found = linked(docs, marks)
     roots = marks.select(
         F.col("id").alias("class"),
         F.col("_order").alias("class_order"),
@@ -370,9 +449,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two texts are near if their words (lower case, parted by white space) need at most a fifth as
     many insertions, deletions and replacements as the longer has words; classes join texts by
     chains of near ones.  Candidates are found by chance: a pair with a shingle resemblance of 0.8
-    shares no bucket once in 10^10, of 0.5 once in a thousand, and ever more often below.  Where its
-    buckets are crowded with unlike texts, a pair at 0.8 is still together in some bucket of five
-    sketches but for once in a thousand.
+    shares no bucket once in 10^10, of 0.5 once in a thousand, and ever more often below.  Two texts
+    that share a bucket are compared, however crowded it is, unless other links join them already.
 
     The first document is the one of least doc_id, null first; among equal ids, of least text hash.
     Equal texts are always one class.  Texts of fewer than five words are compared as a whole only,

@@ -148,3 +148,22 @@ def test_query_keeps_one_of_each_class(spark, sf):
     sizes = found.groupBy("class_id").agg(F.sum(F.col("stays").cast("int")).alias("kept"))
     assert found.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert sizes.where("kept <> 1").isEmpty()
+
+
+def sharing(draw, shared, other=None, step=0):
+    """A passage of 150 words and 50 others, 13 of which, never two in a row, may be another's."""
+    own = [f"own{draw.randrange(10**9)}" for _ in range(50)]
+    if other:
+        own[step + 1 : step + 40 : 3] = other[150:][step + 1 : step + 40 : 3]
+    return shared + own
+
+
+def test_near_pair_amid_a_passage_that_thousands_share(spark):
+    draw = random.Random(8)
+    shared = text(draw, 150)
+    docs = [sharing(draw, shared) for _ in range(3000)]
+    docs[1700] = sharing(draw, shared, docs[1200])
+    assert near(docs[1200], docs[1700]) and not near(docs[1200], docs[1201])
+    rows = [(k, " ".join(words)) for k, words in enumerate(docs)]
+    found = ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in found.where("not stays").collect()] == [1700]
