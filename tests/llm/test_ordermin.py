@@ -167,3 +167,17 @@ def test_near_pair_amid_a_passage_that_thousands_share(spark):
     rows = [(k, " ".join(words)) for k, words in enumerate(docs)]
     found = ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r["doc_id"] for r in found.where("not stays").collect()] == [1700]
+
+
+def test_chain_whose_inner_members_link_the_ends(spark):
+    draw = random.Random(9)
+    shared = text(draw, 150)
+    low = sharing(draw, shared)
+    inner = sharing(draw, shared, low, 0)
+    second = sharing(draw, shared, inner, 1)
+    high = sharing(draw, shared, second, 2)
+    assert near(low, inner) and near(inner, second) and near(second, high)
+    assert not (near(low, second) or near(low, high) or near(inner, high))
+    rows = [(k, " ".join(words)) for k, words in enumerate([low, inner, second, high])]
+    found = ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["class_id"] for r in found.collect()] == [0, 0, 0, 0]
