@@ -111,3 +111,12 @@ def test_hot_length(spark):
     rows = packing.pack(frame).collect()
     assert len(rows) == 5000
     placed_well(rows)
+
+
+def test_added_token_is_one_id():
+    plain = Tokenizer.from_file(JSON)
+    for text in ["a b<|endoftext|> c", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "<|ENDOFTEXT|>"]:
+        want = plain.encode(text, add_special_tokens=False).ids
+        for path in (RANKS, JSON):
+            assert np.frombuffer(packing.Encoder.at(path).encode(text), "<u4").tolist() == want
+    assert 50256 in plain.encode("a b<|endoftext|> c", add_special_tokens=False).ids
