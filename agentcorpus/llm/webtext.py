@@ -4,7 +4,7 @@ A page is read into text blocks, each with the path of block tags from the root.
 punctuation are aggregated per path, smoothed along the page and fused into one value per path; paths
 above a threshold are content, and what stands in the same container (headings, short paragraphs)
 goes with them.  Parts that their tag, role or class names as menus, notices, comments and the like
-have no weight.
+have no weight, unless only a class, id or form says so and the part holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -50,8 +50,11 @@ ASIDE_WORDS = ("ad", "ads", "advert", "advertisement", "advertising", "adverts",
                "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
                "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets")
 ARTICLE_WORDS = ("article", "articlebody", "content", "entry", "main", "post", "story")
+COMMENT_WORDS = ("comment", "comments", "disqus", "replies", "reply", "respond")
 # -----------------------------------------------------------------------------------------------
 
+MOST = 0.5  # of the page's unlinked text: a form or an element of a named class with more is a wrapper
+NEARLY_ALL = 0.9  # the same where the name is that of comments, which may outgrow their article
 THRESHOLD = 0.25  # of the length-weighted mean value of the page's paths
 WINDOW = (0.25, 0.5, 0.25)
 
@@ -76,6 +79,8 @@ class Element:
     aside: bool
     article: bool
     masthead: bool = False  # a header inside the article: only its headings count
+    sure: bool = False  # aside by more than a name or a form
+    wrapper: float = 0.0  # share of the text from which its name or form does not count
 
 
 @dataclass
@@ -85,11 +90,12 @@ class Block:
     heading: bool
     aside: bool
     article: bool
+    sure: bool = False
     text: str = ""
     linked: int = 0
 
 
-def element(tag: str, rest: str, parent: Element) -> Element:
+def element(tag: str, rest: str, parent: Element, wraps: bool = False) -> Element:
     names: tuple[str, ...] = ()
     role = ""
     if "=" in rest:
@@ -100,19 +106,45 @@ def element(tag: str, rest: str, parent: Element) -> Element:
     named = tag not in ("body", "html") and any(w in ASIDE_WORDS for w in names)
     named = named and not (tag in ("article", "main") or any(w in ARTICLE_WORDS for w in names[:1]))
     masthead = tag == "header" and parent.article and not parent.aside
-    aside = (
-        (parent.aside and not (parent.masthead and tag in HEADINGS))
-        or tag in ASIDE_TAGS
+    inherits = not (parent.masthead and tag in HEADINGS)
+    own = (
+        (tag in ASIDE_TAGS and tag != "form")
         or role in ASIDE_ROLES
-        or named
         or bool(HIDDEN.search(QUOTED.sub("", rest) if "style" not in rest and "aria" not in rest else rest))
     )
+    sure = (parent.sure and inherits) or own
+    weak = tag == "form" or named
+    aside = (parent.aside and inherits) or own or (weak and not wraps)
+    wrapper = 0.0
+    if weak and not sure:
+        wrapper = NEARLY_ALL if any(w in COMMENT_WORDS for w in names) else MOST
     step = tag + "".join(f".{w}" for w in names[:3])
-    return Element(tag, f"{parent.path}/{step}", aside, article, masthead)
+    return Element(tag, f"{parent.path}/{step}", aside, article, masthead, sure, wrapper)
 
 
 def read(source: str) -> list[Block]:
     """Text blocks in page order.  Unclosed tags close as in browsers where that moves text."""
+    blocks, weak = parsed(source, frozenset())
+    if weak:
+        counted = [b for b in blocks if not b.sure]
+        counted = [b for b in counted if b.article] or counted
+        held: dict[int, int] = defaultdict(int)
+        whole = 0
+        for block in counted:
+            own = max(len(block.text) - block.linked, 0)
+            whole += own
+            for serial in block.container:
+                held[serial] += own
+        wrappers = frozenset(s for s, share in weak.items() if whole and held[s] > share * whole)
+        if wrappers:
+            blocks, _ = parsed(source, wrappers)
+    return blocks
+
+
+def parsed(source: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int, float]]:
+    """The blocks, and the elements that only a name or a form marks, with the share that frees them;
+    ``wrappers`` are free of such a mark."""
+    weak: dict[int, float] = {}
     root = Element("", "", False, False)
     stack: list[tuple[Element, int]] = [(root, 0)]
     serial, link_depth, at = 0, 0, 0
@@ -128,7 +160,16 @@ def read(source: str) -> list[Block]:
             top = stack[-1][0]
             heading = any(e.tag in HEADINGS for e, _ in stack[-2:])
             blocks.append(
-                Block(top.path, tuple(s for _, s in stack), heading, top.aside, top.article, text, linked)
+                Block(
+                    top.path,
+                    tuple(s for _, s in stack),
+                    heading,
+                    top.aside,
+                    top.article,
+                    top.sure,
+                    text,
+                    linked,
+                )
             )
         linked = 0
 
@@ -177,11 +218,14 @@ def read(source: str) -> list[Block]:
                 del stack[1:]
             if tag not in VOID and not token["rest"].endswith("/"):
                 serial += 1
-                stack.append((element(tag, token["rest"], stack[-1][0]), serial))
+                made = element(tag, token["rest"], stack[-1][0], serial in wrappers)
+                if made.wrapper:
+                    weak[serial] = made.wrapper
+                stack.append((made, serial))
     if at < len(source):
         say(source[at:])
     flush()
-    return blocks
+    return blocks, weak
 
 
 def path_values(blocks: list[Block]) -> dict[str, float]:

@@ -26,6 +26,18 @@ def test_article_and_plain_container():
     assert webtext.main_text(PAGE % f"{side}<div>{BODY}</div>{side}") == TEXT
 
 
+def test_layout_wrappers_and_one_form_around_the_page():
+    for inner in (f"<article>{BODY}</article>", f"<main>{BODY}</main>", f"<div>{BODY}</div>"):
+        for name in ("no-sidebar", "layout with-sidebar", "has-fixed-header", "has-comments"):
+            assert webtext.main_text(f'<body><div class="{name}">{inner}</div></body>') == TEXT
+        assert webtext.main_text(f"<body><form id=aspnetForm>{inner}</form></body>") == TEXT
+    opened, closed = '<body><form id=f><div class="with-sidebar">', "</div></form></body>"
+    page = (PAGE % f"<article>{BODY}</article>").replace("<body>", opened).replace("</body>", closed)
+    assert webtext.main_text(page) == TEXT
+    long = '<div class="comments">' + "<p>I liked this, very much, thanks for it.</p>" * 6 + "</div>"
+    assert webtext.main_text(f"<body><div id=main>{BODY}</div>{long}</body>") == TEXT
+
+
 def test_query_on_whole_table(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op5_html_main_text"](spark, sf).collect():
