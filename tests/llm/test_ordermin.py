@@ -178,6 +178,8 @@ def test_chain_whose_inner_members_link_the_ends(spark):
     high = sharing(draw, shared, second, 2)
     assert near(low, inner) and near(inner, second) and near(second, high)
     assert not (near(low, second) or near(low, high) or near(inner, high))
-    rows = [(k, " ".join(words)) for k, words in enumerate([low, inner, second, high])]
+    lows = [sharing(draw, shared, inner, 0) for _ in range(20)]
+    highs = [sharing(draw, shared, second, 2) for _ in range(20)]
+    rows = [(k, " ".join(words)) for k, words in enumerate([*lows, inner, second, *highs])]
     found = ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert [r["class_id"] for r in found.collect()] == [0, 0, 0, 0]
+    assert {r["class_id"] for r in found.collect()} == {0}
