@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentcorpus.llm import hilbert, langid, licences, lines, ordermin, packing, pieces, simhash, topk, webtext
+from agentcorpus.llm import filteraudit, hilbert, langid, licences, lines, ordermin, packing, pieces, simhash, topk, webtext
 from agentcorpus.llm.store import stored
 
 QUERIES: dict = {}
@@ -166,3 +166,62 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licences.scan(docs, licences.fit(docs))
     return found.where("confirmed").select("doc_id", "line", "family", "probability", "overlap")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = """
+WITH RECURSIVE orders AS (
+    SELECT '' AS filter_order
+    UNION ALL
+    SELECT filter_order || letter
+    FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS u(letter)
+    WHERE NOT contains(filter_order, letter)
+),
+steps AS (
+    SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter,
+           substr(filter_order, 1, step - 1) AS before
+    FROM orders, unnest([1, 2, 3, 4, 5]) AS u(step) WHERE length(filter_order) = 5
+),
+texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS words
+    FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+marks AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+),
+judged AS (
+    SELECT t.part,
+           CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+           || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g')))
+                        > 10 * length(t.text) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN f.first < t.doc_id THEN 'E' ELSE '' END AS fails,
+           coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic
+    FROM texts AS t JOIN firsts AS f ON f.text = t.text LEFT JOIN marks AS m ON m.doc_id = t.doc_id
+),
+kinds AS (SELECT part, fails, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+counts AS (
+    SELECT part, filter_order, step, letter,
+           coalesce(sum(n) FILTER (WHERE NOT own AND NOT gone), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (WHERE own AND gone), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (WHERE fails = letter), 0)::BIGINT AS unique_fails,
+           coalesce(sum(n) FILTER (WHERE own AND NOT gone AND good), 0)::BIGINT AS good_lost,
+           coalesce(sum(n) FILTER (WHERE own AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+    FROM (
+        SELECT *, contains(fails, letter) AS own, translate(fails, before, '') <> fails AS gone
+        FROM kinds, steps
+    )
+    GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM counts
+"""

@@ -64,3 +64,14 @@ def numbered(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
 def text_key(text: Column) -> Column:
     """128 hash bits of a text; equal texts have equal keys."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], spread: Column, ways: int = 32) -> DataFrame:
+    """Left join of ``found``, unique on ``keys``, to rows of which many may share a key.
+
+    ``found`` is repeated once per way and a row goes the way that its ``spread`` hash names, so the
+    rows of a hot key are dealt out to ``ways`` tasks.  Rows with a null key find nothing.
+    """
+    way = F.pmod(spread, F.lit(ways)).cast("int")
+    ways_of = found.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return rows.withColumn("_way", way).join(ways_of, [*keys, "_way"], "left").drop("_way")
