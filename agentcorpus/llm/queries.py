@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentcorpus.llm import filteraudit, hilbert, langid, licences, lines, ordermin, packing, pieces, simhash, topk, webtext
+from agentcorpus.llm import (
+    filteraudit, hilbert, langid, licences, lines, ordermin, packing, pieces, simhash, topk, warc, webtext, whitening,
+)
 from agentcorpus.llm.store import stored
 
 QUERIES: dict = {}
@@ -225,3 +227,33 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM counts
 """
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op13_warc"] = """
+WITH payloads AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest
+    FROM pages
+),
+firsts AS (SELECT digest, min(page_id) AS first FROM payloads GROUP BY digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string([
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  ((('0x' || substr(digest, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+           FOR i IN range(32)
+       ], '') AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM payloads JOIN firsts USING (digest)
+"""
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
