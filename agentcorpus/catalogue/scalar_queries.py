@@ -49,23 +49,50 @@ def canonical_hash(spark, folder):
     )
 
 
-SUFFIXES = ("example.com", "example.org", "com", "org", "net")
-_SUFFIX_SQL = "regexp_extract(domain, '([^.]+\\.(?:example\\.com|example\\.org|net|org|com))$', 1)"
+SUFFIXES = (
+    ("com", False), ("org", False), ("net", False), ("example.com", False), ("uk", False),
+    ("co.uk", False), ("*.ck", False), ("!www.ck", False), ("jp", False), ("*.kobe.jp", False),
+    ("!city.kobe.jp", False), ("cn", False), ("\u516c\u53f8.cn", False), ("blogspot.com", True),
+)
+_SITE_SQL = """CASE WHEN domain = 'example.com' THEN domain
+  WHEN suffix(domain, '.example.com') THEN regexp_extract(domain, '([^.]+\\.example\\.com)$', 1)
+  WHEN regexp_matches(domain, '\\.(net|org|com)$')
+  THEN regexp_extract(domain, '([^.]+\\.(?:net|org|com))$', 1) ELSE domain END"""
 
 
 @query(
     "registrable_domain",
-    f"""WITH r AS ({B.PAGES_SQL}),
-    s AS (SELECT id, domain AS hostname,
-      CASE WHEN domain IN ('example.com', 'example.org') THEN domain
-           WHEN suffix(domain, '.example.com') OR suffix(domain, '.example.org')
-           THEN regexp_extract(domain, '([^.]+\\.example\\.(?:com|org))$', 1)
-           ELSE regexp_extract(domain, '([^.]+\\.(?:net|org|com))$', 1) END AS registrable FROM r)
-    SELECT * FROM s""",
+    f"""WITH r AS (SELECT id, domain, id::BIGINT % 14 AS k FROM ({B.PAGES_SQL}))
+    SELECT id, hosts[k + 1] AS hostname, sites[k + 1] AS registrable FROM (SELECT id, k,
+      [domain, 'shop.' || domain || '.ck', 'www.ck', 'x' || id || '.www.ck', 'co.ck',
+       '10.0.' || (id::BIGINT % 256)::VARCHAR || '.7', '2001:db8::' || id,
+       'shop.m\u00fcller.xn--55qx5d.cn', 'a.b' || id || '.\u516c\u53f8.cn', 'co.uk',
+       'a.b' || id || '.co.uk', 'u' || id || '.blogspot.com', 'a.city.kobe.jp',
+       'a.b' || id || '.c.kobe.jp.'] AS hosts,
+      [{_SITE_SQL}, regexp_extract('shop.' || domain || '.ck', '([^.]+\\.[^.]+\\.ck)$', 1), 'www.ck',
+       'www.ck', 'co.ck', '10.0.' || (id::BIGINT % 256)::VARCHAR || '.7', '2001:db8::' || id,
+       'm\u00fcller.xn--55qx5d.cn', 'b' || id || '.\u516c\u53f8.cn', 'co.uk',
+       'b' || id || '.co.uk', 'blogspot.com', 'city.kobe.jp',
+       'b' || id || '.c.kobe.jp'] AS sites FROM r)""",
 )
 def registrable_domain(spark, folder):
-    hosts = B.page_records(spark, folder).select("id", F.col("domain").alias("hostname"))
-    suffixes = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    """Hosts of the pages, and made from them ones of wildcard, exception, private and other rules."""
+    pages, name = B.page_records(spark, folder).select("id", "domain"), F.col("id")
+
+    def made(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    number = name.cast("bigint")
+    hosts = F.array(
+        F.col("domain"), made("shop.", F.col("domain"), ".ck"), F.lit("www.ck"),
+        made("x", name, ".www.ck"), F.lit("co.ck"),
+        made("10.0.", (number % 256).cast("string"), ".7"), made("2001:db8::", name),
+        F.lit("shop.m\u00fcller.xn--55qx5d.cn"), made("a.b", name, ".\u516c\u53f8.cn"), F.lit("co.uk"),
+        made("a.b", name, ".co.uk"), made("u", name, ".blogspot.com"), F.lit("a.city.kobe.jp"),
+        made("a.b", name, ".c.kobe.jp."),
+    )
+    hosts = pages.select("id", F.get(hosts, (number % 14).cast("int")).alias("hostname"))
+    suffixes = spark.createDataFrame(SUFFIXES, "suffix string, private boolean")
     return web.registrable_domain(hosts, suffixes).select("id", "hostname", "registrable")
 
 

@@ -13,21 +13,35 @@ from agentcorpus.catalogue.scalar_queries import AUDIT_SQL
 from agentcorpus.operators import audit, expand, records, split
 
 SUFFIXES = ("com", "org", "net")
+RULES = (*SUFFIXES, "*.ck", "!www.ck")
 
 
 def suffixes(spark):
-    return spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    return spark.createDataFrame([(s,) for s in RULES], "suffix string")
 
 
 def site_sql(domain: str) -> str:
     listed = "|".join(SUFFIXES)
-    return (
-        f"coalesce(nullif(regexp_extract({domain}, '([^.]+[.](?:{listed}))$', 1), ''), {domain})"
-    )
+    return f"""CASE WHEN suffix({domain}, '.www.ck') THEN 'www.ck'
+      WHEN suffix({domain}, '.ck') THEN regexp_extract({domain}, '([^.]+[.][^.]+[.]ck)$', 1)
+      ELSE coalesce(nullif(regexp_extract({domain}, '([^.]+[.](?:{listed}))$', 1), ''), {domain}) END"""
+
+
+HOSTS_SQL = """CASE id::BIGINT % 5 WHEN 1 THEN domain || '.ck' WHEN 2 THEN domain || '.www.ck'
+  WHEN 3 THEN '10.1.2.' || (id::BIGINT % 200)::VARCHAR ELSE domain END"""
 
 
 def site_pages(spark, folder):
-    pages = records.canonicalize_domain_column(B.page_records(spark, folder), suffixes(spark))
+    """Pages of which some lie beneath a wildcard rule, an exception or an address."""
+    pages, number = B.page_records(spark, folder), F.col("id").cast("bigint")
+    address = F.concat(F.lit("10.1.2."), (number % 200).cast("string"))
+    hosts = (
+        F.when(number % 5 == 1, F.concat("domain", F.lit(".ck")))
+        .when(number % 5 == 2, F.concat("domain", F.lit(".www.ck")))
+        .when(number % 5 == 3, address)
+        .otherwise(F.col("domain"))
+    )
+    pages = records.canonicalize_domain_column(pages.withColumn("domain", hosts), suffixes(spark))
     return pages.withColumn(
         "source_role", F.when(F.col("task") == "qa", "distribution_shift").otherwise("training")
     )
@@ -37,7 +51,7 @@ SITES_SQL = f"""
 SELECT * REPLACE ({site_sql('domain')} AS domain),
   coalesce('image:' || image, 'record:' || id) AS unit,
   CASE WHEN task = 'qa' THEN 'distribution_shift' ELSE 'training' END AS source_role
-FROM ({B.PAGES_SQL})
+FROM (SELECT * REPLACE ({HOSTS_SQL} AS domain) FROM ({B.PAGES_SQL}))
 """
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentcorpus.functions.text import blank_to, strip
@@ -38,6 +40,9 @@ VOCABULARIES = (
 DOCS_PRODUCTS = {"document": "docs", "spreadsheets": "sheets", "presentation": "slides"}
 # ---------------------------------------------------------------------------------------------
 
+PRIVATE_SECTION = "// ==={} PRIVATE DOMAINS==="
+FULL_STOPS = "\u3002\uff0e\uff61"
+ADDRESS = "^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$|:"
 HOST_SALTS = 16
 
 AUTHORITY = "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//"
@@ -68,29 +73,98 @@ def canonical_domain(domain: Column, url: Column, website: Column | None = None)
     return blank_to(F.when(~recorded.isin("", "unknown"), recorded).otherwise(derived), "unknown")
 
 
+def read_suffix_list(spark: SparkSession, path: str) -> DataFrame:
+    """(suffix, private) rules of a public suffix list: one rule a line, up to the first blank.
+
+    Lines that start with ``//`` are comments; two of them enclose the private section.
+    """
+    text = spark.read.text(path, wholetext=True)
+    inside = f"(?s){PRIVATE_SECTION.format('BEGIN')}(.*?){PRIVATE_SECTION.format('END')}"
+    sections = text.select(
+        F.explode(
+            F.array(
+                F.struct(F.regexp_replace("value", inside, "").alias("body"), F.lit(False).alias("private")),
+                F.struct(F.regexp_extract("value", inside, 1).alias("body"), F.lit(True).alias("private")),
+            )
+        ).alias("section")
+    )
+    lines = sections.select(F.explode(F.split("section.body", "\\R")).alias("line"), "section.private")
+    rules = lines.where(~F.col("line").startswith("//"))
+    rule = F.regexp_extract("line", "^(\\S*)", 1)
+    return rules.select(rule.alias("suffix"), "private").where("suffix <> ''")
+
+
+def suffix_rules(suffixes: DataFrame, private: bool = False) -> DataFrame:
+    """Typed rules (tail, beyond): a host that ends in ``tail`` has a suffix of so many labels more.
+
+    ``*.tail`` takes one label more, ``!label.tail`` one less than its own, other rules none.  Without
+    ``private`` the rules so marked are left out.
+    """
+
+    def both(label: str) -> set[str]:
+        if label.startswith("xn--"):
+            try:
+                return {label, label[4:].encode("ascii").decode("punycode")}
+            except UnicodeError:
+                return {label}
+        return {label} if label.isascii() else {label, "xn--" + label.encode("punycode").decode()}
+
+    def spellings(names: pd.Series) -> pd.Series:
+        return names.map(lambda name: [".".join(x) for x in product(*map(both, name.split(".")))])
+
+    if "private" in suffixes.columns and not private:
+        suffixes = suffixes.where(~F.coalesce("private", F.lit(False)))
+    rule = F.lower(strip(F.col("suffix")))
+    rules = suffixes.select(rule.alias("rule")).where(F.col("rule") != "").distinct()
+    starred, excepted = F.col("rule").startswith("*"), F.col("rule").startswith("!")
+    spelled = F.pandas_udf(spellings, "array<string>")  # labels in Unicode and in Punycode
+    return rules.select(
+        F.explode(spelled(F.regexp_replace("rule", "^(?:\\*\\.?|!|\\.)", ""))).alias("tail"),
+        F.when(starred, 1).when(excepted, -1).otherwise(0).alias("beyond"),
+    ).distinct()
+
+
 def registrable_domain(
-    df: DataFrame, suffixes: DataFrame, host: str = "hostname", out: str = "registrable"
+    df: DataFrame,
+    suffixes: DataFrame,
+    host: str = "hostname",
+    out: str = "registrable",
+    private: bool = False,
 ) -> DataFrame:
-    """Longest public suffix plus one label.
+    """Public suffix plus one label; hosts without a suffix, bare suffixes and addresses stay as they are.
 
-    Only the distinct hosts are matched against the suffix table (column ``suffix``), and the small
-    result is joined back.  Whether either side is broadcast is left to its measured size.
+    Of the rules (column ``suffix``, and ``private`` where marked) that a host meets an exception
+    prevails, else the one of most labels.  Rules and hosts may spell labels in Unicode or Punycode.
+    Only the distinct hosts are matched, each by its tails of at most as many labels as a rule has, and
+    the small result is joined back.  Whether either side is broadcast is left to its measured size.
     """
-    hosts = df.select(host).distinct()
-    labels = F.split(F.col(host), "\\.")
-    tails = hosts.select(
-        host, labels.alias("_labels"), F.explode(F.sequence(F.lit(2), F.size(labels))).alias("_at")
-    ).where("size(_labels) > 1 and _at <= size(_labels)")
-    tails = tails.select(
+    rules = suffix_rules(suffixes, private)
+    # one row: labels of the longest rule, so that a host of many labels has few tails
+    deepest = rules.agg(F.max(F.size(F.split("tail", "\\.")))).first()[0] or 0
+    plain = F.regexp_replace(F.translate(F.col(host), FULL_STOPS, "..."), "\\.+$", "")
+    hosts = df.select(host).distinct().where(~plain.rlike(ADDRESS))
+    labels = hosts.select(host, F.split(plain, "\\.").alias("_labels"))
+    depth = F.explode(F.sequence(F.lit(0), F.least(F.size("_labels"), F.lit(deepest)))).alias("_depth")
+    tails = labels.select(host, "_labels", depth).select(
         host,
-        F.expr("array_join(slice(_labels, _at, size(_labels)), '.')").alias("suffix"),
-        F.expr("_labels[_at - 2]").alias("_label"),
-        "_at",
+        "_labels",
+        "_depth",
+        F.when(F.col("_depth") == 0, F.lit(""))
+        .otherwise(F.expr("array_join(slice(_labels, -_depth, _depth), '.')"))
+        .alias("tail"),
     )
+    size, taken = F.size("_labels"), F.col("_depth") + F.col("beyond")
+    site = F.expr("slice(_labels, -(_found.taken + 1), _found.taken + 1)")
     best = (
-        tails.join(suffixes.select("suffix").distinct(), "suffix")
+        tails.join(rules, "tail")
+        .where(taken <= size)
         .groupBy(host)
-        .agg(F.min_by(F.concat_ws(".", "_label", "suffix"), "_at").alias("_best"))
+        .agg(
+            F.max(F.struct((F.col("beyond") < 0).alias("excepted"), taken.alias("taken"))).alias("_found"),
+            F.first("_labels").alias("_labels"),
+        )
+        .where((F.col("_found.taken") < size) & (F.get("_labels", size - F.col("_found.taken") - 1) != ""))
+        .select(host, F.array_join(site, ".").alias("_best"))
     )
     # a host may hold a third of all rows: its rows are spread over salted copies of its one answer
     salts = F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1)))

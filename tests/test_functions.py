@@ -77,6 +77,52 @@ def test_registrable_domain(spark):
     }
 
 
+RULES = """// ===BEGIN ICANN DOMAINS===
+// a comment
+com
+uk   the rest of a line is a remark
+co.uk
+
+*.ck
+!www.ck
+jp
+*.kobe.jp
+!city.kobe.jp
+cn
+\u516c\u53f8.cn
+// ===END ICANN DOMAINS===
+// ===BEGIN PRIVATE DOMAINS===
+blogspot.com
+*.compute.example
+// ===END PRIVATE DOMAINS===
+"""
+SITES = {
+    "a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "uk": "uk", "b.uk": "b.uk", "localhost": "localhost",
+    "ck": "ck", "b.ck": "b.ck", "a.b.ck": "a.b.ck", "x.a.b.ck": "a.b.ck", "www.ck": "www.ck",
+    "x.y.www.ck": "www.ck", "kobe.jp": "kobe.jp", "c.kobe.jp": "c.kobe.jp", "a.c.kobe.jp": "a.c.kobe.jp",
+    "x.a.c.kobe.jp": "a.c.kobe.jp", "city.kobe.jp": "city.kobe.jp", "x.city.kobe.jp": "city.kobe.jp",
+    "10.0.0.7": "10.0.0.7", "2001:db8::1": "2001:db8::1", "a.b.com.": "b.com", "..": "..", ".com": ".com",
+    "x..com": "x..com", "a.b\u3002co.uk": "b.co.uk", "a.b.unknown": "a.b.unknown", "": "", None: None,
+    "x.shop.xn--55qx5d.cn": "shop.xn--55qx5d.cn", "x.shop.\u516c\u53f8.cn": "shop.\u516c\u53f8.cn",
+    "\u516c\u53f8.cn": "\u516c\u53f8.cn", "x.y.blogspot.com": "blogspot.com",
+    ".".join(["a"] * 500) + ".com": "a.com",
+}
+
+
+def test_public_suffix_rules(spark, tmp_path):
+    (tmp_path / "rules.dat").write_text(RULES, encoding="utf-8")
+    rules = web.read_suffix_list(spark, str(tmp_path / "rules.dat"))
+    assert rules.where("private").count() == 2 and rules.where("not private").count() == 10
+    hosts = spark.createDataFrame([(h, i) for i, h in enumerate(SITES)], "hostname string, n int")
+    got = {r["hostname"]: r["registrable"] for r in web.registrable_domain(hosts, rules).collect()}
+    assert got == SITES
+    private = web.registrable_domain(hosts, rules, private=True)
+    got = {r["hostname"]: r["registrable"] for r in private.collect()}
+    assert got == {**SITES, "x.y.blogspot.com": "y.blogspot.com"}
+    none = web.registrable_domain(hosts, rules.limit(0))
+    assert all(r["hostname"] == r["registrable"] for r in none.collect())
+
+
 @pytest.mark.parametrize(
     "prediction,point",
     [
