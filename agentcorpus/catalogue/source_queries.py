@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from agentcorpus.catalogue import bindings as B
 from agentcorpus.catalogue.base import query, rounded, scratch, table
 from agentcorpus.catalogue.expansion_queries import raw_screenshots, raw_trajectories
 from agentcorpus.operators import records, study, website
-from agentcorpus.sources import checksums, manifests, progress, scans
+from agentcorpus.session import cut
+from agentcorpus.sources import arrow_shards, checksums, manifests, progress, scans
+
+ODD_NAME = "of 50% a+b"  # folders with characters that listings encode
 
 
 @query(
@@ -34,7 +38,7 @@ def manifest_round_trip(spark, folder):
 )
 def read_episodes(spark, folder):
     """One episode per document, and a log of broken lines for each quality of the labels."""
-    path = scratch(spark, "episodes")
+    path = scratch(spark, f"episodes {ODD_NAME}")
     docs = table(spark, folder, "documents")
     steps = F.transform(
         F.split("text", "\n"),
@@ -96,7 +100,7 @@ def read_receipts(spark, folder):
 )
 def scan_trajectories(spark, folder):
     """Rows whose step keys are not numbers or whose goal is empty are rejected with a reason."""
-    path = scratch(spark, "trajectories")
+    path = scratch(spark, f"trajectories {ODD_NAME}")
     n = F.col("n_chars")
     raw = raw_trajectories(spark, folder).join(
         table(spark, folder, "documents").select(
@@ -140,7 +144,7 @@ def rejection_summary(spark, folder):
     SELECT count(DISTINCT doc_id)::BIGINT AS rows, count(*)::BIGINT AS messages FROM l""",
 )
 def scan_screenshots(spark, folder):
-    path = scratch(spark, "screenshots")
+    path = scratch(spark, f"screenshots {ODD_NAME}")
     raw_screenshots(spark, folder).withColumn("image", F.encode("metadata.url", "utf-8")).write.parquet(
         path
     )
@@ -158,17 +162,73 @@ def scan_screenshots(spark, folder):
 def scan_arrow(spark, folder):
     """Documents written as Arrow shards, scanned with one column projected away."""
     shards = scratch(spark, "arrow")
-    docs = table(spark, folder, "documents").repartition(4, "doc_id")
+    docs = table(spark, folder, "documents").repartition(8, "doc_id")
     # The write runs once; its list of paths is stored so that a later read cannot repeat it.
-    listing = scratch(spark, "arrow-list")
-    scans.write_arrow_shards(docs, shards).write.parquet(listing)
-    rows = scans.scan_arrow(
-        spark, spark.read.parquet(listing), ["doc_id", "lang", "n_chars", "text"],
+    listing = cut(arrow_shards.write_arrow_shards(docs, shards, rows=50))
+    rows = arrow_shards.scan_arrow(
+        spark, listing, ["doc_id", "lang", "n_chars", "text"],
         "doc_id bigint, lang string, n_chars bigint, text string",
+        plan=arrow_shards.plan_arrow(listing, 1 << 18),
     )
     return rows.select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("text_hash"))
 
 
+SHARDS, BATCH_ROWS = 8, 20
+
+
+@query(
+    "scan_arrow_rejects",
+    f"""WITH d AS (SELECT doc_id, doc_id % 5 AS kind, doc_id // 5 % {SHARDS} AS shard FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY kind, shard ORDER BY doc_id) - 1 AS place,
+            count(*) OVER (PARTITION BY kind, shard) AS size FROM d),
+    j AS (SELECT *, (size - 1) // {BATCH_ROWS} * {BATCH_ROWS} AS whole FROM n),
+    k AS (SELECT kind, CASE WHEN kind IN (0, 1) THEN 'read' WHEN kind = 2 AND place < whole THEN 'read'
+            WHEN kind = 2 AND place = whole THEN 'cut_off' WHEN kind = 3 AND place = 0 THEN 'empty'
+            WHEN kind = 4 AND place = 0 THEN 'columns' END AS reason,
+          shard, place, CASE WHEN kind < 3 AND (kind < 2 OR place < whole) THEN doc_id END AS doc_id FROM j)
+    SELECT kind::INTEGER AS kind, reason, count(*)::BIGINT AS n, sum(place)::BIGINT AS places,
+      sum(doc_id)::BIGINT AS ids FROM k WHERE reason IS NOT NULL GROUP BY kind, reason""",
+)
+def scan_arrow_rejects(spark, folder):
+    """Shards of five kinds: streams, files, cut-off files, empty ones, and ones of another schema."""
+    shards = scratch(spark, "arrow")
+    docs = table(spark, folder, "documents").select(
+        (F.col("doc_id") % 5).cast("int").alias("kind"),
+        F.expr(f"doc_id div 5 % {SHARDS}").alias("shard"),
+        "doc_id", "lang", "text",
+    )
+
+    def write(key, rows):
+        """One shard of some kind: a (kind, shard) group holds a fortieth of the rows."""
+        kind, name = key[0].as_py(), f"{key[0].as_py()}-{key[1].as_py()}.arrow"
+        rows = rows.sort_by("doc_id").select(["lang", "text"] if kind == 4 else ["doc_id", "lang", "text"])
+        sink = pa.BufferOutputStream()
+        with (pa.ipc.new_stream if kind == 0 else pa.ipc.new_file)(sink, rows.schema) as writer:
+            for start in range(0, rows.num_rows, BATCH_ROWS):
+                batch = rows.slice(start, BATCH_ROWS).combine_chunks().to_batches()[0]
+                last = start + BATCH_ROWS >= rows.num_rows
+                if kind == 2 and last:
+                    whole = sink.tell()
+                writer.write_batch(batch)
+        data = sink.getvalue().to_pybytes()
+        data = data[: whole + 100] if kind == 2 else b"" if kind == 3 else data
+        files_at, base = arrow_shards.open_path(shards)
+        files_at.create_dir(base, recursive=True)
+        with files_at.open_output_stream(f"{base}/{name}") as out:
+            out.write(data)
+        return pa.table({"path": [f"{shards}/{name}"]})
+
+    listing = cut(docs.groupBy("kind", "shard").applyInArrow(write, "path string"))
+    found = arrow_shards.scan_arrow(
+        spark, listing, ["doc_id", "text"], "doc_id bigint, text string", rejects=True,
+        plan=arrow_shards.plan_arrow(listing, 1 << 16),
+    )
+    kind = F.regexp_extract("path", "([0-9])-[0-9]+[.]arrow$", 1).cast("int").alias("kind")
+    return found.groupBy(kind, F.coalesce("reason", F.lit("read")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("row_index").alias("places"), F.sum("doc_id").alias("ids")
+    )
+
+
 @query(
     "scan_completeness",
     """SELECT doc_id::VARCHAR AS file, sha256(source) AS identity,
@@ -229,9 +289,9 @@ def source_file_inventory(spark, folder):
 )
 def content_checksums(spark, folder):
     """Every benchmark text as a file of its own; all have one base name, in different folders."""
-    path = scratch(spark, "texts")
+    path = scratch(spark, f"texts {ODD_NAME}")
     items = table(spark, folder, "benchmark").select("item_id", "text")
-    items.coalesce(1).write.partitionBy("item_id").text(path)
+    items.repartition("item_id").write.partitionBy("item_id").text(path)
     files = checksums.content_checksums(spark, path).where(F.contains("file", F.lit("item_id=")))
     item = F.regexp_extract("file", "^item_id=([0-9]+)/part-", 1).cast("bigint")
     return files.where(item.isNotNull()).select(item.alias("item_id"), "sha256", "bytes")
@@ -254,13 +314,13 @@ def table_fingerprint(spark, folder):
 @query(
     "read_progress_log",
     """SELECT log, event, arg_max(completed, n)::BIGINT AS completed FROM (
-         SELECT lang AS log, doc_id AS n, CASE WHEN n_chars % 2 = 0 THEN 'start' ELSE 'complete' END
+         SELECT lang || '/' || (doc_id % 8)::VARCHAR AS log, doc_id AS n, CASE WHEN n_chars % 2 = 0 THEN 'start' ELSE 'complete' END
            AS event, n_chars AS completed, source FROM documents WHERE n_chars % 3 > 0)
        GROUP BY log, event""",
 )
 def read_progress_log(spark, folder):
-    """A mixed log per language: some lines hold an event behind a prefix, some are plain text."""
-    path = scratch(spark, "logs")
+    """Eight mixed logs per language: some lines hold an event behind a prefix, some are plain text."""
+    path = scratch(spark, f"logs {ODD_NAME}")
     docs = table(spark, folder, "documents")
     event = F.when(F.col("n_chars") % 2 == 0, "start").otherwise("complete")
     stage = F.concat(F.lit("benchmark_"), "source")
@@ -273,13 +333,14 @@ def read_progress_log(spark, folder):
     line = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("note {not json "), "source")).otherwise(
         F.concat(F.lit("INFO "), body)
     )
-    # one log per language, all of one base name, lines in the order of ids
-    docs.select(line.alias("value"), "lang", "doc_id").coalesce(1).sortWithinPartitions(
-        "lang", "doc_id"
-    ).drop("doc_id").write.partitionBy("lang").text(path)
+    # all logs have one base name, and lines lie in the order of ids
+    part = (F.col("doc_id") % 8).alias("part")
+    docs.select(line.alias("value"), "lang", part, "doc_id").repartition("lang", "part").sortWithinPartitions(
+        "lang", "part", "doc_id"
+    ).drop("doc_id").write.partitionBy("lang", "part").text(path)
     last = progress.read_progress_log(spark, path)
-    log = F.regexp_extract("log", "^lang=([a-z]+)/part-", 1).alias("log")
-    return last.select(log, "event", "completed")
+    log = [F.regexp_extract("log", "^lang=([a-z]+)/part=([0-9])/part-", i) for i in (1, 2)]
+    return last.select(F.concat_ws("/", *log).alias("log"), "event", "completed")
 
 
 @query(

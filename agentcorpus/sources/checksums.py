@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentcorpus.sources import paths
-from agentcorpus.sources.scans import open_path
+from agentcorpus.sources.arrow_shards import open_path
 
 
 CHUNK = 1 << 22
@@ -22,7 +22,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", paths.relative(spark, path, F.col("path")).alias("file"), F.col("length").alias("bytes"))
+        .select("path", paths.relative(spark, path, F.col("path"), encoded=False).alias("file"), F.col("length").alias("bytes"))
     )
 
 

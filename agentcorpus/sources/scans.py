@@ -1,10 +1,9 @@
-"""Scans of raw trajectory, screenshot and Arrow sources."""
+"""Scans of raw trajectory and screenshot sources."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,70 +75,6 @@ def scan_completeness(expected: DataFrame, scans: DataFrame) -> DataFrame:
     ).select("file", "identity", F.col("_found").alias("scanned_identity"))
 
 
-def open_path(path: str):
-    """File system and name of a local path or a file, HDFS or object-store URI."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
-def scan_arrow(
-    spark: SparkSession, files: DataFrame, columns: Sequence[str], schema: str, rows: int = 4096
-) -> DataFrame:
-    """Arrow IPC stream or file shards listed in ``files`` (column ``path``), dealt out by path.
-
-    Batches are projected before they leave the reader and re-sliced to a fixed size, so a task holds
-    one batch at a time.  Run once to write Parquet; later scans then prune and split.
-    """
-    wanted = list(columns)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                files_at, name = open_path(path)
-                with files_at.open_input_file(name) as source:
-                    try:
-                        pieces = iter(pa.ipc.open_stream(source))
-                    except pa.ArrowInvalid:
-                        source.seek(0)
-                        opened = pa.ipc.open_file(source)
-                        pieces = (opened.get_batch(i) for i in range(opened.num_record_batches))
-                    for piece in pieces:
-                        kept = piece.select(wanted)
-                        for start in range(0, kept.num_rows, rows):
-                            yield kept.slice(start, rows)
-
-    return files.select("path").repartition("path").mapInArrow(read, schema)
-
-
-def write_arrow_shards(df: DataFrame, folder: str) -> DataFrame:
-    """Write each partition as one Arrow stream file in a shared folder; returns the paths."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        files_at, base = open_path(folder)
-        sink, writer, path = None, None, None
-        for batch in batches:
-            if writer is None:
-                files_at.create_dir(base, recursive=True)
-                name = f"shard-{uuid.uuid4().hex}.arrow"
-                path = f"{folder}/{name}"
-                sink = files_at.open_output_stream(f"{base}/{name}")
-                writer = pa.ipc.new_stream(sink, batch.schema)
-            writer.write_batch(batch)
-        if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.record_batch({"path": [path]})
-
-    return df.mapInArrow(write, "path string")
-
-
 def shuffled_source(spark: SparkSession, path: str, key: Sequence, columns: Mapping | None = None):
     """A seeded global order in place of a buffer shuffle."""
     from agentcorpus.operators.sample import seeded_shuffle
