@@ -123,28 +123,27 @@ def paired_bootstrap(spark, folder):
     )
 
 
-_SAMPLES = 40
-_LOW, _HIGH = study.bootstrap_positions(_SAMPLES)
+_SAMPLES = 200
 
 
 @query(
     "clustered_bootstrap",
-    f"""WITH t AS (SELECT source AS cluster, sum(quality)::DOUBLE AS s, count(quality) AS n
-          FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY source),
-    k AS (SELECT *, row_number() OVER (ORDER BY {sql_key("'cluster'", 'cluster')}, cluster) - 1 AS number
-      FROM t),
-    d AS (SELECT b, j, (('0x' || substr(sha256(concat_ws(chr(31), 'draw', '{B.SEED}', b::VARCHAR,
-        j::VARCHAR)), 1, 12))::UBIGINT % (SELECT count(*) FROM t))::BIGINT AS number
-      FROM range({_SAMPLES}) x(b), (SELECT number AS j FROM k)),
-    e AS (SELECT b, sum(s) / sum(n) AS estimate FROM d JOIN k USING (number) GROUP BY b),
+    f"""WITH t AS (SELECT doc_id % 97 AS cluster, sum(quality)::DOUBLE AS s, count(quality) AS n
+          FROM labels WHERE quality IS NOT NULL GROUP BY ALL),
+    w AS (SELECT b, s, n, len([x FOR x IN {study.poisson_steps()} IF x <= ('0x' || substr(sha256(
+        concat_ws(chr(31), 'poisson', '{B.SEED}', '=' || cluster::VARCHAR, (b // 16)::VARCHAR)),
+        (b % 16 * 4 + 1)::BIGINT, 4))::INTEGER]) AS weight FROM range({_SAMPLES}) x(b), t),
+    e AS (SELECT b, sum(s * weight) / sum(n * weight) AS estimate FROM w GROUP BY b
+          HAVING sum(n * weight) > 0),
     o AS (SELECT list(estimate ORDER BY estimate) AS l FROM e)
     SELECT (SELECT count(*) FROM t)::BIGINT AS clusters, round((SELECT sum(s) / sum(n) FROM t), 6) AS mean,
-      round(l[{_LOW + 1}], 6) AS ci_low, round(l[{_HIGH + 1}], 6) AS ci_high FROM o""",
+      round(l[floor((len(l) - 1) * 0.025::DOUBLE)::BIGINT + 1], 6) AS ci_low,
+      round(l[floor((len(l) - 1) * 0.975::DOUBLE)::BIGINT + 1], 6) AS ci_high FROM o""",
 )
 def clustered_bootstrap(spark, folder):
-    joined = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id")
+    labels = table(spark, folder, "labels").withColumn("cluster", F.col("doc_id") % 97)
     return rounded(
-        study.clustered_bootstrap(joined, "source", "quality", samples=_SAMPLES, seed=B.SEED)
+        study.clustered_bootstrap(labels, "cluster", "quality", samples=_SAMPLES, seed=B.SEED)
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 import numpy as np
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentcorpus.functions import hashing
-from agentcorpus.operators.ranking import ranked
 from agentcorpus.operators.rows import single_row
 
 # ---- fixed values: default reward weights ----------------------------------------------------
@@ -143,39 +143,71 @@ def paired_bootstrap(pairs: DataFrame, samples: int = 2000, seed: int = 0) -> Da
     return single_row(pair_summary(pairs), interval)
 
 
+DIGITS = 4  # hex digits of a digest behind one weight
+WEIGHTS_PER_DIGEST = 64 // DIGITS
+
+
+def poisson_steps() -> list[int]:
+    """Distribution function of a Poisson variable of mean one in steps of 16 ** -DIGITS.
+
+    A uniform number of DIGITS hex digits has as many steps at or below it as the variable's value.
+    """
+    scale, steps, total, term = 16**DIGITS, [], 0.0, math.exp(-1.0)
+    while round(scale * (total + term)) < scale:
+        total += term
+        steps.append(round(scale * total))
+        term /= len(steps)
+    return steps
+
+
 def clustered_bootstrap(
     rows: DataFrame, cluster: str, value: str, samples: int = 200, seed: int = 0
 ) -> DataFrame:
     """Mean of ``value`` with a 95 % interval from resampling whole clusters: one row.
 
-    Clusters are reduced to (sum, n) first.  Draw j of sample b picks the cluster whose number is the
-    hash of (seed, b, j) modulo their count, so the draws are a plain equi-join on the number and the
-    same on every run.
+    Every cluster has, in every sample, a Poisson weight of mean one, read from a hash of (seed,
+    cluster), so a sample needs no draw by number and no join.  Clusters are reduced to (sum, n) by the
+    only shuffle of data; the sums of all samples are then merged from one partial row per task and
+    sample.  Samples in which all weights are zero have no estimate and do not count.
     """
     totals = rows.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("cluster")).agg(
         F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("n")
     )
-    keyed = totals.withColumn("_k", hashing.stable_key("cluster", F.col("cluster")))
-    numbered = ranked(
-        keyed, [], [F.col("_k"), F.col("cluster")], hashing.key_prefix(F.col("_k"), 4), "number"
-    ).select((F.col("number") - 1).cast("bigint").alias("number"), "s", "n")
-    size = totals.agg(F.count(F.lit(1)))
-    # One cluster row gives its own draw number in every sample: no array grows with the data.
-    per_draw = numbered.select(
-        F.col("number").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")
-    ).withColumn("c", size.scalar())
-    key = hashing.stable_key("draw", seed, F.col("b"), F.col("j"))
-    number = F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint") % F.col("c")
-    drawn = per_draw.select("b", number.alias("number")).join(numbered, "number")
-    estimates = drawn.groupBy("b").agg((F.sum("s") / F.sum("n")).alias("estimate"))
-    low, high = bootstrap_positions(samples)
-    interval = estimates.agg(F.array_sort(F.collect_list("estimate")).alias("_e")).select(
-        F.col("_e")[low].alias("ci_low"), F.col("_e")[high].alias("ci_high")
+    name = F.coalesce(F.concat(F.lit("="), F.col("cluster").cast("string")), F.lit("null"))
+    blocks = -(-samples // WEIGHTS_PER_DIGEST)
+    block = F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("block")
+    hashed = totals.select("s", "n", block, name.alias("name")).withColumn(
+        "digest", hashing.digest("poisson", seed, F.col("name"), F.col("block"))
+    )
+    steps = F.array(*map(F.lit, poisson_steps()))
+
+    def weight(at: Column) -> Column:
+        digits = F.col("digest").substr(at * DIGITS + 1, F.lit(DIGITS))
+        number = F.conv(digits, 16, 10).cast("int")
+        drawn = F.size(F.filter(steps, lambda step: step <= number))
+        return F.struct(
+            (F.col("block") * WEIGHTS_PER_DIGEST + at).alias("sample"), drawn.alias("weight")
+        )
+
+    # sample -1 holds every cluster once: the mean itself
+    every = F.array(F.struct(F.lit(-1).alias("sample"), F.lit(1).alias("weight")))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(WEIGHTS_PER_DIGEST - 1)), weight)
+    drawn = hashed.select("s", "n", F.inline(F.when(F.col("block") < 0, every).otherwise(weights)))
+    sums = drawn.where(F.col("sample") < samples).groupBy("sample").agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.sum(F.col("s") * F.col("weight")).alias("s"),
+        F.sum(F.col("n") * F.col("weight")).alias("n"),
     )
-    mean = totals.agg(
-        F.count(F.lit(1)).alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean")
+    estimate = F.col("s") / F.when(F.col("n") > 0, F.col("n"))
+    whole = F.col("sample") < 0
+    found = sums.agg(
+        F.coalesce(F.max(F.when(whole, F.col("clusters"))), F.lit(0).cast("bigint")).alias("clusters"),
+        F.max(F.when(whole, estimate)).alias("mean"),
+        F.array_sort(F.collect_list(F.when(~whole, estimate))).alias("_e"),  # one number per sample
     )
-    return single_row(mean, interval)
+    last = (F.size("_e") - 1).cast("double")
+    ends = [F.get("_e", F.floor(last * share).cast("int")) for share in (0.025, 0.975)]
+    return found.select("clusters", "mean", ends[0].alias("ci_low"), ends[1].alias("ci_high"))
 
 
 def episode_id(variant: Column, task: Column, seed: Column) -> Column:

@@ -161,6 +161,28 @@ def test_paired_bootstrap_matches_brute_force(spark):
     assert none["paired_episodes"] == 0 and none["ci_low"] == 0.0
 
 
+def test_clustered_bootstrap(spark):
+    """The interval is that of drawing whole clusters with replacement, and needs no join."""
+    rng = np.random.default_rng(3)
+    rows = [(c, float(rng.random() < 0.2 + 0.6 * (c % 3 == 0))) for c in range(90) for _ in range(1 + c % 7)]
+    df = spark.createDataFrame([*rows, (5, None), (None, 1.0)], "c int, v double")
+    found = study.clustered_bootstrap(df, "c", "v", samples=800, seed=2)
+    row = found.first()
+    groups = [[v for k, v in rows if k == c] for c in range(90)] + [[1.0]]
+    draws = []
+    for _ in range(800):
+        drawn = [groups[i] for i in rng.integers(0, len(groups), len(groups))]
+        draws.append(sum(map(sum, drawn)) / sum(map(len, drawn)))
+    low, high = np.quantile(draws, [0.025, 0.975])
+    assert row["clusters"] == 91
+    assert row["mean"] == pytest.approx(np.mean([v for _, v in rows] + [1.0]))
+    assert row["ci_low"] == pytest.approx(low, abs=0.03) and row["ci_high"] == pytest.approx(high, abs=0.03)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert study.clustered_bootstrap(df.repartition(9), "c", "v", samples=800, seed=2).first() == row
+    none = study.clustered_bootstrap(df.limit(0), "c", "v").first()
+    assert none["clusters"] == 0 and none["mean"] is None and none["ci_low"] is None
+
+
 def test_rewards(spark):
     signals = spark.createDataFrame([({"progress": 0.5, "task_success": 1.0},)], "s map<string,double>")
     assert signals.select(study.reward_components(F.col("s")).alias("r")).first()["r"]["reward"] == pytest.approx(1.1)
