@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 Score = Callable[[DataFrame], DataFrame]
+RUN_KEYS, WINDOW = ["run_signature", "task"], "window_start"
 
 
 def _start(stream: DataFrame, checkpoint: str, mode: str, sink, now: bool) -> StreamingQuery:
@@ -51,25 +52,36 @@ def stream_scores(
     return _start(score(once), checkpoint, "append", _replace(output), now)
 
 
-def running_sums(scored: DataFrame, metrics: list[str]) -> DataFrame:
-    return scored.groupBy("run_signature", "task").agg(
+def running_sums(scored: DataFrame, metrics: list[str], keys: list | None = None) -> DataFrame:
+    return scored.groupBy(*(keys or RUN_KEYS)).agg(
         F.count(F.lit(1)).alias("examples"),
         *[F.sum(F.coalesce(F.col(m).cast("double"), F.lit(0.0))).alias(f"{m}_sum") for m in metrics],
     )
 
 
 def stream_metrics(
-    scored: DataFrame, metrics: list[str], output: str, checkpoint: str, now: bool = True
+    scored: DataFrame, metrics: list[str], output: str, checkpoint: str, now: bool = True,
+    arrival: str | None = None, delay: str = "7 days", window: str | None = None,
 ) -> StreamingQuery:
-    """Running rates per run and task.
+    """Running rates per run and task; with ``window`` also per stretch of the arrival time.
 
-    State is one small row per (run, task).  A prediction that arrives twice counts twice: feed the
-    rows that :func:`stream_scores` has made unique.  ``update`` mode writes only the groups a batch touched;
-    :func:`latest_metrics` reads the newest row of each.
+    With an arrival-time column two stateful steps are chained in one query: a (run_signature, id)
+    that repeats within ``delay`` counts once, rows that come later than that are left out, and ids and
+    windows behind the watermark leave the state.  Without one, rows count as they come: feed the rows
+    that :func:`stream_scores` has made unique.  ``update`` mode writes only the groups a batch
+    touched; :func:`latest_metrics` reads the newest row of each.
     """
-    sums = running_sums(scored, metrics)
+    if window is not None and arrival is None:
+        raise ValueError("a window needs an arrival time")
+    keys = [F.col(name) for name in RUN_KEYS]
+    if arrival is not None:
+        scored = scored.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["run_signature", "id"])
+    if window is not None:
+        keys.append(F.window(arrival, window).alias("_window"))
+    sums = running_sums(scored, metrics, keys)
+    placed = [F.col("_window.start").alias(WINDOW)] if window is not None else []
     rates = sums.select(
-        "run_signature", "task", "examples",
+        *RUN_KEYS, *placed, "examples",
         *[(F.col(f"{m}_sum") / F.col("examples")).alias(m) for m in metrics],
     )
     return _start(rates, checkpoint, "update", _replace(output), now)
@@ -82,7 +94,7 @@ def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latest_metrics(df: DataFrame) -> DataFrame:
-    return _newest(df, ["run_signature", "task"])
+    return _newest(df, [name for name in (*RUN_KEYS, WINDOW) if name in df.columns])
 
 
 def progress_state(events: DataFrame) -> DataFrame:
