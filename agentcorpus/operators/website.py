@@ -2,94 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentcorpus.functions.web import APPLICATION_CATEGORIES
 from agentcorpus.operators import records
-from agentcorpus.operators.ranking import first_few
+from agentcorpus.operators.ranking import first_few, ranked
+from agentcorpus.session import cut
 
 LISTS = ("surfaces", "category_rules")
 
 
-def catalog_dimensions(df: DataFrame, top: int = 20) -> DataFrame:
-    """Child rows (domain, dimension, value, n, position).
-
-    Surfaces and rules are open-ended and keep their ``top`` values; the other dimensions come from
-    small vocabularies and are kept whole.
-    """
-    action = F.get_json_object(records.optional(df, "target_action"), "$.name")
-
-    def pair(name, value):
-        return F.struct(F.lit(name).alias("dimension"), value.alias("value"))
-
-    pairs = F.array(
-        pair("tasks", F.col("task")),
-        pair("sources", records.field_or(df, "source")),
-        pair("surfaces", records.field_or(df, "website_surface")),
-        pair("category_votes", records.field_or(df, "website_category", "general_web")),
-        pair("category_confidences", records.field_or(df, "website_category_confidence")),
-        pair("category_rules", records.field_or(df, "website_category_rule")),
-        pair(
-            "actions",
-            F.when(F.col("task") == "action", F.coalesce(F.when(action != "", action), F.lit("unknown"))),
-        ),
+def _counts(df: DataFrame, pairs: dict[str, Column]) -> DataFrame:
+    """(domain, dimension, value, n) of the non-null ``pairs`` of every row, in one pass."""
+    listed = F.array(
+        *[F.struct(F.lit(name).alias("dimension"), value.alias("value")) for name, value in pairs.items()]
     )
-    counts = (
-        df.select(records.field_or(df, "domain").alias("domain"), F.explode(pairs).alias("p"))
+    return (
+        df.select(records.field_or(df, "domain").alias("domain"), F.explode(listed).alias("p"))
         .where("p.value is not null")
         .groupBy("domain", "p.dimension", "p.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    window = W.partitionBy("domain", "dimension").orderBy(F.desc("n"), "value")
-    capped = first_few(
-        counts.where(F.col("dimension").isin(*LISTS)),
-        ["domain", "dimension"], [F.desc("n"), F.col("value")], top, "position",
+
+
+def catalog_dimensions(df: DataFrame, top: int = 20) -> DataFrame:
+    """Child rows (domain, dimension, value, n, position).
+
+    Surfaces and rules keep their ``top`` values, the other dimensions all.  The counts are stored
+    once.  Positions come from :func:`ranked`, divided by count and the start of the value, so a
+    domain with endless sources or surfaces is ranked in pieces.
+    """
+    action = F.get_json_object(records.optional(df, "target_action"), "$.name")
+    named = F.coalesce(F.when(action != "", action), F.lit("unknown"))
+    counts = cut(
+        _counts(
+            df,
+            {
+                "tasks": F.col("task"),
+                "sources": records.field_or(df, "source"),
+                "surfaces": records.field_or(df, "website_surface"),
+                "category_votes": records.field_or(df, "website_category", "general_web"),
+                "category_confidences": records.field_or(df, "website_category_confidence"),
+                "category_rules": records.field_or(df, "website_category_rule"),
+                "actions": F.when(F.col("task") == "action", named),
+            },
+        )
     )
-    whole = counts.where(~F.col("dimension").isin(*LISTS)).withColumn(
-        "position", F.row_number().over(window)
+    piece = F.struct((-F.col("n")).alias("n"), F.substring("value", 1, 3).alias("start"))
+    placed = ranked(
+        counts, ["domain", "dimension"], [F.desc("n"), F.col("value")], piece, "position"
+    ).withColumn("position", F.col("position").cast("int"))
+    return placed.where(~F.col("dimension").isin(*LISTS) | (F.col("position") <= top)).select(
+        "domain", "dimension", "value", "n", "position"
     )
-    return capped.unionByName(whole)
 
 
 def website_catalog(df: DataFrame) -> DataFrame:
-    """Majority category and confidence, review flag, examples and distinct units per domain."""
-    domain = records.field_or(df, "domain").alias("domain")
-    per_unit = df.select(domain, records.sampling_unit(df).alias("unit")).groupBy(
-        "domain", "unit"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    sizes = per_unit.groupBy("domain").agg(
-        F.sum("n").alias("examples"), F.count(F.lit(1)).alias("sampling_units")
+    """Majority category and confidence, review flag, examples and distinct units per domain.
+
+    One pass counts units, categories and confidences per domain together, and a second, small
+    aggregation of these counts gives every column.
+    """
+    counts = _counts(
+        df,
+        {
+            "unit": records.sampling_unit(df),
+            "category": records.field_or(df, "website_category", "general_web"),
+            "confidence": records.field_or(df, "website_category_confidence", "unknown"),
+        },
     )
 
-    def majority(column, default, out):
-        counts = df.select(domain, records.field_or(df, column, default).alias("v")).groupBy(
-            "domain", "v"
-        ).agg(F.count(F.lit(1)).alias("n"))
-        # Lowest (-count, name) wins: most frequent, ties in alphabetical order.
-        return counts.groupBy("domain").agg(
-            F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v"))).alias(out),
-            F.count(F.lit(1)).alias(f"_{out}_values"),
-        )
+    def of(dimension: str) -> Column:
+        return F.col("dimension") == dimension
 
-    categories = majority("website_category", "general_web", "website_category")
-    confidences = majority("website_category_confidence", "unknown", "category_confidence")
-    return (
-        sizes.join(categories, "domain")
-        .join(confidences, "domain")
-        .select(
-            "domain",
-            "website_category",
-            F.col("website_category").isin(*APPLICATION_CATEGORIES).alias("application_focused"),
-            "category_confidence",
-            (
-                (F.col("category_confidence") == "unknown")
-                | (F.col("_website_category_values") > 1)
-            ).alias("manual_review_required"),
-            "examples",
-            "sampling_units",
-        )
+    def majority(dimension: str) -> Column:
+        # Lowest (-count, name) wins: most frequent, ties in alphabetical order.
+        order = F.when(of(dimension), F.struct((-F.col("n")).alias("a"), F.col("value")))
+        return F.min(order)["value"]
+
+    found = counts.groupBy("domain").agg(
+        majority("category").alias("website_category"),
+        majority("confidence").alias("category_confidence"),
+        F.count_if(of("category")).alias("_categories"),
+        F.sum(F.when(of("category"), F.col("n"))).alias("examples"),
+        F.count_if(of("unit")).alias("sampling_units"),
+    )
+    return found.select(
+        "domain",
+        "website_category",
+        F.col("website_category").isin(*APPLICATION_CATEGORIES).alias("application_focused"),
+        "category_confidence",
+        ((F.col("category_confidence") == "unknown") | (F.col("_categories") > 1)).alias(
+            "manual_review_required"
+        ),
+        "examples",
+        "sampling_units",
     )
 
 
