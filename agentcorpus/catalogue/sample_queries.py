@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from agentcorpus.catalogue import bindings as B
@@ -112,19 +114,83 @@ def diverse_sample(spark, folder):
     ).select("id", "domain", "category", "pick_order")
 
 
-@query("nested_tiers")
+def tiers_sql(
+    capped: str, sizes: dict[str, int], seed: int, temperature: float, share: float,
+    required: tuple[str, ...], minimum: float,
+) -> str:
+    """CTEs up to ``chosen``: one pick after the other, each over all rows that the ones before left.
+
+    ``capped`` names the unit-capped rows.  Floors are filled scarcest category first.
+    """
+    largest = max(1, math.ceil(max(sizes.values()) * share))
+    weight = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WEIGHTS.items())
+    ctes = [
+        f"""tp AS MATERIALIZED (SELECT id, domain, website_category AS category,
+          row_number() OVER (PARTITION BY domain, website_category ORDER BY position, unit_key, id)
+            AS pool_rank,
+          pow(least(count(*) OVER (PARTITION BY domain), {largest})::DOUBLE, {temperature}) AS dw,
+          {sql_key(f"'{seed}'", "'domain-category'", 'domain', 'website_category')} AS pk
+          FROM {capped} QUALIFY pool_rank <= {largest})""",
+        f"tpool AS MATERIALIZED (SELECT *, {weight} ELSE 1.0::DOUBLE END AS cw FROM tp)",
+        """supply AS MATERIALIZED (SELECT category, row_number() OVER (ORDER BY count(*), category) AS nth
+          FROM tpool WHERE category IN ("""
+        + ", ".join(f"'{name}'" for name in required)
+        + ") GROUP BY category)",
+        """chosen0 AS MATERIALIZED (SELECT id, domain, category, '' AS tier, 0::BIGINT AS pick_order
+          FROM tpool WHERE false)""",
+    ]
+    at = 0
+    for tier, size in sizes.items():
+        cap = max(1, math.ceil(size * share))
+        for nth in (*range(1, len(required) + 1), 0):  # 0: the rest, of all categories
+            before, at = f"chosen{at}", at + 1
+            kind = f"AND category = (SELECT category FROM supply WHERE nth = {nth})" if nth else ""
+            floor = math.floor(size * minimum)
+            need = (
+                f"{floor} - (SELECT count(*) FROM {before} JOIN supply USING (category) WHERE nth = {nth})"
+                if nth
+                else f"{size} - (SELECT count(*) FROM {before})"
+            )
+            ctes += [
+                f"""turns{at} AS MATERIALIZED (SELECT t.*, coalesce(u.used, 0) + row_number() OVER (
+                  PARTITION BY t.domain ORDER BY cw DESC, pk, pool_rank, id) AS turn FROM tpool t
+                  LEFT JOIN (SELECT domain, count(*) AS used FROM {before} GROUP BY domain) u
+                    ON u.domain = t.domain
+                  WHERE id NOT IN (SELECT id FROM {before}) {kind})""",
+                f"""chosen{at} AS MATERIALIZED (SELECT * FROM {before} UNION ALL
+                  SELECT id, domain, category, '{tier}',
+                    (SELECT count(*) FROM {before}) + rn FROM (SELECT *, row_number() OVER (
+                      ORDER BY round(turn / (dw * cw), 12), pk, id) AS rn
+                    FROM turns{at} WHERE turn <= {cap}) WHERE rn <= {need})""",
+            ]
+    return ",\n".join([*ctes, f"chosen AS (SELECT * FROM chosen{at})"])
+
+
+TIERS_SQL = f"""WITH {capped_sql(1)},
+{tiers_sql('k1', TIERS, SEED, 0.5, 0.15, ("de", "es", "fr"), 0.12)}"""
+
+
+@query("nested_tiers", f"{TIERS_SQL} SELECT id, domain, category, tier, pick_order FROM chosen")
 def nested_tiers(spark, folder):
-    """Floors make the tiers depend on one another; tests check the contract by brute force."""
+    """Floors make the tiers depend on one another: the twin repeats every pick over all rows."""
     return _tiers(spark, folder)
 
 
 @query(
     "nested_tier_sizes",
-    """SELECT * FROM (VALUES ('small', 60::BIGINT, true, true), ('medium', 150::BIGINT, true, true),
-       ('large', 300::BIGINT, true, true)) v(tier, examples, cap_ok, floor_ok)""",
+    f"""{TIERS_SQL},
+    tier_order AS (SELECT * FROM (VALUES ('small', 1), ('medium', 2), ('large', 3)) v(tier, nth)),
+    members AS (SELECT o.tier, c.domain, c.category FROM chosen c
+      JOIN tier_order s ON s.tier = c.tier JOIN tier_order o ON o.nth >= s.nth),
+    tops AS (SELECT tier, max(n) AS top FROM (SELECT tier, domain, count(*) AS n FROM members
+      GROUP BY tier, domain) GROUP BY tier)
+    SELECT tier, count(*)::BIGINT AS examples, max(top) / count(*) <= 0.15 + 1.0 / count(*) AS cap_ok,
+      least(count(*) FILTER (WHERE category = 'de'), count(*) FILTER (WHERE category = 'es'),
+            count(*) FILTER (WHERE category = 'fr')) / count(*) + 1.0 / count(*) >= 0.12 AS floor_ok
+    FROM members JOIN tops USING (tier) GROUP BY tier""",
 )
 def nested_tier_sizes(spark, folder):
-    """The published contract: exact sizes, cap and floors held in every tier."""
+    """The published contract, counted: exact sizes, cap and floors held in every tier."""
     members = cut(sample.tier_membership(_tiers(spark, folder), list(TIERS)))
     return sample.tier_audit(members, 0.15, ["de", "es", "fr"], 0.12).select(
         "tier", "examples", "cap_ok", "floor_ok"
@@ -180,7 +246,25 @@ def natural_sample(spark, folder):
     )
 
 
-@query("suite_sample")
+SUITE_SQL = f"""
+WITH r AS ({B.DOCUMENTS_SQL}),
+n AS (SELECT id, row_number() OVER (PARTITION BY unit ORDER BY
+    {sql_key("'evaluation-natural-record'", f"'{SEED}'", 'unit', 'id')}, id) AS rn
+  FROM r WHERE task = 'qa'),
+k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY
+    {sql_key(f"'{SEED + 1}'", "'record'", 'id')}, id) - 1 AS position,
+    {sql_key(f"'{SEED + 1}'", "'unit'", 'unit')} AS unit_key FROM r WHERE task = 'grounding'),
+k1 AS (SELECT * FROM k WHERE position < 1),
+{tiers_sql('k1', {"sample": 100}, SEED + 1, 0.25, 0.1, ("de", "fr"), 0.05)}
+SELECT 'domain_balanced' AS suite, 'grounding' AS task, id, pick_order AS sample_rank FROM chosen
+UNION ALL
+SELECT 'iid', 'qa', id, sample_rank FROM (SELECT id, row_number() OVER (ORDER BY
+    {sql_key("'evaluation-natural-sample'", f"'{SEED}'", 'id')}, id)::BIGINT AS sample_rank
+  FROM n WHERE rn <= 3) WHERE sample_rank <= 100
+"""
+
+
+@query("suite_sample", SUITE_SQL)
 def suite_sample(spark, folder):
     """A natural suite for one task and a diverse one for another, from one configuration."""
     rows = units(spark, folder)

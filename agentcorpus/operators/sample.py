@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agentcorpus.functions import hashing
@@ -57,22 +56,36 @@ def unit_capped_pool(
     )
 
 
-def majority_domain_pool(
+def _majority_ranks(
     df: DataFrame, seed: int, max_per_unit: int, limit: int | None = None
 ) -> DataFrame:
-    """Variant: a unit belongs wholly to its most common domain, ties alphabetical."""
-    counts = df.groupBy("unit", "domain").agg(F.count(F.lit(1)).alias("n"))
+    """Narrow rows (id, pool_domain, position, unit_key, pool_rank) of the pool below.
+
+    The input is read once, for its narrow columns, which are stored; all ranks are taken of those.
+    """
+    narrow = cut(df, "id", "unit", "domain")
+    counts = narrow.groupBy("unit", "domain").agg(F.count(F.lit(1)).alias("n"))
     home = counts.groupBy("unit").agg(
         F.min_by("domain", F.struct((-F.col("n")).alias("a"), F.col("domain"))).alias(
             "pool_domain"
         )
     )
-    kept = unit_capped(df, seed, max_per_unit).join(home, "unit")
+    kept = cut(unit_capped(narrow.drop("domain"), seed, max_per_unit).join(home, "unit").drop("unit"))
     return ranked(
         kept, ["pool_domain"], [F.col(c) for c in POOL_ORDER], _pool_bucket(), "pool_rank", limit
     )
 
 
+def majority_domain_pool(
+    df: DataFrame, seed: int, max_per_unit: int, limit: int | None = None
+) -> DataFrame:
+    """Variant: a unit belongs wholly to its most common domain, ties alphabetical.
+
+    Ids are unique; the wide columns of the ranked rows are joined last.
+    """
+    return df.join(_majority_ranks(df, seed, max_per_unit, limit), "id")
+
+
 def domain_cap(count: int, share: float) -> int:
     return max(1, math.ceil(count * share))
 
@@ -95,8 +108,7 @@ def temperature_sample(
     domain's hash.
     """
     cap = domain_cap(count, max_domain_share)
-    pool = majority_domain_pool(df, seed, max_per_unit, cap)
-    pool = cut(pool)
+    pool = cut(_majority_ranks(df, seed, max_per_unit, cap))
     sizes = pool.groupBy("pool_domain").agg(F.max("pool_rank").alias("capacity"))
     available = sizes.agg(F.sum("capacity")).first()[0] or 0
     if available < count:
@@ -112,9 +124,8 @@ def temperature_sample(
         }
     )
     high = float(cap) ** (1.0 - temperature) * 1.000001
-    return take_lowest(keyed, "key", high, "tie", count, "sample_rank").drop(
-        "key", "tie", "capacity", "position", "unit_key", "pool_rank"
-    )
+    drawn = take_lowest(keyed, "key", high, "tie", count, "sample_rank")
+    return df.join(drawn.select("id", "pool_domain", "sample_rank"), "id")
 
 
 def _category_weight(category: Column, weights: Mapping[str, float]) -> Column:
@@ -129,6 +140,30 @@ def _category_weight(category: Column, weights: Mapping[str, float]) -> Column:
     return F.lit(1.0) if chain is None else chain.otherwise(F.lit(1.0))
 
 
+PAIR = ["domain", "category"]
+
+
+def _before(pairs: DataFrame, amount: str) -> DataFrame:
+    """Add ``_before``: the ``amount`` of the pairs of a domain that come earlier.
+
+    Heavier categories come first.  A domain has one pair per category, a small vocabulary, so its
+    prefix sums are built in one short array.
+    """
+    names = [c for c in pairs.columns if c != "domain"]
+    key = F.struct((-F.col("category_weight")).alias("_w"), F.col("pair_key").alias("_k"), *names)
+    domains = pairs.groupBy("domain").agg(F.array_sort(F.collect_list(key)).alias("_pairs"))
+    before = F.transform(
+        "_pairs",
+        lambda pair, at: F.struct(
+            *[pair[name].alias(name) for name in names],
+            F.aggregate(
+                F.slice("_pairs", F.lit(1), at), F.lit(0).cast("bigint"), lambda n, x: n + x[amount]
+            ).alias("_before"),
+        ),
+    )
+    return domains.select("domain", F.inline(before))
+
+
 def diversity_pool(
     df: DataFrame,
     seed: int,
@@ -141,55 +176,59 @@ def diversity_pool(
     """Stored candidate pool: at most the largest tier's cap per (domain, category).
 
     No tier can use more rows of one domain than the cap, so the rest is left out before anything
-    wide is sorted, and later windows over a domain hold at most categories x cap rows.
+    wide is sorted.  A row knows its rank in its (domain, category) and how many candidates that
+    pair (``pair_size``) and the pairs before it (``_before``) hold; both come from the table of
+    pair counts, so no row is ever ranked within a whole domain.
     """
     cap = domain_cap(largest, max_domain_share)
     category = records.field_or(df, "website_category", "unclassified")
-    capped = cut(unit_capped(df.withColumn("category", category), seed, max_per_unit))
-    capacity = capped.groupBy("domain").agg(
-        F.least(F.count(F.lit(1)), F.lit(cap)).alias("capacity")
+    capped = unit_capped(df.withColumn("category", category), seed, max_per_unit)
+    capped = cut(capped, "id", "domain", "category", "position", "unit_key")
+    counts = capped.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
+    capacity = counts.groupBy("domain").agg(F.least(F.sum("n"), F.lit(cap)).alias("capacity"))
+    pairs = counts.join(capacity, "domain").select(
+        *PAIR,
+        F.least(F.col("n"), F.lit(cap)).alias("pair_size"),
+        _category_weight(F.col("category"), category_weights).alias("category_weight"),
+        _weight(F.col("capacity"), temperature).alias("domain_weight"),
+        hashing.stable_key(seed, "domain-category", *map(F.col, PAIR)).alias("pair_key"),
     )
     narrow = ranked(
-        capped.select("id", "domain", "category", "position", "unit_key"),
-        ["domain", "category"], [F.col(c) for c in POOL_ORDER], _pool_bucket(), "pool_rank", cap,
-    )
-    weight = _category_weight(F.col("category"), category_weights)
-    keyed = narrow.join(capacity, "domain").withColumns(
-        {
-            "category_weight": weight,
-            "domain_weight": _weight(F.col("capacity"), temperature),
-            "pair_key": hashing.stable_key(
-                seed, "domain-category", F.col("domain"), F.col("category")
-            ),
-        }
-    )
-    return cut(keyed)
+        capped, PAIR, [F.col(c) for c in POOL_ORDER], _pool_bucket(), "pool_rank", cap
+    ).drop("position", "unit_key")
+    return cut(narrow.join(_before(pairs, "pair_size"), PAIR))
 
 
-def _schedule(rows: DataFrame, taken: DataFrame | None) -> DataFrame:
-    """Key of every row given what each domain already has.
+def _schedule(rows: DataFrame, taken: DataFrame | None, category: str | None, cap: int) -> DataFrame:
+    """Key of every row left given what each domain already has.
 
     Inside a domain, heavier categories go first; the r-th pick of a domain has key
-    r / (domain weight x category weight).  Only rows within the remaining cap are kept.
+    r / (domain weight x category weight).  A pair is always taken from its first rank on, so
+    ``taken``, its counts per pair, says which rows are left and how many come before a row.  Only
+    rows of ``category``, where named, count; only those within the remaining cap are kept.
     """
-    if taken is None:
-        rows = rows.withColumn("_used", F.lit(0).cast("bigint"))
+    if taken is not None:
+        left = F.col("pair_size") - F.col("_taken")
+        pairs = rows.select(
+            *PAIR, "pair_size", "category_weight", "pair_key"
+        ).where(F.col("pool_rank") == 1).join(taken, PAIR, "left")
+        pairs = pairs.withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+        used = pairs.groupBy("domain").agg(F.sum("_taken").alias("_used"))
+        state = _before(pairs.withColumn("_left", left).drop("pair_size"), "_left").join(used, "domain")
+        state = state.select(*PAIR, "_taken", "_used", F.col("_before").alias("_earlier"))
+        rows = rows.drop("_before").join(state, PAIR).where(F.col("pool_rank") > F.col("_taken"))
+        earlier = F.lit(0) if category else F.col("_earlier")
+        turn = F.col("_used") + earlier + F.col("pool_rank") - F.col("_taken")
     else:
-        used = taken.groupBy("domain").agg(F.count(F.lit(1)).alias("_used"))
-        rows = rows.join(used, "domain", "left").withColumn(
-            "_used", F.coalesce("_used", F.lit(0))
-        )
-    window = W.partitionBy("domain").orderBy(
-        F.desc("category_weight"), "pair_key", "pool_rank", "id"
-    )
-    rows = rows.withColumn("turn", F.row_number().over(window) + F.col("_used"))
-    return rows.where(F.col("turn") <= F.col("_cap")).withColumns(
-        {
-            "key": F.round(
-                F.col("turn") / (F.col("domain_weight") * F.col("category_weight")), 12
-            ),
-            "tie": F.concat("pair_key", F.lit(":"), "id"),
-        }
+        turn = (F.lit(0) if category else F.col("_before")) + F.col("pool_rank")
+    if category:
+        rows = rows.where(F.col("category") == category)
+    keyed = rows.withColumn("turn", turn).where(F.col("turn") <= cap)
+    return keyed.select(
+        "id",
+        *PAIR,
+        F.round(F.col("turn") / (F.col("domain_weight") * F.col("category_weight")), 12).alias("key"),
+        F.concat("pair_key", F.lit(":"), "id").alias("tie"),
     )
 
 
@@ -233,16 +272,22 @@ def nested_tiers(
     held = dict.fromkeys(required, 0)
     total = 0
 
-    def add(rows: DataFrame, tier: str, count: int, cap: int) -> int:
+    def add(category: str | None, tier: str, count: int, cap: int) -> int:
         nonlocal total
-        chosen = reduce(DataFrame.unionByName, picks) if picks else None
-        picked = cut(_pick(rows, chosen, tier, total, count, cap, lightest))
-        # One row per category, and categories are a small vocabulary.
-        found = picked.groupBy("category").count().collect()
-        for row in found:
-            if row["category"] in held:
-                held[row["category"]] += row["count"]
-        added = sum(row["count"] for row in found)
+        taken = None
+        if picks:
+            chosen = reduce(DataFrame.unionByName, picks)
+            taken = chosen.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_taken"))
+        ready = cut(_schedule(pool, taken, category, cap))
+        # A domain's weight is at least one, so no key exceeds the cap over the lightest category.
+        lowest = take_lowest(ready, "key", cap / lightest * 1.000001, "tie", count, "pick")
+        order = (F.col("pick") + total).cast("bigint").alias("pick_order")
+        picked = cut(lowest.select("id", *PAIR, F.lit(tier).alias("tier"), order))
+        # one row: the size of the pick and of the required categories in it
+        sizes = [F.count_if(F.col("category") == name) for name in required]
+        added, *found = picked.agg(F.count(F.lit(1)), *sizes).first()
+        for name, n in zip(required, found):
+            held[name] += n
         picks.append(picked)
         total += added
         return added
@@ -251,30 +296,15 @@ def nested_tiers(
         cap = domain_cap(size, max_domain_share)
         for category in sorted(required, key=lambda name: (supply[name], name)):
             need = math.floor(size * minimum_category_share) - held[category]
-            if need > 0 and add(pool.where(F.col("category") == category), tier, need, cap) < need:
+            if need > 0 and add(category, tier, need, cap) < need:
                 raise Infeasible(f"category floor of {category} cannot be met in {tier}")
         if size > total:
-            add(pool, tier, size - total, cap)
+            add(None, tier, size - total, cap)
         if total < size:
             raise Infeasible(f"constraints allow {total}/{size} rows in {tier}")
     return reduce(DataFrame.unionByName, picks)
 
 
-def _pick(
-    rows: DataFrame, chosen: DataFrame | None, tier: str, start: int, count: int, cap: int,
-    lightest: float,
-) -> DataFrame:
-    if chosen is not None:
-        rows = rows.join(chosen.select("id"), "id", "left_anti")
-    ready = cut(_schedule(rows.withColumn("_cap", F.lit(cap)), chosen))
-    # A domain's weight is at least one, so no key exceeds the cap over the lightest category.
-    lowest = take_lowest(ready, "key", cap / lightest * 1.000001, "tie", count, "pick")
-    return lowest.select(
-        "id", "domain", "category", F.lit(tier).alias("tier"),
-        (F.col("pick") + start).cast("bigint").alias("pick_order"),
-    )
-
-
 def diverse_sample(df: DataFrame, count: int, **options) -> DataFrame:
     """One tier of :func:`nested_tiers`."""
     return nested_tiers(df, {"sample": count}, **options)
@@ -396,7 +426,11 @@ def stratified_sample(df: DataFrame, seed: int, per_stratum: int) -> DataFrame:
 def quota_fill(
     df: DataFrame, targets: Mapping[str, int], caps: Mapping[str, int] | None, *salt
 ) -> DataFrame:
-    """Per split: at most ``caps`` rows of a domain, then ``targets`` rows, both in hash order."""
+    """Per split: at most ``caps`` rows of a domain, then ``targets`` rows, both in hash order.
+
+    The input is read once for its narrow columns, which are stored and cut twice by histograms of
+    the hash, and once for the wide columns of the rows that fill the quotas.  Ids are unique.
+    """
 
     def by_split(values):
         chain = None
@@ -407,13 +441,15 @@ def quota_fill(
             )
         return chain.otherwise(F.lit(0))
 
-    keyed = df.withColumn("_hk", hashing.stable_key(*salt, F.col("id")))
+    names = ["split", "domain"] if caps is not None else ["split"]
+    keyed = cut(df.select("id", *names, hashing.stable_key(*salt, F.col("id")).alias("_hk")))
     order, bucket = [F.col("_hk"), F.col("id")], hashing.key_prefix(F.col("_hk"), 3)
     if caps is not None:
         keyed = ranked(keyed, ["split", "domain"], order, bucket, "_in", max(caps.values()))
-        keyed = keyed.where(F.col("_in") <= by_split(caps)).drop("_in")
+        keyed = cut(keyed.where(F.col("_in") <= by_split(caps)), "id", "split", "_hk")
     filled = ranked(keyed, ["split"], order, bucket, "split_rank", max(targets.values()))
-    return filled.where(F.col("split_rank") <= by_split(targets)).drop("_hk")
+    filled = filled.where(F.col("split_rank") <= by_split(targets))
+    return df.join(filled.select("id", "split_rank"), "id")
 
 
 def quota_gaps(filled: DataFrame, targets: DataFrame) -> DataFrame:
@@ -449,9 +485,16 @@ def representative_errors(df: DataFrame, bucket: Column, per_bucket: int) -> Dat
     return picked.where(F.col("rank") <= limit).drop("_hk")
 
 
+LEAST_ARCHIVED = 32
+
+
 def retain_archived(
     df: DataFrame, images: DataFrame, order: Sequence[Column], limit: int = 64
 ) -> DataFrame:
-    """First ``limit`` rows whose image is archived."""
+    """First ``limit`` rows whose image is archived.
+
+    Fewer than ``min(limit, LEAST_ARCHIVED)`` of them are an error, raised by the job that counts the
+    few rows kept.
+    """
     kept = df.join(images.select("image").distinct(), "image", "left_semi")
-    return kept.orderBy(*order).limit(limit)
+    return require_rows(kept.orderBy(*order).limit(limit), min(limit, LEAST_ARCHIVED), "archived")
