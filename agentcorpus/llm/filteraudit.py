@@ -14,23 +14,27 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from agentcorpus.llm.store import looked_up, numbered, stored, text_key
+from agentcorpus.llm.store import looked_up, partitions, stored, text_key
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 100  # A
 LEAST_DISTINCT = 80  # B: distinct words in a hundred
 MOST_CAPITALS = 10  # C: capitals in a hundred characters
-MARKS = "[#$%&*|]"  # D
-ENTRIES = 1 << 18  # non-zero entries after which a shard is closed
+MARKS = b"#$%&*|"  # D
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CONTINUED = bytes(range(0x80, 0xC0))  # bytes that continue a character in UTF-8
+ENTRIES = 1 << 20  # non-zero entries after which a shard is closed
 CARRIED = "doc_id long, part string, fails_c boolean, fails_d boolean, a long, b long"
 ROWS = [name.split() for name in CARRIED.split(", ")]
 SHARD = ", ".join(f"{name} array<{kind}>" for name, kind in ROWS)
 LOCAL = f"shard long, {SHARD}, ends binary, terms binary, counts binary, vocabulary array<binary>"
+ENTRY = "part int, shard long, place int, term long, word binary"
 MATRIX = f"shard long, {SHARD}, ends binary, terms binary, counts binary"
 TOTALS = f"shard long, place long, {CARRIED}, words long, distinct long"
 TYPES = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
@@ -56,7 +60,9 @@ class Shard:
 
     def batch(self, number: int) -> pa.RecordBatch:
         lists = [list(column) for column in zip(*self.rows)]
-        packed = [np.asarray(x, np.int64).tobytes() for x in (self.ends, self.terms, self.counts)]
+        packed = [np.asarray(x, np.int32).tobytes() for x in (self.ends, self.terms)]
+        counts = np.asarray(self.counts, np.int64)
+        packed.append(counts.astype(np.min_scalar_type(counts.max(initial=0))).tobytes())
         schema = pa.schema([("shard", pa.int64()), *LISTS, *BYTES, ("vocabulary", pa.list_(pa.binary()))])
         values = [[number], *[[x] for x in lists], *[[x] for x in packed], [list(self.vocabulary)]]
         return pa.RecordBatch.from_arrays(
@@ -64,13 +70,26 @@ class Shard:
         )
 
 
+def counted(packed: bytes, size: int) -> np.ndarray:
+    """Packed counts: unsigned integers of the least width that holds them."""
+    return np.frombuffer(packed, f"u{len(packed) // size if size else 1}")
+
+
+def characters(text: bytes) -> tuple[bool, bool]:
+    """Whether the text fails the character filters C and D."""
+    capitals = len(text) - len(text.translate(None, CAPITALS))
+    points = len(text.translate(None, CONTINUED))
+    return 100 * capitals > MOST_CAPITALS * points, len(text.translate(None, MARKS)) < len(text)
+
+
 def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of at most ENTRIES entries and one document more."""
     number, shard = TaskContext.get().partitionId() << 32, Shard()
     for batch in batches:
-        rows = zip(*[batch.column(name).to_pylist() for name, _ in ROWS])
-        for row, text in zip(rows, batch.column("text")):
-            shard.add(row, text.as_py())
+        rows = zip(*[batch.column(name).to_pylist() for name in ("doc_id", "part", "a", "b")])
+        for (doc_id, part, a, b), text in zip(rows, batch.column("text")):
+            whole = text.as_py()
+            shard.add((doc_id, part, *characters(whole), a, b), whole)
             if len(shard.terms) >= ENTRIES or len(shard.rows) >= ENTRIES:
                 yield shard.batch(number)
                 number, shard = number + 1, Shard()
@@ -78,24 +97,45 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shard.batch(number)
 
 
-def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace a shard's own term numbers by those of the dictionary, rows in ascending order."""
+def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the distinct words of a sorted partition from 0; the first row of a word keeps it."""
+    part, last, before = TaskContext.get().partitionId(), None, -1
     for batch in batches:
-        for at in range(batch.num_rows):
-            row = batch.slice(at, 1)
-            numbers = row.column("numbers")[0].values
-            numbers = np.asarray(numbers if numbers is not None else [], np.int64)
-            ends = np.frombuffer(row.column("ends")[0].as_py(), np.int64)
-            terms = numbers[np.frombuffer(row.column("terms")[0].as_py(), np.int64)]
-            counts = np.frombuffer(row.column("counts")[0].as_py(), np.int64)
-            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            order = np.lexsort((terms, owner))
-            packed = [ends.tobytes(), terms[order].tobytes(), counts[order].tobytes()]
-            kept = [row.column(name) for name in ("shard", *[name for name, _ in ROWS])]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, *[pa.array([x], pa.binary()) for x in packed]],
-                schema=pa.schema([("shard", pa.int64()), *LISTS, *BYTES]),
-            )
+        size, words = batch.num_rows, batch.column("word")
+        if size == 0:
+            continue
+        new = np.ones(size, bool)
+        new[0] = words[0].as_py() != last
+        new[1:] = pc.not_equal(words.slice(1), words.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+        terms = before + np.cumsum(new)
+        last, before = words[size - 1].as_py(), int(terms[-1])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(size, part, np.int32)),
+                batch.column("shard"),
+                batch.column("place"),
+                pa.array(terms),
+                pc.if_else(pa.array(new), words, pa.scalar(None, pa.binary())),
+            ],
+            names=["part", "shard", "place", "term", "word"],
+        )
+
+
+def encode(shard: pa.Table, entries: pa.Table) -> pa.Table:
+    """Replace a shard's own term numbers by those of the dictionary, rows in ascending order."""
+    numbers = np.empty(entries.num_rows, np.int64)
+    numbers[entries.column("place").to_numpy()] = entries.column("term").to_numpy()
+    ends, terms = (np.frombuffer(shard.column(name)[0].as_py(), np.int32) for name in ("ends", "terms"))
+    counts = counted(shard.column("counts")[0].as_py(), len(terms))
+    terms = numbers[terms]
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    order = np.lexsort((terms, owner))
+    packed = [ends.tobytes(), terms[order].tobytes(), counts[order].tobytes()]
+    kept = [shard.column(name) for name in ("shard", *[name for name, _ in ROWS])]
+    return pa.Table.from_arrays(
+        [*kept, *[pa.array([x], pa.binary()) for x in packed]],
+        schema=pa.schema([("shard", pa.int64()), *LISTS, *BYTES]),
+    )
 
 
 def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +147,9 @@ def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
     for batch in batches:
         for at in range(batch.num_rows):
-            ends = np.frombuffer(batch.column("ends")[at].as_py(), np.int64)
-            counts = np.frombuffer(batch.column("counts")[at].as_py(), np.int64)
-            until = np.concatenate([[0], np.cumsum(counts)])
+            ends = np.frombuffer(batch.column("ends")[at].as_py(), np.int32)
+            counts = counted(batch.column("counts")[at].as_py(), ends[-1])
+            until = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             size = len(ends) - 1
             yield pa.RecordBatch.from_arrays(
                 [
@@ -117,38 +157,47 @@ def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(np.arange(size)),
                     *[batch.column(name)[at].values for name in names],
                     pa.array(until[ends[1:]] - until[ends[:-1]]),
-                    pa.array(np.diff(ends)),
+                    pa.array(np.diff(ends).astype(np.int64)),
                 ],
                 schema=schema,
             )
 
 
-def document_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def document_terms(docs: DataFrame, words: bool = True) -> tuple[DataFrame, DataFrame]:
     """(matrix, dictionary): the document-term matrix of whole texts in shards, and (word, term).
 
-    A shard's row lists its documents (doc_id, part, flags of C and D, text key) and holds ``ends``,
-    ``terms`` and ``counts`` as 64-bit integers.  A word is a maximal run of characters other than the
-    blank and the controls 9 to 13; terms number the distinct words from 0 in byte order.
+    A shard's row lists its documents (doc_id, part, flags of C and D, text key) and holds ``ends`` as
+    32-bit and ``terms`` as 64-bit integers and ``counts`` as :func:`counted` reads them.  Without
+    ``words`` terms are numbered all the same, but the dictionary is not kept and is empty.  A word is a maximal run of characters other
+    than the blank and the controls 9 to 13; terms number the distinct words from 0.  A word comes
+    once from a shard, so even one that all documents share is no hot key of the shuffle by word.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = text_key(text)
-    capitals = F.char_length(text) - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
-        (100 * capitals.cast("long") > MOST_CAPITALS * F.char_length(text).cast("long")).alias("fails_c"),
-        text.rlike(MARKS).alias("fails_d"),
         key["a"].alias("a"),
         key["b"].alias("b"),
         text.cast("binary").alias("text"),
     )
-    local = stored(rows.mapInArrow(build, LOCAL), "shards")
+    local = stored(rows.mapInArrow(build, LOCAL), "shards", codec="zstd")
     used = local.select("shard", F.posexplode("vocabulary").alias("place", "word"))
-    dictionary = numbered(used.select("word").distinct(), [F.col("word")], "term")
-    found = looked_up(used, dictionary, ["word"], F.xxhash64("shard"))
-    entry = F.array_sort(F.collect_list(F.struct("place", "term")))
-    numbers = found.groupBy("shard").agg(F.transform(entry, lambda x: x["term"]).alias("numbers"))
-    matrix = local.drop("vocabulary").join(numbers, "shard", "left").mapInArrow(encode, MATRIX)
+    dealt = used.repartition(partitions(docs), "word").sortWithinPartitions("word")
+    entries = dealt.mapInArrow(number, ENTRY)
+    if not words:
+        entries = entries.withColumn("word", F.lit(None).cast("binary"))
+    entries = stored(entries, "entries")
+    earlier = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        entries.groupBy("part")  # one row per shuffle partition
+        .agg(F.max("term").alias("last"))
+        .select("part", F.coalesce(F.sum(F.col("last") + 1).over(earlier), F.lit(0)).alias("before"))
+    )
+    entries = entries.join(F.broadcast(offsets), "part").withColumn("term", F.col("term") + F.col("before"))
+    dictionary = entries.where(F.col("word").isNotNull()).select("word", "term")
+    numbers = entries.select("shard", "place", "term").groupBy("shard")
+    matrix = local.drop("vocabulary").groupBy("shard").cogroup(numbers).applyInArrow(encode, MATRIX)
     return matrix, dictionary
 
 
@@ -158,7 +207,7 @@ def failures(docs: DataFrame) -> DataFrame:
     Null texts count as empty, null languages as the empty part.  Of a document without an id E holds
     never, and such documents make no other a copy; rows that repeat an id are no copies of each other.
     """
-    rows = stored(document_terms(docs)[0].mapInArrow(totals, TOTALS), "totals")
+    rows = stored(document_terms(docs, words=False)[0].mapInArrow(totals, TOTALS), "totals")
     firsts = (
         rows.groupBy("a", "b")
         .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
