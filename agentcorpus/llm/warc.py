@@ -97,9 +97,10 @@ def mark_revisits(records: DataFrame, least: int = 0) -> DataFrame:
     """Add ``digest`` (SHA-1, hex), ``record_type`` and ``refers_to`` to (record_id, url, payload).
 
     Of records with equal payloads of ``least`` bytes or more the one of the smallest id is the response
-    and the others revisit it.  Null ids come last.  Rows that share the smallest id are all responses.
+    and the others revisit it.  Null payloads are empty.  Null ids come last.  Rows that share the smallest id are all responses.
     """
-    rows = records.withColumn("digest", F.sha1("payload"))
+    rows = records.withColumn("payload", F.coalesce("payload", F.lit(b"")))
+    rows = rows.withColumn("digest", F.sha1("payload"))
     size = F.octet_length("payload")
     firsts = (
         rows.where(size >= least)
