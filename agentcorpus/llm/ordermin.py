@@ -1,13 +1,15 @@
 """Operator 2: near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A sketch holds, for each of SKETCHES hash functions, the two minimal occurrence-labelled runs of five
-words in the order in which the text has them.  Texts that agree in a sketch meet in its bucket.  All
-members of a bucket are compared with its first and its last member, and the verified links joined to
-classes.  A bucket whose members are one class is settled.  In the others every two members of
-different classes are compared by bags of words, which bound the edits from below, block by block, and
-what the bags leave is verified too: no pair that shares a bucket is dropped untested.  A pair is
-verified by its word edit distance in a band, and near if that leaves SIMILARITY of the longer text.
-Classes are the connected components of the verified links.
+A sketch holds, for each of its hash functions, the two minimal occurrence-labelled runs of words in
+the order in which the text has them.  Runs of five words tell texts that differ in few places, and
+some sketches of three-word runs find those whose edits lie scattered.  Texts that agree in a sketch meet
+in its bucket.  All members of a bucket are compared with its first and its last member, and the
+verified links joined to classes.  A bucket whose members are one class is settled.  In the others every
+two members of different classes meet in panels of bounded size: bags of words bound the edits from
+below, what the bags leave is aligned in the panel, and texts that a link has joined are not compared
+again.  No pair that shares a bucket is dropped untested, and a panel returns fewer links than it has
+members.  A pair is verified by its word edit distance in a band, and near if that leaves SIMILARITY of
+the longer text.  Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -22,25 +24,29 @@ from pyspark.sql import functions as F
 from agentcorpus.llm.store import numbered, stored
 from agentcorpus.llm.words import blocks, mix, word_hashes
 
-RUN = 5
-SKETCHES = 24
+RUNS = ((5, 24), (3, 16))  # words in a run, sketches of such runs
+SKETCHES = sum(count for _, count in RUNS)
 BINS = 256  # of a bag: a text's words counted by hash
-PANEL = 1024  # members of a bucket that meet as many others in one go
+PANEL = 1024  # members of a bucket that meet as many others in one go,
+PANEL_WORDS = 1 << 21  # and their words, about: both bound what a task holds
 SIMILARITY = 0.8
 FIRST = -(1 << 63)
+ROW = "_near_row"
 CELLS = 1 << 20  # cells of the padded pairs that are aligned together
 
 
-def labelled_runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of five words with its occurrence number in the text, and runs by text."""
+def labelled_runs(
+    hashes: np.ndarray, counts: np.ndarray, size: int = RUNS[0][0]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of ``size`` words with its occurrence number in the text, and runs by text."""
     text = np.repeat(np.arange(len(counts)), counts)
-    last = len(hashes) - RUN + 1
+    last = len(hashes) - size + 1
     if last <= 0:
         return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
     runs = np.zeros(last, np.uint64)
-    for k in range(RUN):
+    for k in range(size):
         runs = runs * np.uint64(0x100000001B3) + hashes[k : k + last]
-    inside = text[:last] == text[RUN - 1 :]
+    inside = text[:last] == text[size - 1 :]
     runs, text = mix(runs[inside]), text[:last][inside]
     order = np.argsort(runs, kind="stable")
     sorted_runs, sorted_text = runs[order], text[order]
@@ -53,12 +59,12 @@ def labelled_runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return runs, np.bincount(text, minlength=len(counts))
 
 
-def sketch(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One key per hash function for every text that has a run, rows in text order."""
+def sketch(runs: np.ndarray, counts: np.ndarray, numbers: range = range(RUNS[0][1])) -> np.ndarray:
+    """One key per hash function of ``numbers`` for every text that has a run, rows in text order."""
     counts = counts[counts > 0]
     begins = np.cumsum(counts) - counts
     text = np.repeat(np.arange(len(counts)), counts)
-    keys = np.zeros((len(counts), SKETCHES), np.uint64)
+    keys = np.zeros((len(counts), len(numbers)), np.uint64)
     if not len(counts):
         return keys
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -68,18 +74,30 @@ def sketch(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(values == np.repeat(least, counts))
         return at[np.concatenate(([True], text[at[1:]] != text[at[:-1]]))]
 
-    for number in range(SKETCHES):
+    for column, number in enumerate(numbers):
         values = mix(runs ^ mix(np.full(1, number + 1, np.uint64)))
         first = lowest(values)
         values[first] = top
         second = np.where(counts > 1, lowest(values), first)
         low, high = np.minimum(first, second), np.maximum(first, second)
-        keys[:, number] = mix(mix(runs[low]) + runs[high] + np.uint64(number))
+        keys[:, column] = mix(mix(runs[low]) + runs[high] + np.uint64(number))
     return keys
 
 
+def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every text, its sketch keys, and whether it has any: five words at least."""
+    hashes, counts = word_hashes(texts)
+    keys, used = np.zeros((len(texts), SKETCHES), np.uint64), 0
+    enough = counts >= RUNS[0][0]
+    for size, count in RUNS:
+        runs, by_text = labelled_runs(hashes, counts, size)
+        keys[by_text > 0, used : used + count] = sketch(runs, by_text, range(used, used + count))
+        used += count
+    return counts, keys, enough
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """A row per distinct text: first id, 128-bit key, number of words, sketch keys.
+    """A row per distinct text: first id and row, 128-bit key, number of words, sketch keys.
 
     Texts of fewer than five words, and null, have no keys.
     """
@@ -88,25 +106,28 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             for first, held in blocks(texts):
-                hashes, counts = word_hashes(held)
-                runs, runs_by_text = labelled_runs(hashes, counts)
-                keys: list[list[int]] = [[] for _ in held]
-                for at, row in zip(np.flatnonzero(runs_by_text), sketch(runs, runs_by_text)):
-                    keys[at] = row.view(np.int64).tolist()
+                counts, found, enough = keys_of(held)
+                keys = [
+                    row.tolist() if good else [] for row, good in zip(found.view(np.int64), enough)
+                ]
                 part = batch.iloc[first : first + len(held)].drop(columns="text")
                 yield part.assign(words=counts, keys=keys)
 
-    schema = "_order long, k1 long, k2 long, words long, keys array<long>"
+    schema = "_order long, _row long, k1 long, k2 long, words long, keys array<long>"
     made = with_keys(docs).where(F.col("text").isNotNull()).mapInPandas(run, schema)
     found = made.groupBy("k1", "k2").agg(
-        F.min("_order").alias("_order"), F.min("words").alias("words"), F.min("keys").alias("keys")
+        F.min(F.struct("_order", "_row")).alias("_first"),
+        F.min("words").alias("words"),
+        F.min("keys").alias("keys"),
     )
+    found = found.select("_first._order", "_first._row", "k1", "k2", "words", "keys")
     return numbered(found, [F.col(c) for c in ("_order", "k1", "k2")], "id")
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("_order"),
+        F.col(ROW).alias("_row"),
         F.xxhash64("text").alias("k1"),
         F.xxhash64(F.lit("second"), "text").alias("k2"),
         "text",
@@ -114,7 +135,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Word hashes (32 bits each) of the wanted texts, taken from each text's first document."""
+    """Word hashes (32 bits each) of the wanted texts, taken from each text's first row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,9 +146,8 @@ def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ids = batch["id"].iloc[first : first + len(held)]
                 yield pd.DataFrame({"id": ids, "seq": [p.tobytes() for p in parts]})
 
-    place = ["_order", "k1", "k2"]
-    joined = with_keys(docs).join(wanted.select("id", *place), place).select("id", "text")
-    return joined.mapInPandas(run, "id long, seq binary").dropDuplicates(["id"])
+    joined = with_keys(docs).join(wanted.select("id", "_row"), "_row").select("id", "text")
+    return joined.mapInPandas(run, "id long, seq binary")
 
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -270,8 +290,7 @@ def linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     texts = stored(sequences(docs, marks.join(members.select("id").distinct(), "id")), "sequences")
     found = components(stored(verified(tested, texts), "near"))
 
-    pairs = crossing(members, found, rows, texts).join(tested, ["id", "to"], "left_anti")
-    more = verified(stored(pairs, "crossing"), texts)
+    more = stored(crossing(members, found, rows, texts), "crossing")
     for end in ("id", "to"):  # links between classes
         over = found.select(F.col("id").alias(end), "class")
         more = more.join(over, end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
@@ -282,7 +301,7 @@ def linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def crossing(members: DataFrame, found: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (id, to) of one bucket and different classes whose bags of words leave them open.
+    """Links (id, to) between texts of one bucket and different classes.
 
     The ends of a bucket have met all others.  Of the rest, those outside its largest class meet
     every member, in panels that are dealt out; members of that class do not meet each other.
@@ -292,15 +311,23 @@ def crossing(members: DataFrame, found: DataFrame, rows: DataFrame, texts: DataF
         "key", "number", "id", "words", F.coalesce("class", "id").alias("class")
     )
     inner = stored(inner, "inner")
-    sizes = inner.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    sizes = inner.groupBy("key", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")
+    )
     mixed = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "class")).alias("major"), F.sum("n").alias("all")
+        F.max(F.struct("n", "class", "words")).alias("major"),
+        F.sum("n").alias("all"),
+        F.sum("words").alias("all_words"),
     )
+
+    def panels(count: Column, words: Column) -> Column:
+        return F.greatest(F.ceil(count / PANEL), F.ceil(words / PANEL_WORDS))
+
     mixed = mixed.where("major.n < all").select(
         "key",
         F.col("major.class").alias("major"),
-        F.ceil((F.col("all") - F.col("major.n")) / PANEL).alias("down"),
-        F.ceil(F.col("all") / PANEL).alias("across"),
+        panels(F.col("all") - F.col("major.n"), F.col("all_words") - F.col("major.words")).alias("down"),
+        panels(F.col("all"), F.col("all_words")).alias("across"),
     )
     left = stored(inner.join(mixed, "key"), "mixed")
     marked = texts.join(left.select("id").distinct(), "id").join(rows.select("id", "keys"), "id")
@@ -311,13 +338,14 @@ def crossing(members: DataFrame, found: DataFrame, rows: DataFrame, texts: DataF
     asked = F.transform(count("down"), lambda k: spot(k, j, False))
     asking = F.transform(count("across"), lambda k: spot(i, k, True))
     minor = F.col("class") != F.col("major")
-    dealt = left.join(marked.mapInPandas(signed, "id long, sign binary"), "id").select(
+    dealt = left.join(marked.mapInPandas(signed, "id long, sign binary, seq binary"), "id").select(
         "key",
         "number",
         "id",
         "words",
         "class",
         "sign",
+        "seq",
         minor.alias("minor"),
         F.explode(F.when(minor, F.concat(asked, asking)).otherwise(asked)).alias("spot"),
     )
@@ -327,17 +355,17 @@ def crossing(members: DataFrame, found: DataFrame, rows: DataFrame, texts: DataF
 
 
 def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per text its sketch keys and its bag, counts up to 255, as bytes."""
+    """Per text its sketch keys and its bag, counts up to 255, as bytes, and its words."""
     for batch in batches:
         signs = []
         for seq, keys in zip(batch["seq"], batch["keys"]):
             bag = np.bincount(np.frombuffer(seq, np.uint32) % BINS, minlength=BINS)
             signs.append(np.array(keys, "<i8").tobytes() + np.minimum(bag, 255).astype(np.uint8).tobytes())
-        yield pd.DataFrame({"id": batch["id"], "sign": signs})
+        yield pd.DataFrame({"id": batch["id"], "sign": signs, "seq": batch["seq"]})
 
 
 def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The open pairs of every panel; rows come panel by panel."""
+    """The links of every panel; rows come panel by panel."""
     held = None
     for batch in batches:
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -350,13 +378,55 @@ def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from met(held)
 
 
+class Joined:
+    """Classes of a panel's members, merged as links are found."""
+
+    def __init__(self, classes: np.ndarray) -> None:
+        self.number = np.unique(classes, return_inverse=True)[1]
+
+    def merge(self, a: int, b: int) -> bool:
+        x, y = self.number[a], self.number[b]
+        if x != y:
+            self.number[self.number == y] = x
+        return bool(x != y)
+
+
+def links(
+    a: np.ndarray, b: np.ndarray, apart: np.ndarray, seqs: list[np.ndarray], joined: Joined
+) -> Iterator[tuple[int, int]]:
+    """Links that join the classes of the open pairs (a, b), likeliest first.
+
+    The first round aligns one pair per two classes and every later one four times as many; pairs of
+    texts that links have joined meanwhile drop out.
+    """
+    order = np.argsort(apart, kind="stable")
+    a, b, size = a[order], b[order], 1
+    while len(a):
+        x, y = joined.number[a], joined.number[b]
+        a, b, x, y = (values[x != y] for values in (a, b, x, y))
+        if not len(a):
+            return
+        two = np.minimum(x, y) * (joined.number.max() + 1) + np.maximum(x, y)
+        order = np.argsort(two, kind="stable")
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(two[order]) != 0)))
+        place = np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a))))
+        chosen = np.zeros(len(a), bool)
+        chosen[order[place < size]] = True
+        at = np.flatnonzero(chosen)
+        for k in at[similar([(seqs[i], seqs[j]) for i, j in zip(a[at], b[at])])]:
+            if joined.merge(a[k], b[k]):
+                yield a[k], b[k]
+        a, b, size = a[~chosen], b[~chosen], 4 * size
+
+
 def met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The open pairs of whole panels.  A pair is met in the bucket of its first common sketch."""
+    """Links of whole panels.  A pair is met in the bucket of its first common sketch."""
     if not len(rows):
         return
     signs = np.frombuffer(b"".join(rows["sign"]), np.uint8).reshape(len(rows), -1)
     keys = np.ascontiguousarray(signs[:, : 8 * SKETCHES]).view("<i8")
     bags = signs[:, 8 * SKETCHES :].astype(np.int16)
+    seqs = [np.frombuffer(seq, np.uint32) for seq in rows["seq"]]
     ids, words, own, number, minor, asks = (
         rows[c].to_numpy() for c in ("id", "words", "class", "number", "minor", "asks")
     )
@@ -364,26 +434,28 @@ def met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     edges = np.flatnonzero((panel[1:] != panel[:-1]).any(axis=1)) + 1
     found = []
     for first, last in zip([0, *edges], [*edges, len(rows)]):
+        joined = Joined(own[first:last])
         inside = asks[first:last]
         down, across = first + np.flatnonzero(inside), first + np.flatnonzero(~inside)
-        step = max(1, CELLS // max(len(across), 1))
+        step = max(1, CELLS // BINS // max(len(across), 1))
         for start in range(0, len(down), step):
             part = down[start : start + step, None]
-            open_pairs = (own[part] != own[across]) & (~minor[across] | (ids[part] < ids[across]))
-            x, y = np.nonzero(open_pairs)
-            x, y = part[x, 0], across[y]
-            for at in range(0, len(x), CELLS // BINS):
-                a, b = x[at : at + CELLS // BINS], y[at : at + CELLS // BINS]
-                most = ((1 - SIMILARITY) * np.maximum(words[a], words[b]) + 1e-9).astype(np.int64)
-                apart = np.abs(words[a] - words[b])
-                fits = apart <= most
-                fits &= ~(keys[a, : number[first]] == keys[b, : number[first]]).any(axis=1)
-                a, b, most, apart = a[fits], b[fits], most[fits], apart[fits]
-                # edits are at least the words of the longer text that the bags cannot match
-                near = apart + np.abs(bags[a] - bags[b]).sum(axis=1, dtype=np.int64) <= 2 * most
-                found.append(np.stack([ids[a[near]], ids[b[near]]]))
+            apart = joined.number[part - first] != joined.number[across - first]
+            x, y = np.nonzero(apart & (~minor[across] | (ids[part] < ids[across])))
+            a, b = part[x, 0], across[y]
+            most = ((1 - SIMILARITY) * np.maximum(words[a], words[b]) + 1e-9).astype(np.int64)
+            longer = np.abs(words[a] - words[b])
+            fits = longer <= most
+            fits &= ~(keys[a, : number[first]] == keys[b, : number[first]]).any(axis=1)
+            a, b, most, longer = a[fits], b[fits], most[fits], longer[fits]
+            # edits are at least the words of the longer text that the bags cannot match
+            least = longer + np.abs(bags[a] - bags[b]).sum(axis=1, dtype=np.int64)
+            near = least <= 2 * most
+            a, b, least = a[near] - first, b[near] - first, least[near] / np.maximum(most[near], 1)
+            own_seqs = seqs[first:last]
+            found += [(ids[first + i], ids[first + j]) for i, j in links(a, b, least, own_seqs, joined)]
     if found:
-        pairs = np.concatenate(found, axis=1)
+        pairs = np.array(found).T
         yield pd.DataFrame({"id": pairs.max(axis=0), "to": pairs.min(axis=0)})
 
 
@@ -423,42 +495,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(k1, k2, class_order, class_k1, class_k2, own_order) per distinct text: its class's first
-    document."""
+    """(k1, k2, class_order, class_row) per distinct text: its class's first document."""
     marks = stored(sketches(docs), "sketches")
     found = linked(docs, marks)
     roots = marks.select(
-        F.col("id").alias("class"),
-        F.col("_order").alias("class_order"),
-        F.col("k1").alias("class_k1"),
-        F.col("k2").alias("class_k2"),
+        F.col("id").alias("class"), F.col("_order").alias("class_order"), F.col("_row").alias("class_row")
     )
     return stored(
         marks.select("id", "k1", "k2")
         .join(found, "id", "left")
         .withColumn("class", F.coalesce("class", "id"))
         .join(roots, "class")
-        .select("k1", "k2", "class_order", "class_k1", "class_k2"),
+        .select("k1", "k2", "class_order", "class_row"),
         "classes",
     )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Add ``class_id``, the doc_id of the first document of the row's class, and ``stays``.
+    """Add ``class_id``, the doc_id of the first document of the row's class, ``class_key``, a number
+    that tells classes apart whatever their ids, and ``stays``.
 
     Two texts are near if their words (lower case, parted by white space) need at most a fifth as
     many insertions, deletions and replacements as the longer has words; classes join texts by
-    chains of near ones.  Candidates are found by chance: a pair with a shingle resemblance of 0.8
-    shares no bucket once in 10^10, of 0.5 once in a thousand, and ever more often below.  Two texts
-    that share a bucket are compared, however crowded it is, unless other links join them already.
-
-    The first document is the one of least doc_id, null first; among equal ids, of least text hash.
-    Equal texts are always one class.  Texts of fewer than five words are compared as a whole only,
-    and null text is a class of its own rows, of which each stays.  Rows that repeat id and text are
-    one document: they all stay or all go.  An empty table gives no rows; columns of these two names
-    are replaced.
+    chains of near ones.  Candidates are found by chance: of pairs with four of five words left, the
+    rest replaced at scattered places, at least nine in ten share a bucket, and nearly all of more
+    similar ones.  Two texts that share a bucket are compared, however crowded it is, unless other
+    links join them already.
+
+    The first document is the one of least doc_id, null first; among equal ids, of least text hash;
+    among equal rows, one of them.  It alone stays.  Equal texts are always one class.  Texts of fewer
+    than five words, and empty ones, are compared as a whole only.  A row with null text is a class of
+    its own and stays.  An empty table gives no rows; columns of these names are replaced.  Very long
+    texts are aligned whole, in a band of up to a fifth of their words: two near texts of a million
+    words that differ in that many places are the costliest case, 4 x 10^11 cells in one task.
+
+    The rows are stored once under a row number, so that every step sees the same ones.
     """
-    order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST))
+    docs = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
     found = classes(docs)
     found = found.select(*[F.col(c).alias(f"_near_{c}") for c in found.columns])
     text = F.col("text")
@@ -470,14 +543,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "left",
     )
     leader = F.col("_near_class_order")
-    first: Column = (
-        (order == leader)
-        & (F.col("_key1") == F.col("_near_class_k1"))
-        & (F.col("_key2") == F.col("_near_class_k2"))
-    )
     return joined.withColumns(
         {
             "class_id": F.when(text.isNull(), F.col("doc_id")).when(leader != FIRST, leader),
-            "stays": F.coalesce(first | text.isNull(), F.lit(True)),
+            "class_key": F.coalesce("_near_class_row", ROW),
+            "stays": F.coalesce(F.col(ROW) == F.col("_near_class_row"), F.lit(True)),
         }
-    ).drop("_key1", "_key2", *found.columns)
+    ).drop("_key1", "_key2", ROW, *found.columns)

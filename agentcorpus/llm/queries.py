@@ -147,7 +147,7 @@ FROM documents AS d LEFT JOIN built AS b USING (doc_id)
 @query
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ordermin.near_duplicates(docs).select("doc_id", "class_id", "stays")
+    return ordermin.near_duplicates(docs).select("doc_id", "class_id", "stays", "class_key")
 
 
 @query

@@ -126,9 +126,11 @@ def test_components(spark):
 
 def test_odd_rows(odd, empty):
     found = ordermin.near_duplicates(odd)
-    assert found.columns == [*odd.columns, "class_id", "stays"]
+    assert found.columns == [*odd.columns, "class_id", "class_key", "stays"]
     rows = found.collect()
     assert len(rows) == odd.count()
+    kept = [r["class_key"] for r in rows if r["stays"]]
+    assert None not in kept and len(kept) == len(set(kept)) == len({r["class_key"] for r in rows})
     for r in rows:
         if r["text"] is None:
             assert r["stays"] and r["class_id"] == r["doc_id"]
@@ -141,6 +143,36 @@ def test_odd_rows(odd, empty):
     assert ordermin.near_duplicates(empty).collect() == []
 
 
+def test_rows_that_repeat_are_one_class(spark):
+    """Null ids and repeated rows: exactly one row of a class stays."""
+    draw = random.Random(12)
+    one, two = " ".join(text(draw, 40)), " ".join(text(draw, 40))
+    rows = [(None, one)] * 300 + [(None, two)] * 3 + [(4, one), (4, one), (5, two), (5, "a b")] + [(6, "c d")] * 4
+    found = ordermin.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ).collect()
+    assert len(found) == len(rows)
+    by_text = {t: {r["class_key"] for r in found if r["text"] == t} for _, t in rows}
+    assert sorted(map(len, by_text.values())) == [1, 1, 1, 1]
+    assert sorted(r["text"] for r in found if r["stays"]) == sorted(by_text)
+    assert all(r["doc_id"] is None for r in found if r["stays"] and r["text"] in (one, two))
+
+
+@pytest.mark.parametrize("words", [40, 200, 1000])
+@pytest.mark.parametrize("share,least", [(0.2, 0.9), (0.15, 0.97), (0.1, 0.995)])
+def test_recall_over_edit_similarity(words, share, least):
+    """Of pairs whose similarity is 1 - share, replaced words scattered, how many share a bucket."""
+    draw, found, trials = random.Random(13), 0, 300
+    for _ in range(trials):
+        a = text(draw, words)
+        b = list(a)
+        for at in draw.sample(range(words), int(share * words)):
+            b[at] = f"new{draw.randrange(10**9)}"
+        _, keys, _ = ordermin.keys_of([" ".join(a).encode(), " ".join(b).encode()])
+        found += bool((keys[0] == keys[1]).any())
+    assert found / trials >= least
+
+
 def test_query_keeps_one_of_each_class(spark, sf):
     from agentcorpus.llm.queries import QUERIES
 
