@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentcorpus.catalogue import bindings as B
-from agentcorpus.catalogue.base import query, sql_key, sql_mod, table
+from agentcorpus.catalogue.base import query, scratch, sql_key, sql_mod, table
 from agentcorpus.catalogue.split_queries import SPLIT_SQL, split_documents
 from agentcorpus.functions import hashing
 from agentcorpus.operators import align, audit, records, setops
@@ -246,6 +246,20 @@ def materialize_manifest(spark, folder):
     return rows.select("id", "locator_id", "image_path", "jpeg_sha256", "jpeg_bytes")
 
 
+@query(
+    "materialize_bucketed",
+    f"""WITH {_LOCATOR_SQL}, {_INDEX_SQL} SELECT l.id, l.locator_id, i.image AS image_path,
+        i.jpeg_sha256, i.jpeg_bytes FROM l LEFT JOIN i USING (locator_id)""",
+)
+def materialize_bucketed(spark, folder):
+    """The manifest joined with an index that is stored in buckets of locators."""
+    path = scratch(spark, "image-index")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    index = align.store_image_index(_index(spark, folder), name, path, 16)
+    rows = align.materialize_manifest(_locators(spark, folder), index)
+    return rows.select("id", "locator_id", "image_path", "jpeg_sha256", "jpeg_bytes")
+
+
 @query(
     "unmaterialized",
     f"""WITH {_LOCATOR_SQL}, {_INDEX_SQL} SELECT DISTINCT locator_id FROM l

@@ -124,6 +124,23 @@ def annotate_website(spark, folder):
     )
 
 
+_MANY = [(f"*.site{i}.example" if i % 3 else f"campaign={i}x", "content_reference") for i in range(10_000)]
+_MANY_SQL = B.ANNOTATED_SQL.replace("'override:0:", "'override:10000:").replace("'override:1:", "'override:10001:")
+
+
+@query(
+    "annotate_website_table",
+    f"""SELECT id, hostname, website_category, website_category_confidence, website_category_rule
+        FROM ({_MANY_SQL})""",
+)
+def annotate_website_table(spark, folder):
+    """The two rules of the given pages behind ten thousand others."""
+    pages = B.page_records(spark, folder)
+    return records.annotate_website(pages, [*_MANY, *B.RULES], rule_table=True).select(
+        "id", "hostname", "website_category", "website_category_confidence", "website_category_rule"
+    )
+
+
 @query(
     "website_surface",
     f"""WITH r AS ({B.PAGES_SQL}) SELECT website_surface, count(*)::BIGINT AS n FROM (

@@ -100,6 +100,10 @@ def read_receipts(spark, folder):
 )
 def scan_trajectories(spark, folder):
     """Rows whose step keys are not numbers or whose goal is empty are rejected with a reason."""
+    return _judged_trajectories(spark, folder).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _judged_trajectories(spark, folder):
     path = scratch(spark, f"trajectories {ODD_NAME}")
     n = F.col("n_chars")
     raw = raw_trajectories(spark, folder).join(
@@ -120,8 +124,24 @@ def scan_trajectories(spark, folder):
         }
     ).drop("n_chars")
     spoiled.write.parquet(path)
-    scanned = scans.rejected_trajectories(scans.scan_trajectories(spark, path, "docs", "r1"))
-    return scanned.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return scans.rejected_trajectories(scans.scan_trajectories(spark, path, "docs", "r1"))
+
+
+@query(
+    "write_scanned",
+    """WITH r AS (SELECT CASE WHEN n_chars % 4 = 0 THEN 'malformed_row' WHEN n_chars % 4 = 1
+         THEN 'no_valid_examples' ELSE 'accepted' END AS name FROM documents)
+    SELECT name, count(*)::BIGINT AS n FROM r GROUP BY name UNION ALL SELECT 'rows', count(*) FROM r
+    UNION ALL SELECT 'written', count(*) FROM r WHERE name = 'accepted'""",
+)
+def write_scanned(spark, folder):
+    """Counts taken by the pass that writes the accepted rows, and the rows it wrote."""
+    path = scratch(spark, "accepted")
+    judged = _judged_trajectories(spark, folder).select("sample_id", "file", "row_index", "reason")
+    counts = {name: n for name, n in scans.write_scanned(judged, path).items() if n}
+    found = spark.createDataFrame(list(counts.items()), "name string, n bigint")
+    written = spark.read.parquet(path).agg(F.lit("written").alias("name"), F.count(F.lit(1)).alias("n"))
+    return found.unionByName(written)
 
 
 @query(

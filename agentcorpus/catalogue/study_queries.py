@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentcorpus.catalogue import bindings as B
-from agentcorpus.catalogue.base import query, r6, rounded, sql_key, table
+from agentcorpus.catalogue.base import query, r6, rounded, scratch, table
 from agentcorpus.operators.rows import single_row
 from agentcorpus.operators import align, study
 
@@ -47,6 +47,43 @@ def variant_summary(spark, folder):
     return rounded(study.variant_summary(B.paired_episodes(spark, folder)))
 
 
+_STUDY_SHARDS = 5
+
+
+@query(
+    "study_merge",
+    f"""WITH e AS ({B.EPISODES_SQL}) SELECT variant_id, {_STUDY_SHARDS}::BIGINT AS merged_shards,
+        count(*)::BIGINT AS episodes, count(*) FILTER (success)::BIGINT AS successes,
+        round(avg(success::INT::DOUBLE), 6) AS success_rate,
+        round(avg(total_reward), 6) AS mean_reward, round(avg(steps_taken), 6) AS mean_steps,
+        round(sum(parse_errors)::DOUBLE / sum(steps_taken), 6) AS parse_error_rate
+        FROM e GROUP BY variant_id""",
+)
+def study_merge(spark, folder):
+    """Episodes written by shard, with a manifest each; the merged summary is that of the whole run."""
+    path, order = scratch(spark, "study"), F.col("o_custkey") % _STUDY_SHARDS
+    episodes = B.paired_episodes(spark, folder).withColumns(
+        {
+            "episode_id": study.episode_id(F.col("variant_id"), F.col("task_id"), F.col("seed")),
+            "shard_index": order.cast("int"),
+        }
+    )
+    episodes.write.partitionBy("shard_index").parquet(f"{path}/episodes")
+    written = spark.read.parquet(f"{path}/episodes")
+    constants = {"study_id": "s", "run_id": "r", "suite_id": "t", "config_sha256": "c", "status": "complete"}
+    written.groupBy("shard_index").agg(
+        F.lit(_STUDY_SHARDS).alias("num_shards"),
+        *[F.lit(value).alias(name) for name, value in constants.items()],
+    ).write.json(f"{path}/manifests")
+    kinds = "shard_index int, num_shards int, " + ", ".join(f"{name} string" for name in constants)
+    shards = spark.read.schema(kinds).json(f"{path}/manifests")
+    merged = study.merge_shards(shards, written.drop("shard_index"))
+    summary = study.variant_summary(merged).withColumn(
+        "merged_shards", study.shard_identity(shards).select("merged_shards").scalar()
+    )
+    return rounded(summary)
+
+
 _PAIRS = f"""e AS ({B.EPISODES_SQL}), p AS (SELECT c.task_id, c.seed, c.o_custkey,
   n.success::INT::DOUBLE - c.success::INT::DOUBLE AS success_delta,
   n.total_reward - c.total_reward AS reward_delta FROM e c JOIN e n USING (task_id, seed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Sequence
 from itertools import product
 
@@ -197,41 +198,118 @@ def website_surface(url: Column, website: Column | None = None) -> Column:
     )
 
 
+def _verdict(category, confidence, rule) -> Column:
+    return F.struct(
+        (category if isinstance(category, Column) else F.lit(category)).alias("website_category"),
+        F.lit(confidence).alias("website_category_confidence"),
+        rule.alias("website_category_rule"),
+    )
+
+
+def _override_chain(domain: Column, surface: Column, haystack: Column, rules: Sequence) -> Column:
+    """Verdict of the first rule that hits, a branch per rule; null where none does."""
+    chain = F.lit(None)
+    for index, (pattern, category) in reversed(list(enumerate(rules))):
+        pattern = str(pattern or "").lower()
+        if not pattern:
+            continue
+        glob = fnmatch.translate(pattern).replace("\\Z", "\\z")
+        hit = domain.rlike(glob) | surface.rlike(glob) | F.contains(haystack, F.lit(pattern))
+        found = _verdict(category, "manual", F.lit(f"override:{index}:{pattern}"))
+        chain = F.when(hit, found).otherwise(chain)
+    return chain
+
+
+def _override_table(domain: Column, surface: Column, haystack: Column, rules: Sequence) -> Column:
+    """The same verdict from one expression, however many rules there are.
+
+    Globs are keyed by their fixed text: whole names, endings (``*.example``) and beginnings
+    (``shop*``) are looked up by length, and only globs of other forms are tried one by one; every
+    host is judged once per batch.  Substrings are found in one pass by an automaton.
+    """
+    import ahocorasick
+
+    listed = [(i, str(p or "").lower(), str(c)) for i, (p, c) in enumerate(rules)]
+    listed = [row for row in listed if row[1]]
+    category, pattern_of = {i: c for i, _, c in listed}, {i: p for i, p, _ in listed}
+    substrings = ahocorasick.Automaton()
+    keyed: dict[str, dict[str, int]] = {"whole": {}, "end": {}, "start": {}}
+    others: list[tuple[int, str]] = []
+    for index, pattern, _ in listed:
+        if pattern not in substrings:
+            substrings.add_word(pattern, index)
+        body = pattern.strip("*")
+        if any(c in body for c in "*?["):
+            others.append((index, fnmatch.translate(pattern)))
+        elif pattern[0] != "*" and pattern[-1] != "*":
+            keyed["whole"].setdefault(pattern, index)
+        elif pattern[0] == "*" and pattern[-1] != "*":
+            keyed["end"].setdefault(body, index)
+        elif pattern[0] != "*":
+            keyed["start"].setdefault(body, index)
+        else:
+            others.append((index, fnmatch.translate(pattern)))
+    if listed:
+        substrings.make_automaton()
+    lengths = {kind: sorted({len(key) for key in keys}) for kind, keys in keyed.items()}
+    kind = "struct<website_category: string, website_category_rule: string>"
+
+    def judge(domains: pd.Series, surfaces: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        tried, none = [(i, re.compile(regex)) for i, regex in others], len(category) + len(rules)
+        seen: dict[str, int] = {}
+
+        def host_rule(host: str) -> int:
+            if host not in seen:
+                found = [keyed["whole"].get(host, none)]
+                found += [keyed["end"].get(host[len(host) - n :], none) for n in lengths["end"] if n <= len(host)]
+                found += [keyed["start"].get(host[:n], none) for n in lengths["start"]]
+                found += [i for i, regex in tried if regex.match(host)]
+                seen[host] = min(found)
+            return seen[host]
+
+        rows = []
+        for name, surface_name, text in zip(domains, surfaces, texts):
+            hits = [host_rule(host) for host in (name, surface_name) if host is not None]
+            if category and text is not None:
+                hits += [index for _, index in substrings.iter(text)]
+            best = min(hits, default=none)
+            rows.append(
+                (category[best], f"override:{best}:{pattern_of[best]}") if best in category else (None, None)
+            )
+        return pd.DataFrame(rows, columns=["website_category", "website_category_rule"])
+
+    found = F.pandas_udf(judge, kind)(domain, surface, haystack)
+    return F.when(
+        found["website_category"].isNotNull(),
+        _verdict(found["website_category"], "manual", found["website_category_rule"]),
+    )
+
+
 def classify_website(
-    domain: Column, surface: Column, url: Column, rules: Sequence[tuple[str, str]] = ()
+    domain: Column,
+    surface: Column,
+    url: Column,
+    rules: Sequence[tuple[str, str]] = (),
+    rule_table: bool = False,
 ) -> Column:
     """Struct of category, confidence and rule.
 
     ``rules`` are ordered (pattern, category) overrides from a configuration: a glob on the domain or
-    surface, or a substring of all three texts.  The vocabularies follow in a fixed order, each
-    giving its alphabetically first matching token.
+    surface, or a substring of all three texts.  A few of them are plain branches; for thousands,
+    ``rule_table`` looks them up instead, with the same verdicts.  The vocabularies follow in a fixed
+    order, each giving its alphabetically first matching token.
     """
     haystack = F.lower(F.concat_ws(" ", domain, surface, F.coalesce(url, F.lit(""))))
     tokens = F.split(F.translate(haystack, "/-", ".."), "\\.")
-
-    def verdict(category, confidence, rule):
-        return F.struct(
-            F.lit(category).alias("website_category"),
-            F.lit(confidence).alias("website_category_confidence"),
-            rule.alias("website_category_rule"),
-        )
-
-    chain = None
-    for index, (pattern, category) in enumerate(rules):
-        pattern = str(pattern or "").lower()
-        if not pattern:
-            continue
-        glob = fnmatch.translate(pattern).replace("\\Z", "\\z")
-        hit = domain.rlike(glob) | surface.rlike(glob) | F.contains(haystack, F.lit(pattern))
-        found = verdict(category, "manual", F.lit(f"override:{index}:{pattern}"))
-        chain = F.when(hit, found) if chain is None else chain.when(hit, found)
-    for category, words in VOCABULARIES:
+    chain = _verdict("general_web", "unknown", F.lit("fallback"))
+    for category, words in reversed(VOCABULARIES):
         first = F.array_min(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words])))
-        found = verdict(category, "heuristic", F.concat(F.lit("url-token:"), first))
-        chain = F.when(first.isNotNull(), found) if chain is None else chain.when(
-            first.isNotNull(), found
-        )
-    return chain.otherwise(verdict("general_web", "unknown", F.lit("fallback")))
+        found = _verdict(category, "heuristic", F.concat(F.lit("url-token:"), first))
+        chain = F.when(first.isNotNull(), found).otherwise(chain)
+    if not rules:
+        return chain
+    override = (_override_table if rule_table else _override_chain)(domain, surface, haystack, rules)
+    return F.coalesce(override, chain)
 
 
 def application_focused(category: Column) -> Column:

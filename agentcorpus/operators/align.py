@@ -267,6 +267,22 @@ def materialize_manifest(manifest: DataFrame, index: DataFrame) -> DataFrame:
     return kept.join(picture, "locator_id", "left")
 
 
+def store_image_index(index: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Store the merged image index as table ``name`` beneath ``path``, bucketed by locator.
+
+    Joins of manifests with the returned table (:func:`materialize_manifest`, :func:`unmaterialized`)
+    shuffle the manifest only; the index, which every manifest is joined with, is shuffled once here.
+    """
+    (
+        index.repartition(buckets, "locator_id")
+        .write.bucketBy(buckets, "locator_id")
+        .sortBy("locator_id")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    return index.sparkSession.table(name)
+
+
 def unmaterialized(manifest: DataFrame, index: DataFrame) -> DataFrame:
     return manifest.select("locator_id").distinct().join(
         index.select("locator_id"), "locator_id", "left_anti"

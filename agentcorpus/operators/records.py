@@ -47,16 +47,22 @@ def canonicalize_domain_column(df: DataFrame, suffixes: DataFrame | None = None)
 
 
 def annotate_website(
-    df: DataFrame, rules: Sequence[tuple[str, str]] = (), suffixes: DataFrame | None = None
+    df: DataFrame,
+    rules: Sequence[tuple[str, str]] = (),
+    suffixes: DataFrame | None = None,
+    rule_table: bool = False,
 ) -> DataFrame:
-    """Host, surface and category of the website; with a suffix table also canonical domains."""
+    """Host, surface and category of the website; with a suffix table also canonical domains.
+
+    ``rule_table`` is for thousands of rules, see :func:`web.classify_website`.
+    """
     if suffixes is not None:
         df = canonicalize_domain_column(df, suffixes)
     url = F.coalesce(optional(df, "url"), F.lit(""))
     surface = web.website_surface(url, optional(df, "website"))
     named = df.withColumns({"hostname": web.hostname(url), "website_surface": surface})
     verdict = web.classify_website(
-        field_or(named, "domain"), F.col("website_surface"), url, rules
+        field_or(named, "domain"), F.col("website_surface"), url, rules, rule_table
     )
     judged = named.withColumn("_verdict", verdict)
     return judged.withColumns(

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -94,6 +95,67 @@ def pair_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
+IDENTITY = ("study_id", "run_id", "suite_id", "config_sha256")
+
+
+def shard_identity(manifests: DataFrame) -> DataFrame:
+    """One row (the identity and ``merged_shards``) of shard manifests that make one whole run.
+
+    The job fails where there are no manifests, one is not complete, the shard numbers are not 0 to
+    ``num_shards`` - 1 once each, or manifests disagree on study, run, suite or configuration.
+    """
+    n, shards = F.count(F.lit(1)), F.max("num_shards")
+    numbers = (
+        (n == shards)
+        & (F.min("num_shards") == shards)
+        & (F.count_distinct("shard_index") == n)
+        & (F.min("shard_index") == 0)
+        & (F.max("shard_index") == n - 1)
+    )
+    agree = F.lit(True)
+    for name in IDENTITY:
+        agree = agree & (F.count(name) == n) & (F.min(name) == F.max(name))
+    fault = (
+        F.when(n == 0, "no study shard manifests")
+        .when(F.count_if(F.col("status") == "complete") < n, "all study shards must be complete")
+        .when(~F.coalesce(numbers, F.lit(False)), "study shards are missing or repeated")
+        .when(~agree, "study shards disagree on study, run, suite or configuration")
+    )
+    found = manifests.agg(fault.alias("_fault"), *[F.max(c).alias(c) for c in IDENTITY], n.alias("merged_shards"))
+    checked = F.when(F.col("_fault").isNull(), F.col("merged_shards")).otherwise(F.raise_error(F.col("_fault")))
+    return found.withColumn("merged_shards", checked).drop("_fault")
+
+
+def merge_shards(manifests: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Episodes of all shards as those of one run, with ``merged_shards``.
+
+    One aggregate by (variant, episode) makes a repeated episode id an error, and the identity of the
+    shards is read by the same job: whatever is computed from the rows fails with it.
+    """
+    row = F.struct(*[F.col(c) for c in episodes.columns])
+    what = F.concat_ws(" ", F.lit("duplicate episode"), F.first("variant_id"), F.first("episode_id"))
+    once = episodes.groupBy("variant_id", "episode_id").agg(
+        F.when(F.count(F.lit(1)) == 1, F.any_value(row)).otherwise(F.raise_error(what)).alias("_row")
+    )
+    shards = shard_identity(manifests).select("merged_shards").scalar()
+    return once.select("_row.*", shards.alias("merged_shards")).where("merged_shards > 0")
+
+
+def compare_variants(
+    episodes: DataFrame, control: str, candidates: Sequence[str], samples: int = 2000, seed: int = 0
+) -> DataFrame:
+    """Paired comparison of every candidate variant with the control, a row per candidate."""
+    from agentcorpus.operators.align import pair_episodes
+
+    rows = [
+        paired_bootstrap(pair_episodes(episodes, control, name), samples, seed).select(
+            F.lit(name).alias("variant_id"), F.lit(control).alias("control"), "*"
+        )
+        for name in candidates
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def bootstrap_positions(samples: int) -> tuple[int, int]:
     """0-based positions of the interval ends among the sorted estimates."""
     return int(0.025 * (samples - 1)), int(0.975 * (samples - 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from agentcorpus.operators import expand
@@ -54,6 +54,24 @@ def rejected_trajectories(df: DataFrame) -> DataFrame:
     return parsed.withColumn("reason", expand.trajectory_status(parsed))
 
 
+REASONS = ("malformed_row", "no_valid_examples")
+
+
+def write_scanned(df: DataFrame, path: str, reasons: Sequence[str] = REASONS) -> dict[str, int]:
+    """Write the rows without a ``reason`` as Parquet and count the others in the same pass.
+
+    Counts of rows, accepted rows, every known reason and all ``other`` ones; what is counted is what
+    the one write saw, so no second scan can disagree with it.
+    """
+    seen = Observation()
+    known = {name: F.count_if(F.col("reason") == name) for name in reasons}
+    other = F.count_if(F.col("reason").isNotNull() & ~F.col("reason").isin(*reasons))
+    counts = {"rows": F.count(F.lit(1)), "accepted": F.count_if(F.col("reason").isNull()), **known, "other": other}
+    observed = df.observe(seen, *[value.alias(name) for name, value in counts.items()])
+    observed.where(F.col("reason").isNull()).drop("reason").write.parquet(path)
+    return dict(seen.get)
+
+
 def rejection_summary(df: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Rejections per source and reason."""
     return df.where("reason is not null").groupBy(*keys, "reason").agg(
