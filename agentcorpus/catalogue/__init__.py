@@ -16,6 +16,7 @@ MODULES = (
     "source_queries",
     "stream_queries",
     "site_queries",
+    "plan_queries",
 )
 
 

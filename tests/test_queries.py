@@ -17,7 +17,7 @@ QUERIES, ORACLES = catalogue.load()
 # These ask for more rows than the smallest tables hold and run on larger ones.
 LARGER = {
     "temperature_sample", "diverse_sample", "nested_tiers", "nested_tier_sizes",
-    "suite_sample",
+    "suite_sample", "inventory_freeze", "training_ladder",
 }
 LARGER_FOLDER = os.environ.get("TEST_LARGER_SF_DIR", "/root/testdata/sf0.01")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
