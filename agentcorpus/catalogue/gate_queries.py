@@ -48,6 +48,31 @@ def scaling_gate(spark, folder):
     return rounded(judged.drop("worst_perception_metric"))
 
 
+@query(
+    "regression_gate",
+    f"""WITH {_DELTA}, g AS (SELECT run_id, avg(delta) FILTER (key IN ({_PERCEPTION})) AS mean_d,
+      min(delta) FILTER (key IN ({_PERCEPTION})) AS worst_d FROM d GROUP BY run_id
+      HAVING count(*) FILTER (key IN ({_PERCEPTION})) = 5)
+    SELECT d.run_id, sha256(d.run_id) AS adapter_sha256, key, round(value - ref / 2, 6) AS delta_vs_untouched,
+      CASE WHEN mean_d < -0.03 OR worst_d < -0.075 THEN 'stop_regression' ELSE 'continue' END AS decision
+    FROM d JOIN g USING (run_id)""",
+)
+def regression_gate(spark, folder):
+    """Runs with all perception metrics, judged and compared with an untouched baseline."""
+    identity = {"model": F.lit("base"), "model_revision": F.lit("r1")}
+    control = B.control_metrics(spark, folder).withColumns(identity)
+    metrics = B.candidate_metrics(spark, folder).withColumns(identity)
+    whole = gates.scaling_gate(metrics, control, ["run_id"]).where("decision <> 'missing_metrics'")
+    judged = gates.regression_gate(
+        metrics.join(whole.select("run_id"), "run_id", "left_semi"), control, ["run_id"],
+        control.withColumn("value", F.col("value") / 2),
+    )
+    rows = judged.select(
+        "run_id", "adapter_sha256", "decision", F.explode("delta_vs_untouched").alias("key", "delta_vs_untouched")
+    )
+    return rounded(rows)
+
+
 @query(
     "scaling_report",
     f"""WITH {_C} SELECT run_id, size, seed, step, suite, task, metric, round(c.value, 6) AS value,
@@ -99,6 +124,29 @@ def shard_variability(spark, folder):
     return rounded(rows)
 
 
+_PRIMARY = {"answers": ("all", "qa", "answer_accuracy"), "clicks": ("all", "grounding", "click_accuracy")}
+
+
+@query(
+    "primary_variability",
+    f"""WITH {_C}, k AS (SELECT *, CASE task WHEN 'qa' THEN 'answers' ELSE 'clicks' END AS name FROM c
+      WHERE (task = 'qa' AND metric = 'answer_accuracy') OR (task = 'grounding' AND metric = 'click_accuracy')),
+    w AS (SELECT run_id FROM c GROUP BY run_id HAVING count(DISTINCT suite) = (SELECT count(DISTINCT suite) FROM c))
+    SELECT run_id, name, count(*)::INTEGER AS num_shards, round(avg(value), 6) AS mean,
+      round(stddev_pop(value), 6) AS population_std, round(min(value), 6) AS minimum,
+      round(max(value), 6) AS maximum FROM k SEMI JOIN w USING (run_id) GROUP BY run_id, name""",
+)
+def primary_variability(spark, folder):
+    """Suites taken as the shards of a run, for runs that have all of them."""
+    metrics = B.candidate_metrics(spark, folder)
+    every = metrics.agg(F.count_distinct("suite")).scalar()
+    whole = metrics.groupBy("run_id").agg(F.count_distinct("suite").alias("n")).where(F.col("n") == every)
+    rows = metrics.join(whole.select("run_id"), "run_id", "left_semi").select(
+        "run_id", F.col("suite").alias("shard"), F.lit("all").alias("suite"), "task", "metric", "value"
+    )
+    return rounded(gates.primary_variability(rows, "shard", _PRIMARY, ["run_id"]))
+
+
 _PROBE_CASE = " ".join(
     f"WHEN task = '{task}' AND metric = '{metric}' THEN '{name}'"
     for name, (task, metric) in gates.PRIMARY_PROBE.items()

@@ -215,6 +215,54 @@ def scaling_gate(candidates: DataFrame, reference: DataFrame, by: Sequence[str])
     )
 
 
+def regression_gate(
+    candidates: DataFrame,
+    reference: DataFrame,
+    by: Sequence[str],
+    untouched: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`scaling_gate` of candidates that are comparable, with ``delta_vs_untouched``.
+
+    The tables carry ``model`` and ``model_revision``, candidates ``adapter_sha256`` too.  The job fails
+    where a candidate has another base model than the reference, no adapter hash, or not all
+    perception metrics, and where the untouched baseline has another base model.  The deltas are a map
+    from metric key to candidate minus untouched value.
+    """
+    base = F.struct(F.col("model").alias("m"), F.col("model_revision").alias("r"))
+    identity = reference.select(base.alias("i")).distinct().scalar()  # two identities are an error
+    run = F.concat_ws(" ", *[F.first(name).cast("string") for name in by])
+
+    def checked(fault: Column, message: str, value: Column) -> Column:
+        return F.when(fault, F.raise_error(F.concat(F.lit(message), run))).otherwise(value)
+
+    own = candidates.withColumn("_same", base.eqNullSafe(identity)).groupBy(*by).agg(
+        checked(
+            ~F.min("_same"), "another base model than the reference: ", F.first("model")
+        ).alias("model"),
+        F.first("model_revision").alias("model_revision"),
+        checked(
+            F.coalesce(F.max("adapter_sha256"), F.lit("")) == "", "no adapter hash: ", F.max("adapter_sha256")
+        ).alias("adapter_sha256"),
+    )
+    judged = scaling_gate(candidates.select(*by, "suite", "task", "metric", "value"), reference, by)
+    missing = F.raise_error(F.lit("perception metrics are missing"))
+    decision = F.when(F.col("decision") == "missing_metrics", missing).otherwise(F.col("decision"))
+    gate = own.join(judged.withColumn("decision", decision), list(by), "left")
+    gate = gate.withColumn("decision", F.coalesce("decision", missing.cast("string")))
+    if untouched is None:
+        return gate
+    other = untouched.select(base.alias("i")).distinct()
+    same = other.agg(F.count_if(~F.col("i").eqNullSafe(identity)).alias("n")).scalar()
+    deltas = metric_deltas(candidates, untouched).groupBy(*by).agg(
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.struct(metric_key().alias("key"), F.col("delta").alias("value"))))
+        ).alias("_deltas")  # a run has a fixed list of metrics
+    )
+    fault = F.raise_error(F.lit("the untouched baseline has another base model"))
+    found = F.when(same == 0, F.col("_deltas")).otherwise(fault.cast("map<string,double>"))
+    return gate.join(deltas, list(by), "left").withColumn("delta_vs_untouched", found).drop("_deltas")
+
+
 def identity_issues(runs: DataFrame, reference: DataFrame) -> DataFrame:
     """Candidate runs with another base model than the reference, or without an adapter hash."""
     # A scalar subquery: a reference with two identities is an error.
@@ -267,6 +315,48 @@ def shard_variability(metrics: DataFrame, keys: Sequence[str], num_shards: int)
     ).where("shards > 0").withColumn("incomplete", F.col("shards") < num_shards)
 
 
+def primary_variability(
+    metrics: DataFrame,
+    shard: str,
+    primary: Mapping[str, tuple[str, str, str]],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Spread over shards of the named (suite, task, metric), a row per run and name that has values.
+
+    Shards that disagree on whether a metric exists are an error of the job.
+    """
+    chain = F.lit(None).cast("string")
+    for name, (suite, task, metric) in primary.items():
+        hit = (F.col("suite") == suite) & (F.col("task") == task) & (F.col("metric") == metric)
+        chain = F.when(hit, F.lit(name)).otherwise(chain)
+    shards = F.size(F.collect_set(F.col(shard).cast("string")))  # shards of one run
+    held = [
+        F.struct(
+            F.lit(name).alias("name"),
+            F.collect_list(F.when(F.col("_name") == name, F.col("value"))).alias("values"),
+        )
+        for name in primary
+    ]
+    runs = metrics.withColumn("_name", chain).groupBy(*by).agg(
+        shards.alias("num_shards"), F.array(*held).alias("_held")
+    )
+    each = runs.select(*by, "num_shards", F.inline("_held")).where(F.size("values") > 0)
+    partial = F.raise_error(F.concat(F.lit("shards disagree on availability of "), F.col("name")))
+    values = F.when(F.size("values") == F.col("num_shards"), F.col("values")).otherwise(
+        partial.cast("array<double>")
+    )
+    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
+    spread = F.aggregate("values", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
+    return (
+        each.withColumn("values", values)
+        .withColumn("mean", mean)
+        .select(
+            *by, "name", "num_shards", "mean", F.sqrt(spread / F.size("values")).alias("population_std"),
+            F.array_min("values").alias("minimum"), F.array_max("values").alias("maximum"),
+        )
+    )
+
+
 def receipt_variability(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Same with the sample deviation, which is 0 for a single value."""
     return metrics.where(F.col("value").isNotNull()).groupBy(*keys).agg(

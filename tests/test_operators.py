@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agentcorpus.operators import align, audit, expand, filters, gates, order, records, score, split, study
+from agentcorpus.operators import align, audit, expand, filters, gates, order, records, sample, score, split, study
 from agentcorpus.sources import manifests
 
 
@@ -145,6 +145,58 @@ def test_variability_conventions(spark):
     assert sample_std["one"] == 0.0
 
 
+def test_primary_variability(spark):
+    rows = [("s1", "w", "qa", "acc", 1.0), ("s2", "w", "qa", "acc", 3.0), ("s1", "w", "qa", "other", 9.0),
+            ("s2", "x", "qa", "acc", 5.0)]
+    df = spark.createDataFrame(rows, "shard string, suite string, task string, metric string, value double")
+    names = {"a": ("w", "qa", "acc"), "none": ("w", "action", "acc")}
+    found = [tuple(r) for r in gates.primary_variability(df, "shard", names).collect()]
+    assert found == [("a", 2, 2.0, 1.0, 1.0, 3.0)]
+    with pytest.raises(Exception, match="disagree on availability of b"):
+        gates.primary_variability(df, "shard", {"b": ("x", "qa", "acc")}).collect()
+
+
+def gate_tables(spark, **changes):
+    kinds = ("run_id string, suite string, task string, metric string, value double, model string, "
+             "model_revision string, adapter_sha256 string")
+    keys = [key.split("/") for key in gates.PERCEPTION]
+    row = {"model": "m", "model_revision": "r", "adapter_sha256": "a", **changes}
+    def table(run, value, model, revision, adapter, some=keys):
+        return spark.createDataFrame([(run, *key, value, model, revision, adapter) for key in some], kinds)
+    candidate = table("c", 0.5, row["model"], row["model_revision"], row["adapter_sha256"])
+    return candidate, table("b", 0.4, "m", "r", None), table("u", 0.1, "m", "r", None), table
+
+
+def test_regression_gate(spark):
+    candidate, reference, untouched, table = gate_tables(spark)
+    row = gates.regression_gate(candidate, reference, ["run_id"], untouched).first()
+    assert row["decision"] == "continue" and row["adapter_sha256"] == "a"
+    assert row["mean_perception_delta"] == pytest.approx(0.1)
+    assert set(row["delta_vs_untouched"]) == set(gates.PERCEPTION)
+    assert all(v == pytest.approx(0.4) for v in row["delta_vs_untouched"].values())
+    for changes, message in (
+        ({"model": "n"}, "another base model"), ({"model_revision": None}, "another base model"),
+        ({"adapter_sha256": None}, "no adapter hash"), ({"adapter_sha256": ""}, "no adapter hash"),
+    ):
+        with pytest.raises(Exception, match=message):
+            gates.regression_gate(gate_tables(spark, **changes)[0], reference, ["run_id"]).collect()
+    fewer = candidate.where(F.concat_ws("/", "suite", "task", "metric") != gates.PERCEPTION[0])
+    with pytest.raises(Exception, match="perception metrics are missing"):
+        gates.regression_gate(fewer, reference, ["run_id"]).collect()
+    with pytest.raises(Exception, match="untouched baseline"):
+        other = table("u", 0.1, "m", "q", None)
+        gates.regression_gate(candidate, reference, ["run_id"], other).collect()
+
+
+def test_too_few_archived_rows(spark):
+    rows = spark.range(40).select(F.col("id"), F.concat(F.lit("i"), "id").alias("image"))
+    images = rows.where("id < 33").select("image")
+    assert sample.retain_archived(rows, images, [F.col("id")], 64).count() == 33
+    assert sample.retain_archived(rows, images.limit(5), [F.col("id")], 5).count() == 5
+    with pytest.raises(sample.Infeasible):
+        sample.retain_archived(rows, images.limit(31), [F.col("id")], 64)
+
+
 def test_paired_bootstrap_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     deltas = rng.choice([-1.0, 0.0, 1.0], size=400, p=[0.2, 0.5, 0.3])
