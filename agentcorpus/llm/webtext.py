@@ -64,10 +64,8 @@ TOKEN = re.compile(
     r"|<[/!?a-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = re.compile(r"[,.;:!?、。，；：！？]")
 
@@ -75,18 +73,17 @@ MARKS = re.compile(r"[,.;:!?、。，；：！？]")
 @dataclass
 class Element:
     tag: str
-    path: str
     aside: bool
     article: bool
-    masthead: bool = False  # a header inside the article: only its headings count
+    masthead: bool = False  # a header of the article: only its headings count
     sure: bool = False  # aside by more than a name or a form
     wrapper: float = 0.0  # share of the text from which its name or form does not count
 
 
 @dataclass
 class Block:
-    path: str
-    container: tuple[int, ...]
+    path: int
+    serial: int  # of the element that holds it
     heading: bool
     aside: bool
     article: bool
@@ -95,59 +92,82 @@ class Block:
     linked: int = 0
 
 
-def element(tag: str, rest: str, parent: Element, wraps: bool = False) -> Element:
-    names: tuple[str, ...] = ()
-    role = ""
-    if "=" in rest:
-        found = " ".join(a or b or c for a, b, c in NAMES.findall(rest))
-        names = tuple(w.lower() for w in WORD.findall(found))
-        role = (ROLE.search(rest) or [None, ""])[1].lower()
+@dataclass
+class Page:
+    """Blocks in page order and the elements they lie in, each numbered after its parent."""
+
+    blocks: list[Block]
+    parents: list[int]
+    weak: dict[int, float]  # elements that only a name or a form marks, and the share that frees them
+
+    def sums(self, blocks: list[Block], values: list[int]) -> list[int]:
+        """Values of the blocks summed over every element they lie in."""
+        held = [0] * len(self.parents)
+        for block, value in zip(blocks, values):
+            held[block.serial] += value
+        for serial in range(len(held) - 1, 0, -1):
+            held[self.parents[serial]] += held[serial]
+        return held
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag in lower case; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def element(tag: str, rest: str, parent: Element, wraps: bool = False) -> tuple[Element, str]:
+    """The element, and its step of the tag path: tag and first names."""
+    given = attributes(rest) if rest.strip(" /") else {}
+    role = given.get("role", "").strip().lower()
+    marked = " ".join(given[name] for name in ("class", "id", "role", "itemprop") if name in given)
+    names = tuple(w.lower() for w in WORD.findall(marked))
     article = parent.article or tag in ("article", "main") or role in ("article", "main")
-    named = tag not in ("body", "html") and any(w in ASIDE_WORDS for w in names)
-    named = named and not (tag in ("article", "main") or any(w in ARTICLE_WORDS for w in names[:1]))
-    masthead = tag == "header" and parent.article and not parent.aside
+    aside_names = {w for w in names if w in ASIDE_WORDS}
+    named = bool(aside_names) and tag not in ("body", "html", "article", "main")
+    # a header of the article, by its tag or by a name like entry-header
+    masthead = (tag == "header" or (named and aside_names <= {"header", "masthead"})) and (
+        (parent.article and not parent.aside) or (named and names[0] in ARTICLE_WORDS)
+    )
     inherits = not (parent.masthead and tag in HEADINGS)
-    own = (
-        (tag in ASIDE_TAGS and tag != "form")
-        or role in ASIDE_ROLES
-        or bool(HIDDEN.search(QUOTED.sub("", rest) if "style" not in rest and "aria" not in rest else rest))
+    hidden = (
+        given.get("hidden", "false").lower() != "false"
+        or given.get("aria-hidden", "").strip().lower() == "true"
+        or bool(NOT_SHOWN.search(given.get("style", "")))
     )
+    own = (tag in ASIDE_TAGS and tag != "form") or role in ASIDE_ROLES or hidden
     sure = (parent.sure and inherits) or own
     weak = tag == "form" or named
     aside = (parent.aside and inherits) or own or (weak and not wraps)
     wrapper = 0.0
     if weak and not sure:
         wrapper = NEARLY_ALL if any(w in COMMENT_WORDS for w in names) else MOST
-    step = tag + "".join(f".{w}" for w in names[:3])
-    return Element(tag, f"{parent.path}/{step}", aside, article, masthead, sure, wrapper)
+    return Element(tag, aside, article, masthead, sure, wrapper), ".".join((tag, *names[:3]))
 
 
-def read(source: str) -> list[Block]:
+def read(source: str) -> Page:
     """Text blocks in page order.  Unclosed tags close as in browsers where that moves text."""
-    blocks, weak = parsed(source, frozenset())
-    if weak:
-        counted = [b for b in blocks if not b.sure]
+    page = parsed(source, frozenset())
+    if page.weak:
+        counted = [b for b in page.blocks if not b.sure]
         counted = [b for b in counted if b.article] or counted
-        held: dict[int, int] = defaultdict(int)
-        whole = 0
-        for block in counted:
-            own = max(len(block.text) - block.linked, 0)
-            whole += own
-            for serial in block.container:
-                held[serial] += own
-        wrappers = frozenset(s for s, share in weak.items() if whole and held[s] > share * whole)
+        held = page.sums(counted, [max(len(b.text) - b.linked, 0) for b in counted])
+        wrappers = frozenset(s for s, share in page.weak.items() if held[0] and held[s] > share * held[0])
         if wrappers:
-            blocks, _ = parsed(source, wrappers)
-    return blocks
+            page = parsed(source, wrappers)
+    return page
 
 
-def parsed(source: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int, float]]:
-    """The blocks, and the elements that only a name or a form marks, with the share that frees them;
-    ``wrappers`` are free of such a mark."""
+def parsed(source: str, wrappers: frozenset[int]) -> Page:
+    """The page, ``wrappers`` free of the mark of their name or form.  Work is linear in the page: a
+    block knows only the element it lies in, and an element its parent."""
     weak: dict[int, float] = {}
-    root = Element("", "", False, False)
-    stack: list[tuple[Element, int]] = [(root, 0)]
-    serial, link_depth, at = 0, 0, 0
+    parents, paths = [0], {}
+    stack: list[tuple[Element, int, int]] = [(Element("", False, False), 0, 0)]  # element, serial, path
+    opened: dict[str, int] = defaultdict(int)
+    link_depth, at = 0, 0
     blocks: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -157,24 +177,14 @@ def parsed(source: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            top = stack[-1][0]
-            heading = any(e.tag in HEADINGS for e, _ in stack[-2:])
-            blocks.append(
-                Block(
-                    top.path,
-                    tuple(s for _, s in stack),
-                    heading,
-                    top.aside,
-                    top.article,
-                    top.sure,
-                    text,
-                    linked,
-                )
-            )
+            top, serial, path = stack[-1]
+            heading = any(e.tag in HEADINGS for e, _, _ in stack[-2:])
+            blocks.append(Block(path, serial, heading, top.aside, top.article, top.sure, text, linked))
         linked = 0
 
-    def close(depth: int) -> None:
-        flush()
+    def drop(depth: int) -> None:
+        for dropped, _, _ in stack[depth:]:
+            opened[dropped.tag] -= 1
         del stack[depth:]
 
     def say(text: str) -> None:
@@ -196,44 +206,45 @@ def parsed(source: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int
             if tag == "a":
                 link_depth = 0 if token["end"] else 1
         elif token["end"]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0].tag == tag), 0)
-            if depth:
+            flush()
+            if opened[tag]:
                 link_depth = 0
-                close(depth)
-            else:
-                flush()
+                drop(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0].tag == tag))
         else:
             flush()
             link_depth = 0
             if tag in CLOSES_PARAGRAPH and stack[-1][0].tag in ("p", *HEADINGS):
-                del stack[-1]
-            if tag in CLOSES_SAME:
+                drop(len(stack) - 1)
+            if tag in CLOSES_SAME and opened[tag]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0].tag in SCOPES:
                         break
                     if stack[depth][0].tag == tag:
-                        del stack[depth:]
+                        drop(depth)
                         break
             if tag == "body":  # whatever the head left open
-                del stack[1:]
+                drop(1)
             if tag not in VOID and not token["rest"].endswith("/"):
-                serial += 1
-                made = element(tag, token["rest"], stack[-1][0], serial in wrappers)
+                serial = len(parents)
+                above, parent, path = stack[-1]
+                made, step = element(tag, token["rest"], above, serial in wrappers)
+                parents.append(parent)
+                opened[tag] += 1
                 if made.wrapper:
                     weak[serial] = made.wrapper
-                stack.append((made, serial))
+                stack.append((made, serial, paths.setdefault((path, step), len(paths) + 1)))
     if at < len(source):
         say(source[at:])
     flush()
-    return blocks, weak
+    return Page(blocks, parents, weak)
 
 
-def path_values(blocks: list[Block]) -> dict[str, float]:
+def path_values(blocks: list[Block]) -> dict[int, float]:
     """Fused ratio per tag path: characters and marks per block outside links, smoothed along the
     page so that short blocks amid content gain and single long ones amid boilerplate lose."""
-    chars: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    count: dict[str, int] = defaultdict(int)
+    chars: dict[int, float] = defaultdict(float)
+    marks: dict[int, float] = defaultdict(float)
+    count: dict[int, int] = defaultdict(int)
     for block in blocks:
         own = 0 if block.aside else max(len(block.text) - 2 * block.linked, 0)
         chars[block.path] += own
@@ -242,7 +253,7 @@ def path_values(blocks: list[Block]) -> dict[str, float]:
     ratio = {p: chars[p] / count[p] * (1 + marks[p] / count[p]) for p in count}
     along = np.array([ratio[b.path] for b in blocks])
     smooth = np.convolve(np.pad(along, 1, mode="edge"), WINDOW, mode="valid")
-    sums: dict[str, float] = defaultdict(float)
+    sums: dict[int, float] = defaultdict(float)
     for block, value in zip(blocks, smooth):
         sums[block.path] += value
     return {p: (sums[p] / count[p] * ratio[p]) ** 0.5 for p in count}
@@ -251,9 +262,11 @@ def path_values(blocks: list[Block]) -> dict[str, float]:
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by line ends; empty where the page has none.
 
-    Null or empty html gives an empty text.  Nothing of a chosen block is dropped.
+    Null or empty html gives an empty text.  Nothing of a chosen block is dropped, and time grows with
+    the length of the page, however long or deeply nested.
     """
-    blocks = read(source or "")
+    page = read(source or "")
+    blocks = page.blocks
     if any(b.article and not b.aside for b in blocks):
         blocks = [b for b in blocks if b.article]
     if not blocks:
@@ -266,19 +279,18 @@ def main_text(source: str | None) -> str:
     border = THRESHOLD * (each * sizes).sum() / sizes.sum()
     content = [not b.aside and v >= border and v > 0 for b, v in zip(blocks, each)]
     # the container that holds most of the content: its other plain blocks belong to the article
-    weight: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {}
-    for block, chosen, size in zip(blocks, content, sizes):
-        for level, serial in enumerate(block.container):
-            depth[serial] = level
-            weight[serial] += size * chosen
-    whole = max(weight.values())
-    home = max((s for s, w in weight.items() if w >= 0.6 * whole), key=lambda s: depth[s])
+    weight = page.sums(blocks, [int(size) * chosen for size, chosen in zip(sizes, content)])
+    depth, inside, home = [0] * len(weight), [False] * len(weight), 0
+    for serial, parent in enumerate(page.parents):
+        depth[serial] = depth[parent] + (serial > 0)
+        if weight[serial] >= 0.6 * weight[0] and depth[serial] > depth[home]:
+            home = serial
+    for serial, parent in enumerate(page.parents):
+        inside[serial] = serial == home or (serial > 0 and inside[parent])
     kept = []
     for block, chosen in zip(blocks, content):
-        inside = home in block.container
         plain = not block.aside and 2 * block.linked < max(len(block.text), 1)
-        if chosen or (inside and plain) or (block.article and block.heading and plain):
+        if chosen or (inside[block.serial] and plain) or (block.article and block.heading and plain):
             kept.append(block.text)
     return "\n".join(kept)
 

@@ -38,6 +38,66 @@ def test_layout_wrappers_and_one_form_around_the_page():
     assert webtext.main_text(f"<body><div id=main>{BODY}</div>{long}</body>") == TEXT
 
 
+def test_hidden_parts_are_those_of_their_attributes():
+    for shown in ('style="overflow:hidden"', 'class="overflow-hidden" style="margin:0"', 'aria-label="hidden"',
+                  'class="overflow-hidden" aria-label="x"', 'data-role="search"', 'data-id="sidebar"',
+                  'aria-hidden="false"', 'title="display:none"', "data-x='a role=menu'"):
+        for tag in ("article", "div"):
+            assert webtext.main_text(PAGE % f"<{tag} {shown}>{BODY}</{tag}>") == TEXT, shown
+    secret = "<p>This is a long, hidden paragraph, with marks; it is not to be read.</p>"
+    for hidden in ("hidden", 'hidden=""', 'style="color:red; display : none"', "aria-hidden=true",
+                   "class=x style=visibility:hidden"):
+        assert webtext.main_text(PAGE % f"<article>{BODY}<div {hidden}>{secret}</div></article>") == TEXT, hidden
+
+
+def test_named_parts_inside_the_article():
+    other = "<p>Some more words, of other people; they are not the article.</p>"
+    for name in ("post-comments", "article-share", "content-sidebar", "entry-footer", "main-menu", "postComments",
+                 "story related", "article__newsletter"):
+        for where in ("class", "id"):
+            inner = f'<div {where}="{name}">{other}</div>'
+            assert webtext.main_text(PAGE % f"<article>{BODY}{inner}</article>") == TEXT, name
+            assert webtext.main_text(PAGE % f"<div class=content>{BODY}{inner}</div>") == TEXT, name
+    for name in ("entry-header", "post-header", "article-masthead"):
+        head = f'<div class="{name}"><h1>A title</h1><p>By somebody, on a day, in a place.</p></div>'
+        assert webtext.main_text(PAGE % f"<article>{BODY.replace('<h1>A  title</h1>', head)}</article>") == TEXT, name
+
+
+def brute_values(blocks):
+    """Ratios of paths, written down plainly."""
+    ratio = {}
+    for path in {b.path for b in blocks}:
+        mine = [b for b in blocks if b.path == path]
+        own = [0 if b.aside else max(0, len(b.text) - 2 * b.linked) for b in mine]
+        marks = sum(sum(c in ",.;:!?" for c in b.text) for b, n in zip(mine, own) if n)
+        ratio[path] = sum(own) / len(mine) * (1 + marks / len(mine))
+    along = [ratio[b.path] for b in blocks]
+    smooth = [
+        0.25 * along[max(i - 1, 0)] + 0.5 * along[i] + 0.25 * along[min(i + 1, len(along) - 1)]
+        for i in range(len(along))
+    ]
+    means = {p: [s for s, b in zip(smooth, blocks) if b.path == p] for p in ratio}
+    return {p: (sum(v) / len(v) * ratio[p]) ** 0.5 for p, v in means.items()}
+
+
+def test_ratios_by_brute_force(spark, sf):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    for source in [*pages, PAGE % BODY]:
+        blocks = webtext.read(source).blocks
+        found, want = webtext.path_values(blocks), brute_values(blocks)
+        assert found.keys() == want.keys()
+        assert all(abs(found[p] - want[p]) <= 1e-9 * max(1, want[p]) for p in want)
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    for unit in ("<div>word, ", "<div><p>x</p></b></span></p></table>", "<ul><li>a", "<li>b"):
+        start = time.process_time()
+        webtext.main_text(unit * 8000)
+        assert time.process_time() - start < 2
+
+
 def test_query_on_whole_table(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op5_html_main_text"](spark, sf).collect():
