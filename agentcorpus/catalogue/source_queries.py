@@ -160,19 +160,25 @@ def rejection_summary(spark, folder):
 
 @query(
     "scan_screenshots",
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-    SELECT count(DISTINCT doc_id)::BIGINT AS rows, count(*)::BIGINT AS messages FROM l""",
+    """WITH l AS (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents)
+    SELECT 'https://' || source || '.example.com/x' AS url, sha256(line) AS question,
+      CASE WHEN length(line) % 4 = 0 THEN ' ' ELSE lang END AS answer, count(*)::BIGINT AS messages,
+      NULL::BIGINT AS rows FROM l GROUP BY ALL
+    UNION ALL SELECT NULL, NULL, NULL, NULL, count(*)::BIGINT FROM documents""",
 )
 def scan_screenshots(spark, folder):
+    """Every scanned message, counted by its texts, and the rows that the places in files tell apart."""
     path = scratch(spark, f"screenshots {ODD_NAME}")
     raw_screenshots(spark, folder).withColumn("image", F.encode("metadata.url", "utf-8")).write.parquet(
         path
     )
     scanned = scans.scan_screenshots(spark, path, "docs", "r1")
-    return scanned.agg(
-        F.count_distinct(F.struct("file", "row_index")).alias("rows"),
-        F.sum(F.size("messages")).alias("messages"),
-    )
+    messages = scanned.select(F.col("metadata.url").alias("url"), F.explode("messages").alias("m"))
+    counted = messages.groupBy(
+        "url", F.sha2("m.question", 256).alias("question"), F.col("m.answer").alias("answer")
+    ).agg(F.count(F.lit(1)).alias("messages"))
+    rows = scanned.agg(F.count_distinct(F.struct("file", "row_index")).alias("rows"))
+    return counted.unionByName(rows, allowMissingColumns=True)
 
 
 @query(
@@ -388,10 +394,15 @@ def write_catalog(spark, folder):
 
 @query(
     "write_payload",
-    f"""WITH e AS ({B.EPISODES_SQL}) SELECT 'variants' AS part, count(DISTINCT variant_id)::BIGINT AS n
-        FROM e UNION ALL SELECT 'pairs', count(DISTINCT (task_id, seed))::BIGINT FROM e""",
+    f"""WITH e AS ({B.EPISODES_SQL})
+    SELECT 'variants' AS part, variant_id AS key, count(*)::DOUBLE AS first,
+      round(avg(total_reward), 6) AS second FROM e GROUP BY variant_id
+    UNION ALL SELECT 'pairs', c.task_id || ':' || c.seed::VARCHAR,
+      n.success::INT::DOUBLE - c.success::INT::DOUBLE, round(n.total_reward - c.total_reward, 6)
+      FROM e c JOIN e n USING (task_id, seed) WHERE c.variant_id = 'control' AND n.variant_id = 'candidate'""",
 )
 def write_payload(spark, folder):
+    """Every row of a payload's two tables, as written and read again."""
     from agentcorpus.operators import align
 
     path = scratch(spark, "payload")
@@ -403,13 +414,15 @@ def write_payload(spark, folder):
         },
         path,
     )
-    parts = [
-        spark.read.parquet(f"{path}/{name}").agg(
-            F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")
-        )
-        for name in ("variants", "pairs")
-    ]
-    return parts[0].unionByName(parts[1])
+    variants = spark.read.parquet(f"{path}/variants").select(
+        F.lit("variants").alias("part"), F.col("variant_id").alias("key"),
+        F.col("episodes").cast("double").alias("first"), F.col("mean_reward").alias("second"),
+    )
+    pairs = spark.read.parquet(f"{path}/pairs").select(
+        F.lit("pairs").alias("part"), F.concat_ws(":", "task_id", F.col("seed").cast("string")).alias("key"),
+        F.col("success_delta").alias("first"), F.col("reward_delta").alias("second"),
+    )
+    return rounded(variants.unionByName(pairs))
 
 
 @query(
