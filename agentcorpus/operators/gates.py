@@ -7,6 +7,7 @@ the table at once; a reference run is a filter, never a collected dictionary.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -508,7 +509,9 @@ def completion_issues(
     """Issue rows (job_id, issue) of a scaling study.
 
     ``expected`` lists (group, size, step, seed).  Each receipt table is keyed by ``job_id``; suites
-    and shards are child rows.  Every rule is one condition on the joined row.
+    and shards are child rows.  All of them meet in one aggregation of their tagged union by job; only
+    the first owner of an adapter is looked up apart.  Every rule is one condition on a job's row.  Of
+    repeated receipts of a job the greatest counts.
     """
     planned = expected.join(
         jobs.select(
@@ -523,11 +526,12 @@ def completion_issues(
     )
     selected = planned.where("job_id is not null").select("group", "job_id", "size", "step", "seed")
     hashes_ok = valid_sha256(F.col("metrics_sha256")) & valid_sha256(F.col("run_metadata_sha256"))
-    suite_state = suites.groupBy("job_id").agg(
-        F.count_distinct("suite").alias("_suites"),
-        F.count_if(~F.col("suite").isin(*SUITE_TASKS)).alias("_odd_suites"),
-        F.count_if(~hashes_ok).alias("_suite_hashes"),
-        F.count_if(~_has_tasks()).alias("_suite_tasks"),
+    suite_rows = suites.select(
+        "job_id",
+        F.col("suite").alias("_suite"),
+        F.col("suite").isin(*SUITE_TASKS).alias("_known_suite"),
+        hashes_ok.alias("_suite_hash"),
+        _has_tasks().alias("_suite_has_tasks"),
     )
     per_suite = shards.groupBy("job_id", "suite").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("shard_index").alias("d"),
@@ -538,27 +542,48 @@ def completion_issues(
         (F.col("n") == num_shards) & (F.col("d") == num_shards) & (F.col("lo") == 0)
         & (F.col("hi") == num_shards - 1)
     )
-    shard_state = per_suite.groupBy("job_id").agg(
-        F.count_if(whole).alias("_whole"), F.sum("bad").alias("_shard_hashes")
-    )
+    shard_rows = per_suite.select("job_id", whole.alias("_whole_suite"), F.col("bad").alias("_bad_shards"))
     reuse = training.where(valid_sha256(F.col("adapter_sha256"))).groupBy("adapter_sha256").agg(
         F.min("job_id").alias("_first_owner")
     )
-    t = training.select(
-        "job_id", F.col("kind").alias("t_kind"), F.col("completed_step").alias("t_step"),
-        F.col("status").alias("t_status"), F.col("adapter_sha256").alias("t_adapter"),
-    )
+    plan = selected.select("job_id", F.struct("step").alias("_plan"))
     j = job_receipts.select(
-        "job_id", F.col("kind").alias("j_kind"), F.col("status").alias("j_status"),
-        F.col("final_step").alias("j_step"),
+        "job_id",
+        F.struct(
+            F.col("kind").alias("j_kind"), F.col("status").alias("j_status"), F.col("final_step").alias("j_step")
+        ).alias("_j"),
+    )
+    t = training.select(
+        "job_id",
+        F.struct(
+            F.col("kind").alias("t_kind"), F.col("completed_step").alias("t_step"),
+            F.col("status").alias("t_status"), F.col("adapter_sha256").alias("t_adapter"),
+        ).alias("_t"),
     )
     e = evaluation.select(
-        "job_id", F.col("kind").alias("e_kind"), "control",
-        F.col("adapter_sha256").alias("e_adapter"), F.col("num_shards").alias("e_shards"),
+        "job_id",
+        F.struct(
+            F.col("kind").alias("e_kind"), "control", F.col("adapter_sha256").alias("e_adapter"),
+            F.col("num_shards").alias("e_shards"),
+        ).alias("_e"),
     )
+    tagged = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), [plan, j, t, e, suite_rows, shard_rows]
+    )
+    some = F.count("_known_suite") > 0
     row = (
-        selected.join(j, "job_id", "left").join(t, "job_id", "left").join(e, "job_id", "left")
-        .join(suite_state, "job_id", "left").join(shard_state, "job_id", "left")
+        tagged.groupBy("job_id")
+        .agg(
+            *[F.max(name).alias(name) for name in ("_plan", "_j", "_t", "_e")],
+            F.size(F.collect_set("_suite")).alias("_suites"),  # a job reports a few suites
+            F.count_if(~F.col("_known_suite")).alias("_odd_suites"),
+            F.when(some, F.count_if(~F.col("_suite_hash"))).alias("_suite_hashes"),
+            F.when(some, F.count_if(~F.col("_suite_has_tasks"))).alias("_suite_tasks"),
+            F.count_if("_whole_suite").alias("_whole"),
+            F.sum("_bad_shards").alias("_shard_hashes"),
+        )
+        .where("_plan is not null")
+        .select("*", "_plan.*", "_j.*", "_t.*", "_e.*")
         .join(reuse, F.col("t_adapter") == F.col("adapter_sha256"), "left")
     )
     have = F.col("j_kind").isNotNull() & F.col("t_kind").isNotNull() & F.col("e_kind").isNotNull()
