@@ -80,8 +80,18 @@ def quantile_cell(df: DataFrame, column: str, bits: int = BITS) -> Column:
     return reduce(lambda a, b: a + b, [(value >= F.lit(b)).cast("int") for b in bounds], F.lit(0))
 
 
-def hash_cell(column: Column, bits: int = BITS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(column.cast("string"), F.lit(""))), F.lit(1 << bits)).cast("int")
+def rank_cell(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """Cell of a text column by the rank of its value among the distinct ones, in value order.
+
+    Neighbouring cells hold neighbouring values, so that the least and greatest value of a file tell
+    what it holds; few values have a cell each, spread evenly.  Only the bounds between cells reach the driver.
+    """
+    values = numbered(df.select(column).distinct(), [F.col(column)], "rank")
+    total, cells = values.count(), 1 << bits
+    ranks = sorted({-(-k * total // cells) for k in range(1, cells)} & set(range(1, total)))
+    bounds = [row[column] for row in values.where(F.col("rank").isin(ranks)).select(column).collect()]
+    above = [(F.col(column) >= F.lit(b)).cast("int") for b in bounds]
+    return reduce(lambda a, b: a + b, above, F.lit(0)) * F.lit(cells // (len(bounds) + 1))
 
 
 def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -107,11 +117,12 @@ def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.min(F.struct("doc_id", "lang", "source", "size")).alias("first")
     )
     size_cell = quantile_cell(rows, "size")
-    curve = hilbert_index([hash_cell(F.col("lang")), hash_cell(F.col("source")), F.col("cell")])
+    cells = {"lang_cell": rank_cell(rows, "lang"), "source_cell": rank_cell(rows, "source"), "cell": size_cell}
+    curve = hilbert_index([F.col(name) for name in cells])
     # stored, so that the join below has two plain exchanges and a hot group of copies is split
     groups = stored(
         groups.select("k1", "k2", "first.lang", "first.source", F.col("first.size").alias("size"))
-        .withColumn("cell", size_cell)
+        .withColumns(cells)
         .select("k1", "k2", curve.alias("curve")),
         "groups",
     )

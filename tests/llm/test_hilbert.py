@@ -41,6 +41,35 @@ def test_query_on_whole_table(spark, sf):
     assert max(map(len, shards.values())) <= 2  # copies lie together but for a cut
 
 
+def test_filters_skip_files(spark):
+    """Least and greatest values of the shards: a filter on any dimension reads a small share of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = hilbert.assign_shards(docs, 64).select("doc_id", "shard", "size")
+    found = docs.join(placed, "doc_id").select("shard", "lang", "source", "size").collect()
+    shares = {}
+    for name, at in (("lang", 1), ("source", 2), ("size", 3)):
+        spans = {}
+        for row in found:
+            low, high = spans.get(row[0], (row[at], row[at]))
+            spans[row[0]] = min(low, row[at]), max(high, row[at])
+        values = sorted(row[at] for row in found)  # as often as they occur
+        read = [sum(low <= v <= high for low, high in spans.values()) / len(spans) for v in values]
+        shares[name] = sum(read) / len(read)
+    assert max(shares.values()) < 0.5, shares
+
+
+def test_cells_follow_the_values(spark):
+    rows = [(f"v{k:04}",) for k in range(1000)] + [("v0500",)] * 900 + [("",)]
+    df = spark.createDataFrame(rows, "v string")
+    cells = {r["v"]: r["c"] for r in df.select("v", hilbert.rank_cell(df, "v").alias("c")).collect()}
+    in_order = [cells[v] for v in sorted(cells)]
+    assert in_order == sorted(in_order) and set(in_order) == set(range(32))
+    few = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "v string")
+    got = few.select("v", hilbert.rank_cell(few, "v").alias("c")).distinct().collect()
+    assert len({r["c"] for r in got}) == 3
+    assert few.limit(0).select(hilbert.rank_cell(few.limit(0), "v")).collect() == []
+
+
 def test_odd_rows(spark, odd, empty):
     rows = hilbert.assign_shards(odd, 5).collect()
     lawful(rows, 5)
