@@ -1,6 +1,7 @@
 """Operator 8: exact top-k inner products, term at a time.
 
-Candidates and queries are packed into blocks of bounded size.  For a pair of blocks every dimension
+Candidates and queries are packed into blocks of bounded size.  Candidates are dealt out to tiles once, and
+the queries, a small share of the rows, are copied to every tile.  For a pair of blocks every dimension
 is a term: its postings (rows and weights of the candidate block) are scattered, times the weights of
 the queries that have the term, into dense score arrays.  Partition selection keeps each query's best
 of the block, and the bests of all blocks are merged.
@@ -19,8 +20,10 @@ from agentcorpus.llm.store import stored
 
 CANDIDATES = 4096
 QUERIES = 256
+TILE = 16  # candidate blocks in a tile
 SCALE = 256
-BLOCK = "n int, ids binary, weights binary"
+BLOCK = "n int, kind string, ids binary, weights binary"
+NAMES = [field.split()[0] for field in BLOCK.split(", ")]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
     """Pack rows to blocks of at most ``size`` integer vectors, ids ascending; shorter vectors are
-    filled with zeros."""
+    filled with zeros.  Weights are stored in the narrowest integers that hold them."""
 
     def packed(rows: pd.DataFrame) -> tuple:
         rows = rows.sort_values("vec_id")
@@ -43,7 +46,10 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
         weights = np.zeros((len(rows), width), np.int64)
         for at, vector in enumerate(rows["embedding"]):
             weights[at, : len(vector)] = np.floor(SCALE * np.asarray(vector, np.float64))
-        return len(rows), rows["vec_id"].to_numpy(np.int64).tobytes(), weights.tobytes()
+        least, most = weights.min(initial=0), weights.max(initial=0)
+        kind = next(k for k in ("<i2", "<i4", "<i8") if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
+        ids = rows["vec_id"].to_numpy(np.int64).tobytes()
+        return len(rows), kind, ids, weights.astype(kind).tobytes()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -54,16 +60,16 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
                 kept.append(part)
                 count += len(part)
                 if count == size:
-                    yield pd.DataFrame([packed(pd.concat(kept))], columns=["n", "ids", "weights"])
+                    yield pd.DataFrame([packed(pd.concat(kept))], columns=NAMES)
                     kept, count = [], 0
         if count:
-            yield pd.DataFrame([packed(pd.concat(kept))], columns=["n", "ids", "weights"])
+            yield pd.DataFrame([packed(pd.concat(kept))], columns=NAMES)
 
     return vectors.select("vec_id", "embedding").mapInPandas(pack, BLOCK)
 
 
-def unpack(n: int, ids: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64).reshape(n, -1)
+def unpack(n: int, kind: str, ids: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(weights, kind).reshape(n, -1).astype(np.int64)
 
 
 def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -101,18 +107,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     count = asked.count()
     parts = max(1, -(-count // QUERIES))
     asked = stored(blocks(asked.repartition(parts, "vec_id"), QUERIES), "queries")
-    asked = asked.withColumn("block", F.monotonically_increasing_id())
-    numbers = [row["block"] for row in asked.select("block").collect()]  # one number per block
-    asked = asked.select("block", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "weights")])
-    posted = blocks(usable(candidates), CANDIDATES).withColumn(
-        "block", F.explode(F.array(*map(F.lit, numbers)).cast("array<bigint>"))
-    )
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in NAMES])
+    posted = stored(blocks(usable(candidates), CANDIDATES), "postings")
+    tiles = max(1, -(-posted.count() // TILE))
+    posted = posted.withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(tiles)))
+    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1))))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                query_ids, wanted = unpack(row.q_n, row.q_ids, row.q_weights)
-                ids, weights = unpack(row.n, row.ids, row.weights)
+                query_ids, wanted = unpack(row.q_n, row.q_kind, row.q_ids, row.q_weights)
+                ids, weights = unpack(row.n, row.kind, row.ids, row.weights)
                 found = scores(wanted, weights)
                 out = []
                 for at, query in enumerate(query_ids):
@@ -125,7 +130,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
                     )
                 yield pd.concat(out)
 
-    pairs = posted.join(asked, "block").drop("block")
+    pairs = posted.join(asked, "tile").drop("tile")
     found = pairs.mapInPandas(score, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -39,11 +39,17 @@ def test_ties_nulls_and_sparse_vectors(spark):
 def test_blocks_are_merged(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 7)
     monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "TILE", 2)
     rows = [(i, [math.sin(i * k) for k in range(1, 9)]) for i in range(100)]
     rows += [(i + 100, rows[0][1]) for i in range(30)]  # many copies of one vector
     assert run(spark, rows, 4) == brute([(i, [float(f"{x:.9g}") for x in v]) for i, v in as_floats(rows)], 4)
 
 
+def test_wide_weights(spark):
+    rows = [(i, [1e3 * (i % 7), -3e4 * (i % 3), 0.25]) for i in range(40)]
+    assert run(spark, rows, 5) == brute([(i, v) for i, v in as_floats(rows)], 5)
+
+
 def as_floats(rows):
     import numpy as np
 
