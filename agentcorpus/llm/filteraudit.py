@@ -168,9 +168,11 @@ def document_terms(docs: DataFrame, words: bool = True) -> tuple[DataFrame, Data
 
     A shard's row lists its documents (doc_id, part, flags of C and D, text key) and holds ``ends`` as
     32-bit and ``terms`` as 64-bit integers and ``counts`` as :func:`counted` reads them.  Without
-    ``words`` terms are numbered all the same, but the dictionary is not kept and is empty.  A word is a maximal run of characters other
-    than the blank and the controls 9 to 13; terms number the distinct words from 0.  A word comes
-    once from a shard, so even one that all documents share is no hot key of the shuffle by word.
+    ``words`` terms are numbered all the same, but the dictionary is not kept and is empty.
+
+    A word is a maximal run of characters other than the blank and the controls 9 to 13; terms number
+    the distinct words from 0.  A word comes once from a shard, so even one that all documents share
+    is no hot key of the shuffle by word.  Very long texts are read whole; one is never parted.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = text_key(text)
