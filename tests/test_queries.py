@@ -63,3 +63,14 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_policy_amounts_round_half_to_even(spark, tmp_path):
+    """A value of 0.1 is half a step: DuckDB casts 0.5 to 0, and so does the query."""
+    rows = spark.createDataFrame([("view", v) for v in (0.1, 0.3, 0.5, 0.09, 21.0)], "event_type string, value double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["parse_policy_outputs"](spark, str(tmp_path)).first()
+    connection = duckdb.connect()
+    connection.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = connection.execute(ORACLES["parse_policy_outputs"]).fetchone()
+    assert tuple(got) == want and got["parse_errors"] == 3
