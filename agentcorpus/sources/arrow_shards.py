@@ -210,7 +210,8 @@ def scan_arrow(
     one batch at a time.  With ``rejects`` rows carry their place (``path``, ``row_index`` in the shard)
     and a ``reason``: rows with one stand for what cannot be read from there on: a broken shard
     (see :func:`plan_arrow`), ``columns`` that are missing or of other types, or a ``broken_batch``.
-    Without it those rows are left out.
+    A shard of another schema is rejected once, however many splits it has; values that do not fit
+    reject the rest of their split.  Without it those rows are left out.
     """
     plan = plan_arrow(files) if plan is None else plan
     wanted = list(columns)
@@ -234,6 +235,10 @@ def scan_arrow(
                 stream = pa.ipc.open_stream(
                     pa.PythonFile(Segments(source, [*head, (row["start"], row["length"])]), mode="r")
                 )
+                if not _fits(stream.schema, wanted, arrow):
+                    if row["split"] == 0:  # one schema holds for the whole shard
+                        yield rejected(row, at, "columns")
+                    return
                 for piece in stream:
                     reason = "columns"
                     kept = piece.select(wanted)
@@ -266,6 +271,17 @@ def scan_arrow(
     return found if rejects else found.where("reason is null").select(*kinds.names)
 
 
+def _fits(found: pa.Schema, wanted: Sequence[str], schema: pa.Schema) -> bool:
+    """Whether a shard has the columns, each once, of types that can be cast."""
+    try:
+        kept = found.empty_table().select(list(wanted))
+        for i in range(len(wanted)):
+            kept.column(i).cast(schema.field(i).type)
+    except (pa.ArrowException, KeyError):
+        return False
+    return True
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -89,6 +89,16 @@ def test_broken_shards_are_rejected(scan):
     assert missing == [("gone", 0, "empty")]
 
 
+def test_shard_of_another_schema_is_rejected_once(scan):
+    other = pa.BufferOutputStream()
+    with pa.ipc.new_stream(other, pa.schema([("name", pa.string())])) as writer:
+        for _ in range(9):
+            writer.write_batch(pa.record_batch({"name": ["x" * 900]}))
+    good, bad, plan = scan({"other": other.getvalue().to_pybytes(), "good": stream([1, 2])}, 1000)
+    assert plan.count() > 5
+    assert bad == [("other", 0, "columns")] and good == {"good": [1, 2]}
+
+
 def test_tables_in_folders_are_one_file(spark, tmp_path):
     (tmp_path / "a.parquet").write_bytes(b"12")
     for part in ("p0", "p1", "k=1/p0"):
