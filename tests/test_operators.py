@@ -330,3 +330,29 @@ def test_first_few_has_no_cap(spark, limit):
     df = spark.range(6000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     found = first_few(df, ["k"], [F.desc("v")], limit).groupBy("k").agg(F.count("v").alias("n"), F.max("rank").alias("r"))
     assert {(r["n"], r["r"]) for r in found.collect()} == {(min(limit, 3000), min(limit, 3000))}
+
+
+def test_staged_columns_are_projected_before_the_generator(spark):
+    """Inside the generator an expression is neither shared nor split into small methods."""
+    from agentcorpus.functions.staging import staged
+
+    held = staged(spark.range(3), {"a": F.col("id") * 7, "b": F.col("id") + 1}).where("a > 6")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate" in line]
+    assert generators and not any("* 7" in line for line in generators)
+    assert [tuple(r) for r in held.orderBy("id").collect()] == [(1, 7, 2), (2, 14, 3)]
+
+
+def test_diagnostic_order_reads_no_json_in_comparisons(spark):
+    from agentcorpus.operators import order
+
+    rows = spark.createDataFrame(
+        [("1", '{"name":"go_back"}', '{"thought":"t","action":{"name":"go_back"}}')],
+        "id string, target_action string, prediction string",
+    ).selectExpr("*", "cast(null as array<double>) bbox_normalized", "10 image_width", "10 image_height")
+    scored = score.action_score(rows)
+    top = order.diagnostic_rows(scored, order.action_diagnostic_order(scored), 5)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    sort = next(line for line in plan.splitlines() if "TakeOrderedAndProject" in line)
+    assert "get_json_object" not in sort.split("output=")[0]
+    assert top.first()["action_exact"] and top.first()["target_name"] == "go_back"
