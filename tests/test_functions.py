@@ -187,6 +187,53 @@ def test_raw_actions(value):
     assert normal("go_back", "[]")["action"] is None
 
 
+def test_raw_action_arguments_are_read_once(spark):
+    # each number was read from the opened action again in every place that refers to it
+    rows = spark.createDataFrame([('{"bbox":[1,2,3,4]}',)], "raw string").select(
+        actions.opened(F.col("raw")).alias("raw")
+    )
+    done = actions.normalize_action(F.lit("click"), F.col("raw"), F.lit(1280), F.lit(720))
+    plan = rows.select(done.alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_variant_get(") <= 40
+
+
+@pytest.mark.parametrize(
+    "target,flat",
+    [
+        ('{"name":"click","x":2.5,"y":5}', True),
+        ('{"name": "scroll", "delta_x":-3, "delta_y":400.25}', True),
+        ('{"name":"press","key":"Enter"}', True),
+        ('{"name":"go_back"}', True),
+        ('{"name":"click","x":"5"}', False),
+        ('{"name":"click","x":true}', False),
+        ('{"name":"click","x":1,"x":2}', False),
+        ('{"name":"click","name":"drag"}', False),
+        ('{"name":"a","n":01}', False),
+        ('{"name":"a\\n"}', False),
+        ('{"name":"a"} tail', False),
+        ('{"name":"a"}\n', False),
+        ('{"x":1,"name":"click"}', False),
+        ('{"name":1}', False),
+        ('{"name":"a","b":{"x":1}}', False),
+        ('[{"name":"a"}]', False),
+        ("{}", False),
+        (None, False),
+    ],
+)
+def test_flat_actions_read_like_others(spark, target, flat):
+    rows = spark.createDataFrame([(target, f'{{"thought":"t","action":{target}}}')], "t string, p string")
+    text = F.col("t")
+    whole = actions.action_fields(actions.action_arguments(actions.opened(text)))
+    got = rows.select(
+        actions.flat_action(text).alias("short"), whole.alias("whole"),
+        actions.flat_prediction(F.col("p")).alias("predicted"),
+        actions.opened(text).isNotNull().alias("valid"),
+    ).first()
+    assert (got["short"] is not None) == (got["predicted"] is not None) == flat
+    if flat:
+        assert got["valid"] and got["short"] == got["whole"] == got["predicted"]
+
+
 def test_rollout_and_policy(value):
     def roll(action):
         return value(actions.rollout_action(actions.opened(F.lit(action))))
