@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from agentcorpus.catalogue import join_queries
 from agentcorpus.operators import align, audit, expand, filters, gates, order, records, sample, score, split, study
 from agentcorpus.sources import manifests
 
@@ -356,3 +357,30 @@ def test_diagnostic_order_reads_no_json_in_comparisons(spark):
     sort = next(line for line in plan.splitlines() if "TakeOrderedAndProject" in line)
     assert "get_json_object" not in sort.split("output=")[0]
     assert top.first()["action_exact"] and top.first()["target_name"] == "go_back"
+
+
+def test_orders_without_a_key_are_shards_too(spark, tmp_path):
+    # a join on the key lost them; SQL groups them
+    rows = [(None, 1), (None, 3), (1, 1), (1, 2), (2, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    found = join_queries.shard_selection_issues(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == {(None, 2, 2), (2, 1, 1)}
+
+
+@pytest.mark.parametrize("num_shards", [2, 70])
+def test_shards_are_whole_without_distinct_rows(spark, num_shards):
+    whole = list(range(num_shards))
+    cases = {
+        "whole": whole, "short": whole[1:], "twice": [*whole[:-1], 0], "beyond": [*whole[1:], num_shards],
+        "more": [*whole, 0], "null": [*whole[1:], None], "below": [*whole[1:], -1],
+    }
+    rows = [(k, i) for k, listed in cases.items() for i in listed]
+    df = spark.createDataFrame(rows, "suite string, shard_index int")
+    seen = df.groupBy("suite").agg(F.count(F.lit(1)).alias("n"), *gates._seen_shards(num_shards))
+    got = {r["suite"] for r in seen.where((F.col("n") == num_shards) & F.col("_every")).collect()}
+    assert got == {"whole"}
+    if num_shards == 2:  # one shuffle of sums, none of distinct indices
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
