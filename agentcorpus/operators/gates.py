@@ -534,14 +534,10 @@ def completion_issues(
         _has_tasks().alias("_suite_has_tasks"),
     )
     per_suite = shards.groupBy("job_id", "suite").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("shard_index").alias("d"),
-        F.min("shard_index").alias("lo"), F.max("shard_index").alias("hi"),
+        F.count(F.lit(1)).alias("n"), *_seen_shards(num_shards),
         F.count_if(~(hashes_ok & valid_sha256(F.col("signature")))).alias("bad"),
     )
-    whole = (
-        (F.col("n") == num_shards) & (F.col("d") == num_shards) & (F.col("lo") == 0)
-        & (F.col("hi") == num_shards - 1)
-    )
+    whole = (F.col("n") == num_shards) & F.col("_every")
     shard_rows = per_suite.select("job_id", whole.alias("_whole_suite"), F.col("bad").alias("_bad_shards"))
     reuse = training.where(valid_sha256(F.col("adapter_sha256"))).groupBy("adapter_sha256").agg(
         F.min("job_id").alias("_first_owner")
@@ -629,6 +625,20 @@ def completion_issues(
     return found.unionByName(unscheduled)
 
 
+def _seen_shards(num_shards: int) -> list[Column]:
+    """Aggregate: whether every index from 0 to ``num_shards`` - 1 occurs.
+
+    Up to 62 indices are bits of one number, which needs no shuffle of distinct indices.
+    """
+    index = F.col("shard_index")
+    if num_shards > 62:
+        inside = F.when(index.between(0, num_shards - 1), index)
+        return [(F.count_distinct(inside) == num_shards).alias("_every")]
+    bits = [F.when(index == i, F.lit(1 << i).cast("bigint")) for i in range(num_shards)]
+    seen = F.bit_or(F.coalesce(*bits, F.lit(0).cast("bigint")))
+    return [(seen == F.lit((1 << num_shards) - 1).cast("bigint")).alias("_every")]
+
+
 def _has_tasks() -> Column:
     """Whether a suite's ``tasks`` array holds every task the suite must report."""
     chain = None
