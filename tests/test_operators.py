@@ -384,3 +384,10 @@ def test_shards_are_whole_without_distinct_rows(spark, num_shards):
     if num_shards == 2:  # one shuffle of sums, none of distinct indices
         plan = seen._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_name_accuracy_takes_the_name_at_hand(spark):
+    rows = spark.createDataFrame([("click", True), ("click", False)], "target_name string, action_name_correct boolean")
+    assert score.action_name_accuracy(rows).first().asDict() == {
+        "action": "click", "examples": 2, "action_name_accuracy": 0.5,
+    }
