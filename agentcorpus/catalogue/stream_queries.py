@@ -8,6 +8,7 @@ from agentcorpus.catalogue import bindings as B
 from agentcorpus.catalogue.base import query, rounded, scratch, sql_mod
 from agentcorpus.functions import hashing
 from agentcorpus.operators import score
+from agentcorpus.session import cut
 from agentcorpus.streaming import jobs
 
 
@@ -85,8 +86,8 @@ def stream_window_metrics(spark, folder):
         {"run_signature": F.col("benchmark"), "day": hashing.stable_mod(10, F.col("id"))}
     )
     given = given.withColumn("arrived", F.timestamp_seconds((F.col("day") + _FIRST_DAY) * 86400))
-    given = given.select(
-        "id", "task", "run_signature", "day", "arrived", "parse_success", "within_element_bounds"
+    given = cut(  # three arrivals read the scores
+        given, "id", "task", "run_signature", "day", "arrived", "parse_success", "within_element_bounds"
     )
     fresh = given.withColumn(
         "id", F.concat(F.when(F.col("day") == 8, "extra:").otherwise("late:"), F.col("id"))

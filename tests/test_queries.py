@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from agentcorpus import catalogue
+from agentcorpus.catalogue import stream_queries
+from agentcorpus.session import cut
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -74,3 +76,11 @@ def test_policy_amounts_round_half_to_even(spark, tmp_path):
     connection.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     want = connection.execute(ORACLES["parse_policy_outputs"]).fetchone()
     assert tuple(got) == want and got["parse_errors"] == 3
+
+
+def test_window_metrics_score_once(spark, monkeypatch):
+    """Three arrivals read stored scores; each of them scored all predictions again."""
+    stored = []
+    monkeypatch.setattr(stream_queries, "cut", lambda *given: stored.append(given[1:]) or cut(*given))
+    assert QUERIES["stream_window_metrics"](spark, FOLDER).count() == 20
+    assert len(stored) == 1 and "within_element_bounds" in stored[0]
