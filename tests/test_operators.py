@@ -391,3 +391,11 @@ def test_name_accuracy_takes_the_name_at_hand(spark):
     assert score.action_name_accuracy(rows).first().asDict() == {
         "action": "click", "examples": 2, "action_name_accuracy": 0.5,
     }
+
+
+def test_merge_issues_in_one_pass(spark):
+    """Repeated manifest ids come with the coverage; both checks took a shuffle of their own."""
+    expected = spark.createDataFrame([(i,) for i in "aabcd"], "id string")
+    predictions = spark.createDataFrame([(i,) for i in "abbce"], "id string")
+    found = {r["id"]: r["issue"] for r in align.merge_issues(expected, predictions).collect()}
+    assert found == {"a": "not_unique", "b": "duplicate", "d": "missing", "e": "extra"}
