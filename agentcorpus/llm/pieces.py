@@ -1,7 +1,7 @@
 """Operator 3: SentencePiece encoding and decoding by batched Viterbi in numpy.
 
 Texts are cut into words (a word carries the blanks before it; no piece has a blank after another
-character), and distinct words of equal length advance through the lattice together.  Hashes of the
+character), and distinct words of about equal length advance through the lattice together.  Hashes of the
 substrings that end at a place probe the sorted keys of the pieces; the vectorised maximum over the
 arcs is stored as the backpointer.
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 CACHE = 300_000  # words whose ids a worker keeps
-CHUNK = 1 << 21  # characters of texts, or of new words of one length, that advance together
+CHUNK = 1 << 21  # characters of texts, or of new words with their padding, that advance together
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS  # pairs of pieces whose answer a worker keeps
 NEVER = np.int64(1) << 40
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,9 +108,18 @@ class Vocabulary:
             self.raw[i] = bytes([b])
         self.seen = np.zeros(1 << 20, bool)  # whether any piece's hash begins so: spares most probes
         self.seen[self.keys >> np.uint64(44)] = True
-        self.powers = np.ones(self.longest + 1, np.uint64)
-        for k in range(1, self.longest + 1):
+        self.powers = np.ones(max(self.longest, 3) + 1, np.uint64)
+        for k in range(1, len(self.powers)):
             self.powers[k : k + 1] = self.powers[k - 1 : k] * BASE
+        if self.longest > 63:
+            raise ValueError("a piece is longer than 63 characters")
+        # bits of the lengths of pieces whose last two (of two) or three characters hash to a place
+        self.tails = {2: np.zeros(1 << 20, np.uint64), 3: np.zeros(1 << 20, np.uint64)}
+        for one in texts:
+            if len(one) > 1:
+                tail = min(len(one), 3)
+                self.tails[tail][string_hash(one[-tail:]) >> 44] |= np.uint64(1 << len(one))
+        self.asked: np.ndarray | None = None
 
     def merge_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of two pieces, or NEVER."""
@@ -119,6 +130,19 @@ class Vocabulary:
         return np.where(fits & (self.merge_keys[at] == joined), self.merge_rank[at], NEVER)
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`stay_apart` of pairs, which recur: the last answer of each slot is kept."""
+        if self.asked is None:  # made by the worker, not sent to it
+            self.asked, self.answers = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        pair = a.astype(np.int64) * len(self.keys) + b
+        slot = (pair.astype(np.uint64) * BASE) >> np.uint64(64 - SLOT_BITS)
+        good = self.answers[slot]
+        new = np.flatnonzero(self.asked[slot] != pair)
+        if len(new):
+            good[new] = self.stay_apart(a[new], b[new])
+            self.asked[slot[new]], self.answers[slot[new]] = pair[new], good[new]
+        return good
+
+    def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the texts of a and b together leaves just these two pieces.
 
         Going back in time, the later formed of the two pieces at the border is taken apart; in each
@@ -143,53 +167,82 @@ class Vocabulary:
         return good
 
     def encode_equal(self, words: Sequence[str]) -> list[bytes]:
-        """Ids of words of one length, as little-endian 32-bit bytes."""
-        count, size = len(words), len(words[0])
+        """Ids of words of about equal length, as little-endian 32-bit bytes.
+
+        The longest words come first, so that those with an n-th character are the first ones.
+        """
+        sizes = np.array([len(word) for word in words], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        words, sizes = [words[i] for i in order.tolist()], sizes[order]
+        count, size = len(words), int(sizes[0])
         text = "".join(words).encode("utf-32-le", "surrogatepass")
-        codes = character_codes(np.frombuffer(text, np.uint32)).reshape(count, size)
-        prefix = np.zeros((count, size + 1), np.uint64)
+        codes = np.zeros((count, size), np.uint64)
+        codes[np.arange(size) < sizes[:, None]] = character_codes(np.frombuffer(text, np.uint32))
+        codes = np.ascontiguousarray(codes.T)
+        prefix = np.zeros((size + 1, count), np.uint64)
         for at in range(size):
-            prefix[:, at + 1] = prefix[:, at] * BASE + codes[:, at]
-        last = np.full((count, size + 1), -1, np.int64)  # last piece of the prefix, -1: none
-        back = np.zeros((count, size + 1), np.int64)  # its length
+            prefix[at + 1] = prefix[at] * BASE + codes[at]
+        last = np.full((size + 1, count), -1, np.int32)  # last piece of the prefix, -1: none
+        back = np.zeros((size + 1, count), np.int32)  # its length
         for end in range(1, size + 1):
-            waiting = np.arange(count)
+            waiting = np.arange(np.searchsorted(-sizes, -end, "right"))
+            lengths = self._lengths(prefix, end, len(waiting))
             for length in range(min(end, self.longest), 0, -1):
                 start = end - length
-                hashes = prefix[waiting, end] - prefix[waiting, start] * self.powers[length]
+                asked = waiting
+                if length > 1:
+                    asked = waiting[(lengths[waiting] >> np.uint64(length)) & np.uint64(1) > 0]
+                    if not len(asked):
+                        continue
+                else:  # a character without piece is an arc of its own
+                    back[end, waiting] = 1
+                hashes = prefix[end, asked] - prefix[start, asked] * self.powers[length]
                 maybe = np.flatnonzero(self.seen[hashes >> np.uint64(44)])
                 hashes = hashes[maybe]
                 at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
                 there = self.keys[at] == hashes
-                rows, piece = waiting[maybe[there]], at[there]
-                if length == 1:  # a character without piece is an arc of its own
-                    back[waiting, end] = 1
+                rows, piece = asked[maybe[there]], at[there]
                 if not len(rows):
                     continue
-                previous = last[rows, start]
-                fits = (back[rows, start] > 0) | (start == 0)
+                previous = last[start, rows]
+                fits = (back[start, rows] > 0) | (start == 0)
                 paired = fits & (previous >= 0)
                 fits[paired] = self.may_follow(previous[paired], piece[paired])
                 rows, piece = rows[fits], piece[fits]
-                last[rows, end], back[rows, end] = piece, length
+                last[end, rows], back[end, rows] = piece, length
                 keep = np.ones(count, bool)
                 keep[rows] = False
                 waiting = waiting[keep[waiting]]
                 if not len(waiting):
                     break
-        return self._walk(words, last, back)
+        found = self._walk(words, sizes, last, back)
+        placed = [b""] * count
+        for at, one in zip(order.tolist(), found):
+            placed[at] = one
+        return placed
+
+    def _lengths(self, prefix: np.ndarray, end: int, count: int) -> np.ndarray:
+        """Bits of the lengths above 1 that a piece with the same last two or three characters has."""
+        found = np.zeros(count, np.uint64)
+        for tail, table in self.tails.items():
+            if end >= tail:
+                hashes = prefix[end, :count] - prefix[end - tail, :count] * self.powers[tail]
+                found |= table[hashes >> np.uint64(44)]
+        return found
 
-    def _walk(self, words: Sequence[str], last: np.ndarray, back: np.ndarray) -> list[bytes]:
+    def _walk(
+        self, words: Sequence[str], sizes: np.ndarray, last: np.ndarray, back: np.ndarray
+    ) -> list[bytes]:
         """Follow the backpointers of all words together."""
-        count, size = len(words), len(words[0])
+        count, size = len(words), int(sizes[0])
         path = np.full((count, size), -2, np.int64)
-        end, every = np.full(count, size), np.arange(count)
+        end, every = sizes.copy(), np.arange(count)
         for step in range(size - 1, -1, -1):
             live = every[end > 0]
             if not len(live):
                 break
-            path[live, step] = last[live, end[live]]
-            end[live] -= back[live, end[live]]
+            path[live, step] = last[end[live], live]
+            end[live] -= back[end[live], live]
         used = path > -2
         ids = np.where(path >= 0, self.ids[path], -1)[used].astype("<i4")
         data, stops = ids.tobytes(), 4 * np.cumsum(used.sum(axis=1))
@@ -212,8 +265,8 @@ class Vocabulary:
 
     def encode_new(self, words: Sequence[str]) -> dict[str, bytes]:
         by_size: dict[int, list[str]] = {}
-        for word in words:
-            by_size.setdefault(len(word), []).append(word)
+        for word in words:  # lengths 1 to 8, 9 to 16, 17 to 32 and so on
+            by_size.setdefault(max(8, 1 << (len(word) - 1).bit_length()), []).append(word)
         found: dict[str, bytes] = {}
         for size, group in by_size.items():
             step = max(1, CHUNK // size)

@@ -32,6 +32,17 @@ def test_transitions_equal_merging(library):
     ]
 
 
+def test_words_of_many_lengths_advance_together(library):
+    """Words with their padding, and answers that are asked again: only equal lengths were taken."""
+    made = pieces.Vocabulary(PATH)
+    words = ["▁" + w for w in ["the", "a", "internationalisation", "☃x", "xx", "the", "aaaaaaa", "日本", "don't"]]
+    for _ in range(2):
+        assert made.encode_equal(words) == [
+            b"".join(i.to_bytes(4, "little") for i in library.encode(w[1:])) for w in words
+        ]
+    assert (made.asked >= 0).any()
+
+
 def test_round_trip_on_whole_table(spark, sf):
     rows = QUERIES["op3_sentencepiece"](spark, sf).collect()
     assert rows and all(r["round_trip"] for r in rows)
