@@ -14,6 +14,8 @@ to its earliest one, never to each other, and each link's edit distance is verif
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ DOC = ["_order", "_hash"]
 
 
 def normal(line: Column) -> Column:
-    """Lower case, white space as single blanks, trimmed.  The pattern runs only where it is needed."""
-    plain = F.translate(F.lower(line), SPACES, " " * len(SPACES))
+    """Lower case, white space as single blanks, trimmed.  What few lines need runs only for those."""
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(space)) for space in SPACES[1:]])
+    lower = F.lower(line)
+    plain = F.when(odd, F.translate(lower, SPACES, " " * len(SPACES))).otherwise(lower)
     single = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
     return F.trim(single)
 

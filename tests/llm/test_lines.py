@@ -111,3 +111,13 @@ def test_hot_line(spark):
 
 def test_query(matches):
     matches("op1_line_dedup")
+
+
+def test_normal_with_every_kind_of_white_space(spark):
+    """Lines without a tab or the like pass the translation by; all kinds still become single blanks."""
+    texts = ["A b", "a\tB", "a \t b", "\r a\fb\v", "\v", "", "É  x", "a" * 20 + "\n", " \t\n\r\f\v ", "a  b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", lines.normal(F.col("t")).alias("n")).collect():
+        assert r["n"] == " ".join(r["t"].lower().split())
+    passed = rows.select(lines.normal(F.col("t")).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN (((" in passed.split("translate(")[0]
