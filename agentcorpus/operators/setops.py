@@ -47,14 +47,21 @@ def leakage_keys(training: DataFrame, evaluation: DataFrame) -> DataFrame:
     )
 
 
-def leakage_audit(training: DataFrame, evaluation: DataFrame) -> DataFrame:
+def shared_keys(training: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """Distinct keys that both sides hold: (kind, key).
+
+    Store them where several of the checks below are made of the same two tables.
+    """
+    return leakage_keys(training, evaluation).where("in_training and in_evaluation").select("kind", "key")
+
+
+def leakage_audit(
+    training: DataFrame, evaluation: DataFrame, shared: DataFrame | None = None
+) -> DataFrame:
     """Overlap counts plus row and unknown-domain counts of each side: one row."""
-    shared = F.col("in_training") & F.col("in_evaluation")
-    overlap = leakage_keys(training, evaluation).agg(
-        *[
-            F.count_if((F.col("kind") == kind) & shared).alias(f"{kind}_overlap_count")
-            for kind in KINDS
-        ]
+    shared = shared_keys(training, evaluation) if shared is None else shared
+    overlap = shared.agg(
+        *[F.count_if(F.col("kind") == kind).alias(f"{kind}_overlap_count") for kind in KINDS]
     )
 
     def side(df, name):
@@ -67,17 +74,21 @@ def leakage_audit(training: DataFrame, evaluation: DataFrame) -> DataFrame:
     return single_row(overlap, side(training, "training"), side(evaluation, "evaluation"))
 
 
-def leakage_preview(training: DataFrame, evaluation: DataFrame, rows: int = 20) -> DataFrame:
-    shared = leakage_keys(training, evaluation).where("in_training and in_evaluation")
-    return first_few(shared.select("kind", "key"), ["kind"], [F.col("key")], rows, "position")
+def leakage_preview(
+    training: DataFrame, evaluation: DataFrame, rows: int = 20, shared: DataFrame | None = None
+) -> DataFrame:
+    shared = shared_keys(training, evaluation) if shared is None else shared
+    return first_few(shared, ["kind"], [F.col("key")], rows, "position")
 
 
 def required_disjoint(
-    training: DataFrame, suites: DataFrame, required: Mapping[str, Sequence[str]]
+    training: DataFrame, suites: DataFrame, required: Mapping[str, Sequence[str]],
+    shared: DataFrame | None = None,
 ) -> DataFrame:
     """Suites and key kinds that must not overlap but do: (suite, kind, overlap).
 
-    ``suites`` is one table of evaluation rows with a ``suite`` column.
+    ``suites`` is one table of evaluation rows with a ``suite`` column.  A key of a suite is in training
+    if it is among the keys that both tables share, where these are at hand.
     """
     unknown = sorted({k for kinds in required.values() for k in kinds} - set(KINDS))
     if unknown:
@@ -104,8 +115,9 @@ def required_disjoint(
         "suite", "c.kind", "c.key"
     ).where("key is not null")
     held = held.where(F.array_contains(rules, F.struct(F.col("suite"), F.col("kind")))).distinct()
+    found = _keys(training).distinct() if shared is None else shared
     return (
-        held.join(_keys(training).distinct(), ["kind", "key"], "left_semi")
+        held.join(found, ["kind", "key"], "left_semi")
         .groupBy("suite", "kind")
         .agg(F.count(F.lit(1)).alias("overlap"))
     )

@@ -50,17 +50,23 @@ def unit_state(df: DataFrame, seed: int, shares: Mapping[str, int]) -> DataFrame
     """One row per unit: number of domains, lowest and highest partition, any unknown domain.
 
     Minimum and maximum stand in for the set of partitions, so a unit with a third of all rows is a
-    constant-size aggregate buffer.  Domains are made distinct per unit first.
+    constant-size aggregate buffer.  Domains are made distinct per unit first.  Partitions are numbered in
+    the order of their names, because numbers are aggregated by hash and texts by sorting.
     """
+    names = F.array(*[F.lit(name) for name in sorted(shares)])
     domain = F.lower(records.field_or(df, "domain"))
     pairs = df.select("unit", domain.alias("_d")).distinct()
     part = F.when(F.col("_d") != "unknown", domain_partition(F.col("_d"), seed, shares))
-    return pairs.withColumn("_p", part).groupBy("unit").agg(
+    state = pairs.withColumn("_p", F.array_position(names, part).cast("int") - 1).groupBy("unit").agg(
         F.count(F.lit(1)).alias("unit_domains"),
-        F.min("_p").alias("partition_low"),
-        F.max("_p").alias("partition_high"),
+        F.min("_p").alias("_low"),
+        F.max("_p").alias("_high"),
         F.max(F.col("_d") == "unknown").alias("has_unknown"),
     )
+    return state.select(
+        "unit", "unit_domains", F.get(names, "_low").alias("partition_low"),
+        F.get(names, "_high").alias("partition_high"), "has_unknown",
+    )
 
 
 def crosses_partitions() -> Column:

@@ -30,11 +30,10 @@ def freeze(candidates: DataFrame, spec: InventorySpec) -> dict[str, DataFrame]:
     The assigned table is stored once; the catalog, the audits, the pools and every suite read that
     copy.  Returns named tables; writing them is up to the caller.
     """
-    annotated = records.with_unit(records.annotate_website(candidates, spec.website_rules))
-    kept, dropped = filters.exclude_domains(annotated, spec.excluded_domains)
-    assigned = cut(
-        split.assign_destination(kept, spec.seed, spec.partitions, spec.iid_percent)
-    )
+    kept, dropped = filters.exclude_domains(records.with_unit(candidates), spec.excluded_domains)
+    # annotated last, so that only the given columns are shuffled by unit
+    placed = split.assign_destination(kept, spec.seed, spec.partitions, spec.iid_percent)
+    assigned = cut(records.annotate_website(placed, spec.website_rules))
     align.require_empty(split.destination_conflicts(assigned), "destination conflict")
     tables = {
         "assigned": assigned,

@@ -51,6 +51,15 @@ def check_specs(tasks: Mapping[str, TaskSpec]) -> list[str]:
     return order
 
 
+NARROW = ("id", "suite", "task", "domain", "website_category", "trajectory_id", "image")
+
+
+def _stored(side: DataFrame) -> DataFrame:
+    """The columns that gates and tiers read, with canonical domains."""
+    named = records.canonicalize_domain_column(side)
+    return cut(named, *[name for name in NARROW if name in named.columns])
+
+
 def build_ladder(
     training: DataFrame,
     suites: DataFrame,
@@ -65,13 +74,14 @@ def build_ladder(
     ``suites`` holds all evaluation rows with a ``suite`` column.
     """
     order = check_specs(tasks)
-    training = records.canonicalize_domain_column(training)
-    suites = records.canonicalize_domain_column(suites)
+    # both sides are read by every gate and tier: their narrow columns are stored, and the keys they share
+    training, suites = (_stored(side) for side in (training, suites))
+    shared = cut(setops.shared_keys(training, suites))
     align.require_empty(setops.unique_ids(training), "training ids are not unique")
-    overlap = setops.leakage_preview(training, suites).where("kind <> 'known_domain'")
+    overlap = setops.leakage_preview(training, suites, shared=shared).where("kind <> 'known_domain'")
     align.require_empty(overlap, "training and evaluation share rows")
     align.require_empty(
-        setops.required_disjoint(training, suites, required_disjoint), "suite overlap"
+        setops.required_disjoint(training, suites, required_disjoint, shared), "suite overlap"
     )
     if reject_unknown:
         filters.reject_unknown_domains(training)
@@ -103,7 +113,7 @@ def build_ladder(
         "members": setops.combined_order(combined, seed),
         "tier_audit": report,
         "combined_audit": whole,
-        "leakage": setops.leakage_audit(training, suites),
+        "leakage": setops.leakage_audit(training, suites, shared),
     }
 
 

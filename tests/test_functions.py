@@ -323,3 +323,17 @@ def test_prompt_text(value):
     )
     with pytest.raises(Exception, match="unsupported task"):
         value(prompts.system_prompt(F.lit("other")))
+
+
+def test_website_words_and_hosts(value):
+    """Dots, slashes and hyphens part tokens; the first listed one of a category wins."""
+
+    def verdict(url):
+        found = value(web.classify_website(web.host_domain(F.lit(url)), F.lit(""), F.lit(url)))
+        return found["website_category"], found["website_category_rule"]
+
+    assert verdict("https://shop.example/mail-docs") == ("work_application", "url-token:docs")
+    assert verdict("https://a.example/shopping") == ("general_web", "fallback")
+    assert verdict("https://a-shop.example/NEWS") == ("transactional_application", "url-token:shop")
+    assert value(web.hostname(F.lit("http://www.www.a.example/"))) == "www.a.example"
+    assert value(web.hostname(F.lit("http://[::1]:80/"))) == "::1"

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from agentcorpus.catalogue import join_queries
-from agentcorpus.operators import align, audit, expand, filters, gates, order, records, sample, score, split, study
+from agentcorpus.operators import align, audit, expand, filters, gates, order, records, sample, score, setops, split, study
+from agentcorpus.plans import ladder
 from agentcorpus.sources import manifests
 
 
@@ -399,3 +400,42 @@ def test_merge_issues_in_one_pass(spark):
     predictions = spark.createDataFrame([(i,) for i in "abbce"], "id string")
     found = {r["id"]: r["issue"] for r in align.merge_issues(expected, predictions).collect()}
     assert found == {"a": "not_unique", "b": "duplicate", "d": "missing", "e": "extra"}
+
+
+def test_ladder_forms_leakage_keys_once(spark, monkeypatch):
+    """Three gates and the audit read one stored table of shared keys; each shuffled all keys before."""
+    made, keys = [], setops.leakage_keys
+    monkeypatch.setattr(setops, "leakage_keys", lambda *sides: made.append(sides) or keys(*sides))
+    training = spark.createDataFrame(
+        [(f"t{i}", "qa", f" Site{i % 4}.example", None) for i in range(12)],
+        "id string, task string, domain string, image string",
+    )
+    suites = spark.createDataFrame(
+        [("e1", "iid", "site1.example", None), ("e2", "other", "far.example", "a.png")],
+        "id string, suite string, domain string, image string",
+    )
+    tasks = {"qa": ladder.TaskSpec(sizes={"small": 4, "large": 8}, max_domain_share=0.5)}
+    built = ladder.build_ladder(training, suites, tasks, 1, {"iid": ["id"], "other": ["known_domain"]})
+    leakage = built["leakage"].first()
+    assert len(made) == 1
+    assert leakage["training_examples"] == 12 and leakage["known_domain_overlap_count"] == 1
+    assert {r["tier"]: r["examples"] for r in built["tier_audit"].collect()} == {"small": 4, "large": 8}
+    with pytest.raises(align.CheckFailed, match="suite overlap"):
+        ladder.build_ladder(training, suites, tasks, 1, {"iid": ["known_domain"]})
+    shared = suites.withColumn("id", F.lit("t3"))
+    with pytest.raises(align.CheckFailed, match="share rows"):
+        ladder.build_ladder(training, shared, tasks, 1, {"iid": ["id"]})
+
+
+def test_unit_state_aggregates_by_hash(spark, capsys):
+    """Lowest and highest partition are numbers while they are aggregated; texts made Spark sort all units."""
+    rows = [("a", "x"), ("a", "y"), ("a", "x"), ("b", "unknown"), ("c", "z"), ("c", "unknown")]
+    shares = {"train": 40, "domain_balanced": 30, "distribution_shift": 30}
+    state = split.unit_state(spark.createDataFrame(rows, "unit string, domain string"), 7, shares)
+    state.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+    domains = spark.createDataFrame([("x",), ("y",), ("z",)], "d string")
+    part = {r[0]: r[1] for r in domains.select("d", split.domain_partition(F.col("d"), 7, shares)).collect()}
+    got = {r["unit"]: tuple(r)[1:] for r in state.collect()}
+    pair = sorted((part["x"], part["y"]))
+    assert got == {"a": (2, *pair, False), "b": (1, None, None, True), "c": (2, part["z"], part["z"], True)}
