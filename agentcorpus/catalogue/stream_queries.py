@@ -35,14 +35,13 @@ def stream_scores(spark, folder):
     twice = predictions.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy")).drop("_copy")
     out = scratch(spark, "stream-scores")
     arriving = twice.withColumn("arrived", F.current_timestamp())
-    _finish(
-        jobs.stream_scores(
-            arriving, score.grounding_score, f"{out}/rows", f"{out}/state", arrival="arrived"
-        )
-    )
-    return spark.read.parquet(f"{out}/rows").select(
-        "id", "run_signature", "parse_success", "within_element_bounds"
-    )
+    names = ["id", "run_signature", "parse_success", "within_element_bounds"]
+
+    def scored(rows):  # other columns are neither shuffled nor written
+        return score.grounding_score(rows).select(names)
+
+    _finish(jobs.stream_scores(arriving, scored, f"{out}/rows", f"{out}/state", arrival="arrived"))
+    return spark.read.parquet(f"{out}/rows").select(names)
 
 
 @query(

@@ -84,3 +84,12 @@ def test_window_metrics_score_once(spark, monkeypatch):
     monkeypatch.setattr(stream_queries, "cut", lambda *given: stored.append(given[1:]) or cut(*given))
     assert QUERIES["stream_window_metrics"](spark, FOLDER).count() == 20
     assert len(stored) == 1 and "within_element_bounds" in stored[0]
+
+
+def test_stream_scores_keeps_its_columns_only(spark, monkeypatch, tmp_path):
+    """All columns of the predictions went through the shuffle, and all of the scores into the files."""
+    monkeypatch.setattr(stream_queries, "scratch", lambda session, label: f"{tmp_path}/{label}")
+    found = QUERIES["stream_scores"](spark, FOLDER)
+    written = spark.read.parquet(f"{tmp_path}/stream-scores/rows").drop("batch")
+    assert written.columns == found.columns == ["id", "run_signature", "parse_success", "within_element_bounds"]
+    assert found.count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
