@@ -2,8 +2,10 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from agentcorpus.llm import filteraudit
+from agentcorpus.llm.store import looked_up
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -107,6 +109,20 @@ def test_separators_and_thresholds(spark, monkeypatch):
     assert run(docs, labels_of(spark, LABELS)) == brute(rows, LABELS)
 
 
+def test_labels_are_not_broadcast(spark, odd):
+    """Labels are repeated once per way, which Spark's estimates of their size leave out."""
+    found = filteraudit.interactions(odd, labels_of(spark, LABELS))
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    found = looked_up(
+        spark.range(100).withColumn("key", F.col("id") % 3),
+        spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (None, "d")], "key long, name string"),
+        ["key"], F.xxhash64("id"),
+    )
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    got = {(r["id"], r["key"], r["name"]) for r in found.collect()}
+    assert got == {(i, i % 3, {0: "a", 1: "b"}.get(i % 3)) for i in range(100)}
+
+
 def test_empty(spark, empty):
     assert run(empty, labels_of(spark, [])) == set()
 
