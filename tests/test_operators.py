@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from agentcorpus import session
 from agentcorpus.catalogue import join_queries
 from agentcorpus.operators import align, audit, expand, filters, gates, order, records, sample, score, setops, split, study
-from agentcorpus.plans import ladder
+from agentcorpus.plans import evaluation, ladder
 from agentcorpus.sources import manifests
 
 
@@ -439,3 +440,83 @@ def test_unit_state_aggregates_by_hash(spark, capsys):
     got = {r["unit"]: tuple(r)[1:] for r in state.collect()}
     pair = sorted((part["x"], part["y"]))
     assert got == {"a": (2, *pair, False), "b": (1, None, None, True), "c": (2, part["z"], part["z"], True)}
+
+
+def shard_rows(spark):
+    """Predictions of two shards in each task, one of a task without scores and one without a task."""
+    rows = [
+        ("q1", "qa", "s0", "the red fox", "Red fox", None, None, None),
+        ("q2", "qa", "s1", "blue", "green", None, None, None),
+        ("g1", "grounding", "s0", "point: [15, 25]", None, None, [10.0, 20.0, 30.0, 40.0], [20.0, 30.0]),
+        ("g2", "grounding", "s1", "no answer", None, None, [10.0, 20.0, 30.0, 40.0], [20.0, 30.0]),
+        ("a1", "action", "s0", '{"thought":"t","action":{"name":"click","x":5,"y":5}}', None,
+         '{"name":"click","x":5,"y":5}', [0.01, 0.01, 0.09, 0.09], None),
+        ("a2", "action", "s1", "not json", None, '{"name":"go_back"}', None, None),
+        ("x1", "other", "s0", "text", None, None, None, None),
+        ("n1", None, "s1", "text", None, None, None, None),
+    ]
+    names = (
+        "id string, task string, evaluation_label string, prediction string, answer string, "
+        "target_action string, bbox_normalized array<double>, target_point_normalized array<double>"
+    )
+    return spark.createDataFrame(rows, names).withColumns(
+        {
+            "run_signature": F.col("evaluation_label"), "benchmark": F.lit("web"),
+            "domain": F.col("id"), "website_category": F.lit("c"), "question_type": F.lit("reading"),
+            "application_focused": F.lit(True), "image_width": F.lit(1000), "image_height": F.lit(500),
+        }
+    )
+
+
+def merged_scores(spark, predictions, expected):
+    shards = spark.createDataFrame(
+        [("mixed", n, 2, "m", "r", f"/mnt/{n}/adapter", "h", ["/data/e.jsonl"]) for n in range(2)],
+        "label string, shard_index int, num_shards int, model string, model_revision string, "
+        "adapter string, adapter_sha256 string, manifests array<string>",
+    )
+    return evaluation.merge_and_score(expected, predictions, shards, "merged", "sig")
+
+
+def test_merge_moves_scores_and_not_texts(spark, monkeypatch):
+    stored = []
+
+    def seen(function):
+        def call(first, *columns, **options):
+            made = function(first, *columns, **options)
+            stored.append(set(made.columns))
+            return made
+
+        return call
+
+    for name in ("cut", "cut_in_turn"):
+        if hasattr(evaluation, name):
+            monkeypatch.setattr(evaluation, name, seen(getattr(evaluation, name)))
+    predictions = shard_rows(spark)
+    expected = predictions.select("id", F.col("id").alias("order_key"))
+    found = merged_scores(spark, predictions, expected)
+    heavy = {"prediction", "answer", "target_action", "bbox_normalized", "parsed_action"}
+    assert not any(heavy & columns for columns in stored)
+    want = score.score_mixed_rows(align.merge_predictions(expected, predictions, "merged", "sig"))
+    columns = score.score_columns(want)
+    assert sorted(found["scored"].columns) == sorted(columns)
+    got = sorted(map(repr, found["scored"].select(*columns).collect()))
+    assert got == sorted(map(repr, want.select(*columns).collect()))
+    assert len(got) == 6
+    want = sorted(map(repr, score.score_mixed(want).collect()))
+    assert sorted(map(repr, found["metrics"].collect())) == want
+
+
+@pytest.mark.parametrize(("gone", "issue"), [("x1", "missing"), ("n1", "missing"), ("a1", "missing")])
+def test_merge_misses_no_prediction_of_any_task(spark, gone, issue):
+    predictions = shard_rows(spark)
+    expected = predictions.select("id", F.col("id").alias("order_key"))
+    with pytest.raises(align.CheckFailed, match=issue):
+        merged_scores(spark, predictions.where(F.col("id") != gone), expected)
+    with pytest.raises(align.CheckFailed, match="extra"):
+        merged_scores(spark, predictions, expected.where(F.col("id") != gone))
+
+
+def test_parts_are_stored_in_turn(spark):
+    parts = [spark.range(0, 10), spark.range(0), spark.range(10, 25)]
+    assert sorted(r["id"] for r in session.cut_in_turn(parts, codec="zstd").collect()) == list(range(25))
+    assert session.cut_in_turn(parts[1:2]).count() == 0
